@@ -4,21 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import bpe, mixing, neardup, quality, secrets
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+#: Target weights of the mixing query: domain, language, source.
+_LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.1, mixing.OTHER: 0.05}
+WEIGHTS = {
+    "bulk": {"": 0.25, **_LANGUAGES},
+    "curated": {"": 0.75, **{lang: {"": w, **{f"src{i}": 1 + (i % 3) for i in range(1, 20)}, mixing.OTHER: 1} for lang, w in _LANGUAGES.items()}},
+}
+
+
+def mixing_levels() -> list:
+    return [F.when(F.col("source") == "src0", "bulk").otherwise("curated"), F.col("lang"), F.col("source")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))[0]
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    planned = mixing.plan(docs, WEIGHTS, mixing_levels(), fraction=0.6, max_epochs=2, seed=17)
+    sized = docs.select("doc_id", "lang", "source", mixing.words_of(F.col("text")).alias("n_tokens"), planned.leaf.alias("leaf"))
+    return sized.withColumn("times", planned.times(F.col("doc_id"), F.col("n_tokens")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality": op9_quality}
+    return {f.__name__: f for f in (op2_near_duplicates, op5_byte_bpe, op6_secrets, op8_mixing, op9_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
