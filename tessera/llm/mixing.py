@@ -76,19 +76,35 @@ def budgets(root: Node, capacity: dict[tuple[str, ...], float], total: float) ->
     return out
 
 
+def _mapped(key: Column, values: dict[str, int]) -> Column:
+    """values[key], null where there is none; values is a literal with an entry per leaf or node of the tree."""
+    if not values:
+        return F.lit(None).cast("long")
+    return F.try_element_at(F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in values.items() for x in pair]), key)
+
+
 def _leaf(root: Node, levels: list[Column]) -> Column:
-    """The path of a row's leaf, joined by tabs; levels without a node of the row's own name fall to OTHER, or to no leaf (null)."""
+    """The path of a row's leaf, joined by tabs: level by level the node of the row's own name, else OTHER, else no leaf (null)."""
+    nodes: dict[str, int] = {}
 
-    def of(node: Node, path: tuple[str, ...]) -> Column:
-        if not node.below:
-            return F.lit("\t".join(path))
-        out = of(node.below[OTHER], (*path, OTHER)) if OTHER in node.below else F.lit(None).cast("string")
+    def walk(node: Node, path: tuple[str, ...]) -> None:
         for k, n in node.below.items():
-            if k != OTHER:
-                out = F.when(levels[len(path)] == k, of(n, (*path, k))).otherwise(out)
-        return out
+            nodes["\t".join((*path, k))] = int(not n.below)
+            walk(n, (*path, k))
+
+    walk(root, ())
 
-    return of(root, ())
+    def known(path: Column) -> Column:
+        return F.when(_mapped(path, nodes).isNotNull(), path)
+
+    def down(level: Column) -> Callable[[Column], Column]:
+        start = lambda p: F.when(p == "", p).otherwise(F.concat(p, F.lit("\t")))
+        return lambda p: F.when(_mapped(p, nodes) == 1, p).otherwise(F.coalesce(known(F.concat(start(p), level)), known(F.concat(start(p), F.lit(OTHER)))))
+
+    path = F.lit("")
+    for level in levels:
+        path = F.element_at(F.transform(F.array(path), down(level)), 1)
+    return F.element_at(F.transform(F.array(path), lambda p: F.when(_mapped(p, nodes) == 1, p)), 1)
 
 
 def place(seed: int, epoch: Column | int, doc_id: Column) -> Column:
@@ -102,10 +118,7 @@ def words_of(text: Column) -> Column:
 
 
 def _at_leaf(leaf: Column, values: dict[str, int], default: int) -> Column:
-    out = F.lit(default).cast("long")
-    for k, v in values.items():
-        out = F.when(leaf == k, F.lit(v).cast("long")).otherwise(out)
-    return out
+    return F.coalesce(_mapped(leaf, values), F.lit(default).cast("long"))
 
 
 def cuts(sized: DataFrame, goal: dict[str, int]) -> dict[str, int]:
@@ -159,20 +172,19 @@ class Plan:
 
     def times(self, doc_id: Column, tokens: Column) -> Column:
         """How many times a row is taken."""
-        part = F.lit(0)
-        for k, whole in self.epochs.items():
-            part = F.when(self.leaf == k, whole + (place(self.seed, whole, doc_id) < self.cut.get(k, 0)).cast("int")).otherwise(part)
-        return F.when(tokens > 0, part).otherwise(0)
+        whole = _at_leaf(self.leaf, self.epochs, 0)
+        below = place(self.seed, whole, doc_id) < _at_leaf(self.leaf, self.cut, 0)
+        return F.when(tokens > 0, whole + below.cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def plan(docs: DataFrame, weights: dict, levels: list[Column], fraction: float, max_epochs: int, seed: int, tokens: Callable[[Column], Column] = words_of, id_col: str = "doc_id", text: str = "text") -> Plan:
     """Budgets of `fraction` times the corpus's tokens, and where each leaf's prefix ends."""
     root = tree(weights)
     leaf = _leaf(root, levels)
-    sized = docs.select(leaf.alias("leaf"), F.col(id_col).alias("doc_id"), tokens(F.col(text)).alias("tokens")).where("tokens > 0").checkpoint()
+    sized = docs.select(leaf.alias("leaf"), F.col(id_col).alias("doc_id"), tokens(F.col(text)).alias("tokens")).where("tokens > 0 and leaf is not null").checkpoint()
     have = {r["leaf"]: int(r["t"]) for r in sized.groupBy("leaf").agg(F.sum("tokens").alias("t")).collect()}  # a row per leaf of the tree
     total = fraction * sum(have.values())
-    given = {"\t".join(k): v for k, v in budgets(root, {tuple(k.split("\t")): v * max_epochs for k, v in have.items() if k is not None}, total).items()}
+    given = {"\t".join(k): v for k, v in budgets(root, {tuple(k.split("\t")): v * max_epochs for k, v in have.items()}, total).items()}
     epochs = {k: int(v // have[k]) for k, v in given.items() if have.get(k)}
     goal = {k: int(given[k] - n * have[k]) for k, n in epochs.items()}
     goal = {k: v for k, v in goal.items() if v > 0}
