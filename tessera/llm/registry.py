@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, neardup, quality, secrets
+from tessera.llm import bpe, mixing, neardup, quality, secrets, spans, token_counts, warc
 
+UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: Target weights of the mixing query: domain, language, source.
@@ -32,6 +33,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -40,6 +45,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))[0]
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), UNIGRAM_PIECES)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     planned = mixing.plan(docs, WEIGHTS, mixing_levels(), fraction=0.6, max_epochs=2, seed=17)
@@ -51,6 +60,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op5_byte_bpe, op6_secrets, op8_mixing, op9_quality, pipeline)}
+    return {f.__name__: f for f in (op2_near_duplicates, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
