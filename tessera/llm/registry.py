@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, neardup, quality, secrets, spans, token_counts, toxicity, warc
+from tessera.llm import bpe, mixing, neardup, quality, secrets, spans, token_counts, toxicity, warc, webp
 
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates, op3_toxicity, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_webp, op2_near_duplicates, op3_toxicity, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

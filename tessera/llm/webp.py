@@ -18,7 +18,6 @@ import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 WIDTH, MOST_ROWS, ROW = 144, 16_384, 576
 LENGTHS, CACHE_BITS = 24, 10
+LONGEST = 12  # bits of a code that the encoder makes; the format and the decoder have 15
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Fixed values of the format: the order of code-length codes, and the places that short distance codes stand for (x to the left, y up).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -51,42 +51,54 @@ BLACK = 0xFF000000
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a complete prefix code, at most `most` bits; a lone symbol gets 1 here and 0 bits when used."""
     lengths, counts = np.zeros(len(counts), np.int64), counts.astype(np.int64)
-    used = np.flatnonzero(counts).tolist()
+    used = np.flatnonzero(counts)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
     while True:
-        heap = [(int(counts[s]), k, (s,)) for k, s in enumerate(used)]
-        heapify(heap)
-        depth, k = dict.fromkeys(used, 0), len(used)
-        parent: dict[int, int] = {}
-        tree = [(c, k, k) for c, k, _ in sorted(heap, key=lambda x: x[1])]
-        heap = [(c, k) for c, k, _ in tree]
-        heapify(heap)
-        while len(heap) > 1:
-            a, b = heappop(heap), heappop(heap)
-            parent[a[1]] = parent[b[1]] = k
-            heappush(heap, (a[0] + b[0], k))
-            k += 1
-        level = {k - 1: 0}
-        for node in range(k - 2, -1, -1):
-            level[node] = level[parent[node]] + 1
-        depth = [level[i] for i in range(len(used))]
-        if max(depth) <= most:
-            lengths[used] = depth
+        used = used[np.argsort(counts[used], kind="stable")]
+        n = len(used)
+        weight = [*counts[used].tolist(), *[0] * (n - 1)]  # leaves by weight, then inner nodes, which also come by weight
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n
+        for node in range(n, 2 * n - 1):
+            for _ in range(2):
+                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                    took, leaf = leaf, leaf + 1
+                else:
+                    took, inner = inner, inner + 1
+                parent[took] = node
+                weight[node] += weight[took]
+        depth = [0] * (2 * n - 1)
+        for node in range(2 * n - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used] = depth[:n]
             return lengths
         counts[used] = (counts[used] + 1) // 2 + 1
 
 
+@lru_cache(16)
+def _mirror(n: int) -> np.ndarray:
+    """n-bit numbers, bits turned round."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbols in the order of their codes, how much of 2 ** most each code takes, most)."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    most = int(lengths[used[-1]]) if len(used) else 0
+    return used, np.int64(1) << (most - lengths[used]), most
+
+
 def _reversed_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes, first bit lowest."""
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for s in np.lexsort((np.arange(len(lengths)), lengths)).tolist():
-        n = int(lengths[s])
-        if n:
-            code = (code << (n - last)) if last else 0
-            codes[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code, last = code + 1, n
+    codes = np.zeros(len(lengths), np.int64)
+    used, takes, most = _in_order(lengths)
+    codes[used] = _mirror(most)[np.cumsum(takes) - takes] if len(used) > 1 else 0
     return codes
 
 
@@ -94,16 +106,12 @@ def _reversed_codes(lengths: np.ndarray) -> np.ndarray:
 def _table(packed: bytes) -> tuple[list[int], int]:
     """(entries symbol << 4 | length by the next bits, their mask). packed: a length per symbol, as bytes."""
     lengths = np.frombuffer(packed, np.uint8).astype(np.int64)
-    used = np.flatnonzero(lengths)
+    used, takes, most = _in_order(lengths)
     if len(used) < 2:
         return [int(used[0]) << 4 if len(used) else 0], 0
-    most = int(lengths.max())
-    if int((1 << (most - lengths[used])).sum()) != 1 << most:
+    if int(takes.sum()) != 1 << most:
         raise ValueError("incomplete prefix code")
-    codes, table = _reversed_codes(lengths), np.zeros(1 << most, np.int64)
-    for s in used.tolist():
-        table[codes[s] :: 1 << int(lengths[s])] = s << 4 | int(lengths[s])
-    return table.tolist(), (1 << most) - 1
+    return np.repeat(used << 4 | lengths[used], takes)[_mirror(most)].tolist(), (1 << most) - 1
 
 
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +167,7 @@ _BESIDE: dict[int, Callable] = {
 def _unpredict(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
     out = _bytes(pixels).copy()
     height, width = pixels.shape
-    out[0, 0, 3] += np.uint8(255)
+    out[0, 0] = (out[0, 0].astype(np.int32) + [0, 0, 0, 255]) & 255
     out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
     for y in range(1, height):
         row, above = out[y], out[y - 1]
@@ -253,18 +261,27 @@ class _Reader:
         table = _table(bytes(first))
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
         at, last = 0, 8
-        while at < size and left:
+        (entries, mask), words, p = table, self.words, self.at
+        while at < size and left and p <= self.end:
             left -= 1
-            s = self.symbol(table)
+            v = words[p >> 3] >> (p & 7)
+            e = entries[v & mask]
+            s, v = e >> 4, v >> (e & 15)
+            p += e & 15
             if s < 16:
                 lengths[at] = s
                 at, last = at + 1, s or last
             else:
-                n = 3 + self.bits(2) if s == 16 else 3 + self.bits(3) if s == 17 else 11 + self.bits(7)
+                n = 3 + (v & 3) if s == 16 else 3 + (v & 7) if s == 17 else 11 + (v & 127)
+                p += (2, 3, 7)[s - 16]
                 if at + n > size:
                     raise ValueError("too many code lengths")
-                lengths[at : at + n] = bytes([last if s == 16 else 0]) * n
+                if s == 16:
+                    lengths[at : at + n] = bytes([last]) * n
                 at += n
+        self.at = p
+        if p > self.end:
+            raise ValueError("file ends early")
         return _table(bytes(lengths))
 
     def value(self, prefix: int) -> int:
@@ -278,7 +295,7 @@ class _Reader:
         groups_at, group_bits, n_groups = None, 0, 1
         if top and self.bits(1):
             group_bits = self.bits(3) + 2
-            groups_at = (self.image(-(-width >> group_bits) if False else -(-width // (1 << group_bits)), -(-height // (1 << group_bits)), False) >> 8 & 0xFFFF).tolist()
+            groups_at = (self.image(-(-width // (1 << group_bits)), -(-height // (1 << group_bits)), False) >> 8 & 0xFFFF).tolist()
             n_groups = max(map(max, groups_at)) + 1
         sizes = 256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40
         groups = [[self.code(n) for n in sizes] for _ in range(n_groups)]
@@ -290,7 +307,7 @@ class _Reader:
         add = out.append
         cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
         (green, gm), (red, rm), (blue, bm), (alpha, am), far = groups[0]
-        i, block = 0, -1
+        i, block, wide = 0, -1, max(g[2][1] * (g[3][1] + 1) for g in groups) >= 1 << 25
         while i < n:
             if groups_at is not None and (now := i // width >> group_bits << 16 | i % width >> group_bits) != block:
                 block = now
@@ -301,10 +318,12 @@ class _Reader:
             if s < 256:
                 e = red[(words[p >> 3] >> (p & 7)) & rm]
                 p += e & 15
-                f = blue[(words[p >> 3] >> (p & 7)) & bm]
-                p += f & 15
-                g = alpha[(words[p >> 3] >> (p & 7)) & am]
-                p += g & 15
+                v = words[p >> 3] >> (p & 7)  # holds 25 bits: two codes, unless they are longer than the encoder's
+                f = blue[v & bm]
+                if wide:
+                    v = words[(p + (f & 15)) >> 3] >> ((p + (f & 15)) & 7) << (f & 15)
+                g = alpha[(v >> (f & 15)) & am]
+                p += (f & 15) + (g & 15)
                 add((g & -16) << 20 | (e & -16) << 12 | s << 8 | f >> 4)
                 i += 1
             elif s < 256 + LENGTHS:
@@ -390,8 +409,13 @@ class _Writer:
         place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
         return np.packbits(((np.repeat(values, sizes) >> place) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Write a prefix code; (codes, lengths as used)."""
+    def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """Write a prefix code; (codes, lengths as used, what was written, to write the same again)."""
+        before = len(self.values)
+        codes, lengths = self._code(counts)
+        return codes, lengths, list(zip(self.values[before:], self.sizes[before:], strict=True))
+
+    def _code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         used = np.flatnonzero(counts)
         if len(used) <= 2 and (not len(used) or used[-1] < 256):
             a = int(used[0]) if len(used) else 0
@@ -400,26 +424,28 @@ class _Writer:
             lengths = np.zeros(len(counts), np.int64)
             lengths[used] = int(len(used) == 2)
             return _reversed_codes(lengths), lengths
-        lengths = code_lengths(counts, 15)
-        tokens: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
-        cut = np.flatnonzero(np.diff(lengths)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(lengths)], strict=True):
-            size, n = int(lengths[a]), b - a
-            while n:
-                if size or n < 3:
-                    tokens.append((size, 0, 0))
-                    n -= 1
-                else:
-                    k = min(n, 138)
-                    tokens.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
-                    n -= k
-        first = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
+        lengths = code_lengths(counts, LONGEST)
+        # Runs of three zeros and more are written as such, all else symbol by symbol.
+        zero = np.concatenate([[False], lengths == 0, [False]])
+        edges = np.flatnonzero(zero[1:] != zero[:-1]).tolist()
+        symbols, extra, wide, at, plain = [], [], [], 0, lengths.tolist()
+        for a, b in zip(edges[::2], edges[1::2], strict=True):
+            while b - a >= 3:
+                n = min(b - a, 138)
+                symbols += [*plain[at:a], 18 if n > 10 else 17]
+                extra += [0] * (a - at) + [n - 11 if n > 10 else n - 3]
+                wide += [0] * (a - at) + [7 if n > 10 else 3]
+                at = a = a + n
+        symbols += plain[at:]
+        extra += [0] * (len(plain) - at)
+        wide += [0] * (len(plain) - at)
+        first = code_lengths(np.bincount(symbols, minlength=19), 7)
         shown = max(k for k, s in enumerate(LENGTH_ORDER) if first[s] or k < 4) + 1
         self.bits((0, 1), (shown - 4, 4), *[(int(first[s]), 3) for s in LENGTH_ORDER[:shown]], (0, 1))
         codes = _reversed_codes(first)
         if np.count_nonzero(first) < 2:
             first = np.zeros(19, np.int64)
-        self.bits(*[pair for s, extra, n in tokens for pair in ((int(codes[s]), int(first[s])), (extra, n))])
+        self.many(np.stack([codes[symbols], extra], 1).ravel(), np.stack([first[symbols], wide], 1).ravel())
         return _reversed_codes(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros(len(lengths), np.int64)
 
     def image(self, pixels: np.ndarray, width: int, top: bool) -> None:
@@ -450,15 +476,24 @@ class _Writer:
         self.bits(*([(1, 1), (cache, 4)] if cache else [(0, 1)]), *([(0, 1)] if top else []))
         fields, sizes = np.zeros((len(at), 5), np.int64), np.zeros((len(at), 5), np.int64)
 
-        def put(column: int, rows: np.ndarray, symbols: np.ndarray, n: int) -> None:
-            codes, lengths = self.code(np.bincount(symbols, minlength=n))
+        def put(column: int, rows: np.ndarray, symbols: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
             fields[rows, column], sizes[rows, column] = codes[symbols], lengths[symbols]
 
-        put(0, np.ones(len(at), bool), symbol, 256 + LENGTHS + (1 << cache if cache else 0))
-        put(1, lit, red[lit], 256)
-        put(2, lit, blue[lit], 256)
-        put(3, lit, alpha[lit], 256)
-        put(2, ref, far[0], 40)
+        put(0, np.ones(len(at), bool), symbol, *self.code(np.bincount(symbol, minlength=256 + LENGTHS + (1 << cache if cache else 0)))[:2])
+        channels = red[lit], blue[lit], alpha[lit]
+        counts = [np.bincount(c, minlength=256) for c in channels]
+        apart = sum(map(_bits_of, counts))
+        if _bits_of(together := sum(counts)) - apart < 600:  # one code for three channels costs little here, and is made once
+            codes, lengths, again = self.code(together)
+            for _ in range(2):
+                for values, widths in again:
+                    self.many(values, widths)
+            for k, c in enumerate(channels):
+                put(k + 1, lit, c, codes, lengths)
+        else:
+            for k, c in enumerate(channels):
+                put(k + 1, lit, c, *self.code(counts[k])[:2])
+        put(2, ref, far[0], *self.code(np.bincount(far[0], minlength=40))[:2])
         fields[ref, 1], sizes[ref, 1] = runs[2], runs[1]
         fields[ref, 3], sizes[ref, 3] = far[2], far[1]
         self.many(fields.ravel(), sizes.ravel())
@@ -484,14 +519,17 @@ def _matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     before = np.full(n, -1, np.int64)
     before[order[same + 1]] = order[same]
     out, free = [], 0
-    raw = pixels.tobytes()
     for at in np.flatnonzero(before >= 0).tolist():
         if at < free:
             continue
         start = int(before[at])
-        size = 0
-        while size < 4096 and at + size < len(pixels) and raw[4 * (start + size) : 4 * (start + size) + 4] == raw[4 * (at + size) : 4 * (at + size) + 4]:
-            size += 1
+        room, size = min(4096, len(pixels) - at), 0
+        while size < room:
+            part = min(64, room - size)
+            differ = np.flatnonzero(pixels[start + size : start + size + part] != pixels[at + size : at + size + part])
+            size += int(differ[0]) if len(differ) else part
+            if len(differ):
+                break
         if size >= 3:
             out.append((at, size, at - start))
             free = at + size
@@ -507,15 +545,22 @@ def _recur(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hits, keys
 
 
-def _entropy(symbols: np.ndarray) -> float:
-    """Bits to write them, roughly."""
-    counts = np.bincount(symbols, minlength=256)
+def _bits_of(counts: np.ndarray) -> float:
+    """Bits to write symbols of these counts and their code, roughly."""
     counts = counts[counts > 0]
     return float((counts * np.log2(counts.sum() / counts)).sum()) + 4 * len(counts)
 
 
+def _entropy(symbols: np.ndarray) -> float:
+    return _bits_of(np.bincount(symbols, minlength=256))
+
+
 def _cost(channels: np.ndarray) -> float:
-    return sum(_entropy(np.ascontiguousarray(channels[..., k]).ravel()) for k in range(4))
+    """The same for each of four channels together."""
+    counts = np.bincount((channels.reshape(-1, 4) + np.arange(0, 1024, 256)).ravel(), minlength=1024)
+    counts = counts[counts > 0]
+    n = channels.size // 4
+    return 4 * n * float(np.log2(n)) - float((counts * np.log2(counts)).sum()) + 4 * len(counts)
 
 
 def encode(samples: np.ndarray) -> bytes:
@@ -545,7 +590,7 @@ def encode(samples: np.ndarray) -> bytes:
     plain = now.copy()
     for mode in (1, 2) if height > 1 else (1,):
         rest = plain.copy()
-        rest[0, 0, 3] -= np.uint8(255)
+        rest[0, 0, 3] = (int(rest[0, 0, 3]) + 1) & 255
         rest[0, 1:] -= plain[0, :-1]
         rest[1:, 0] -= plain[:-1, 0]
         rest[1:, 1:] -= plain[1:, :-1] if mode == 1 else plain[:-1, 1:]
