@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.shared import few
+
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int) -> DataFrame:
     """(node, label): label is the smallest node that the node reaches. Only nodes with a link are listed.
 
-    links has long columns a and b. Each step is a grouping with map-side sums and a join back; state is cut by checkpoint().
+    links has long columns a and b and about `rows` rows, by which the work is dealt out. Each step is a grouping with
+    map-side sums and a join back; state is cut by checkpoint().
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    edges = few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), rows).checkpoint()
     before = _print(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
+        edges = few(both.join(least, "u"), 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = few(edges, rows)
+        least = few(edges.groupBy("u").agg(F.min("v").alias("m")), rows)
+        edges = few(edges.join(least, "u"), rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = few(edges.distinct(), rows).checkpoint()
         now = _print(edges)
         if now == before:
             break
         before = now
-    labels = edges.groupBy("u").agg(F.min("v").alias("label"))
-    return labels.union(labels.select("label", "label").distinct()).select(F.col("u").alias("node"), "label")
+    labels = few(edges.groupBy("u").agg(F.min("v").alias("label")), rows)
+    return labels.union(few(labels.select("label", "label").distinct(), rows)).select(F.col("u").alias("node"), "label")

@@ -4,7 +4,7 @@
 2. Texts with equal shingle sets become one node, named by their smallest doc_id.
 3. Nodes that share a band key are candidates. A bucket is not expanded into its pairs: in each round a few pivots of
    it meet the members that are not yet in their component, and leave the bucket. Members already connected need no
-   comparison, so a bucket of thousands of near copies ends after a round or two. Each round doubles the pivots, and
+   comparison, so a bucket of thousands of near copies ends after a round or two. The first round takes an eighth of the buckets, each later one has 16 times the pivots, and
    rounds go on until no bucket holds two components, so no candidate pair that could change a component is left out.
 4. A candidate pair is pruned by its signatures, compared `BATCH` values at a time: it goes as soon as the posterior
    probability of a similarity at or above the threshold falls under `MISS`.
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
-from tessera.shared import discard, materialise
+from tessera.shared import discard, few, materialise
 
 BANDS, ROWS = 40, 6  # a pair at similarity 0.8 shares no band with probability 5e-6
 HASHES = BANDS * ROWS
 BATCH, MISS = 40, 1e-7
+FIRST_SHARE = 8  # the first round takes one bucket in so many: it connects most of each group, and the other buckets then need no comparison
 _SEEDS = np.random.Generator(np.random.PCG64(20011)).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
 _PACKED = 5  # bytes of a shingle's hash that the exact check compares
 
@@ -66,16 +67,14 @@ def _signed(words: int):
                 some = [i for i, s in enumerate(sets) if len(s)]
                 signed = np.array([signature(sets[i]) for i in some], np.uint32).reshape(-1, HASHES)
                 keys, at_row = band_keys(signed), {i: k for k, i in enumerate(some)}
-                small = signed.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[at : at + 1000],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([small[at_row[i]].tobytes() if i in at_row else None for i in range(len(sets))], pa.binary()),
                         pa.array([keys[at_row[i]] if i in at_row else None for i in range(len(sets))], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "sig", "bands"],
+                    ["doc_id", "n_shingles", "digest", "bands"],
                 )
 
     return of
@@ -118,8 +117,12 @@ def _packed(words: int):
         for batch in batches:
             ids, texts = batch.columns
             for at in range(0, len(ids), 500):
-                sets = [s.view(np.uint8).reshape(-1, 8)[:, :_PACKED].tobytes() for s in shingle_sets((t.as_py() for t in texts[at : at + 500]), words)]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 500], pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = list(shingle_sets((t.as_py() for t in texts[at : at + 500]), words))
+                some = [i for i, s in enumerate(sets) if len(s)]
+                sets = [sets[i] for i in some]
+                packed = [s.view(np.uint8).reshape(-1, 8)[:, :_PACKED].tobytes() for s in sets]
+                small = [signature(s).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids[at : at + 500].take(pa.array(some, pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(small, pa.binary()), pa.array(packed, pa.binary())], ["node", "n_shingles", "sig", "shingles"])
 
     return of
 
@@ -145,46 +148,53 @@ def _confirmed(percent: int):
     return of
 
 
+def _unsettled(active: DataFrame, rows: int) -> DataFrame:
+    """Keys of buckets that still hold two components."""
+    return few(active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")), rows).where("low <> high").select("key")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(docs.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>"), "signed")
+    signed = materialise(docs.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     nodes = materialise(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")]), "nodes"
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes"
     )
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     active = materialise(buckets.join(full, "key").select("key", "node", F.col("node").alias("label")).distinct(), "active")
-    sets = materialise(docs.join(active.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_packed(words), "node long, shingles binary"), "sets")
-    signs = nodes.select("node", "n_shingles", "sig")
-
-    links, tested, labels, pivots = None, None, None, 1
-    while True:
-        open_keys = active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = active.join(open_keys, "key", "left_semi")
-        front = left.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "label"), "node").alias("p"))
-        front = front.select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        met = left.join(front, "key").where("node <> pivot and label <> pivot_label")
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    involved = active.select(F.col("node").alias("doc_id")).distinct()
+    sets = materialise(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_packed(words), "node long, n_shingles long, sig binary, shingles binary"), "sets")
+    n_active, n_sets = active.count(), 20 * sets.count()  # a set is some twenty times the size of a bucket's row
+
+    links, tested, labels, n_links, pivots, share = None, None, None, 0, 1, FIRST_SHARE
+    while n_active:
+        left = few(active.join(_unsettled(active, n_active), "key", "left_semi"), n_active)
+        now = left.where(F.pmod("key", F.lit(share)) == 0)
+        front = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "label"), "node").alias("p"))
+        front = few(front, n_active).select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        met = few(now.join(front, "key"), n_active).where("node <> pivot and label <> pivot_label")
+        pairs = few(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), n_active)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = few(pairs.join(tested, ["a", "b"], "left_anti"), n_active)
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        of = lambda end: signs.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}"))
-        near = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(percent), "a long, b long").distinct()
-        whole = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
-        sure = near.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
-        sure = materialise(sure, "links")
-        links = sure if links is None else links.union(sure)
-        labels = materialise(components(links), "labels")
-        rest = left.join(front.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").drop("label")
-        rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        rest = materialise(rest, "active")
+        with_signs, with_sets = (lambda end, c=c: sets.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in c]) for c in (("n_shingles", "sig"), ("shingles",)))
+        near = few(few(pairs.join(with_signs("a"), "a"), n_sets).join(with_signs("b"), "b"), n_sets).where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
+        near = few(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(percent), "a long, b long").distinct(), n_active)
+        sure = few(few(near.join(with_sets("b"), "b"), n_sets).join(with_sets("a"), "a"), n_sets)
+        sure = materialise(sure.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+        if new := sure.count():
+            links, n_links = sure if links is None else links.union(sure), n_links + new
+            labels = materialise(components(links, n_links), "labels")
+        rest = few(left.join(front.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), n_active)
+        if labels is not None:
+            rest = few(rest.drop("label").join(labels, "node", "left"), n_active).select("key", "node", F.coalesce("label", "node").alias("label"))
+        rest = materialise(few(rest.join(_unsettled(rest, n_active), "key", "left_semi"), n_active), "active")
         discard(active)
-        active, pivots = rest, pivots * 2
-        if not active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").limit(1).count():
-            break
+        active, n_active, pivots, share = rest, rest.count(), pivots if share > 1 else 16 * pivots, 1
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     of_set = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_set, "digest", "left")
     component = F.coalesce("component", "doc_id")
