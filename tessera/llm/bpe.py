@@ -7,7 +7,7 @@ Compatibility depends on two tokens only and is memoised. The result is what app
 linear in the piece. A piece that is an entry itself is that entry, as tiktoken has it.
 
 Defined cases: a null text encodes as an empty one, to no tokens; equal rows get equal results; an empty table gives an
-empty result; unpaired surrogates do not occur in Spark strings; other columns pass through.
+empty result; other columns pass through, but those named n_tokens, ids and decoded are replaced.
 """
 
 from __future__ import annotations
@@ -134,7 +134,7 @@ def encode_text(text: str | None, path: str, pattern: str) -> bytes:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", drop_text: bool = True) -> DataFrame:
     """docs with its text encoded: ids (little-endian 32-bit integers, binary) and n_tokens; path must be readable on every executor."""
     columns = docs.columns
-    names, at = [c for c in columns if not (drop_text and c == text)], columns.index(text)
+    names, at = [c for c in columns if not (drop_text and c == text) and c not in ("n_tokens", "ids")], columns.index(text)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", drop_te
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """encoded with column decoded, the bytes that its ids stand for."""
+    encoded = encoded.drop("decoded")
     names, at = encoded.columns, encoded.columns.index("ids")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
