@@ -36,6 +36,14 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of codes[start:end] for each pair; equal stretches of codes have equal hashes wherever they stand."""
+    up, down = _POWERS.upto(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts in order, and where each text's words begin (one more entry at the end)."""
     joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
@@ -43,10 +51,7 @@ def _hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate([[False], _IS_WORD[joined], [False]])
     edges = np.flatnonzero(word[1:] != word[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = _POWERS.upto(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((_LOWER[joined].astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = range_hashes(_LOWER[joined].astype(np.uint64) + np.uint64(1), starts, ends)
     bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
     return hashes, bounds
 

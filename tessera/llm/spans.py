@@ -1,65 +1,109 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into units: sentences (ended by . ! ? or a line break), long ones cut again every `UNIT` words from
-their start. Every run of `RUN` consecutive units with at least `LEAST` words is hashed; the hashes are counted over all
-texts, with sums on the map side; of a run found more than once, the first place (smallest doc_id, then position) stays, and
-every unit that any other place covers is removed. Any passage that holds RUN whole units is found wherever it starts.
-
-Defined cases: null and empty texts have no units and come back empty; texts with fewer than RUN units have no run and stay
-as they are; equal rows under one doc_id count as one place; rows without a doc_id are compared as if after all others and
-share one place; an empty table gives an empty result; other columns are not read.
+A text is cut into units: sentences (ended by . ! ? or a line break), cut again after words chosen by their own hash, one in
+`CUT`. As the words decide, a passage is cut alike wherever it stands, also in the middle of another sentence. From every
+unit the shortest run of at least `RUN` units and `LEAST` words is hashed; the hashes are counted over all texts, with sums
+on the map side; of a run found more than once, the first place (smallest doc_id, then position) stays, and every unit that
+any other place covers is removed.
+
+Defined cases: null and empty texts have no units and come back empty; texts with fewer than RUN units or LEAST words have no
+run and stay as they are; equal rows under one doc_id count as one place; rows without a doc_id are compared as if after all
+others and share one place; case and the kind of white space don't count; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shingles import range_hashes
 from tessera.shared import materialise
 
-RUN, UNIT, LEAST = 3, 10, 12
-#: A unit: up to UNIT words, ended early by a sentence end or a line break; with the white space after it.
-PIECE = rf"[^\S\n]*(?:[^\s]*[^\s.!?](?:[^\S\n]+|(?=\n|$))){{0,{UNIT - 1}}}(?:[^\s]+[^\S\n]*\n*|\n+)"
+RUN, LEAST, CUT = 3, 16, 6
+MEMO = 400_000
+LAST = 2**63 - 1
+_UNITS = 32  # more than the units of a run, as each has a word at least and a run ends once it has LEAST words and RUN units
+_TOKEN = re.compile(r"\s*\S+\s*|\s+")
+
+
+class _Codes(dict):
+    """A word with the white space around it -> the hash of its lower-cased form, whose lowest bit tells whether a unit ends there."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        bare = token.strip().lower()
+        code = int.from_bytes(blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        ends = code % CUT == 0 or bare.endswith((".", "!", "?")) or "\n" in token
+        self[token] = found = code << 1 | ends
+        return found
+
+
+_CODES = _Codes()
+
+
+def cut(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words with their white space, their hashes, where units begin and, last, where the text ends)."""
+    tokens = _TOKEN.findall(text or "")
+    codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
+    bounds = np.flatnonzero(codes & np.uint64(1)) + 1
+    last = [] if len(bounds) and bounds[-1] == len(tokens) or not tokens else [len(tokens)]
+    return tokens, codes >> np.uint64(1), np.concatenate([[0], bounds, last]).astype(np.int64)
+
+
+def runs_of(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the run from each unit that has one; a place is the unit times `_UNITS` plus the run's units."""
+    n = len(bounds) - 1
+    first = np.arange(max(0, n - RUN + 1))
+    last = np.maximum(first + RUN, np.searchsorted(bounds, bounds[first] + LEAST))
+    first, last = first[last <= n], last[last <= n]
+    return range_hashes(codes, bounds[first], bounds[last]).view(np.int64), first * _UNITS + (last - first)
 
 
-def units_of(text: Column) -> Column:
-    """The units of a text, which joined give the text again."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), 0)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in range(0, len(batch), 200):
+            ids, texts = (c[part : part + 200] for c in batch.columns)
+            found = [runs_of(*cut(t.as_py())[1:]) for t in texts]
+            of = np.repeat(ids.to_numpy(zero_copy_only=False), [len(h) for h, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(of), pa.array(np.concatenate([p for _, p in found]))], ["h", "d", "place"])
 
 
-def _runs(units: Column) -> Column:
-    """Per start: hash of the run that begins there, null if it is too short. Case and white space at the ends of units don't count."""
-    words = F.transform(units, lambda u: F.size(F.split(F.trim(u), r"\s+")))
-    hashes = F.transform(units, lambda u: F.xxhash64(F.regexp_replace(F.lower(F.trim(u)), r"\s+", " ")))
-    both = F.arrays_zip(words.alias("n"), hashes.alias("h"))
-    placed = F.transform(F.array(both), lambda a: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(a) - (RUN - 1), F.lit(1))),
-        lambda i: F.when(F.aggregate(F.slice(a, i, F.lit(RUN)), F.lit(0), lambda s, x: s + x["n"]) >= LEAST, F.xxhash64(F.transform(F.slice(a, i, F.lit(RUN)), lambda x: x["h"])))))
-    return F.when(F.size(units) >= RUN, F.element_at(placed, 1))
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in range(0, len(batch), 200):
+            ids, texts, places = (c[part : part + 200] for c in batch.columns)
+            out = []
+            for text, covers in zip(texts.to_pylist(), places.to_pylist(), strict=True):
+                tokens, _, bounds = cut(text)
+                gone = np.zeros(len(bounds), np.int64)
+                if covers:
+                    first, size = np.divmod(np.array(covers, np.int64), _UNITS)
+                    inside = first + size < len(bounds)  # rows under one doc_id may differ in length
+                    np.add.at(gone, first[inside], 1)
+                    np.add.at(gone, (first + size)[inside], -1)
+                gone = np.cumsum(gone)[:-1] > 0
+                kept = "".join("".join(tokens[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(~gone)) if gone.any() else text or ""
+                out.append((len(gone), int(gone.sum()), kept))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_units", "n_removed", "text"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_units, n_removed, and text without the units that a repeated run covers."""
-    last = 2**63 - 1
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    cut = docs.select(F.coalesce("doc_id", F.lit(last)).alias("d"), units_of(F.col("text")).alias("units"))
-    found = cut.select("d", _runs(F.col("units")).alias("runs"))
-    runs = found.select("d", F.posexplode("runs").alias("p", "h")).where("h is not null")
-    place = F.struct("d", "p")
-    repeated = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", F.col("first.d").alias("d0"), F.col("first.p").alias("p0"))
-    later = runs.join(repeated, "h").where("d <> d0 or p <> p0").select("d", "p")
-    starts = materialise(later.groupBy("d").agg(F.collect_set("p").alias("starts")), "repeats")  # at most a text's own units
-
-    units = docs.withColumn("units", units_of(F.col("text"))).withColumn("d", F.coalesce("doc_id", F.lit(last)))
-    marked = units.join(starts, "d", "left")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (RUN - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("units") - 1), covered)
-    rest = F.transform(kept, lambda i: F.get("units", i))
-    n = F.size("units").cast("long")
-    out = marked.withColumn("kept", F.when(F.col("starts").isNotNull(), rest))
-    return out.select(
-        "doc_id",
-        n.alias("n_units"),
-        F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept")).cast("long").alias("n_removed"),
-        F.when(F.col("kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("kept", "")).alias("text"),
-    )
+    runs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").mapInArrow(_runs, "h long, d long, place long")
+    repeated = materialise(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
+    found = materialise(runs.join(repeated, "h", "left_semi"), "places")
+    first = found.groupBy("h").agg(F.min(F.struct("d", "place")).alias("first"))
+    later = found.join(first, "h").where("d <> first.d or place <> first.place")
+    places = materialise(later.groupBy("d").agg(F.collect_set("place").alias("places")), "repeats")  # at most a text's own units
+    marked = docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(places, "d", "left")
+    return marked.select("doc_id", "text", "places").mapInArrow(_without, "doc_id long, n_units long, n_removed long, text string")

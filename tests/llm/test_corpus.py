@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -79,23 +81,31 @@ def test_components(spark):
 
 
 def brute_spans(rows):
+    """doc_id -> (units, units removed, text left), by tuples of words."""
     first, units = {}, {}
     for d, t in sorted(rows):
-        u = re.findall(spans.PIECE, t or "")
-        assert "".join(u) == (t or "")
-        norm = [re.sub(r"\s+", " ", x.strip().lower()) for x in u]
+        u, at, words = [], "", []
+        for token in re.findall(r"\s*\S+\s*|\s+", t or ""):
+            at, words = at + token, [*words, token.strip().lower()]
+            code = int.from_bytes(hashlib.blake2b(words[-1].encode(), digest_size=8).digest(), "little") >> 1
+            if "\n" in token or words[-1][-1:] in {".", "!", "?"} or code % spans.CUT == 0:
+                u.append((at, words))
+                at, words = "", []
+        u += [(at, words)] if words else []
         runs = {}
-        for i in range(len(u) - spans.RUN + 1):
-            part = norm[i : i + spans.RUN]
-            if sum(len(re.split(r"\s+", x)) for x in part) >= spans.LEAST:
-                runs[i] = tuple(part)
+        for i in range(len(u)):
+            for j in range(i + spans.RUN, len(u) + 1):
+                run = [w for _, words in u[i:j] for w in words]
+                if len(run) >= spans.LEAST:
+                    runs[i, j] = tuple(run)
+                    break
         units[d] = u, runs
-        for i, run in runs.items():
+        for (i, _), run in sorted(runs.items()):
             first.setdefault(run, (d, i))
     out = {}
     for d, (u, runs) in units.items():
-        gone = {i + k for i, run in runs.items() if first[run] != (d, i) for k in range(spans.RUN)}
-        out[d] = len(u), len(gone), "".join(x for i, x in enumerate(u) if i not in gone)
+        gone = {k for (i, j), run in runs.items() if first[run] != (d, i) for k in range(i, j)}
+        out[d] = len(u), len(gone), "".join(x for i, (x, _) in enumerate(u) if i not in gone)
     return out
 
 
@@ -106,15 +116,29 @@ def test_repeated_spans(spark, sf_dir):
 
 
 def test_repeated_span_edges(spark):
-    passage = "One sentence of several words stands here. Another one follows it with more words. The third one closes the passage for good."
-    rows = [(1, f"Head of one. {passage} Tail of one."), (2, f"Start two and then {passage} End two."), (3, passage), (4, None), (5, ""), (6, "short."), (7, "a b c d e f. " * 3000), (8, f"{passage}\n{passage}")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("starts", F.lit("mine")).withColumn("units", F.lit("mine"))
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(docs).collect()}
+    passage = "One sentence of several words stands here. Another one follows it with more words. The third one closes the passage for good and all of its readers."
+    rows = [(1, f"Head of one. {passage} Tail of one."), (2, f"Start two and then {passage} End two."), (3, passage), (4, None), (5, ""), (6, "short."), (7, "a b c d e f. " * 3000), (8, f"{passage}\n{passage}"), (9, " \n\t"), (10, "\n\n" + passage.upper().replace(" ", "  "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("starts", F.lit("mine")).withColumn("places", F.lit("mine"))
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(docs.unionByName(docs.where("doc_id = 4"))).collect()}
     assert got == brute_spans(rows)
-    assert "Another one" in got[1][2] and "Another one" not in got[2][2] and got[3][2] == "" and got[6][1] == 0
+    assert "Another one" in got[1][2] and "Another one" not in got[2][2] and got[3][2] == "" and got[6][1] == 0 and got[10][2] == ""
+    nameless = spark.createDataFrame([(None, passage), (5, passage), (None, "other")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in spans.remove_repeats(nameless).collect()) == [(0, ""), (0, "other"), (5, passage)]
     assert spans.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_repeated_passages_are_found_inside_sentences():
+    """A passage of 55 words without a sentence end, at any offset within other sentences."""
+    word = random.Random(4)
+    make = lambda n: ["".join(word.choices("abcdefghij", k=6)) for _ in range(n)]
+    caught = []
+    for k in range(200):
+        passage = make(55)
+        places = [{h for h in spans.runs_of(*spans.cut(" ".join([*make(n), *passage, *make(9)]))[1:])[0].tolist()} for n in (3, 3 + k % 20)]
+        caught.append(bool(places[0] & places[1]))
+    assert sum(caught) >= 195
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from tessera.llm import quality, secrets
@@ -132,8 +156,6 @@ def test_pipeline(spark, sf_dir):
     assert set(seen["near_duplicates"]) == {i for i, (_, c) in groups.items() if i == c}
     assert all(not secrets.find_spans(r["text"]) for r in seen["secrets"].values())
     assert set(seen["secrets"]) == set(seen["near_duplicates"]) and set(seen["mixing"]) <= set(seen["secrets"])
-    import hashlib
-
     assert {i: r["decoded_sha256"] for i, r in seen["tokens"].items()} == {i: hashlib.sha256(r["text"].encode()).hexdigest() for i, r in seen["mixing"].items()}
     run = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in run.collect()} == set(seen["tokens"])
