@@ -102,7 +102,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     runs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").mapInArrow(_runs, "h long, d long, place long")
     repeated = materialise(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
     found = materialise(runs.join(repeated, "h", "left_semi"), "places")
-    first = found.groupBy("h").agg(F.min(F.struct("d", "place")).alias("first"))
+    # Written, so that the join below it reads plain shuffles and AQE can split a run that very many texts hold.
+    first = materialise(found.groupBy("h").agg(F.min(F.struct("d", "place")).alias("first")), "first")
     later = found.join(first, "h").where("d <> first.d or place <> first.place")
     places = materialise(later.groupBy("d").agg(F.collect_set("place").alias("places")), "repeats")  # at most a text's own units
     marked = docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(places, "d", "left")
