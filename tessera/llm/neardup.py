@@ -4,8 +4,11 @@
 2. Texts with equal shingle sets become one node, named by their smallest doc_id.
 3. Nodes that share a band key are candidates. A bucket is not expanded into its pairs: in each round a few pivots of
    it meet the members that are not yet in their component, and leave the bucket. Members already connected need no
-   comparison, so a bucket of thousands of near copies ends after a round or two. The first round takes an eighth of the buckets, each later one has 16 times the pivots, and
-   rounds go on until no bucket holds two components, so no candidate pair that could change a component is left out.
+   comparison. The first round takes an eighth of the buckets, the second all that still hold two components.
+   Texts that are left then (crowds of texts a little under the threshold) change to exact buckets: the prefixes of their
+   shingle sets, rarest shingles first. Two sets at the threshold share a shingle of their prefixes, and the first one that they
+   share leaves enough on both sides for the overlap; other pairs are not formed. Each later round has 16 times the pivots, until no
+   bucket holds two components, so no candidate pair that could change a component is left out.
 4. A candidate pair is pruned by its signatures, compared `BATCH` values at a time: it goes as soon as the posterior
    probability of a similarity at or above the threshold falls under `MISS`.
 5. Pairs that are left are verified exactly on their full shingle sets.
@@ -36,6 +39,7 @@ BATCH, MISS = 40, 1e-7
 FIRST_SHARE = 8  # the first round takes one bucket in so many: it connects most of each group, and the other buckets then need no comparison
 _SEEDS = np.random.Generator(np.random.PCG64(20011)).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
 _PACKED = 5  # bytes of a shingle's hash that the exact check compares
+SKETCH = 2**20  # counters by which shingles are put in order of rarity; any order gives the same links
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -122,7 +126,7 @@ def _packed(words: int):
                 sets = [sets[i] for i in some]
                 packed = [s.view(np.uint8).reshape(-1, 8)[:, :_PACKED].tobytes() for s in sets]
                 small = [signature(s).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 500].take(pa.array(some, pa.int64())), pa.array(map(len, sets), pa.int64()), pa.array(small, pa.binary()), pa.array(packed, pa.binary())], ["node", "n_shingles", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids[at : at + 500].take(pa.array(some, pa.int64())), pa.array(small, pa.binary()), pa.array(packed, pa.binary())], ["node", "sig", "shingles"])
 
     return of
 
@@ -133,6 +137,44 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            sets = [_unpacked(s.as_py()) & np.uint64(SKETCH - 1) for s in batch.column(0)[at : at + 500]]
+            counts += np.bincount(np.concatenate(sets).astype(np.int64), minlength=SKETCH)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
+
+
+def _prefixed(counts, percent: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                nodes, labels, packed = (c[at : at + 500] for c in batch.columns)
+                keys, sizes = [], []
+                for s in packed:
+                    x = _unpacked(s.as_py())
+                    rarest = np.lexsort((x, counts.value[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                    keys.append(x[rarest[: len(x) + 1 - -(-percent * len(x) // 100)]])
+                    sizes.append(len(x))
+                each = [len(k) for k in keys]
+                row = np.repeat(np.arange(len(each)), each)
+                place = np.concatenate([np.arange(n) for n in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), nodes.take(pa.array(row)), labels.take(pa.array(row)), pa.array(np.array(sizes)[row]), pa.array(place)], ["key", "node", "label", "n", "place"])
+
+    return of
+
+
+def _prefix_buckets(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Buckets by prefix shingle of the nodes of `left` (node, label)."""
+    sets = materialise(left.join(sets, "node").select("node", "label", "shingles"), "left")
+    found = sets.select("shingles").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    counts = np.zeros(SKETCH, np.int64)
+    counts[found["id"].to_numpy()] = found["n"].to_numpy()
+    return sets.mapInArrow(_prefixed(sets.sparkSession.sparkContext.broadcast(counts), percent), "key long, node long, label long, n long, place long")
+
+
 def _confirmed(percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,29 +200,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialise(docs.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     nodes = materialise(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes"
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes"
     )
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    active = materialise(buckets.join(full, "key").select("key", "node", F.col("node").alias("label")).distinct(), "active")
+    active = materialise(buckets.join(full, "key").select("key", "node", F.col("node").alias("label"), "n", F.lit(0).cast("long").alias("place")).distinct(), "active")
     involved = active.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialise(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_packed(words), "node long, n_shingles long, sig binary, shingles binary"), "sets")
+    sets = materialise(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_packed(words), "node long, sig binary, shingles binary"), "sets")
     n_active, n_sets = active.count(), 20 * sets.count()  # a set is some twenty times the size of a bucket's row
 
-    links, tested, labels, n_links, pivots, share = None, None, None, 0, 1, FIRST_SHARE
+    links, tested, labels, n_links, pivots, share, exact = None, None, None, 0, 1, FIRST_SHARE, False
+    overlap = f"{100 + percent} * least(n - place, pivot_n - pivot_place) >= {percent} * (n + pivot_n)"  # at place 0: sizes alike enough
     while n_active:
         left = few(active.join(_unsettled(active, n_active), "key", "left_semi"), n_active)
         now = left.where(F.pmod("key", F.lit(share)) == 0)
-        front = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "label"), "node").alias("p"))
-        front = few(front, n_active).select("key", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        met = few(now.join(front, "key"), n_active).where("node <> pivot and label <> pivot_label")
+        front = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("part")).agg(F.min_by(F.struct("node", "label", "n", "place"), "node").alias("p"))
+        front = few(front, n_active).select("key", F.col("p.node").alias("pivot"), *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("label", "n", "place")])
+        met = few(now.join(front, "key"), n_active).where("node <> pivot and label <> pivot_label").where(overlap)
         pairs = few(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), n_active)
         if tested is not None:
             pairs = few(pairs.join(tested, ["a", "b"], "left_anti"), n_active)
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        with_signs, with_sets = (lambda end, c=c: sets.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in c]) for c in (("n_shingles", "sig"), ("shingles",)))
-        near = few(few(pairs.join(with_signs("a"), "a"), n_sets).join(with_signs("b"), "b"), n_sets).where(f"100 * least(n_shingles_a, n_shingles_b) >= {percent} * greatest(n_shingles_a, n_shingles_b)")
+        with_signs, with_sets = (lambda end, c=c: sets.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in c]) for c in (("sig",), ("shingles",)))
+        near = few(few(pairs.join(with_signs("a"), "a"), n_sets).join(with_signs("b"), "b"), n_sets)
         near = few(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(percent), "a long, b long").distinct(), n_active)
         sure = few(few(near.join(with_sets("b"), "b"), n_sets).join(with_sets("a"), "a"), n_sets)
         sure = materialise(sure.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
@@ -189,10 +232,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             labels = materialise(components(links, n_links), "labels")
         rest = few(left.join(front.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), n_active)
         if labels is not None:
-            rest = few(rest.drop("label").join(labels, "node", "left"), n_active).select("key", "node", F.coalesce("label", "node").alias("label"))
+            rest = few(rest.drop("label").join(labels, "node", "left"), n_active).select("key", "node", F.coalesce("label", "node").alias("label"), "n", "place")
         rest = materialise(few(rest.join(_unsettled(rest, n_active), "key", "left_semi"), n_active), "active")
         discard(active)
-        active, n_active, pivots, share = rest, rest.count(), pivots if share > 1 else 16 * pivots, 1
+        active, n_active = rest, rest.count()
+        if share > 1:
+            share = 1
+        elif not exact and n_active:
+            exact = True
+            active = materialise(_prefix_buckets(sets, active.select("node", "label").distinct(), percent), "active")
+            n_active = active.count()
+        else:
+            pivots *= 16
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     of_set = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
