@@ -82,5 +82,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_webp, op2_near_duplicates, op3_toxicity, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, pipeline)}
 
 
+#: The other queries rest on hashes, models or codecs that SQL lacks; tests hold those against brute force.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": WARC_SQL}

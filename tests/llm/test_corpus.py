@@ -159,3 +159,12 @@ def test_pipeline(spark, sf_dir):
     assert {i: r["decoded_sha256"] for i, r in seen["tokens"].items()} == {i: hashlib.sha256(r["text"].encode()).hexdigest() for i, r in seen["mixing"].items()}
     run = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in run.collect()} == set(seen["tokens"])
+
+
+def test_same_rows_as_sql(spark, sf_dir):
+    from tessera.llm import registry
+    from tests.oracle import compare, duck
+
+    db = duck(sf_dir)
+    for name, sql in registry.oracle_sql().items():
+        assert compare(registry.queries()[name](spark, sf_dir), db, sql) is None
