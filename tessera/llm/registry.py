@@ -42,7 +42,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.remove_repeats(_table(spark, sf_dir, "documents"))
+    return spans.remove_repeats(_table(spark, sf_dir, "documents"), windows=True)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

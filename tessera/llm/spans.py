@@ -6,8 +6,12 @@ unit the shortest run of at least `RUN` units and `LEAST` words is hashed; the h
 on the map side; of a run found more than once, the first place (smallest doc_id, then position) stays, and every unit that
 any other place covers is removed.
 
+Nothing bounds the gap between cuts, so `WINDOW` words may hold no run that begins after one of their own cuts and ends before
+their last word. With `windows` every such stretch is hashed as it stands and counted with the runs, and its later places lose
+just its words: whatever stands between two cuts, a passage of `WINDOW` words that comes again, with the same line breaks, is found.
+
 Defined cases: null and empty texts have no units and come back empty; texts with fewer than RUN units or LEAST words have no
-run and stay as they are; equal rows under one doc_id count as one place; rows without a doc_id are compared as if after all
+run and stay as they are; a unit of which some words are removed counts as removed; equal rows under one doc_id count as one place; rows without a doc_id are compared as if after all
 others and share one place; case and the kind of white space don't count; an empty table gives an empty result; other
 columns are not read.
 """
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,10 @@ from pyspark.sql import functions as F
 from tessera.llm.shingles import range_hashes
 from tessera.shared import materialise
 
-RUN, LEAST, CUT = 3, 16, 6
+RUN, LEAST, CUT, WINDOW = 3, 16, 6, 50
 MEMO = 400_000
 LAST = 2**63 - 1
+_APART = np.uint64(0x5851F42D4C957F2D)  # keeps the hashes of windows from those of runs of the same words
 _UNITS = 32  # more than the units of a run, as each has a word at least and a run ends once it has LEAST words and RUN units
 _TOKEN = re.compile(r"\s*\S+\s*|\s+")
 
@@ -58,22 +64,36 @@ def cut(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     return tokens, codes >> np.uint64(1), np.concatenate([[0], bounds, last]).astype(np.int64)
 
 
-def runs_of(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the run from each unit that has one; a place is the unit times `_UNITS` plus the run's units."""
-    n = len(bounds) - 1
+def runs_of(codes: np.ndarray, bounds: np.ndarray, windows: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of the run from each unit that has one and then, if asked for, of each window without a run.
+
+    A run's place is its unit times `_UNITS` plus its units, a window's its first word times `_UNITS`.
+    """
+    n, words = len(bounds) - 1, len(codes)
     first = np.arange(max(0, n - RUN + 1))
     last = np.maximum(first + RUN, np.searchsorted(bounds, bounds[first] + LEAST))
     first, last = first[last <= n], last[last <= n]
-    return range_hashes(codes, bounds[first], bounds[last]).view(np.int64), first * _UNITS + (last - first)
+    if not windows:
+        return range_hashes(codes, bounds[first], bounds[last]).view(np.int64), first * _UNITS + (last - first)
+    ends = np.full(n + 1, np.iinfo(np.int64).max)
+    ends[first] = bounds[last]
+    at = np.arange(max(0, words - WINDOW + 1))
+    at = at[np.repeat(ends[1:], np.diff(bounds))[: len(at)] >= at + WINDOW]  # where the first run after the window's first word ends
+    hashes = range_hashes(codes, np.concatenate([bounds[first], at]), np.concatenate([bounds[last], at + WINDOW]))
+    hashes[len(first) :] ^= _APART
+    return hashes.view(np.int64), np.concatenate([first * _UNITS + (last - first), at * _UNITS])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in range(0, len(batch), 200):
-            ids, texts = (c[part : part + 200] for c in batch.columns)
-            found = [runs_of(*cut(t.as_py())[1:]) for t in texts]
-            of = np.repeat(ids.to_numpy(zero_copy_only=False), [len(h) for h, _ in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(of), pa.array(np.concatenate([p for _, p in found]))], ["h", "d", "place"])
+def _runs(windows: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, len(batch), 200):
+                ids, texts = (c[part : part + 200] for c in batch.columns)
+                found = [runs_of(*cut(t.as_py())[1:], windows) for t in texts]
+                rows = np.repeat(ids.to_numpy(zero_copy_only=False), [len(h) for h, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found])), pa.array(rows), pa.array(np.concatenate([p for _, p in found]))], ["h", "d", "place"])
+
+    return of
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,28 +103,31 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
             for text, covers in zip(texts.to_pylist(), places.to_pylist(), strict=True):
                 tokens, _, bounds = cut(text)
-                gone = np.zeros(len(bounds), np.int64)
+                gone = np.zeros(len(tokens) + 1, np.int64)
                 if covers:
                     first, size = np.divmod(np.array(covers, np.int64), _UNITS)
+                    window = first[size == 0]
+                    first, size = first[size > 0], size[size > 0]
                     inside = first + size < len(bounds)  # rows under one doc_id may differ in length
-                    np.add.at(gone, first[inside], 1)
-                    np.add.at(gone, (first + size)[inside], -1)
+                    window = window[window + WINDOW <= len(tokens)]
+                    np.add.at(gone, np.concatenate([bounds[first[inside]], window]), 1)
+                    np.add.at(gone, np.concatenate([bounds[(first + size)[inside]], window + WINDOW]), -1)
                 gone = np.cumsum(gone)[:-1] > 0
-                kept = "".join("".join(tokens[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(~gone)) if gone.any() else text or ""
-                out.append((len(gone), int(gone.sum()), kept))
+                kept = "".join(compress(tokens, ~gone)) if gone.any() else text or ""
+                out.append((len(bounds) - 1, int(np.logical_or.reduceat(gone, bounds[:-1]).sum()) if len(tokens) else 0, kept))
             columns = zip(*out, strict=True) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_units", "n_removed", "text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_units, n_removed, and text without the units that a repeated run covers."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", windows: bool = False) -> DataFrame:
+    """Per row: doc_id, n_units, n_removed, and text without the units that a repeated run covers and, with `windows`, without the words of repeated windows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    runs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").mapInArrow(_runs, "h long, d long, place long")
+    runs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), "text").mapInArrow(_runs(windows), "h long, d long, place long")
     repeated = materialise(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated")
     found = materialise(runs.join(repeated, "h", "left_semi"), "places")
     # Written, so that the join below it reads plain shuffles and AQE can split a run that very many texts hold.
     first = materialise(found.groupBy("h").agg(F.min(F.struct("d", "place")).alias("first")), "first")
     later = found.join(first, "h").where("d <> first.d or place <> first.place")
-    places = materialise(later.groupBy("d").agg(F.collect_set("place").alias("places")), "repeats")  # at most a text's own units
+    places = materialise(later.groupBy("d").agg(F.collect_set("place").alias("places")), "repeats")  # at most a text's own units and words
     marked = docs.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).join(places, "d", "left")
     return marked.select("doc_id", "text", "places").mapInArrow(_without, "doc_id long, n_units long, n_removed long, text string")

@@ -139,6 +139,50 @@ def test_repeated_passages_are_found_inside_sentences():
     assert sum(caught) >= 195
 
 
+def brute_words(rows):
+    """doc_id -> text left, with windows, by tuples of words. Rows have different doc_ids."""
+    first, places = {}, {}
+    for d, t in sorted(rows):
+        tokens, _, bounds = spans.cut(t)
+        words, bounds, found = [x.strip().lower() for x in tokens], bounds.tolist(), []
+        for i in range(len(bounds)):
+            j = next((j for j in range(i + spans.RUN, len(bounds)) if bounds[j] - bounds[i] >= spans.LEAST), None)
+            found += [(0, bounds[i], bounds[j])] if j else []
+        runs = [(a, b) for _, a, b in found]
+        found += [(1, a, a + 50) for a in range(len(words) - 49) if not any(a < x and y < a + 50 for x, y in runs)]
+        places[d] = tokens, [(kind, tuple(words[a:b]), a, b) for kind, a, b in found]
+        for kind, run, a, _ in places[d][1]:
+            first.setdefault((kind, run), (d, a))
+    out = {}
+    for d, (tokens, found) in places.items():
+        gone = {k for kind, run, a, b in found if first[kind, run] != (d, a) for k in range(a, b)}
+        out[d] = "".join(x for k, x in enumerate(tokens) if k not in gone)
+    return out
+
+
+def test_repeated_windows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs, windows=True).collect()}
+    assert got == brute_words([(r["doc_id"], r["text"]) for r in docs.collect()])
+    runs = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs).collect()}
+    assert any(len(got[d]) < len(runs[d]) for d in got) and all(len(got[d]) <= len(runs[d]) for d in got)
+
+
+def test_repeated_passages_are_found_whatever_their_cuts(spark):
+    """Passages of 50 words without a sentence end, at any offset: all of random words, and such of words that never end a unit."""
+    word = random.Random(4)
+    make = lambda n: ["".join(word.choices("abcdefghij", k=6)) for _ in range(n)]
+    hashes = lambda ws: set(spans.runs_of(*spans.cut(" ".join(ws))[1:], windows=True)[0].tolist())
+    cutless = [w for w in make(900) if len(spans.cut(w + " x")[2]) == 2]
+    for k in range(1000):
+        passage = make(50) if k % 2 else word.choices(cutless, k=50)
+        assert hashes([*make(3), *passage, *make(9)]) & hashes([*make(3 + k % 20), *passage, *make(k % 7)])
+    one, two, passage = make(3), make(7), word.choices(cutless, k=60)
+    docs = spark.createDataFrame([(1, " ".join([*one, *passage, "end"])), (2, " ".join([*two, *passage, *two]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(docs, windows=True).collect()}
+    assert got == {1: " ".join([*one, *passage, "end"]), 2: " ".join([*two, *two])}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
     from tessera.llm import quality, secrets
