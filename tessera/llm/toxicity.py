@@ -41,9 +41,10 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou",
 }
 _SWAP = log(0.05)  # cost of reading a sign as a letter and of shortening a run; dropping a sign or undoubling a letter costs twice as much
-_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|(?<!\w)[^\W_][ .\-_][^\W_][ .\-_][^\W_][ .\-_][^\W_](?!\w)")
-_SPACED = re.compile(r"(?<![\w@$])[^\W_@$]?[^\W_](?:[ .\-_][^\W_]){3,}(?![\w@$])")
+_SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_][^\W_]){3,}|[^\W\d_][ .\-_][^\W_][ .\-_][^\W\d_])(?![\w@$])")
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|[^\W\d_][0-9@$€]{1,2}$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
+#: Holds wherever `_SPACED` matches or `_ODD` a token: each of their branches has one of these within it.
+_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
 _EDGE = ".,;:?!()[]{}\"'#%&<>=~`^\\/-_"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -130,12 +131,17 @@ class Restorer:
         self.known[token] = out = decode_token(bare, self.model) if _ODD.search(bare) else token
         return out
 
+    def joined(self, letters: str) -> str:
+        """Spaced letters as one word; two letters before a blank may be a word of their own, so both readings are given."""
+        whole, *rest = (decode_token(re.sub(r"[ .\-_]", "", x), self.model) for x in (letters, letters[3:])[: 1 + (letters[2] == " " and letters[1] not in " .-_")])
+        return " ".join([whole, letters[:2], *rest]) if rest else whole
+
     def text(self, text: str) -> str:
         """Lower-cased, with suspicious tokens decoded."""
         low = text.lower()
         if not _HINT.search(low):
             return low
-        low = _SPACED.sub(lambda m: decode_token(re.sub(r"[ .\-_]", "", m[0]), self.model), low)
+        low = _SPACED.sub(lambda m: self.joined(m[0]), low)
         return re.sub(r"\S+", lambda m: self.token(m[0]), low)
 
 

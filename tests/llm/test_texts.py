@@ -328,6 +328,20 @@ def test_deobfuscation(characters, raw, plain):
     assert plain in toxicity.Restorer(characters).text(raw)
 
 
+@pytest.mark.parametrize(("raw", "plain"), [("an i_d_i_o_t here", "idiot"), ("such sc.u.m", "scum"), ("you id-i-ot", "idiot"), ("an a.s.s", "ass"), ("an a s s, really", "ass"), ("an a_s_s", "ass")])
+def test_deobfuscation_needs_no_other_sign(characters, raw, plain):
+    restore = toxicity.Restorer(characters)
+    assert plain in re.findall(r"[a-z]+", restore.text(raw)) and plain in re.findall(r"[a-z]+", restore.text(f"{raw} w0rthl3ss"))
+
+
+def test_hint_holds_wherever_something_is_decoded():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choices("ab c.-_1@$!,é", k=rng.randrange(1, 12)))
+        bare = [re.sub(r"^[$*@|+]{3,}|[$*@|+]{3,}$", "", x.strip(toxicity._EDGE)) for x in text.split()]
+        assert toxicity._HINT.search(text) or not (toxicity._SPACED.search(text) or any(map(toxicity._ODD.search, bare)))
+
+
 def test_toxicity(spark, docs, edge, sf_dir):
     rng = random.Random(3)
     calm, rude = "house garden tree river stone bread music winter".split(), "blork snargh".split()
