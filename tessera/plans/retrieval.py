@@ -80,7 +80,7 @@ def text_permission_demands(spark, d):
 
 
 def text_query_refusals(spark, d):
-    return table(spark, d, "benchmark").select("item_id", X.query_refusal(F.substring("text", 1, 280)).alias("refused"))
+    return table(spark, d, "benchmark").select("item_id", X.query_refusal(F.col("text")).alias("refused"))
 
 
 WORDS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"

@@ -88,6 +88,14 @@ def test_claims_and_refusals(spark):
     assert [r[0] for r in q.select(X.query_refusal(F.col("q"))).collect()] == [None, "LENGTH", "PRIVATE", "ADDRESS", "PRIVATE", "LENGTH"]
 
 
+def test_refusals_read_whole_texts(spark, tmp_path):
+    from tessera.plans import retrieval
+
+    rows = [(1, "word " * 60 + "tail"), (2, "word " * 56 + "me@x.org"), (3, "word " * 56 + "http://x.org"), (4, "word " * 59)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r["item_id"]: r["refused"] for r in retrieval.text_query_refusals(spark, str(tmp_path)).collect()} == {1: "LENGTH", 2: "PRIVATE", 3: "ADDRESS", 4: None}
+
+
 def test_numbers(spark):
     row = spark.createDataFrame([("录取 1,200 人，学费 1.5万 和 3千，1200",)], "t string").select(X.numbers(F.col("t")).alias("n")).first()
     assert sorted(map(float, row["n"])) == [1200.0, 3000.0, 15000.0]
