@@ -89,10 +89,11 @@ def redacted(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """docs with its findings written over; n_chars, where there is one, follows the new text."""
-    ledger = materialise(scan_unseen(docs, ledger, text), "ledger") if ledger is None else ledger
-    found = ledger.where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+def redact(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """docs with its findings written over, blobs that the ledger lacks scanned first; n_chars, where there is one, follows the new text."""
+    fresh = materialise(scan_unseen(docs, ledger, text, rule_version), "ledger")
+    whole = fresh if ledger is None else ledger.unionByName(fresh)
+    found = whole.where((F.col("rule_version") == rule_version) & (F.col("spans") != "")).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     names, at = docs.columns, docs.columns.index(text)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,6 +125,20 @@ def test_secrets(spark, docs, edge):
     assert secrets.scan(rows.limit(0))[0].count() == 0
 
 
+def test_redaction_with_a_ledger(spark):
+    """A second run scans blobs that are new and blobs known under another rule version only."""
+    key = lambda c: f"key AKIA{c * 16} end"
+    docs = spark.createDataFrame([(1, key("A")), (2, "plain")], "doc_id long, text string")
+    ledger = secrets.scan(docs)[1]
+    more = docs.union(spark.createDataFrame([(3, key("B"))], docs.schema))
+    want = {1: "key [access] end", 2: "plain", 3: "key [access] end"}
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(more, ledger).collect()} == want
+    old = ledger.withColumn("rule_version", F.lit("old")).withColumn("spans", F.lit("hex:0:3"))
+    for known in (old, old.unionByName(ledger)):
+        got = secrets.redact(more, known).collect()
+        assert len(got) == 3 and {r["doc_id"]: r["text"] for r in got} == want
+
+
 def test_redaction(spark, edge):
     rows = spark.createDataFrame([(1, "a token=abcdefgh1 b", 3), (2, "clean", 5), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(rows).collect()}
