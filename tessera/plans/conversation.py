@@ -68,7 +68,7 @@ def conv_token_estimate(spark, d):
 
 
 def conv_summary(spark, d):
-    return R.summaries(messages(spark, d), last=2, sentence=120, total=300)
+    return R.summaries(messages(spark, d))
 
 
 def conv_markdown_plain(spark, d):

@@ -96,6 +96,15 @@ def test_refusals_read_whole_texts(spark, tmp_path):
     assert {r["item_id"]: r["refused"] for r in retrieval.text_query_refusals(spark, str(tmp_path)).collect()} == {1: "LENGTH", 2: "PRIVATE", 3: "ADDRESS", 4: None}
 
 
+def test_summaries_keep_long_sentences(spark, tmp_path):
+    from tessera.plans import conversation
+
+    said = [f"{k:02d}" + "x" * 248 + "." for k in range(20)]
+    rows = [(1, k, "user" if k % 2 else "assistant", said[k] + " More.") for k in range(20)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert conversation.conv_summary(spark, str(tmp_path)).collect() == [(1, "\n".join(said[:8]))]
+
+
 def test_numbers(spark):
     row = spark.createDataFrame([("录取 1,200 人，学费 1.5万 和 3千，1200",)], "t string").select(X.numbers(F.col("t")).alias("n")).first()
     assert sorted(map(float, row["n"])) == [1200.0, 3000.0, 15000.0]
