@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = tempfile.mkdtemp(prefix="tessera_")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    """The session's spark.checkpoint.dir, or the folder of setCheckpointDir(); on local masters only, a temporary one where neither is set."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera_"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -27,6 +28,11 @@ def _hadoop_path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _hadoop_path(spark, path)
+    return files.exists(where)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
