@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import fresh
+
 OTHER = "other"
 NARROW, FEW = 8, 2_000  # bits of the hash by which ranges are narrowed at a time; rows that one range may hold at the end
 
@@ -128,13 +130,17 @@ def cuts(sized: DataFrame, goal: dict[str, int]) -> dict[str, int]:
     passed, until that range is a single place or holds few rows, which are then gone through in order.
     """
     low, have, width, done = {k: 0 for k in goal}, {k: 0 for k in goal}, {k: 60 for k in goal}, {}
+
+    def within(leaves: list[str], bits: dict[str, int]) -> DataFrame:
+        """Rows of these leaves whose place is among the 2 ** bits from the leaf's low on, with their offset in that range."""
+        start, span = _at_leaf(F.col("leaf"), {k: low[k] for k in leaves}, 0), _at_leaf(F.col("leaf"), {k: 2 ** bits[k] for k in leaves}, 0)
+        rows = sized.where(F.col("leaf").isin(leaves)).withColumn("offset", F.col("place") - start)
+        return rows.where((F.col("offset") >= 0) & (F.col("offset") < span))
+
     while active := [k for k in goal if k not in done]:
-        bits = {k: max(0, width[k] - NARROW) for k in active}
-        inside = sized.where(F.col("leaf").isin(active))
-        start, shift = _at_leaf(F.col("leaf"), {k: low[k] for k in active}, 0), _at_leaf(F.col("leaf"), {k: 2 ** bits[k] for k in active}, 1)
-        span = _at_leaf(F.col("leaf"), {k: 2 ** width[k] for k in active}, 0)
-        inside = inside.where((F.col("place") >= start) & (F.col("place") - start < span))
-        offset = F.col("place") - start
+        bits, few = {k: max(0, width[k] - NARROW) for k in active}, []
+        inside, offset = within(active, width), F.col("offset")
+        shift = _at_leaf(F.col("leaf"), {k: 2 ** bits[k] for k in active}, 1)
         ranges = inside.groupBy("leaf", ((offset - F.pmod(offset, shift)) / shift).cast("long").alias("r"))
         got: dict[str, dict[int, tuple[int, int]]] = {k: {} for k in active}
         for row in ranges.agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():  # leaves x 2 ** NARROW rows at most
@@ -147,16 +153,18 @@ def cuts(sized: DataFrame, goal: dict[str, int]) -> dict[str, int]:
                     if not bits[k]:
                         done[k] = low[k]
                     elif n <= FEW:
-                        at = sized.where((F.col("leaf") == k) & (F.col("place") >= low[k]) & (F.col("place") < low[k] + 2 ** bits[k]))
-                        for p, tokens in sorted((x["place"], x["t"]) for x in at.groupBy("place").agg(F.sum("tokens").alias("t")).collect()):
-                            if have[k] + tokens > goal[k]:
-                                done[k] = p
-                                break
-                            have[k] += tokens
+                        few.append(k)
                     break
                 have[k] += t
             else:
                 done[k] = low[k] + 2 ** width[k]
+        if few:  # at most FEW rows of each of them
+            rows = within(few, width).groupBy("leaf", "place").agg(F.sum("tokens").alias("t")).collect()
+            for _, k, place_of, tokens in sorted((x["place"], x["leaf"], x["place"], x["t"]) for x in rows):
+                if k not in done:
+                    if have[k] + tokens > goal[k]:
+                        done[k] = place_of
+                    have[k] += tokens
     return done
 
 
@@ -195,7 +203,8 @@ def plan(docs: DataFrame, weights: dict, levels: list[Column], fraction: float,
 def mix(docs: DataFrame, weights: dict, levels: list[Column], fraction: float = 1.0, max_epochs: int = 1, seed: int = 17, tokens: Callable[[Column], Column] = words_of, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are taken, each as many times as it is taken."""
     planned = plan(docs, weights, levels, fraction, max_epochs, seed, tokens, id_col, text)
-    times = docs.withColumn("_times", planned.times(F.col(id_col), tokens(F.col(text)))).where("_times > 0")
+    times, copy = fresh(docs.columns, "times"), fresh(docs.columns, "copy")
+    out = docs.withColumn(times, planned.times(F.col(id_col), tokens(F.col(text)))).where(F.col(times) > 0)
     if max_epochs > 1:
-        times = times.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return times.select(*[F.col(c) for c in docs.columns])
+        out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*[F.col(c) for c in docs.columns])
