@@ -2,8 +2,9 @@
 
 1. A character trigram model is counted over all texts. Its alphabet is fixed (a boundary, a-z, ß-ÿ, any other letter),
    so the table that reaches the driver has at most len(alphabet) ** 3 entries, whatever the corpus holds.
-2. A token with look-alike signs, stretched letters or spaced letters becomes a lattice: a sign may stand for several
-   letters, a run of a letter for one or two of it, a star for a vowel or nothing. Viterbi takes the likeliest letters.
+2. A token with look-alike signs or stretched letters, and a stretch of spaced letters, becomes a lattice: a sign may stand for several
+   letters, a run of a letter for one or two of it, a star for a vowel or nothing, a gap between letters for nothing or the end of a
+   word. Viterbi takes the likeliest letters and words.
 3. Words and word beginnings of the restored text are counted by label, in hash buckets of a fixed number. A bucket's
    weight is the lower confidence bound of its log-odds, a text's evidence the sum of its `TOP` largest word weights, and a
    logistic curve fitted on labelled texts that the weights have not seen turns that into a probability.
@@ -41,10 +42,12 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou",
 }
 _SWAP = log(0.05)  # cost of reading a sign as a letter and of shortening a run; dropping a sign or undoubling a letter costs twice as much
-_SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_][^\W_]){3,}|[^\W\d_][ .\-_][^\W_][ .\-_][^\W\d_])(?![\w@$])")
+_SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_]{1,3}[^\W_]){3,}|[^\W\d_][ .\-_][^\W_][ .\-_][^\W\d_])(?![\w@$])")
+#: Chance that a gap within spaced letters ends a word: a single blank, another single sign, a wider gap.
+BREAK = {"blank": 0.2, "sign": 0.02, "wide": 0.8}
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|[^\W\d_][0-9@$€]{1,2}$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
 #: Holds wherever `_SPACED` matches or `_ODD` a token: each of their branches has one of these within it.
-_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
+_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_]{1,3}[^\W_][ .\-_]{1,3}[^\W_]")
 _EDGE = ".,;:?!()[]{}\"'#%&<>=~`^\\/-_"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -85,36 +88,49 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((three + 20 * two) / (three.sum(2, keepdims=True) + 20)).astype(np.float32)
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per run of a sign: (letters, cost) choices."""
+def _lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """Per run of a sign, or of gaps: (letters, cost) choices. A blank ends a word; only `spaced` letters have such choices."""
     out = []
-    for run in re.finditer(r"(.)\1*", token, re.DOTALL):
-        sign, n = run[1], len(run[0])
-        if sign in LOOKALIKES:
+    for run in re.finditer(r"([ .\-_])[ .\-_]*|(.)\2*", token, re.DOTALL):
+        sign, n = run[1] or run[2], len(run[0])
+        if run[1]:
+            if spaced:
+                ends = BREAK["wide" if n > 1 else "blank" if sign == " " else "sign"]
+                out.append([("", log(1 - ends)), (" ", log(ends))])
+        elif sign in LOOKALIKES:
             choices = [(x * k, _SWAP * n) for x in LOOKALIKES[sign] for k in ((1, 2) if n > 1 else (1,))]
             out.append(choices + ([("", 2 * _SWAP)] if sign in "*!|+" else []))
         elif sign.isalpha():
             out.append([(sign, 0.0 if n == 1 else 2 * _SWAP if n == 2 else _SWAP)] + ([(sign * 2, 0.0 if n == 2 else _SWAP)] if n > 1 else []))
-        # anything else within a token (separators) is dropped
+        # any other sign is dropped
     return out
 
 
-def decode_token(token: str, model: list[float]) -> str:
-    """The likeliest letters of a token's lattice. model: the character model, flat."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for choices in _lattice(token):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, letters) in best.items():
+def decode_token(token: str, model: list[float], spaced: bool = False) -> str:
+    """The likeliest letters of a token's lattice, words apart by blanks. model: the character model, flat."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # last two letters -> (score, (letters, those before))
+    for choices in _lattice(token, spaced):
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for more, cost in choices:
                 s, x, y = score + cost, a, b
                 for c in more:
-                    z = _CODE.get(c, SIGNS - 1)
-                    s += model[(x * SIGNS + y) * SIGNS + z]
-                    x, y = y, z
+                    if c == " ":
+                        s += model[(x * SIGNS + y) * SIGNS]
+                        x = y = 0
+                    else:
+                        z = _CODE.get(c, SIGNS - 1)
+                        s += model[(x * SIGNS + y) * SIGNS + z]
+                        x, y = y, z
                 if (x, y) not in now or s > now[x, y][0]:
-                    now[x, y] = s, letters + more
+                    now[x, y] = s, (more, path) if more else path
         best = now
-    return max((s + model[(a * SIGNS + b) * SIGNS], letters) for (a, b), (s, letters) in best.items())[1]
+    _, path = max(((s + model[(a * SIGNS + b) * SIGNS], path) for (a, b), (s, path) in best.items()), key=lambda x: x[0])
+    letters = []
+    while path:
+        letters.append(path[0])
+        path = path[1]
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -131,17 +147,12 @@ class Restorer:
         self.known[token] = out = decode_token(bare, self.model) if _ODD.search(bare) else token
         return out
 
-    def joined(self, letters: str) -> str:
-        """Spaced letters as one word; two letters before a blank may be a word of their own, so both readings are given."""
-        whole, *rest = (decode_token(re.sub(r"[ .\-_]", "", x), self.model) for x in (letters, letters[3:])[: 1 + (letters[2] == " " and letters[1] not in " .-_")])
-        return " ".join([whole, letters[:2], *rest]) if rest else whole
-
     def text(self, text: str) -> str:
         """Lower-cased, with suspicious tokens decoded."""
         low = text.lower()
         if not _HINT.search(low):
             return low
-        low = _SPACED.sub(lambda m: self.joined(m[0]), low)
+        low = _SPACED.sub(lambda m: decode_token(m[0], self.model, True), low)
         return re.sub(r"\S+", lambda m: self.token(m[0]), low)
 
 
