@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, neardup, quality, secrets, spans, token_counts, toxicity, warc, webp
+from tessera.shared import new_path
 
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +30,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def secrets_ledger(spark: SparkSession) -> str:
+    """Where the ledger of secret scans is kept between runs: the session's spark.tessera.secrets.ledger; where that is unset, a new one."""
+    return spark.conf.get("spark.tessera.secrets.ledger", None) or new_path(spark, "secrets")
+
+
 def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +56,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))[0]
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets_ledger(spark))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
