@@ -44,7 +44,9 @@ class Trie:
     """Nodes as parallel lists; below[node] maps a character to a node."""
 
     def __init__(self, vocabulary: dict[str, float]) -> None:
-        self.vocabulary, self.longest = vocabulary, max(map(len, vocabulary), default=1)
+        #: Every end of a piece -> the piece's log-probability, None if the end is no piece itself: what a node's own end is looked up in,
+        #: from its last character on and no further than some piece goes.
+        self.ends: dict[str, float | None] = {p[k:]: None for p in vocabulary for k in range(1, len(p))} | vocabulary
         self.clear()
 
     def clear(self) -> None:
@@ -68,23 +70,26 @@ class Trie:
         return n
 
     def _walk(self, word: str) -> int:
-        path = [0]
+        path, ends, score, tokens = [0], self.ends, self.score, self.tokens
         for end, c in enumerate(word, 1):
             at = self.below[path[-1]].get(c)
             if at is None:
                 size = len(c.encode("utf-8"))
-                best, fewest = self.score[path[-1]] + BYTE_LOG * size, self.tokens[path[-1]] + size
-                for start in range(max(0, end - self.longest), end):
-                    if (p := self.vocabulary.get(word[start:end])) is not None:
-                        s, n = self.score[path[start]] + p, self.tokens[path[start]] + 1
+                best, fewest = score[path[-1]] + BYTE_LOG * size, tokens[path[-1]] + size
+                for start in range(end - 1, -1, -1):
+                    p = ends.get(word[start:end], 0)
+                    if p:
+                        s, n = score[path[start]] + p, tokens[path[start]] + 1
                         if s > best or s == best and n < fewest:
                             best, fewest = s, n
-                at = self.below[path[-1]][c] = len(self.score)
+                    elif p == 0:  # no piece ends so
+                        break
+                at = self.below[path[-1]][c] = len(score)
                 self.below.append({})
-                self.score.append(best)
-                self.tokens.append(fewest)
+                score.append(best)
+                tokens.append(fewest)
             path.append(at)
-        return self.tokens[path[-1]]
+        return tokens[path[-1]]
 
 
 @cache
