@@ -18,6 +18,7 @@ import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -25,9 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import parts
+
 WIDTH, MOST_ROWS, ROW = 144, 16_384, 576
+AHEAD = 1 << 15  # bits that the decoder reads ahead
 LENGTHS, CACHE_BITS = 24, 10
-LONGEST = 12  # bits of a code that the encoder makes; the format and the decoder have 15
+SMOOTH = 24  # mean difference to the pixel before, or of red and blue to green, up to which transforms are weighed; letters differ by more
+ALIKE = 12  # channels whose means differ by less share a prefix code
+SHORT = 9  # bits of a code that the encoder makes, or one more than its number of symbols needs; the format and the decoder have 15
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 #: Fixed values of the format: the order of code-length codes, and the places that short distance codes stand for (x to the left, y up).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -43,38 +49,40 @@ NEAR = (
 )
 _HASH = np.uint32(0x1E35A7BD)
 BLACK = 0xFF000000
+_SHIFTS = 8, 16, 0, 24, 0  # where the symbols of the codes for green, red, blue, alpha and distance go
+_FIRST_LENGTH = 256 << 14  # entries of the code for green from here on are lengths and cache keys
 
 
 # Prefix codes
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
-    """Lengths of a complete prefix code, at most `most` bits; a lone symbol gets 1 here and 0 bits when used."""
-    lengths, counts = np.zeros(len(counts), np.int64), counts.astype(np.int64)
+    """Lengths of a complete prefix code, at most `most` bits; a lone symbol gets 1 here and 0 bits when used.
+
+    Each symbol's information rounded up; what the code then has to spare goes to those that were rounded up the most.
+    """
+    lengths = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    while True:
-        used = used[np.argsort(counts[used], kind="stable")]
-        n = len(used)
-        weight = [*counts[used].tolist(), *[0] * (n - 1)]  # leaves by weight, then inner nodes, which also come by weight
-        parent, leaf, inner = [0] * (2 * n - 1), 0, n
-        for node in range(n, 2 * n - 1):
-            for _ in range(2):
-                if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
-                    took, leaf = leaf, leaf + 1
-                else:
-                    took, inner = inner, inner + 1
-                parent[took] = node
-                weight[node] += weight[took]
-        depth = [0] * (2 * n - 1)
-        for node in range(2 * n - 3, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[:n]) <= most:
-            lengths[used] = depth[:n]
-            return lengths
-        counts[used] = (counts[used] + 1) // 2 + 1
+    want = np.log2(counts.sum() / counts[used])
+    short = np.clip(np.ceil(want), 1, most).astype(np.int64)
+    spare = (1 << most) - int((1 << (most - short)).sum())
+    order, depth = np.argsort(want - short).tolist(), short.tolist()
+    while spare < 0:  # too many codes were cut to `most`: lengthen the longest of the others
+        k = max((k for k in order if depth[k] < most), key=depth.__getitem__)
+        depth[k] += 1
+        spare += 1 << (most - depth[k])
+    while spare:
+        for k in order:
+            if (takes := 1 << (most - depth[k])) <= spare:
+                depth[k] -= 1
+                spare -= takes
+                if not spare:
+                    break
+    lengths[used] = depth
+    return lengths
 
 
 @lru_cache(16)
@@ -103,26 +111,37 @@ def _reversed_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(64)
-def _table(packed: bytes) -> tuple[list[int], int]:
-    """(entries symbol << 4 | length by the next bits, their mask). packed: a length per symbol, as bytes."""
+def _table(packed: bytes) -> tuple[np.ndarray, int]:
+    """(entries by the next bits, their mask): the symbol, then six bits for its length. packed: a length per symbol, as bytes."""
     lengths = np.frombuffer(packed, np.uint8).astype(np.int64)
     used, takes, most = _in_order(lengths)
     if len(used) < 2:
-        return [int(used[0]) << 4 if len(used) else 0], 0
+        return (used[:1] if len(used) else np.zeros(1, np.int64)) << 6, 0
     if int(takes.sum()) != 1 << most:
         raise ValueError("incomplete prefix code")
-    return np.repeat(used << 4 | lengths[used], takes)[_mirror(most)].tolist(), (1 << most) - 1
+    return np.repeat(used << 6 | lengths[used], takes)[_mirror(most)], (1 << most) - 1
+
 
+def _shifted(entries: np.ndarray, mask: int, shift: int) -> tuple[np.ndarray, int]:
+    """The symbols `shift` bits up, as their place in a pixel asks: entries of four channels add up to a pixel and the bits that it took."""
+    return ((entries >> 6) << (6 + shift) | (entries & 63) if shift else entries), mask
 
-def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix code, number of extra bits, extra bits) of values from 1 on."""
+
+def _prefix_of(value: np.ndarray) -> np.ndarray:
+    """Rows of prefix code, number of extra bits and extra bits of values from 1 on."""
     v = value.astype(np.int64) - 1
     top = np.zeros(len(v), np.int64)
     big = v >= 4
     top[big] = np.floor(np.log2(v[big])).astype(np.int64)
     extra = np.where(big, top - 1, 0)
-    code = np.where(big, 2 * top + ((v >> np.maximum(extra, 0)) & 1), v)
-    return code, extra, np.where(big, v & ((1 << extra) - 1), 0)
+    return np.stack([np.where(big, 2 * top + ((v >> np.maximum(extra, 0)) & 1), v), extra, np.where(big, v & ((1 << extra) - 1), 0)])
+
+
+_PREFIXES = _prefix_of(np.arange(1, 1 << 14))
+
+
+def _prefix(value: np.ndarray) -> np.ndarray:
+    return _prefix_of(value) if len(value) and value.max() > _PREFIXES.shape[1] else _PREFIXES[:, value - 1]
 
 
 # Transforms, on rows of 32-bit pixels (alpha, red, green, blue from the top) and on their channels as bytes, blue first
@@ -231,8 +250,9 @@ def _bundle(colours: int) -> int:
 
 class _Reader:
     def __init__(self, data: bytes) -> None:
-        raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint32)
-        self.words = (raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)).tolist()
+        self.data = data + bytes(32)
+        self.eight = np.ndarray((len(data) + 24,), "<u8", self.data, strides=(1,))  # the eight bytes from each place
+        self.words = self.eight.tolist()
         self.at, self.end = 0, 8 * len(data)
 
     def bits(self, n: int) -> int:
@@ -242,32 +262,49 @@ class _Reader:
         self.at += n
         return out
 
-    def symbol(self, table: tuple[list[int], int]) -> int:
-        e = table[0][(self.words[self.at >> 3] >> (self.at & 7)) & table[1]]
-        self.at += e & 15
-        return e >> 4
+    def symbol(self, table: tuple[np.ndarray, int]) -> int:
+        e = int(table[0][(self.words[self.at >> 3] >> (self.at & 7)) & table[1]])
+        self.at += e & 63
+        return e >> 6
+
+    def _span(self, at: int, n: int) -> int:
+        return (int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
+    def codes(self, sizes: tuple[int, ...]) -> list[bytes]:
+        """Lengths per symbol of one code after the other. Equal bits give equal codes: such a code is not read again."""
+        out: list[bytes] = []
+        last = None
+        for size in sizes:
+            if last and last[0] == size and self.at + last[2] <= self.end and self._span(self.at, last[2]) == last[1]:
+                self.at += last[2]
+                out.append(out[-1])
+                continue
+            start = self.at
+            out.append(self.code(size))
+            last = size, self._span(start, self.at - start), self.at - start
+        return out
 
-    def code(self, size: int) -> tuple[list[int], int]:
+    def code(self, size: int) -> bytes:
         lengths = bytearray(size)
         if self.bits(1):
             two, wide = self.bits(1), self.bits(1)
             lengths[self.bits(8 if wide else 1)] = 1
             if two:
                 lengths[self.bits(8)] = 1
-            return _table(bytes(lengths))
+            return bytes(lengths)
         first = bytearray(19)
         for k in LENGTH_ORDER[: 4 + self.bits(4)]:
             first[k] = self.bits(3)
-        table = _table(bytes(first))
+        entries, mask = _table(bytes(first))
+        entries, words = entries.tolist(), self.words
         left = 2 + self.bits(2 + 2 * self.bits(3)) if self.bits(1) else size
-        at, last = 0, 8
-        (entries, mask), words, p = table, self.words, self.at
+        at, last, p = 0, 8, self.at
         while at < size and left and p <= self.end:
             left -= 1
             v = words[p >> 3] >> (p & 7)
             e = entries[v & mask]
-            s, v = e >> 4, v >> (e & 15)
-            p += e & 15
+            s, v = e >> 6, v >> (e & 63)
+            p += e & 63
             if s < 16:
                 lengths[at] = s
                 at, last = at + 1, s or last
@@ -282,7 +319,7 @@ class _Reader:
         self.at = p
         if p > self.end:
             raise ValueError("file ends early")
-        return _table(bytes(lengths))
+        return bytes(lengths)
 
     def value(self, prefix: int) -> int:
         if prefix < 4:
@@ -298,59 +335,83 @@ class _Reader:
             groups_at = (self.image(-(-width // (1 << group_bits)), -(-height // (1 << group_bits)), False) >> 8 & 0xFFFF).tolist()
             n_groups = max(map(max, groups_at)) + 1
         sizes = 256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40
-        groups = [[self.code(n) for n in sizes] for _ in range(n_groups)]
-        return np.array(self._pixels(width, height, cache_bits, groups, groups_at, group_bits), np.uint32).reshape(height, width)
+        packed = [self.codes(sizes) for _ in range(n_groups)]
+        groups = [[_shifted(*_table(p), shift) for p, shift in zip(g, _SHIFTS, strict=True)] for g in packed]
+        pixels = self._pixels(width, height, cache_bits, groups, groups_at, group_bits)
+        if self.at > self.end:
+            raise ValueError("file ends early")
+        return np.array(pixels, np.uint32).reshape(height, width)
+
+    def _ahead(self, start: int, size: int, group: list) -> tuple[np.ndarray, memoryview, memoryview]:
+        """Read a literal from each of `size` places on, start being the first of a byte: (the entry for green, the pixel, the place after it; -1: no literal)."""
+        words = self.eight[start >> 3 : (start >> 3) + (size >> 3) + 9]
+        v = (words[:, None] >> np.arange(8, dtype=np.uint64)).ravel().view(np.int64)
+        green, red, blue, alpha = (entries.take(v & mask) if mask else np.broadcast_to(entries, v.shape) for entries, mask in group[:4])
+        total = green[:size].copy()
+        after = np.arange(size) + (total & 63)
+        for channel in (red, blue, alpha):
+            found = channel.take(after)
+            after += found & 63
+            total += found
+        after[green[:size] >= _FIRST_LENGTH] = -1
+        return green, memoryview(total >> 6), memoryview(after)
 
     def _pixels(self, width: int, height: int, cache_bits: int, groups: list, groups_at: list | None, group_bits: int) -> list[int]:
-        words, p, n = self.words, self.at, width * height
+        p, n = self.at, width * height
         out: list[int] = []
         add = out.append
         cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
-        (green, gm), (red, rm), (blue, bm), (alpha, am), far = groups[0]
-        i, block, wide = 0, -1, max(g[2][1] * (g[3][1] + 1) for g in groups) >= 1 << 25
+        i = group = 0
+        known = start = size = -1  # what was read ahead: the group, the first place, the number of places
         while i < n:
-            if groups_at is not None and (now := i // width >> group_bits << 16 | i % width >> group_bits) != block:
-                block = now
-                (green, gm), (red, rm), (blue, bm), (alpha, am), far = groups[groups_at[now >> 16][now & 0xFFFF]]
-            e = green[(words[p >> 3] >> (p & 7)) & gm]
-            p += e & 15
-            s = e >> 4
-            if s < 256:
-                e = red[(words[p >> 3] >> (p & 7)) & rm]
-                p += e & 15
-                v = words[p >> 3] >> (p & 7)  # holds 25 bits: two codes, unless they are longer than the encoder's
-                f = blue[v & bm]
-                if wide:
-                    v = words[(p + (f & 15)) >> 3] >> ((p + (f & 15)) & 7) << (f & 15)
-                g = alpha[(v >> (f & 15)) & am]
-                p += (f & 15) + (g & 15)
-                add((g & -16) << 20 | (e & -16) << 12 | s << 8 | f >> 4)
-                i += 1
-            elif s < 256 + LENGTHS:
+            stop = n
+            if groups_at is not None:
+                y, x = divmod(i, width)
+                stop = i - x + min(width, ((x >> group_bits) + 1) << group_bits)
+                group = groups_at[y >> group_bits][x >> group_bits]
+            if known != group or not start <= p < start + size:
+                if p > self.end:
+                    raise ValueError("file ends early")
+                known, start = group, p & -8
+                size = min(AHEAD, ((self.end - start) | 7) + 1, 64 * (n - i) + 8)
+                green, pixel, after = self._ahead(start, size, groups[group])
+            k = p - start
+            for i in range(i, stop):
+                if k >= size or (j := after[k]) < 0:
+                    break
+                add(pixel[k])
+                k = j
+            else:
+                i = stop
+            p = start + k
+            if i == stop or k >= size:
+                continue
+            e = int(green[k])
+            s = e >> 14
+            p += e & 63
+            if s < 256 + LENGTHS:
                 self.at = p
-                size = self.value(s - 256)
-                distance = self.value(self.symbol(far))
+                length = self.value(s - 256)
+                distance = self.value(self.symbol(groups[group][4]))
                 p = self.at
                 if distance > 120:
                     distance -= 120
                 else:
                     x, y = NEAR[distance - 1]
                     distance = max(1, x + y * width)
-                if distance > i or i + size > n:
+                if distance > i or i + length > n:
                     raise ValueError("back-reference out of the image")
-                if distance >= size:
-                    out += out[i - distance : i - distance + size]
+                if distance >= length:
+                    out += out[i - distance : i - distance + length]
                 else:
-                    out += (out[i - distance :] * (size // distance + 1))[:size]
-                i += size
+                    out += (out[i - distance :] * (length // distance + 1))[:length]
+                i += length
             else:
                 for x in out[cached:i]:
                     cache[((x * 0x1E35A7BD) & 0xFFFFFFFF) >> shift] = x
                 cached = i
                 add(cache[s - 256 - LENGTHS])
                 i += 1
-            if p > self.end:
-                raise ValueError("file ends early")
         self.at = p
         return out
 
@@ -391,118 +452,128 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class _Writer:
+    """Fields of at most 57 bits, lowest bit first: single ones in a list, until a column of them comes."""
+
     def __init__(self) -> None:
         self.values: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-
-    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.values.append(values.astype(np.int64))
-        self.sizes.append(sizes.astype(np.int64))
+        self.single: list[int] = []
 
     def bits(self, *pairs: tuple[int, int]) -> None:
-        self.many(np.array([v for v, _ in pairs]), np.array([n for _, n in pairs]))
+        self.single += chain.from_iterable(pairs)
+
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.single:
+            self.values.append(np.array(self.single[::2], np.int64))
+            self.sizes.append(np.array(self.single[1::2], np.int64))
+            self.single = []
+        self.values.append(values)
+        self.sizes.append(sizes)
 
     def done(self) -> bytes:
+        self.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        values, sizes = values[sizes > 0], sizes[sizes > 0]
-        ends = np.cumsum(sizes)
-        place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        return np.packbits(((np.repeat(values, sizes) >> place) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-    def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """Write a prefix code; (codes, lengths as used, what was written, to write the same again)."""
-        before = len(self.values)
-        codes, lengths = self._code(counts)
-        return codes, lengths, list(zip(self.values[before:], self.sizes[before:], strict=True))
-
-    def _code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        used = np.flatnonzero(counts)
-        if len(used) <= 2 and (not len(used) or used[-1] < 256):
-            a = int(used[0]) if len(used) else 0
+        starts = np.cumsum(sizes) - sizes
+        parts = (values.astype("<u8") << (starts & 7).astype("<u8")).view(np.uint8).reshape(-1, 8)
+        # No two fields share a bit, so that bytes add up without a carry.
+        total = np.bincount(((starts >> 3)[:, None] + np.arange(8)).ravel(), weights=parts.ravel())
+        return total.astype(np.uint8).tobytes()[: (int(sizes.sum()) + 7) >> 3]
+
+    def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Write a prefix code; (codes, lengths as used)."""
+        used = np.flatnonzero(counts).tolist()
+        if len(used) <= 2 and (not used or used[-1] < 256):
+            a = used[0] if used else 0
             wide = int(a > 1)
-            self.bits((1, 1), (len(used) == 2, 1), (wide, 1), (a, 8 if wide else 1), *([(int(used[1]), 8)] if len(used) == 2 else []))
+            self.bits((1, 1), (len(used) == 2, 1), (wide, 1), (a, 8 if wide else 1), *([(used[1], 8)] if len(used) == 2 else []))
             lengths = np.zeros(len(counts), np.int64)
             lengths[used] = int(len(used) == 2)
             return _reversed_codes(lengths), lengths
-        lengths = code_lengths(counts, LONGEST)
-        # Runs of three zeros and more are written as such, all else symbol by symbol.
-        zero = np.concatenate([[False], lengths == 0, [False]])
-        edges = np.flatnonzero(zero[1:] != zero[:-1]).tolist()
-        symbols, extra, wide, at, plain = [], [], [], 0, lengths.tolist()
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            while b - a >= 3:
-                n = min(b - a, 138)
-                symbols += [*plain[at:a], 18 if n > 10 else 17]
-                extra += [0] * (a - at) + [n - 11 if n > 10 else n - 3]
-                wide += [0] * (a - at) + [7 if n > 10 else 3]
-                at = a = a + n
-        symbols += plain[at:]
-        extra += [0] * (len(plain) - at)
-        wide += [0] * (len(plain) - at)
-        first = code_lengths(np.bincount(symbols, minlength=19), 7)
-        shown = max(k for k, s in enumerate(LENGTH_ORDER) if first[s] or k < 4) + 1
-        self.bits((0, 1), (shown - 4, 4), *[(int(first[s]), 3) for s in LENGTH_ORDER[:shown]], (0, 1))
-        codes = _reversed_codes(first)
-        if np.count_nonzero(first) < 2:
-            first = np.zeros(19, np.int64)
-        self.many(np.stack([codes[symbols], extra], 1).ravel(), np.stack([first[symbols], wide], 1).ravel())
-        return _reversed_codes(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros(len(lengths), np.int64)
+        lengths = code_lengths(counts, max(SHORT, (len(used) - 1).bit_length() + 1))
+        plain = lengths.tolist()
+        # (symbol, extra bits, their number): runs of three zeros and more are written as such, all else symbol by symbol.
+        shown: list[tuple[int, int, int]] = []
+        at = 0
+        for k in [*used, len(plain)]:
+            zeros = k - at
+            while zeros >= 3:
+                n = min(zeros, 138)
+                shown.append((18, n - 11, 7) if n > 10 else (17, n - 3, 3))
+                zeros -= n
+            shown += [(0, 0, 0)] * zeros
+            if k < len(plain):
+                shown.append((plain[k], 0, 0))
+            at = k + 1
+        often = [0] * 19
+        for k, _, _ in shown:
+            often[k] += 1
+        first = code_lengths(np.array(often), 7).tolist()
+        n = max(k for k, s in enumerate(LENGTH_ORDER) if first[s] or k < 4) + 1
+        self.bits((0, 1), (n - 4, 4), *[(first[s], 3) for s in LENGTH_ORDER[:n]], (0, 1))
+        codes = _reversed_codes(np.array(first, np.int64)).tolist()
+        if sum(map(bool, first)) < 2:
+            first = [0] * 19
+        self.bits(*[(codes[k] | extra << first[k], first[k] + wide) for k, extra, wide in shown])
+        return _reversed_codes(lengths), lengths if len(used) > 1 else np.zeros(len(lengths), np.int64)
 
     def image(self, pixels: np.ndarray, width: int, top: bool) -> None:
         """pixels: flat, 32 bits each."""
-        matches = _matches(pixels)
-        hits, keys = _recur(pixels)
+        matches = np.array(_matches(pixels), np.int64).reshape(-1, 3)
         covered = np.zeros(len(pixels) + 1, np.int64)
-        for at, size, _ in matches:
-            covered[at] += 1
-            covered[at + size] -= 1
+        covered[matches[:, 0]] += 1
+        covered[matches[:, 0] + matches[:, 1]] -= 1  # a match may begin where another ends, so both are sums
         alone = np.cumsum(covered[:-1]) == 0
-        hits &= alone
-        cache = CACHE_BITS if 12 * hits.sum() > alone.sum() + 400 else 0
+        keys = ((pixels * _HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+        hits = _recur(pixels, keys) & alone
+        cache = CACHE_BITS if 5 * np.count_nonzero(hits) > np.count_nonzero(alone) + 400 else 0
         if not cache:
             hits[:] = False
-        at = np.concatenate([np.flatnonzero(alone), np.array([m[0] for m in matches], np.int64)])
-        kind = np.concatenate([np.where(hits[alone], 1, 0), np.full(len(matches), 2)])[order := np.argsort(at, kind="stable")]
-        at = at[order]
-        length = np.zeros((2, len(at)), np.int64)
-        if matches:
-            length[:, kind == 2] = np.array(matches).T[1:]
-        lit, hit, ref = kind == 0, kind == 1, kind == 2
+        begins = alone.copy()
+        begins[matches[:, 0]] = True
+        at = np.flatnonzero(begins)
+        ref, hit = ~alone[at], hits[at]
+        lit = ~(ref | hit)
         blue, green, red, alpha = _bytes(pixels[at]).T.astype(np.int64)
-        runs, far = _prefix(length[0][ref]), _prefix(_distance_codes(length[1][ref], width))
-        symbol = green.copy()
+        runs, far = _prefix(matches[:, 1]), _prefix(_distance_codes(matches[:, 2], width))
+        symbol = green
         symbol[hit] = 256 + LENGTHS + keys[at[hit]]
         symbol[ref] = 256 + runs[0]
         self.bits(*([(1, 1), (cache, 4)] if cache else [(0, 1)]), *([(0, 1)] if top else []))
-        fields, sizes = np.zeros((len(at), 5), np.int64), np.zeros((len(at), 5), np.int64)
+        codes, lengths = self.code(np.bincount(symbol, minlength=256 + LENGTHS + (1 << cache if cache else 0)))
+        fields, sizes = codes[symbol], lengths[symbol]
 
-        def put(column: int, rows: np.ndarray, symbols: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> None:
-            fields[rows, column], sizes[rows, column] = codes[symbols], lengths[symbols]
+        def put(rows: np.ndarray, values: np.ndarray, widths: np.ndarray) -> None:
+            fields[rows] |= values << sizes[rows]
+            sizes[rows] += widths
 
-        put(0, np.ones(len(at), bool), symbol, *self.code(np.bincount(symbol, minlength=256 + LENGTHS + (1 << cache if cache else 0)))[:2])
         channels = red[lit], blue[lit], alpha[lit]
         counts = [np.bincount(c, minlength=256) for c in channels]
-        apart = sum(map(_bits_of, counts))
-        if _bits_of(together := sum(counts)) - apart < 600:  # one code for three channels costs little here, and is made once
-            codes, lengths, again = self.code(together)
-            for _ in range(2):
-                for values, widths in again:
-                    self.many(values, widths)
-            for k, c in enumerate(channels):
-                put(k + 1, lit, c, codes, lengths)
+        means = [float(c.mean()) for c in channels] if lit.any() else [0.0]
+        if max(means) - min(means) < ALIKE:  # one code for three channels costs little here, and is made once
+            before = len(self.single)
+            made = [self.code(sum(counts))] * 3
+            self.single += self.single[before:] * 2
         else:
-            for k, c in enumerate(channels):
-                put(k + 1, lit, c, *self.code(counts[k])[:2])
-        put(2, ref, far[0], *self.code(np.bincount(far[0], minlength=40))[:2])
-        fields[ref, 1], sizes[ref, 1] = runs[2], runs[1]
-        fields[ref, 3], sizes[ref, 3] = far[2], far[1]
-        self.many(fields.ravel(), sizes.ravel())
+            made = [self.code(c) for c in counts]
+        for c, (codes, lengths) in zip(channels, made, strict=True):
+            put(lit, codes[c], lengths[c])
+        codes, lengths = self.code(np.bincount(far[0], minlength=40))
+        put(ref, runs[2], runs[1])
+        put(ref, codes[far[0]], lengths[far[0]])
+        put(ref, far[2], far[1])
+        self.many(fields, sizes)
 
 
-def _distance_codes(distances: np.ndarray, width: int) -> np.ndarray:
-    near: dict[int, int] = {}
+@lru_cache(16)
+def _near(width: int) -> dict[int, int]:
+    out: dict[int, int] = {}
     for k, (x, y) in enumerate(NEAR):
-        near.setdefault(max(1, x + y * width), k + 1)
+        out.setdefault(max(1, x + y * width), k + 1)
+    return out
+
+
+def _distance_codes(distances: np.ndarray, width: int) -> np.ndarray:
+    near = _near(width)
     return np.array([near.get(d, d + 120) for d in distances.tolist()], np.int64)
 
 
@@ -536,13 +607,12 @@ def _matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _recur(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether the colour cache holds a pixel when it comes, its key)."""
-    keys = ((pixels * _HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+def _recur(pixels: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the colour cache holds a pixel when it comes."""
     order = np.argsort(keys, kind="stable")
     hits = np.zeros(len(pixels), bool)
     hits[order[1:]] = (keys[order[1:]] == keys[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
-    return hits, keys
+    return hits
 
 
 def _bits_of(counts: np.ndarray) -> float:
@@ -563,17 +633,23 @@ def _cost(channels: np.ndarray) -> float:
     return 4 * n * float(np.log2(n)) - float((counts * np.log2(counts)).sum()) + 4 * len(counts)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> float:
+    """Mean difference of samples."""
+    return float(np.abs((a - b).view(np.int8).astype(np.int16)).mean()) if a.size else 0.0
+
+
 def encode(samples: np.ndarray) -> bytes:
     """A (height, width, 4) array of red, green, blue and alpha samples as one lossless file."""
     height, width, _ = samples.shape
     out, pixels = _Writer(), _pixels(samples[..., [2, 1, 0, 3]])
     out.bits((width - 1, 14), (height - 1, 14), (int(samples[..., 3].min() < 255), 1), (0, 3))
     now = _bytes(pixels)
-    best = _cost(now)
-    colours = np.unique(pixels)
-    if len(colours) <= 256:
+    best = None
+    colours = np.unique(pixels) if len(set(pixels.ravel()[:1024].tolist())) <= 256 else None
+    if colours is not None and len(colours) <= 256:
         index = np.searchsorted(colours, pixels)
         bits = _bundle(len(colours))
+        best = _cost(now)
         if 20 * len(colours) + _entropy(index.ravel()) < best:
             out.bits((1, 1), (PALETTE, 2), (len(colours) - 1, 8))
             steps = _bytes(colours).copy()
@@ -587,37 +663,37 @@ def encode(samples: np.ndarray) -> bytes:
             out.bits((0, 1))
             out.image(pixels.ravel(), pixels.shape[1], True)
             return _boxed(out.done())
-    plain = now.copy()
-    for mode in (1, 2) if height > 1 else (1,):
-        rest = plain.copy()
-        rest[0, 0, 3] = (int(rest[0, 0, 3]) + 1) & 255
-        rest[0, 1:] -= plain[0, :-1]
-        rest[1:, 0] -= plain[:-1, 0]
-        rest[1:, 1:] -= plain[1:, :-1] if mode == 1 else plain[:-1, 1:]
-        if (cost := _cost(rest) + 60) < best:
-            best, now, chosen = cost, rest, mode
-    if now is not None and not np.array_equal(now, plain):
+    chosen, plain = None, now
+    smooth, alike = _apart(plain[:, 1:], plain[:, :-1]) < SMOOTH, _apart(plain[..., :3:2], plain[..., 1:2]) < SMOOTH
+    if (smooth or alike) and best is None:
+        best = _cost(now)
+    if smooth:
+        for mode in (1, 2) if height > 1 else (1,):
+            rest = plain.copy()
+            rest[0, 0, 3] = (int(rest[0, 0, 3]) + 1) & 255
+            rest[0, 1:] -= plain[0, :-1]
+            rest[1:, 0] -= plain[:-1, 0]
+            rest[1:, 1:] -= plain[1:, :-1] if mode == 1 else plain[:-1, 1:]
+            if (cost := _cost(rest) + 60) < best:
+                best, now, chosen = cost, rest, mode
+    side = -(-width // 512), -(-height // 512)
+    if chosen:
         out.bits((1, 1), (PREDICTOR, 2), (7, 3))
-        side = -(-width // 512), -(-height // 512)
         out.image(np.full(side[0] * side[1], BLACK | chosen << 8, np.uint32), side[0], False)
-    crossed = now.copy()
-    factor = 32  # one to one, in 32nds: red and blue as they follow green
-    owed = _cross(factor, np.ascontiguousarray(now[..., 1]))
-    crossed[..., 2] -= owed
-    crossed[..., 0] -= owed
-    green = now.copy()
-    green[..., 2] -= now[..., 1]
-    green[..., 0] -= now[..., 1]
-    costs = {None: best, CROSS: _cost(crossed) + 60, GREEN: _cost(green)}
-    kind = min(costs, key=lambda k: costs[k])
-    if kind == CROSS:
-        now = crossed
-        out.bits((1, 1), (CROSS, 2), (7, 3))
-        side = -(-width // 512), -(-height // 512)
-        out.image(np.full(side[0] * side[1], BLACK | factor << 8 | factor, np.uint32), side[0], False)
-    elif kind == GREEN:
-        now = green
-        out.bits((1, 1), (GREEN, 2))
+    if chosen or alike:
+        factor = 32  # one to one, in 32nds: red and blue as they follow green
+        crossed, green = now.copy(), now.copy()
+        crossed[..., :3:2] -= _cross(factor, np.ascontiguousarray(now[..., 1]))[..., None]
+        green[..., :3:2] -= now[..., 1:2]
+        costs = {None: best, CROSS: _cost(crossed) + 60, GREEN: _cost(green)}
+        kind = min(costs, key=lambda k: costs[k])
+        if kind == CROSS:
+            now = crossed
+            out.bits((1, 1), (CROSS, 2), (7, 3))
+            out.image(np.full(side[0] * side[1], BLACK | factor << 8 | factor, np.uint32), side[0], False)
+        elif kind == GREEN:
+            now = green
+            out.bits((1, 1), (GREEN, 2))
     out.bits((0, 1))
     out.image(_pixels(now).ravel(), width, True)
     return _boxed(out.done())
@@ -657,10 +733,9 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            ids, texts = (c[at : at + 500] for c in batch.columns)
-            made = [(n, store(payload)) for n, payload in (padded(t.as_py()) for t in texts)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for some in parts(batch, 1):
+            made = [(n, store(payload)) for n, payload in (padded(t.as_py()) for t in some.column(1))]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -670,9 +745,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def _loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.names.index("media")
-        for part in range(0, len(batch), 500):
-            some = batch.slice(part, 500)
+        for some in parts(batch, at := batch.schema.names.index("media")):
             yield pa.RecordBatch.from_arrays([*some.columns, pa.array([None if m.as_py() is None else load(m.as_py()) for m in some.column(at)], pa.binary())], [*some.schema.names, "samples"])
 
 
@@ -697,5 +770,9 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: what the contract of the query names; `feature` is rows, mean samples and the shares of sixteen tones."""
-    return load_media(store_texts(docs, id_col, text)).mapInArrow(_described, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Per row: what the contract of the query names; `feature` is rows, mean samples and the shares of sixteen tones.
+
+    The three steps of a row follow each other in one worker, so that neither files nor samples go through the JVM.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text))
+    return docs.mapInArrow(lambda batches: _described(_loaded(_stored(batches))), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
