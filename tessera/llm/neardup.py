@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every text gets its distinct word shingles, a MinHash signature and one key per band (one pass over the texts).
-2. Texts with equal shingle sets become one node, named by their smallest doc_id.
+2. Texts with equal shingle sets become one node, numbered as the table of nodes is written.
 3. Nodes that share a band key are candidates. A bucket is not expanded into its pairs: in each round a few pivots of
    it meet the members that are not yet in their component, and leave the bucket. Members already connected need no
    comparison. The first round takes an eighth of the buckets, the second all that still hold two components.
@@ -11,11 +11,12 @@
    bucket holds two components, so no candidate pair that could change a component is left out.
 4. A candidate pair is pruned by its signatures, compared `BATCH` values at a time: it goes as soon as the posterior
    probability of a similarity at or above the threshold falls under `MISS`.
-5. Pairs that are left are verified exactly on their full shingle sets.
+5. Pairs that are left are verified exactly on their full shingle sets, a shingle being its 64-bit hash.
 
 Defined cases: null and empty texts have no shingles and link with nothing; a text of fewer words than the shingle
 length is one shingle; equal rows get equal results; rows without a doc_id link with nothing, get a null component and are kept;
-two texts under one doc_id count as one node; an empty table gives an empty result; other columns are not read.
+different texts under one doc_id are different documents, each with its own links, though components are named by the smallest doc_id;
+an empty table gives an empty result; other columns are not read by `near_duplicates` and pass through `keep_first`.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import fresh, parts
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 from tessera.shared import discard, few, materialise
@@ -38,7 +40,6 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 40, 1e-7
 FIRST_SHARE = 8  # the first round takes one bucket in so many: it connects most of each group, and the other buckets then need no comparison
 _SEEDS = np.random.Generator(np.random.PCG64(20011)).integers(1, 2**32, (2, HASHES), dtype=np.uint32)
-_PACKED = 5  # bytes of a shingle's hash that the exact check compares
 SKETCH = 2**20  # counters by which shingles are put in order of rarity; any order gives the same links
 
 
@@ -65,21 +66,16 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def _signed(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
-            for at in range(0, len(ids), 1000):  # so that one batch's signatures stay small
-                sets = list(shingle_sets((t.as_py() for t in texts[at : at + 1000]), words))
-                some = [i for i, s in enumerate(sets) if len(s)]
-                signed = np.array([signature(sets[i]) for i in some], np.uint32).reshape(-1, HASHES)
-                keys, at_row = band_keys(signed), {i: k for k, i in enumerate(some)}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids[at : at + 1000],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([keys[at_row[i]] if i in at_row else None for i in range(len(sets))], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "n_shingles", "digest", "bands"],
-                )
+            for some in parts(batch, 1):  # so that one part's signatures stay small
+                made, signed = [], []
+                for s in shingle_sets((t.as_py() for t in some.column(1)), words):
+                    made.append((len(s), blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None))
+                    if len(s):
+                        signed.append(signature(s))
+                keys = iter(band_keys(np.array(signed, np.uint32).reshape(-1, HASHES)))
+                bands = [next(keys) if n else None for n, _ in made]
+                columns = pa.array([n for n, _ in made], pa.int64()), pa.array([d for _, d in made], pa.binary()), pa.array(bands, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), *columns], ["doc_id", "key", "n_shingles", "digest", "bands"])
 
     return of
 
@@ -119,30 +115,26 @@ def _pruned(percent: int):
 def _packed(words: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
-            for at in range(0, len(ids), 500):
-                sets = list(shingle_sets((t.as_py() for t in texts[at : at + 500]), words))
-                some = [i for i, s in enumerate(sets) if len(s)]
-                sets = [sets[i] for i in some]
-                packed = [s.view(np.uint8).reshape(-1, 8)[:, :_PACKED].tobytes() for s in sets]
-                small = [signature(s).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[at : at + 500].take(pa.array(some, pa.int64())), pa.array(small, pa.binary()), pa.array(packed, pa.binary())], ["node", "sig", "shingles"])
+            for some in parts(batch, 1):
+                small, full = [], []
+                for s in shingle_sets((t.as_py() for t in some.column(1)), words):  # nodes have a shingle at least
+                    small.append(signature(s).astype(np.uint8).tobytes())
+                    full.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(small, pa.binary()), pa.array(full, pa.binary())], ["node", "sig", "shingles"])
 
     return of
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // _PACKED, 8), np.uint8)
-    wide[:, :_PACKED] = np.frombuffer(packed, np.uint8).reshape(-1, _PACKED)
-    return wide.view(np.uint64).ravel()
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_py(), np.uint64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            sets = [_unpacked(s.as_py()) & np.uint64(SKETCH - 1) for s in batch.column(0)[at : at + 500]]
-            counts += np.bincount(np.concatenate(sets).astype(np.int64), minlength=SKETCH)
+        for some in parts(batch, 0):
+            sets = [_unpacked(s) & np.uint64(SKETCH - 1) for s in some.column(0)]
+            np.add.at(counts, np.concatenate(sets).astype(np.int64), 1)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["id", "n"])
 
@@ -150,11 +142,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixed(counts, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                nodes, labels, packed = (c[at : at + 500] for c in batch.columns)
+            for some in parts(batch, 2):
+                nodes, labels, packed = some.columns
                 keys, sizes = [], []
                 for s in packed:
-                    x = _unpacked(s.as_py())
+                    x = _unpacked(s)
                     rarest = np.lexsort((x, counts.value[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
                     keys.append(x[rarest[: len(x) + 1 - -(-percent * len(x) // 100)]])
                     sizes.append(len(x))
@@ -181,7 +173,7 @@ def _confirmed(percent: int):
             a, b, set_a, set_b = batch.columns
             keep = []
             for s, t in zip(set_a, set_b, strict=True):
-                x, y = _unpacked(s.as_py()), _unpacked(t.as_py())
+                x, y = _unpacked(s), _unpacked(t)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             keep = pa.array(keep, pa.bool_())
@@ -195,18 +187,24 @@ def _unsettled(active: DataFrame, rows: int) -> DataFrame:
     return few(active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")), rows).where("low <> high").select("key")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(docs.mapInArrow(_signed(words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
-    nodes = materialise(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes"
-    )
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, text and key: rows with equal doc_id and key are repeats of one row."""
+    key = F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit(""))))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), key.alias("key"))
+
+
+def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row of docs (doc_id, text, key): doc_id, key, n_shingles, component (a number; null without a doc_id or shingles) and component_id."""
+    signed = materialise(docs.mapInArrow(_signed(words), "doc_id long, key binary, n_shingles long, digest binary, bands array<long>"), "signed")
+    nodes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
+    nodes = nodes.agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", "n", F.explode("bands").alias("key"))
     full = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     active = materialise(buckets.join(full, "key").select("key", "node", F.col("node").alias("label"), "n", F.lit(0).cast("long").alias("place")).distinct(), "active")
-    involved = active.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialise(docs.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_packed(words), "node long, sig binary, shingles binary"), "sets")
+    involved = nodes.join(active.select("node").distinct(), "node", "left_semi").select("first.doc_id", "first.key", "node")
+    sets = docs.join(involved, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("node", "text")
+    sets = materialise(sets.mapInArrow(_packed(words), "node long, sig binary, shingles binary"), "sets")
     n_active, n_sets = active.count(), 20 * sets.count()  # a set is some twenty times the size of a bucket's row
 
     links, tested, labels, n_links, pivots, share, exact = None, None, None, 0, 1, FIRST_SHARE, False
@@ -246,14 +244,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             pivots *= 16
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    of_set = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_set, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labelled = nodes.select("digest", "node", F.col("first.doc_id").alias("own")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"), "own")
+    smallest = labelled.groupBy("component").agg(F.min("own").alias("smallest"))
+    of_set = labelled.join(smallest, "component").select("digest", "component", "smallest")
+    out = signed.select("doc_id", "key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_set, "digest", "left")
+    return out.select("doc_id", "key", "n_shingles", "component", F.coalesce("smallest", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id)."""
+    found = grouped(_keyed(docs, id_col, text), words, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the smallest doc_id; rows without an id stay."""
-    kept = near_duplicates(docs, words, percent, id_col, text).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each group of near-duplicates, that with the smallest doc_id (of different texts under it, one); repeats of a row
+    without shingles leave one, rows without an id all stay. The texts are shuffled once."""
+    keyed = _keyed(docs, id_col, text)
+    found = grouped(keyed, words, percent).where("doc_id is not null")
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    chosen = first.unionByName(found.where("component is null").select("doc_id", "key").distinct())
+    at, key = fresh(docs.columns, "_near_id"), fresh(docs.columns, "_near_key")
+    marked = docs.select("*", F.col(id_col).cast("long").alias(at), F.unhex(F.md5(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")))).alias(key))
+    one = marked.join(chosen.select(F.col("doc_id").alias(at), F.col("key").alias(key)), [at, key], "left_semi").dropDuplicates([at, key])
+    return one.select(docs.columns).unionByName(docs.where(F.col(id_col).cast("long").isNull()))
