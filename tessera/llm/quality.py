@@ -1,11 +1,16 @@
 """Quality rules as weak supervision: rules vote or abstain, EM estimates how far each rule is to be trusted.
 
+Rules are not independent: those that see the same kind of junk fire together. So a text is good or one of `KINDS` of junk, and each of
+these has its own chance, per rule, that the rule's vote is bad. EM finds all of them and how common each kind is, from the
+votes alone; priors say what a rule is written for and keep chances off 0 and 1, and nothing is held within bounds. A text
+is kept if the posterior of good is a half at least.
+
 Everything here is DataFrame expressions. The EM works on the table of vote patterns, which has at most
 3 ** len(RULES) rows whatever the corpus holds, so each of its steps is one small aggregation and only
-2 * len(RULES) + 1 numbers reach the driver.
+3 * len(RULES) rows of sums reach the driver.
 
 Defined cases: a null text counts as empty, has no words, and fails (too short); equal rows get equal
-results; an empty table gives an empty result (EM then keeps its starting values); other columns are passed through
+results; an empty table gives an empty result (the priors then stand); other columns are passed through
 by `quality_filter` and ignored by `score_quality`.
 """
 
@@ -21,12 +26,8 @@ from tessera.shared import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-ITERATIONS = 12
+ITERATIONS, CLOSE = 20, 1e-3  # EM stops after so many turns, or when no chance moves by more
 GOOD, BAD, ABSTAIN = 1, -1, 0
-#: Bounds within which EM may move a rule: each sees one kind of junk among several, so a good vote says little about
-#: the other kinds, and each is written to be nearly always right on good text. Without them EM, which takes rules as
-#: independent, settles on the largest single kind of junk and calls the other kinds good.
-HIT, CLEAR = (0.05, 0.35), (0.995, 0.9999)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,43 +96,73 @@ def votes(measured: DataFrame, prefix: str = "") -> DataFrame:
     return measured.withColumns({f"{prefix}vote_{name}": rule(lambda c: F.col(prefix + c)) for name, rule in RULES.items()})
 
 
-class Trust(dict):
-    """rule -> (chance of a bad vote given a bad text, chance of a good vote given a good text), among its votes; `prior` of good."""
+#: Kinds of junk and the rules written for each.
+KINDS = {"fragment": ("length", "word_length"), "markup": ("symbols",), "repetition": ("dup_lines", "repeats", "variety"), "shouting": ("capitals", "marks")}
+#: Beta priors of a bad vote, as (mean, votes that it weighs as much as): on good texts, on the kind that the rule is written for, on others.
+PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.005, 100), (0.6, 20), (0.05, 20)
+
+
+def _prior(kind: str, rule: str) -> tuple[float, float]:
+    return PRIOR_GOOD if kind == "good" else PRIOR_OWN if rule in KINDS[kind] else PRIOR_OTHER
+
+
+class Trust:
+    """share: how common good and each kind are; bad: per kind and rule, the chance that the rule's vote, if it has one, is bad."""
+
+    def __init__(self, sums: dict[tuple[str, int, str], float] | None = None) -> None:
+        """sums: (rule, vote, kind) -> texts, in parts as the posterior of the kind has it."""
+        got = sums or {}
+        texts = {kind: sum(n for (rule, _, k), n in got.items() if k == kind and rule == next(iter(RULES))) for kind in ("good", *KINDS)}
+        total = sum(texts.values()) + len(texts)
+        self.share = {kind: (n + 1) / total for kind, n in texts.items()}
+        self.bad = {}
+        for kind in texts:
+            for rule in RULES:
+                mean, weight = _prior(kind, rule)
+                bad, fine = (got.get((rule, v, kind), 0.0) for v in (BAD, GOOD))
+                self.bad[kind, rule] = (bad + mean * weight) / (bad + fine + weight)
+
+    def apart(self, other: Trust) -> float:
+        """The largest difference of two estimates."""
+        return max(*(abs(x - other.bad[k]) for k, x in self.bad.items()), *(abs(x - other.share[k]) for k, x in self.share.items()))
+
+    def posterior(self, prefix: str = "") -> str:
+        """SQL for the array of the probabilities of good and of each kind, in this order, given the votes."""
+        like = []
+        for kind, share in self.share.items():
+            chances = {rule: self.bad[kind, rule] for rule in RULES}
+            of_votes = [f"CASE `{prefix}vote_{r}` WHEN {BAD} THEN {log(p)!r}D WHEN {GOOD} THEN {log(1 - p)!r}D ELSE 0D END" for r, p in chances.items()]
+            like.append(" + ".join([f"{log(share)!r}D", *of_votes]))
+        return f"transform(array(array({', '.join(like)})), x -> transform(x, one -> 1D / aggregate(x, 0D, (total, y) -> total + exp(y - one))))[0]"
 
-    prior = 0.8
 
-    def posterior(self, vote: Callable[[str], Column]) -> Column:
-        odds = F.lit(log(self.prior / (1 - self.prior)))
-        for name, (hit, clear) in self.items():
-            odds = odds + F.when(vote(name) == GOOD, log(clear / (1 - hit))).when(vote(name) == BAD, log((1 - clear) / hit)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+def _first_guess(prefix: str) -> str:
+    """No bad vote: good. Else mostly junk, of the kinds whose rules say so. SQL, as of `Trust.posterior`."""
+    hits = [" + ".join(f"CAST(`{prefix}vote_{rule}` = {BAD} AS DOUBLE)" for rule in rules) for rules in KINDS.values()]
+    total = "aggregate(x, 0D, (total, y) -> total + y)"
+    return f"transform(array(array({', '.join(hits)})), x -> if({total} > 0, concat(array(0.1D), transform(x, y -> 0.9D * y / {total})), concat(array(1D), transform(x, y -> 0D))))[0]"
 
 
 def fit_trust(voted: DataFrame, prefix: str = "", iterations: int = ITERATIONS) -> Trust:
-    """EM over the counts of vote patterns. Starts from: any bad vote makes a text likely bad."""
-    cols = {name: f"{prefix}vote_{name}" for name in RULES}
-    patterns = voted.groupBy(*cols.values()).agg(F.count(F.lit(1)).alias("n")).checkpoint()
-    vote = lambda name: F.col(cols[name])
-    any_bad = F.array_contains(F.array(*[F.col(c) for c in cols.values()]), BAD)
-    trust, good = Trust({name: (0.5, 0.95) for name in RULES}), F.when(any_bad, 0.05).otherwise(0.95)
+    """EM over the counts of vote patterns."""
+    voted_by = [f"{prefix}vote_{name}" for name in RULES]
+    patterns = voted.groupBy(*voted_by).agg(F.count(F.lit(1)).alias("n")).coalesce(1).checkpoint()
+    trust, guess, names = Trust(), _first_guess(prefix), list(RULES)
+    stacked = f"posexplode(array({', '.join(f'`{c}`' for c in voted_by)})) AS (rule, vote)"
     for _ in range(iterations):
-        sums = [F.sum(F.col("n") * F.col("g")).alias("g"), F.sum("n").alias("n")]
-        for name in RULES:
-            sums += [F.sum(F.when(vote(name) == v, F.col("n") * (1 - F.col("g") if of == "b" else F.col("g")))).alias(f"{of}{v}_{name}") for of in "gb" for v in (GOOD, BAD)]
-        got = {k: v or 0.0 for k, v in patterns.withColumn("g", good).agg(*sums).first().asDict().items()}
-        if not got["n"]:
+        sums = [F.expr(f"sum(n * guess[{k}])").alias(kind) for k, kind in enumerate(trust.share)]
+        rows = patterns.selectExpr("n", f"{guess} AS guess", stacked).groupBy("rule", "vote").agg(*sums).collect()  # 3 * len(RULES) rows at most
+        before, trust = trust, Trust({(names[r["rule"]], r["vote"], kind): r[kind] for r in rows for kind in trust.share})
+        guess = trust.posterior(prefix)
+        if trust.apart(before) < CLOSE:
             break
-        share = lambda a, b, weight, of: (a + weight * of) / (a + b + weight)
-        trust = Trust({name: (min(HIT[1], max(HIT[0], share(got[f"b{BAD}_{name}"], got[f"b{GOOD}_{name}"], 4, 0.3))), min(CLEAR[1], max(CLEAR[0], share(got[f"g{GOOD}_{name}"], got[f"g{BAD}_{name}"], 4, 0.995)))) for name in RULES})
-        trust.prior = min(0.99, max(0.5, got["g"] / got["n"]))
-        good = trust.posterior(vote)
     return trust
 
 
 def _verdict(trust: Trust, prefix: str = "") -> tuple[Column, Column, Column]:
     m = lambda c: F.col(prefix + c)
     failed = (m("n_words") < 20) | (100 * m("n_repeat_words") > 30 * m("n_words"))
-    good = trust.posterior(lambda name: F.col(f"{prefix}vote_{name}"))
+    good = F.expr(trust.posterior(prefix))[0]
     return failed, good, ~failed & (good >= 0.5)
 
 
@@ -143,8 +174,11 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs only."""
+    """The rows of docs that are kept, with the columns of docs only. Rows are written with their votes, so that no text is measured twice."""
     p = "_quality_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = f"_{p}"
     voted = votes(measure(docs, text, p), p)
-    _, _, kept = _verdict(fit_trust(voted.select(*[f"{p}vote_{n}" for n in RULES]), p), p)
+    voted = materialise(voted.select(*docs.columns, f"{p}n_words", f"{p}n_repeat_words", *[f"{p}vote_{n}" for n in RULES]), "voted")
+    _, _, kept = _verdict(fit_trust(voted, p), p)
     return voted.where(kept).select(*[F.col(c) for c in docs.columns])
