@@ -23,7 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 250_000  # pieces a worker remembers; then it starts anew
+from tessera.llm.batches import parts
+
+MEMO = 100_000  # pieces a worker remembers; then it starts anew
+
+
+@cache
+def tokens(path: str) -> list[bytes]:
+    """The bytes of each id."""
+    with open(path, "rb") as lines:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
+    return [ranks.get(rank, b"") for rank in range(max(ranks) + 1)]
 
 
 class Vocabulary(dict):
@@ -31,12 +41,8 @@ class Vocabulary(dict):
 
     def __init__(self, path: str) -> None:
         super().__init__()
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks = {k.decode("latin-1"): v for k, v in ranks.items()}
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = tokens(path)
+        self.ranks = {token.decode("latin-1"): rank for rank, token in enumerate(self.bytes_of) if token}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -117,9 +123,6 @@ class Vocabulary(dict):
             self[piece] = ids
         return ids
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
 
 @cache
 def _loaded(path: str, pattern: str) -> tuple[Vocabulary, regex.Pattern]:
@@ -138,8 +141,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", drop_te
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, len(batch), 1000):
-                some = batch.slice(part, 1000)
+            for some in parts(batch, at):
                 ids = [encode_text(t.as_py(), path, pattern) for t in some.column(at)]
                 kept = [c for c, name in zip(some.columns, columns, strict=True) if name in names]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*names, "n_tokens", "ids"])
@@ -148,17 +150,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", drop_te
     return docs.mapInArrow(of, f"{fields}{', ' * bool(fields)}n_tokens long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with column decoded, the bytes that its ids stand for."""
     encoded = encoded.drop("decoded")
     names, at = encoded.columns, encoded.columns.index("ids")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = _loaded(path, pattern)
+        bytes_of = tokens(path)  # all that decoding needs
         for batch in batches:
-            for part in range(0, len(batch), 1000):
-                some = batch.slice(part, 1000)
-                texts = [vocabulary.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in some.column(at)]
+            for some in parts(batch, at):
+                texts = [b"".join([bytes_of[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()]) for x in some.column(at)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
@@ -167,7 +168,5 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select(id_col, text), path, pattern, text), path, pattern)
+    both = decode(encode(docs.select(id_col, text), path, pattern, text), path)
     return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import neardup, spans
 from tessera.llm.components import components
+from tessera.llm.shingles import shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -67,6 +68,24 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(docs.limit(0), 2).count() == 0
 
 
+def test_different_texts_under_one_doc_id(spark):
+    """Each is a document of its own; a repeated row leaves one."""
+    other = "quite other words here"
+    rows = [(1, "alpha beta gamma"), (1, other), (1, other), (2, "alpha beta gamma"), (3, ""), (3, ""), (3, None), (None, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_near_id", F.lit("mine")).withColumn("_near_key", F.lit("mine"))
+    got = neardup.keep_first(docs, 2)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["text"] is None) for r in got.collect()) == sorted([(1, "alpha beta gamma", False), (1, other, False), (3, "", False), (3, "", True), (0, other, False), (0, other, False)])
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 2).collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
+
+
+def test_long_texts_have_the_same_shingles(spark, monkeypatch):
+    text = " ".join(random.Random(3).choices(["a", "Bee", "sea", "dé", "\n", "x" * 90], k=3000))
+    want = {h for h in next(shingle_sets([text], 5)).tolist()}
+    monkeypatch.setattr("tessera.llm.shingles._STEP", 500)
+    assert {h for h in next(shingle_sets([text], 5)).tolist()} == want and len(want) == len(shingles(text, 5))
+
+
 def test_pruning_keeps_what_may_be_alike():
     for n in range(neardup.BATCH, neardup.HASHES + 1, neardup.BATCH):
         least = neardup.least_matches(n, 80)
@@ -125,6 +144,22 @@ def test_repeated_span_edges(spark):
     nameless = spark.createDataFrame([(None, passage), (5, passage), (None, "other")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in spans.remove_repeats(nameless).collect()) == [(0, ""), (0, "other"), (5, passage)]
     assert spans.remove_repeats(docs.limit(0)).count() == 0
+    # Nothing goes of which no other place has a copy, whatever ids rows share.
+    other = passage.replace("One", "Some").replace("Another", "Any").replace("third", "last")
+    for nameless in (None, 6):
+        rows = [(5, passage), (nameless, passage), (nameless, other), (7, passage), (7, other), (7, other)]
+        left = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        kept = Counter((r["doc_id"], r["text"]) for r in left)
+        assert kept[5, passage] == 1 and sum(n for (_, t), n in kept.items() if t == passage) == 1
+        assert kept == ({(5, passage): 1, (6, ""): 1, (6, other): 1, (7, ""): 3} if nameless else {(5, passage): 1, (None, ""): 2, (7, ""): 1, (7, other): 2})
+
+
+def test_whole_sentences(spark):
+    """Without cuts, only whole sentences are found and removed."""
+    three = "One sentence of several words stands here. Another one follows it with more words. The third one closes the passage for good."
+    rows = [(1, f"Head one. {three} Tail one."), (2, f"Half of {three} Tail two."), (3, f"Whole head. {three} End.")]
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cuts=False).collect()}
+    assert got == {1: (5, 0, rows[0][1]), 2: (4, 0, rows[1][1]), 3: (5, 3, "Whole head. End.")}
 
 
 def test_repeated_passages_are_found_inside_sentences():
