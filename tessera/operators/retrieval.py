@@ -1,11 +1,24 @@
-"""Retrieval: lexical, BM25 and dense channels, their fusion, packing into a context, sources and caches."""
+"""Retrieval: lexical, BM25 and dense channels, their fusion, packing into a context, sources and caches.
+
+A question meets every document, but no (question, document) pair is shuffled: questions go to all tasks in blocks of bounded size, a
+task scores each document from its own row and keeps the k best per question, and only those are merged.
+"""
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.shared import materialise
+
+BLOCK = 200_000  # terms, or numbers of vectors, of the questions of one block
+CHANNELS = "channel string, item_id long, doc_id long, score double"
 
 
 def _top(scored: DataFrame, query: str, doc: str, score: str, k: int) -> DataFrame:
@@ -13,36 +26,148 @@ def _top(scored: DataFrame, query: str, doc: str, score: str, k: int) -> DataFra
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """queries in parts of about BLOCK numbers in all, dealt by a hash of their key."""
+    n = max(1, -(-size // BLOCK))
+    return [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else queries for i in range(n)]
+
+
+class _Best:
+    """The k best of each question: highest score, then smallest id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.rows = k, [[] for _ in range(n)]
+        self.worst = np.full(n, -np.inf)  # a score under it has no place
+
+    def add(self, scores: np.ndarray, doc: int, some: np.ndarray) -> None:
+        for i in some[scores[some] >= self.worst[some]].tolist():
+            row = self.rows[i]
+            insort(row, (-float(scores[i]), doc))
+            if len(row) > self.k:
+                row.pop()
+            if len(row) == self.k:
+                self.worst[i] = -row[-1][0]
+
+    def batch(self, items: np.ndarray, channel: str) -> pa.RecordBatch:
+        each = [len(r) for r in self.rows]
+        flat = [x for r in self.rows for x in r]
+        columns = pa.array([channel] * len(flat), pa.string()), pa.array(np.repeat(items, each)), pa.array([d for _, d in flat], pa.int64()), pa.array([-s for s, _ in flat], pa.float64())
+        return pa.RecordBatch.from_arrays(list(columns), ["channel", "item_id", "doc_id", "score"])
+
+
+def _matched(vocabulary) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        for batch in batches:
+            words = batch.column(1)
+            starts, codes = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hit = known[at] == codes
+            found = [np.unique(at[a:b][hit[a:b]], return_counts=True) for a, b in zip(starts[:-1], starts[1:])]
+            lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), *lists], ["doc_id", "len", "terms", "tf"])
+
+    return of
+
+
+def _ranked(index, weights, k: int, k1: float, b: float) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, offsets, asks = index.value  # the questions; per term, which of them have it
+        idf, mean = weights.value
+        lexical, bm25 = _Best(len(items), k), _Best(len(items), k)
+        for batch in batches:
+            for doc, size, terms, tf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if terms:
+                    t, f = np.array(terms), np.array(tf, float)
+                    found = np.concatenate([asks[offsets[x] : offsets[x + 1]] for x in terms])
+                    each = offsets[t + 1] - offsets[t]
+                    weight = idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean))
+                    some = np.unique(found)
+                    lexical.add(np.bincount(found, minlength=len(items)).astype(float), doc, some)
+                    bm25.add(np.round(np.bincount(found, np.repeat(weight, each), len(items)), 6), doc, some)
+        yield lexical.batch(items, "lexical")
+        yield bm25.batch(items, "bm25")
+
+    return of
+
+
+def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """channel, item_id, doc_id, score and place of the k best documents of each question: by shared distinct terms ("lexical") and by BM25.
+
+    queries: item_id, text; docs: doc_id, text. Words are compared by 64-bit hashes. Texts are read once per block of questions; what is written of
+    a document are its counts of the questions' terms. Rows without an id are left out; a question without words finds nothing.
+    """
+    spark = queries.sparkSession
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    asked = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.explode(hashed(X.terms(F.col("text")))).alias("h"))
+    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hashed(X.words(F.col("text"))), F.array().cast("array<long>")).alias("w"))
+    best = None
+    for block in _blocks(asked, "item_id", asked.count()):
+        rows = block.toArrow()  # about BLOCK rows
+        vocabulary, term = np.unique(rows["h"].to_numpy(), return_inverse=True)
+        items, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
+        if not len(items):
+            continue
+        order = np.argsort(term, kind="stable")
+        offsets = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+        matched = materialise(words.mapInArrow(_matched(spark.sparkContext.broadcast(vocabulary)), "doc_id long, len long, terms array<long>, tf array<long>"), "matched")
+        shape = matched.agg(F.count(F.lit(1)), F.avg("len")).first()
+        found = matched.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row per term of the block
+        df = np.zeros(len(vocabulary))
+        df[found["t"].to_numpy()] = found["count"].to_numpy()
+        weights = np.log(1 + (shape[0] - df + 0.5) / (df + 0.5)), shape[1] or 1.0
+        index = spark.sparkContext.broadcast((items, offsets, item[order]))
+        part = matched.mapInArrow(_ranked(index, spark.sparkContext.broadcast(weights), k, k1, b), CHANNELS)
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        best = spark.createDataFrame([], CHANNELS)
+    place = F.row_number().over(Window.partitionBy("channel", "item_id").orderBy(F.desc("score"), "doc_id"))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 2) -> DataFrame:
     """The k documents that share most distinct terms with each query. queries: item_id, text; docs: doc_id, text."""
-    q = queries.select("item_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    d = docs.select("doc_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    return _top(d.join(q, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap")), "item_id", "doc_id", "overlap", k)
+    found = channels(queries, docs, k).where("channel = 'lexical'")
+    return found.select("item_id", "doc_id", F.col("score").cast("long").alias("overlap"), "place")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents by BM25, scores rounded to six places."""
-    words = docs.select("doc_id", X.words(F.col("text")).alias("w"))
-    shape = words.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("w")).alias("mean"))
-    q = queries.select("item_id", F.explode(X.terms(F.col("text"))).alias("term"))
-    used = q.select("term").distinct()
-    tf = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(used, "term").groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    n, mean = shape.first()
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1.0)))
-    scored = tf.join(df, "term").join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return _top(scored, "item_id", "doc_id", "score", k)
+    return channels(queries, docs, k, k1, b).where("channel = 'bm25'").select("item_id", "doc_id", "score", "place")
+
+
+def _nearest(block, k: int) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, asked = block.value
+        best = _Best(len(items), k)
+        every = np.arange(len(items))
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            wide = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+            norms = np.sqrt((wide * wide).sum(axis=1))
+            norms[norms == 0] = np.nan  # no direction: near to nothing
+            for at in range(0, len(ids), 1000):
+                scores = np.round(wide[at : at + 1000] @ asked.T / norms[at : at + 1000, None], 6)
+                for vec_id, row in zip(ids[at : at + 1000].tolist(), scores):
+                    best.add(row, vec_id, every[(items != vec_id) & (row >= best.worst)])
+        yield best.batch(items, "dense")
+
+    return of
 
 
 def dense(vectors: DataFrame, queries: Column, k: int = 3) -> DataFrame:
-    """The k nearest others by cosine for the rows that `queries` picks, a stated query set met by all rows."""
-    wide = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    norm = lambda e: F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
-    wide = wide.withColumn("norm", norm(F.col("e")))
-    q = wide.where(queries).select(F.col("vec_id").alias("item_id"), F.col("e").alias("qe"), F.col("norm").alias("qnorm"))
-    dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = wide.join(q, F.col("vec_id") != F.col("item_id")).select("item_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    return _top(scored, "item_id", "vec_id", "score", k)
+    """The k nearest others by cosine for the rows that `queries` picks, a stated query set met by all rows, block by block of questions."""
+    wide = vectors.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = wide.where(queries)
+    size = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    best = vectors.sparkSession.createDataFrame([], CHANNELS)
+    for block in _blocks(asked, "vec_id", size):
+        rows = block.toArrow()  # about BLOCK numbers
+        if rows.num_rows:
+            q = np.array(rows["embedding"].to_pylist(), float)
+            q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
+            best = best.unionByName(wide.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), q)), k), CHANNELS))
+    return _top(best.select("item_id", F.col("doc_id").alias("vec_id"), "score"), "item_id", "vec_id", "score", k)
 
 
 def fused(channels: list[DataFrame], k: int = 3, constant: int = 60) -> DataFrame:
