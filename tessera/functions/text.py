@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"([\p{L}\p{N}_]+)"
@@ -12,8 +12,11 @@ CLAIMS = (
     ("NEEDS_REVIEW", ("他说", "她说", "朋友说", "假如", "假设", "小说", "故事里")),
     ("SELF_REPORT", ("我认为自己", "我觉得自己", "我是一个", "我喜欢", "我不喜欢")),
 )
+#: Keys; addresses of mail, mobile telephone numbers and identity numbers.
 SECRET = r"(?i)(?:sk-|tvly-|Bearer\s+)\S{8,}|\b[A-Za-z0-9_-]{32,}\b"
-PRIVATE = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}"
+PRIVATE = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|(?<!\d)1[3-9]\d{9}(?!\d)|(?<!\d)\d{17}[\dXx](?!\d)"
+#: Ends of lines as Python's str.splitlines has them, white space at a line's ends, ends of sentences.
+LINES, EDGES, SENTENCES = r"\R|[\x1c-\x1e]", r"^[\s\p{Z}\x1c-\x1f]+|[\s\p{Z}\x1c-\x1f]+$", r"(?<=[。！？.!?])\s*"
 
 
 def folded(text: Column) -> Column:
@@ -92,6 +95,72 @@ def query_refusal(query: Column) -> Column:
     q = F.trim(query)
     return (
         F.when(q.isNull() | ~F.length(q).between(2, 300), "LENGTH")
-        .when(q.rlike(r"[\x00-\x1f]") | q.rlike(SECRET) | q.rlike(PRIVATE) | q.rlike(r"(?<!\d)1[3-9]\d{9}(?!\d)|(?<!\d)\d{17}[\dXx](?!\d)") | q.rlike(r"(?i)(?:api[ _-]*key|密钥|密码|authorization)\s*[:=：]\s*\S+"), "PRIVATE")
+        .when(q.rlike(r"[\x00-\x1f]") | q.rlike(SECRET) | q.rlike(PRIVATE) | q.rlike(r"(?i)(?:api[ _-]*key|密钥|密码|authorization)\s*[:=：]\s*\S+"), "PRIVATE")
         .when(q.rlike(r"(?i)(?:https?|file|ftp|data|javascript)://"), "ADDRESS")
     )
+
+
+def excerpt(text: Column, limit: int = 4200) -> Column:
+    """Whole lines, of overlong lines whole sentences, as far as they fit: what does not fit is passed over. Blank lines between shrink to one."""
+    lines = F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\0")), LINES), lambda x: F.regexp_replace(x, EDGES, ""))
+    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > limit, F.array_remove(F.split(x, SENTENCES), "")).otherwise(F.array(x))))
+    start = F.struct(F.lit("").alias("out"), F.lit(limit).alias("room"), F.lit("").alias("gap"))  # gap: what goes before the next part
+
+    def step(a: Column, x: Column) -> Column:
+        fits = F.length(x) < a["room"]
+        more = F.struct(F.concat(a["out"], a["gap"], x).alias("out"), (a["room"] - F.length(x) - 1).alias("room"), F.lit("\n").alias("gap"))
+        blank = F.struct(a["out"].alias("out"), a["room"].alias("room"), F.when(a["out"] == "", "").otherwise("\n\n").alias("gap"))
+        return F.when(x == "", blank).when(fits, more).otherwise(a)
+
+    return F.aggregate(parts, start, step)["out"]
+
+
+#: Fields of a reply envelope; the longest envelope and part. Fixed values.
+ENVELOPE, LONGEST_ENVELOPE, LONGEST_PART = ("messages", "idle_followup", "expects_reply"), 64_000, 12_000
+
+
+def envelope(text: Column, most: int = 4) -> Column:
+    """A reply as (parts, followup, awaits, refused): the first rule that an envelope breaks refuses it; what is no envelope is one part as it stands.
+
+    parts and followup are raw text; a followup of a reply that awaits an answer is still there.
+    """
+    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\uFEFF]+|\s+$", ""), r"^(?is)```(?:json)?\s*\n?(\s*[{\[].*?)\n?```$", "$1")
+    body = F.trim(trimmed)
+    value = F.try_parse_json(body)
+    field = lambda name, kind: F.try_variant_get(value, f"$.{name}", kind)
+    shape = lambda name: F.coalesce(F.schema_of_variant(field(name, "variant")), F.lit("VOID"))
+    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    ours = F.array(*map(F.lit, ENVELOPE))
+    parts, later = field("messages", "array<string>"), field("idle_followup", "string")
+    fine = lambda x: (F.length(F.trim(x)) > 0) & (F.length(x) <= LONGEST_PART)
+    jsonlike, known = body.rlike(r"^[{\[]"), F.arrays_overlap(keys, ours)
+    rules = (
+        F.when((body == "") | (F.length(body) > LONGEST_ENVELOPE), "EMPTY")
+        .when(~jsonlike, F.when(body.rlike(r'\{\s*"(?:' + "|".join(ENVELOPE) + r')"\s*:'), "UNFINISHED").otherwise("PLAIN"))
+        .when(value.isNull(), "UNFINISHED")
+        .when(body.startswith("{") & ~known, "PLAIN")
+        .when(body.startswith("[") | (F.size(F.array_except(keys, ours)) > 0), "FORM")
+        .when((shape("messages") != "ARRAY<STRING>") | ~shape("idle_followup").isin("STRING", "VOID") | ~shape("expects_reply").isin("BOOLEAN", "VOID"), "CONTENT")
+        .when(F.array_contains(keys, "expects_reply") & (shape("expects_reply") == "VOID"), "CONTENT")
+        .when(~(F.size(parts) + later.isNotNull().cast("int")).between(1, most) | (F.size(parts) == 0), "CONTENT")
+        .when(~F.forall(parts, lambda x: F.coalesce(fine(x), F.lit(False))) | ~F.coalesce(fine(later), F.lit(True)), "CONTENT")
+    )
+    verdict = F.element_at(F.transform(F.array(rules), lambda r: r), 1)
+    out = lambda p, f, a, r: F.struct(p.cast("array<string>").alias("parts"), f.cast("string").alias("followup"), a.alias("awaits"), r.cast("string").alias("refused"))
+    nothing = F.lit(None)
+    return (
+        F.when(verdict == "PLAIN", out(F.array(text), nothing, F.lit(False), nothing))
+        .when(verdict.isNotNull(), out(F.array(), nothing, F.lit(False), verdict))
+        .otherwise(out(parts, later, F.coalesce(field("expects_reply", "boolean"), F.lit(False)), nothing))
+    )
+
+
+def dialogue_batch(replies: DataFrame, text: str, most: int = 4) -> DataFrame:
+    """replies with parts and followup as plain text, and refused. There is no followup where an answer is awaited or the last part asks."""
+    from tessera.functions.udfs import markdown_plain_each
+
+    read = replies.withColumn("_read", envelope(F.col(text), most))
+    plain = read.withColumn("parts", markdown_plain_each("_read.parts")).withColumn("_later", markdown_plain_each(F.array("_read.followup"))[0])
+    asks = F.coalesce(F.try_element_at("parts", F.lit(-1)).rlike(r"[？?][\s\"'”’）)]*$"), F.lit(False))
+    later = F.when(F.col("_read.followup").isNotNull() & ~F.col("_read.awaits") & ~asks, F.col("_later"))
+    return plain.select(*[c for c in replies.columns if c not in ("parts", "followup", "refused")], "parts", later.alias("followup"), F.col("_read.refused").alias("refused"))

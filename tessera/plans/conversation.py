@@ -78,8 +78,8 @@ def conv_markdown_plain(spark, d):
 def conv_dialogue_batches(spark, d):
     m = messages(spark, d).where("speaker = 'AGENT'")
     envelope = F.to_json(F.struct(F.array("text").alias("messages"), F.lit(False).alias("expects_reply")))
-    batch = m.select("conversation_id", "sequence", udfs.dialogue_batch(envelope).alias("b"))
-    return batch.select("conversation_id", "sequence", F.size("b.parts").alias("n_parts"), "b.refused")
+    batch = X.dialogue_batch(m.select("conversation_id", "sequence", envelope.alias("reply")), "reply")
+    return batch.select("conversation_id", "sequence", "parts", "followup", "refused")
 
 
 SQL = {
