@@ -61,12 +61,18 @@ def valid_sets(sets: DataFrame, evidence: DataFrame, key: str, ids: str) -> Data
     return found.groupBy(key).agg(F.bool_and(F.coalesce("fine", F.lit(False))).alias("valid"))
 
 
+def order_lineage(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """What came of what: customers of orders, orders of parts. Ids times four, plus 0 for customers, 1 for orders, 2 for parts."""
+    made = orders.select((F.col("o_custkey") * 4).alias("parent_id"), (F.col("o_orderkey") * 4 + 1).alias("child_id"))
+    return made.unionByName(items.select((F.col("l_orderkey") * 4 + 1).alias("parent_id"), (F.col("l_partkey") * 4 + 2).alias("child_id")))
+
+
 def closure(edges: DataFrame, roots: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     """Every node that the roots reach, the roots included; cycles end because a node enters the frontier once.
 
     State goes to the shared folder each turn, so the plan stays small and a lost executor costs no earlier turn.
     """
-    links = edges.select(F.col(parent).alias("u"), F.col(child).alias("v")).where("v is not null").distinct()
+    links = materialise(edges.select(F.col(parent).alias("u"), F.col(child).alias("v")).where("v is not null").distinct(), "links")
     reached = frontier = materialise(roots.select(F.col(roots.columns[0]).alias("u")).distinct(), "closure")
     while True:
         frontier = materialise(frontier.join(links, "u").select(F.col("v").alias("u")).distinct().join(reached, "u", "left_anti"), "frontier")

@@ -50,8 +50,8 @@ def evid_valid_sets(spark, d):
 
 
 def lineage_closure(spark, d):
-    edges = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("parent_id"), (F.col("o_orderkey") * 7 % 1500 + 1).alias("child_id"))
-    return V.closure(edges, table(spark, d, "customer").where("c_custkey <= 2").select("c_custkey"))
+    edges = V.order_lineage(table(spark, d, "orders"), table(spark, d, "lineitem"))
+    return V.closure(edges, table(spark, d, "customer").where("c_custkey % 100 = 0").select((F.col("c_custkey") * 4).alias("id")))
 
 
 SQL = {
@@ -72,7 +72,7 @@ SQL = {
       SELECT owner_id, sha256(string_agg(line, chr(10) ORDER BY chunk)) AS fingerprint, count(*) AS n_chunks FROM c GROUP BY owner_id""",
     "evid_valid_sets": f"""WITH {EVIDENCE}, s AS (SELECT item_id, unnest(CASE WHEN item_id % 9 = 0 THEN [NULL] ELSE list_transform(range(item_id % 3 + 1), lambda k: item_id * 10 + 1 + k) END) AS id FROM benchmark)
       SELECT item_id, bool_and(coalesce(status = 'ACTIVE' AND origin IN ({REAL}) AND consent_scope IS NOT NULL, false)) AS valid FROM s LEFT JOIN evidence e ON e.id = s.id GROUP BY item_id""",
-    "lineage_closure": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, o_orderkey * 7 % 1500 + 1 AS v FROM orders WHERE o_orderkey % 3 = 0),
-      r(id) AS (SELECT c_custkey FROM customer WHERE c_custkey <= 2 UNION SELECT v FROM r JOIN e ON e.u = r.id) SELECT id FROM r""",
+    "lineage_closure": """WITH RECURSIVE e AS (SELECT o_custkey * 4 AS u, o_orderkey * 4 + 1 AS v FROM orders UNION SELECT l_orderkey * 4 + 1, l_partkey * 4 + 2 FROM lineitem),
+      r(id) AS (SELECT c_custkey * 4 FROM customer WHERE c_custkey % 100 = 0 UNION SELECT v FROM r JOIN e ON e.u = r.id) SELECT id FROM r""",
 }
 QUERIES = [f for n, f in list(globals().items()) if n.startswith(("evid_", "lineage_"))]
