@@ -102,27 +102,27 @@ def _without(cuts: bool):
             for some in parts(batch, 1, most_rows=200):
                 out = [_left(text, covers, cuts) for text, covers in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
                 columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_units", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string()), strict=True))], ["doc_id", "n_removed", "text"])
 
     return of
 
 
-def _left(text: str | None, covers: list[int] | None, cuts: bool) -> tuple[int, int, str]:
-    """(units, units removed, text left) of a text in which runs and windows at these places go."""
-    tokens, _, bounds = cut(text, cuts)
+def _left(text: str | None, covers: list[int] | None, cuts: bool) -> tuple[int, str]:
+    """(units removed, text left) of a text in which runs and windows at these places go."""
     if not covers:
-        return len(bounds) - 1, 0, text or ""
+        return 0, text or ""
+    tokens, _, bounds = cut(text, cuts)
     gone = np.zeros(len(tokens) + 1, np.int64)
     first, size = np.divmod(np.array(covers, np.int64), _UNITS)
     window, run = first[size == 0], size > 0
     np.add.at(gone, np.concatenate([bounds[first[run]], window]), 1)
     np.add.at(gone, np.concatenate([bounds[(first + size)[run]], window + WINDOW]), -1)
     gone = np.cumsum(gone)[:-1] > 0
-    return len(bounds) - 1, int(np.logical_or.reduceat(gone, bounds[:-1]).sum()), "".join(compress(tokens, ~gone))
+    return int(np.logical_or.reduceat(gone, bounds[:-1]).sum()), "".join(compress(tokens, ~gone))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", windows: bool = False, cuts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_units, n_removed, and text without the units that a repeated run covers and, with `windows`, without the words of repeated windows.
+    """Per row: doc_id, n_removed (units), and text without the units that a repeated run covers and, with `windows`, without the words of repeated windows.
 
     Without `cuts`, units are whole sentences and nothing smaller is found or removed.
     """
@@ -136,4 +136,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     later = found.join(first, "h").where("d <> first.d or k <> first.k or place <> first.place")
     places = materialise(later.groupBy("d", "k").agg(F.collect_set("place").alias("places")), "repeats")  # at most a text's own units and words
     marked = placed.join(places, ["d", "k"], "left")
-    return marked.select("doc_id", "text", "places").mapInArrow(_without(cuts), "doc_id long, n_units long, n_removed long, text string")
+    return marked.select("doc_id", "text", "places").mapInArrow(_without(cuts), "doc_id long, n_removed long, text string")

@@ -100,7 +100,7 @@ def test_components(spark):
 
 
 def brute_spans(rows):
-    """doc_id -> (units, units removed, text left), by tuples of words."""
+    """doc_id -> (units removed, text left), by tuples of words."""
     first, units = {}, {}
     for d, t in sorted(rows):
         u, at, words = [], "", []
@@ -124,13 +124,13 @@ def brute_spans(rows):
     out = {}
     for d, (u, runs) in units.items():
         gone = {k for (i, j), run in runs.items() if first[run] != (d, i) for k in range(i, j)}
-        out[d] = len(u), len(gone), "".join(x for i, (x, _) in enumerate(u) if i not in gone)
+        out[d] = len(gone), "".join(x for i, (x, _) in enumerate(u) if i not in gone)
     return out
 
 
 def test_repeated_spans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(docs).collect()}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in spans.remove_repeats(docs).collect()}
     assert got == brute_spans([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
@@ -138,9 +138,9 @@ def test_repeated_span_edges(spark):
     passage = "One sentence of several words stands here. Another one follows it with more words. The third one closes the passage for good and all of its readers."
     rows = [(1, f"Head of one. {passage} Tail of one."), (2, f"Start two and then {passage} End two."), (3, passage), (4, None), (5, ""), (6, "short."), (7, "a b c d e f. " * 3000), (8, f"{passage}\n{passage}"), (9, " \n\t"), (10, "\n\n" + passage.upper().replace(" ", "  "))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("starts", F.lit("mine")).withColumn("places", F.lit("mine"))
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(docs.unionByName(docs.where("doc_id = 4"))).collect()}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in spans.remove_repeats(docs.unionByName(docs.where("doc_id = 4"))).collect()}
     assert got == brute_spans(rows)
-    assert "Another one" in got[1][2] and "Another one" not in got[2][2] and got[3][2] == "" and got[6][1] == 0 and got[10][2] == ""
+    assert "Another one" in got[1][1] and "Another one" not in got[2][1] and got[3][1] == "" and got[6][0] == 0 and got[10][1] == ""
     nameless = spark.createDataFrame([(None, passage), (5, passage), (None, "other")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in spans.remove_repeats(nameless).collect()) == [(0, ""), (0, "other"), (5, passage)]
     assert spans.remove_repeats(docs.limit(0)).count() == 0
@@ -158,8 +158,8 @@ def test_whole_sentences(spark):
     """Without cuts, only whole sentences are found and removed."""
     three = "One sentence of several words stands here. Another one follows it with more words. The third one closes the passage for good."
     rows = [(1, f"Head one. {three} Tail one."), (2, f"Half of {three} Tail two."), (3, f"Whole head. {three} End.")]
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["text"]) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cuts=False).collect()}
-    assert got == {1: (5, 0, rows[0][1]), 2: (4, 0, rows[1][1]), 3: (5, 3, "Whole head. End.")}
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cuts=False).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (3, "Whole head. End.")}
 
 
 def test_repeated_passages_are_found_inside_sentences():
