@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from math import floor
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.shared import materialise
 from tessera.sources.tables import REAL_ORIGINS
 
 ARMS = ("B0", "B1", "B2", "D")
@@ -56,9 +59,34 @@ def primary_score(choice: Column, reference: Column, said: Column, rubric: Colum
 
 
 def arm_summary(scored: DataFrame) -> DataFrame:
-    """Per arm: how many cases were expected, completed, missing and failed, and the mean of the completed."""
+    """Per arm: how many cases were expected, completed, missing and failed, and the clustered mean of the completed. scored: arm, owner_id, session_id, status, score."""
     state = lambda s: F.count_if(F.col("status") == s)
-    return scored.groupBy("arm").agg(F.count(F.lit(1)).alias("expected"), state("COMPLETED").alias("completed"), state("MISSING").alias("missing"), state("FAILED").alias("failed"), F.round(F.avg(F.when(F.col("status") == "COMPLETED", F.col("score"))), 6).alias("mean"))
+    counts = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("expected"), state("COMPLETED").alias("completed"), state("MISSING").alias("missing"), state("FAILED").alias("failed"))
+    return counts.join(arm_means(scored.where("status = 'COMPLETED'")), "arm", "left").select("arm", "expected", "completed", "missing", "failed", F.round("mean", 6).alias("mean"))
+
+
+def arm_means(scored: DataFrame) -> DataFrame:
+    """Per arm the mean of items per session, of sessions per owner, of owners."""
+    sessions = scored.groupBy("arm", "owner_id", "session_id").agg(F.avg("score").alias("m"))
+    return sessions.groupBy("arm", "owner_id").agg(F.avg("m").alias("m")).groupBy("arm").agg(F.avg("m").alias("mean"))
+
+
+def complete_cases(scored: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
+    """Rows of the cases that every arm completed."""
+    whole = scored.where("status = 'COMPLETED'").where(F.col("arm").isin(*arms)).groupBy("case_id").agg(F.count_distinct("arm").alias("n")).where(F.col("n") == len(arms))
+    return scored.where(F.col("arm").isin(*arms)).join(whole.select("case_id"), "case_id", "left_semi")
+
+
+def paired_differences(scored: DataFrame, arm: str = "D") -> DataFrame:
+    """Per complete case: the arm's score less that of the strongest other arm, which is chosen once, on the complete cases.
+
+    Several answers of an arm to a case count as their mean.
+    """
+    rows = complete_cases(scored)
+    best = strongest(arm_means(rows.where(F.col("arm") != arm))).select(F.col("strongest").alias("baseline"))  # one row
+    pairs = rows.groupBy("case_id", "owner_id", "session_id").agg(*[F.avg(F.when(F.col("arm") == a, F.col("score"))).alias(a) for a in ARMS])
+    other = F.coalesce(*[F.when(F.col("baseline") == a, F.col(a)) for a in ARMS])
+    return pairs.join(F.broadcast(best)).select("case_id", "owner_id", "session_id", "baseline", (F.col(arm) - other).alias("difference"))
 
 
 def strongest(means: DataFrame, arm: str = "arm", mean: str = "mean") -> DataFrame:
@@ -66,25 +94,79 @@ def strongest(means: DataFrame, arm: str = "arm", mean: str = "mean") -> DataFra
     return means.agg(F.min_by(arm, F.struct(-F.col(mean), F.col(arm))).alias("strongest"), F.max(mean).alias("best_mean"))
 
 
-def bootstrap(rows: DataFrame, seed: int, iterations: int, user: str = "owner_id", session: str = "session_id", value: str = "difference") -> DataFrame:
+def bootstrap_in_order(means: dict[str, dict[str, float]], seed: int, iterations: int) -> tuple[float, float | None, float | None]:
+    """(estimate, low, high) of a small fixture, user -> session -> mean, with the draws of one generator in a fixed order."""
+    mean = lambda xs: sum(xs) / len(xs)
+    rng, users, draws = random.Random(seed), sorted(means), []
+    for _ in range(iterations):
+        drawn = rng.choices(users, k=len(users))
+        draws.append(mean([mean([means[u][s] for s in rng.choices(sorted(means[u]), k=len(means[u]))]) for u in drawn]))
+    draws.sort()
+    low, high = (draws[floor((iterations - 1) * q)] if len(users) > 1 else None for q in (0.025, 0.975))
+    return mean([mean(list(x.values())) for x in means.values()]), low, high
+
+
+BLOCK = 20_000  # sessions of a user that are resampled at a time
+
+
+def _seeded(*parts: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([p % 2**63 for p in parts])))
+
+
+def _resampled(seed: int):
+    """Of each block of a user's sessions and each iteration, its part of the sum of the user's means."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, float] = {}
+        for batch in batches:
+            for user, block, sizes, means, draws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, means = np.array(sizes), np.array(means)
+                total = int(sizes.sum())
+                for draw in draws:
+                    # Every block of the user deals the same draws over the blocks, and then takes its own share.
+                    share = int(_seeded(seed, user, draw["i"]).multinomial(draw["c"] * total, sizes / total)[block])
+                    taken = _seeded(seed, user, draw["i"], block).integers(0, len(means), share)
+                    sums[draw["i"]] = sums.get(draw["i"], 0.0) + float(means[taken].sum()) / total
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], ["i", "part"])
+
+    return of
+
+
+def bootstrap(rows: DataFrame, seed: int, iterations: int = 1000, user: str = "owner_id", session: str = "session_id", value: str = "difference") -> DataFrame:
     """Resamples users, then sessions of each, a session keeping all its items; the interval by index, null under two users.
 
-    Spark reduces the items to session means; the resampling itself follows one generator's stream in a fixed order and so is one small reducer.
+    Each iteration draws as many users as there are, by hashes of seed, iteration and slot; a user's sessions are resampled in blocks of about
+    `BLOCK`, each with a generator seeded by its place, so the same seed gives the same interval however the work is dealt out. Only the
+    sums of the iterations meet. Rows without a user, session or value are left out; without rows all is null.
     """
-    means = rows.groupBy(F.col(user).alias("u"), F.col(session).alias("s")).agg(F.avg(value).alias("m"))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = {u: dict(sorted(zip(g["s"], g["m"], strict=True))) for u, g in sorted(pdf.groupby("u"))}
-        mean = lambda xs: sum(xs) / len(xs)
-        rng, users, draws = random.Random(seed), sorted(groups), []
-        for _ in range(iterations):
-            drawn = rng.choices(users, k=len(users))
-            draws.append(mean([mean([groups[u][s] for s in rng.choices(list(groups[u]), k=len(groups[u]))]) for u in drawn]))
-        draws.sort()
-        low, high = (draws[floor((iterations - 1) * q)] if len(users) > 1 else None for q in (0.025, 0.975))
-        return pd.DataFrame([(mean([mean(list(x.values())) for x in groups.values()]), low, high, len(users), len(pdf))], columns=["estimate", "low", "high", "users", "sessions"])
-
-    return means.groupBy().applyInPandas(resample, "estimate double, low double, high double, users long, sessions long")
+    spark = rows.sparkSession
+    known = rows.select(F.col(user).alias("u"), F.col(session).alias("s"), F.col(value).alias("v")).where("u is not null and s is not null and v is not null")
+    means = materialise(known.groupBy("u", "s").agg(F.avg("v").alias("m")), "means")
+    users = materialise(means.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean")), "users")
+    n_users, estimate, sessions = users.agg(F.count(F.lit(1)), F.avg("mean"), F.sum("n")).first()
+    if not n_users:
+        return spark.createDataFrame([(None, None, None, 0, 0)], "estimate double, low double, high double, users long, sessions long")
+    numbered = _numbered(users)
+    slots = spark.range(iterations * n_users).select((F.col("id") / n_users).cast("long").alias("i"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n_users)).alias("at"))
+    drawn = slots.groupBy("i", "at").agg(F.count(F.lit(1)).alias("c")).groupBy("at").agg(F.collect_list(F.struct("i", "c")).alias("draws"))  # an entry per iteration at most
+    blocks = means.join(numbered.select("u", "at", F.ceil(F.col("n") / BLOCK).alias("blocks")), "u").withColumn("block", F.pmod(F.xxhash64("s"), "blocks"))
+    blocks = blocks.groupBy("at", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "m"))), lambda x: x["m"]).alias("means"))  # about BLOCK sessions
+    order = F.array_sort(F.collect_list(F.struct("block", F.size("means").alias("size"))))
+    sizes = blocks.groupBy("at").agg(F.transform(order, lambda x: x["size"]).alias("sizes"), F.transform(order, lambda x: x["block"]).alias("names"))
+    work = blocks.join(sizes, "at").join(drawn, "at").select("at", (F.array_position("names", F.col("block")) - 1).alias("block"), "sizes", "means", "draws")
+    sums = work.mapInArrow(_resampled(seed), "i long, part double").groupBy("i").agg((F.sum("part") / n_users).alias("x"))
+    place = F.row_number().over(Window.orderBy("x")) - 1  # a row per iteration
+    low, high = (floor((iterations - 1) * q) for q in (0.025, 0.975))
+    ends = sums.withColumn("place", place).agg(*[F.max(F.when((F.col("place") == at) & F.lit(n_users > 1), F.col("x"))).alias(name) for name, at in (("low", low), ("high", high))])
+    return ends.select(F.lit(estimate).alias("estimate"), "low", "high", F.lit(n_users).cast("long").alias("users"), F.lit(sessions).cast("long").alias("sessions"))
+
+
+def _numbered(users: DataFrame) -> DataFrame:
+    """users with `at`, 0 to n - 1 in the order of a hash: counted per range of the hash, so that no task has all of them."""
+    split = users.withColumn("h", F.xxhash64("u")).withColumn("range", F.shiftrightunsigned("h", 54))
+    before = split.groupBy("range").count().select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))  # 1024 rows at most
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "u"))
+    return split.withColumn("inside", inside).join(F.broadcast(before), "range").select("u", "n", (F.col("before") + F.col("inside") - 1).alias("at"))
 
 
 def violations(records: DataFrame) -> DataFrame:

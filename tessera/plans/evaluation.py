@@ -25,9 +25,9 @@ def eval_four_arm(spark, d):
 
 def eval_arm_summary(spark, d):
     memories, cases, choices = _cases(spark, d)
-    scored = E.predictions(E.requests(memories, cases), cases, choices).join(cases.select("case_id", "reference"), "case_id")
+    scored = E.predictions(E.requests(memories, cases), cases, choices).join(cases.select("case_id", "reference", "owner_id", F.col("domain").alias("session_id")), "case_id")
     status = F.when(F.col("arm").isin("B0"), "MISSING").when(F.col("case_id") % 700 == 99, "FAILED").otherwise("COMPLETED")
-    return E.arm_summary(scored.withColumn("status", status).withColumn("score", (F.col("choice") == F.col("reference")).cast("double")))
+    return E.arm_summary(scored.withColumn("status", status).withColumn("score", E.primary_score(F.col("choice"), F.col("reference"), F.array(), F.array())))
 
 
 def _orders(spark, d):
@@ -44,14 +44,28 @@ def eval_strongest_baseline(spark, d):
     return E.strongest(means)
 
 
+def _scored(spark, d):
+    """Lines of an order as the arms' answers to a case; returned ones failed."""
+    item, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    arm = F.element_at(F.array(*map(F.lit, E.ARMS)), F.col("l_linenumber").cast("int"))
+    rows = item.where("l_linenumber <= 4").join(orders, item.l_orderkey == orders.o_orderkey)
+    return rows.select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 40).alias("owner_id"), F.col("o_custkey").alias("session_id"), arm.alias("arm"), F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("COMPLETED").alias("status"), (F.col("l_quantity") / 50).alias("score"))
+
+
+def eval_paired_differences(spark, d):
+    out = E.paired_differences(_scored(spark, d))
+    return out.select("case_id", "owner_id", "session_id", "baseline", F.round("difference", 6).alias("difference"))
+
+
 def eval_bootstrap_ci(spark, d):
-    rows = _orders(spark, d).withColumn("difference", F.col("value") - 150)
-    return E.bootstrap(rows, seed=1729, iterations=200)
+    return E.bootstrap(E.paired_differences(_scored(spark, d)), seed=1729)
 
 
 def eval_split_windows(spark, d):
-    split = F.when(F.col("doc_id") % 1000 < 600, "train").when(F.col("doc_id") % 1000 < 800, "dev").otherwise("holdout")
-    return E.overlapping(table(spark, d, "documents").where("source <> 'src3' or doc_id % 1000 < 600").select(F.col("source").alias("owner_id"), split.alias("split"), F.col("doc_id").alias("at")))
+    orders = table(spark, d, "orders")
+    split = F.when(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp"), "train").when((F.col("o_orderdate") < F.lit("1997-06-01").cast("timestamp")) | (F.col("o_custkey") % 7 == 3), "dev").otherwise("holdout")
+    late = F.when((F.col("o_custkey") % 7 == 5) & (F.col("o_orderkey") % 3 == 0), "train").otherwise(split)
+    return E.overlapping(orders.select(F.col("o_custkey").alias("owner_id"), late.alias("split"), F.col("o_orderdate").alias("at")))
 
 
 def eval_near_duplicates(spark, d):
@@ -85,17 +99,23 @@ FOUR = f"""docs AS (SELECT *, {TERMS} AS terms, CASE length(text) % 3 WHEN 0 THE
         row_number() OVER (PARTITION BY c.doc_id ORDER BY len(list_intersect(m.terms, c.terms)) DESC, m.doc_id) AS best FROM c JOIN m ON m.source = c.source AND m.doc_id < c.doc_id),
       e AS (SELECT 'B1' AS arm, case_id, id, choice FROM a WHERE first = 1 UNION ALL SELECT 'B2', case_id, id, choice FROM a WHERE best <= 2 UNION ALL SELECT 'D', case_id, id, choice FROM a WHERE same),
       p AS (SELECT arm, case_id, max_by(choice, id) AS choice, max(id) AS evidence_id FROM e WHERE choice IN ('yes', 'no') GROUP BY arm, case_id),
-      four AS (SELECT x.arm, c.doc_id AS case_id, coalesce(p.choice, 'ABSTAIN') AS choice, p.evidence_id, CASE WHEN length(text) % 2 = 0 THEN 'yes' ELSE 'no' END AS reference
+      four AS (SELECT x.arm, c.doc_id AS case_id, c.source, c.lang, coalesce(p.choice, 'ABSTAIN') AS choice, p.evidence_id, CASE WHEN length(text) % 2 = 0 THEN 'yes' ELSE 'no' END AS reference
         FROM c CROSS JOIN (VALUES ('B0'), ('B1'), ('B2'), ('D')) x(arm) LEFT JOIN p ON p.arm = x.arm AND p.case_id = c.doc_id)"""
 SQL = {
     "eval_four_arm": f"WITH {FOUR} SELECT arm, case_id, choice, evidence_id FROM four",
     "eval_arm_summary": f"""WITH {FOUR}, s AS (SELECT *, CASE WHEN arm = 'B0' THEN 'MISSING' WHEN case_id % 700 = 99 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM four)
       SELECT arm, count(*) AS expected, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'MISSING') AS missing, count(*) FILTER (WHERE status = 'FAILED') AS failed,
-        round(avg(CASE WHEN status = 'COMPLETED' THEN CAST(choice = reference AS INT)::DOUBLE END), 6) AS mean FROM s GROUP BY arm""",
+        max(mean) AS mean FROM s LEFT JOIN (SELECT arm, round(avg(m), 6) AS mean FROM (SELECT arm, source, avg(m) AS m FROM (SELECT arm, source, lang, avg(CAST(choice = reference AS INT)) AS m FROM s WHERE status = 'COMPLETED' GROUP BY arm, source, lang) GROUP BY arm, source) GROUP BY arm) USING (arm) GROUP BY arm""",
     "eval_clustered_mean": f"WITH {ORDERS}, s AS (SELECT owner_id, avg(value) AS m FROM orders_of GROUP BY owner_id, session_id), u AS (SELECT avg(m) AS m FROM s GROUP BY owner_id) SELECT round(avg(m), 5) AS mean, count(*) AS n_users FROM u",
     "eval_strongest_baseline": f"WITH {ORDERS}, m AS (SELECT arm, round(avg(value), 2) AS mean FROM orders_of GROUP BY arm) SELECT arm AS strongest, mean AS best_mean FROM m ORDER BY mean DESC, arm LIMIT 1",
-    "eval_split_windows": """WITH s AS (SELECT source AS owner_id, CASE WHEN doc_id % 1000 < 600 THEN 1 WHEN doc_id % 1000 < 800 THEN 2 ELSE 3 END AS k, doc_id FROM documents WHERE source <> 'src3' OR doc_id % 1000 < 600),
-      w AS (SELECT owner_id, k, min(doc_id) AS a, max(doc_id) AS b FROM s GROUP BY owner_id, k), n AS (SELECT *, lead(a) OVER (PARTITION BY owner_id ORDER BY k) AS next FROM w) SELECT DISTINCT owner_id FROM n WHERE next <= b""",
+    "eval_paired_differences": """WITH s AS (SELECT o_orderkey AS case_id, o_custkey % 40 AS owner_id, o_custkey AS session_id, ['B0', 'B1', 'B2', 'D'][CAST(l_linenumber AS INT)] AS arm, l_returnflag <> 'R' AS fine, l_quantity / 50 AS score
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4),
+      w AS (SELECT case_id FROM s WHERE fine GROUP BY case_id HAVING count(DISTINCT arm) = 4), c AS (SELECT * FROM s WHERE case_id IN (SELECT case_id FROM w)),
+      m AS (SELECT arm, avg(m) AS mean FROM (SELECT arm, owner_id, avg(m) AS m FROM (SELECT arm, owner_id, session_id, avg(score) AS m FROM c WHERE arm <> 'D' GROUP BY arm, owner_id, session_id) GROUP BY arm, owner_id) GROUP BY arm),
+      b AS (SELECT arm AS baseline FROM m ORDER BY mean DESC, arm LIMIT 1)
+      SELECT case_id, owner_id, session_id, baseline, round(avg(score) FILTER (WHERE arm = 'D') - avg(score) FILTER (WHERE arm = baseline), 6) AS difference FROM c CROSS JOIN b GROUP BY case_id, owner_id, session_id, baseline""",
+    "eval_split_windows": """WITH s AS (SELECT o_custkey AS owner_id, o_orderdate AS t, CASE WHEN o_custkey % 7 = 5 AND o_orderkey % 3 = 0 THEN 1 WHEN o_orderdate < '1996-01-01' THEN 1 WHEN o_orderdate < '1997-06-01' OR o_custkey % 7 = 3 THEN 2 ELSE 3 END AS k FROM orders),
+      w AS (SELECT owner_id, k, min(t) AS a, max(t) AS b FROM s GROUP BY owner_id, k), n AS (SELECT *, lead(a) OVER (PARTITION BY owner_id ORDER BY k) AS next FROM w) SELECT DISTINCT owner_id FROM n WHERE next <= b""",
     "eval_weighted_gate": """WITH g AS (SELECT l_suppkey AS task, l_linenumber % 5 AS k, sum(l_quantity) / 100 AS mean FROM lineitem GROUP BY l_suppkey, l_linenumber % 5),
       t AS (SELECT task, round(sum(mean * [0.30, 0.25, 0.20, 0.15, 0.10]::DOUBLE[][k + 1]), 6) AS total, round(min(mean), 6) AS least, count(*) AS n_dims FROM g GROUP BY task) SELECT *, total >= 28.0 AND least >= 20.0 AND n_dims = 5 AS passed FROM t""",
     "eval_quality_gate": "WITH g AS (SELECT source, round(avg(quality * 100.0), 4) AS overall, bool_and(toxic = 0) AS all_safe, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source) SELECT *, overall >= 80 AND all_safe AS passed FROM g",

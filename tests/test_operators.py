@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 
 import pytest
@@ -26,19 +27,47 @@ def test_closure_ends_on_cycles(spark):
 ROWS = [("a", "a1", 1.0), ("a", "a1", 0.0), ("a", "a2", 0.5), ("b", "b1", -0.5), ("b", "b2", 0.25), ("b", "b3", 0.0), ("c", "c1", 0.75)]
 
 
+def _means(rows):
+    out = {}
+    for u, s, v in rows:
+        out.setdefault(u, {}).setdefault(s, []).append(v)
+    return {u: {s: sum(vs) / len(vs) for s, vs in x.items()} for u, x in out.items()}
+
+
 @pytest.mark.parametrize(("seed", "n", "low", "high"), [(1729, 1000, -1 / 12, 0.75), (1729, 10, 2 / 9, 2 / 3), (17, 200, -1 / 12, 2 / 3)])
-def test_bootstrap_golden(spark, seed, n, low, high):
-    rows = spark.createDataFrame(ROWS, "owner_id string, session_id string, difference double")
-    out = E.bootstrap(rows, seed, n).first()
-    assert (out["estimate"], out["low"], out["high"]) == pytest.approx((7 / 18, low, high))
+def test_bootstrap_golden(seed, n, low, high):
+    assert E.bootstrap_in_order(_means(ROWS), seed, n) == pytest.approx((7 / 18, low, high))
+
+
+def test_bootstrap_agrees_with_the_draws_in_order(spark):
+    """The distributed draws are others, but of the same distribution: intervals agree closely on many sessions."""
+    rng = random.Random(4)
+    rows = [(f"u{u}", f"u{u}s{s}", rng.gauss(u % 5, 1)) for u in range(30) for s in range(rng.randint(1, 40))]
+    out = E.bootstrap(spark.createDataFrame(rows, "owner_id string, session_id string, difference double"), 5).first()
+    want = E.bootstrap_in_order(_means(rows), 5, 1000)
+    assert out["estimate"] == pytest.approx(want[0]) and (out["low"], out["high"]) == pytest.approx(want[1:], abs=0.12)
+    assert (out["users"], out["sessions"]) == (30, len(rows))
 
 
-def test_bootstrap_invariants(spark):
-    two = spark.createDataFrame([("a", "s", 1.0), ("b", "t", -1.0)], "owner_id string, session_id string, difference double")
+def test_bootstrap_invariants(spark, monkeypatch):
+    two = spark.createDataFrame([("a", "s", 1.0), ("b", "t", -1.0), ("a", None, 5.0), (None, "x", 5.0)], "owner_id string, session_id string, difference double")
     more = two.union(spark.createDataFrame([("a", "s", 1.0)] * 100, two.schema))
-    first, second = E.bootstrap(two, 3, 50).first(), E.bootstrap(more, 3, 50).first()
-    assert first["estimate"] == 0 and (first["low"], first["high"]) == (second["low"], second["high"])
+    first, second = E.bootstrap(two, 3, 50).first(), E.bootstrap(more.repartition(7), 3, 50).first()
+    assert first["estimate"] == 0 and tuple(first) == tuple(second) and (first["low"], first["high"]) == (-1, 1)
     assert E.bootstrap(two.where("owner_id = 'a'"), 3, 50).first()["low"] is None
+    assert tuple(E.bootstrap(two.limit(0), 3, 50).first()) == (None, None, None, 0, 0)
+    same = spark.createDataFrame([("a", f"s{k}", 2.0) for k in range(50)] + [("b", "t", 2.0)], two.schema)
+    monkeypatch.setattr(E, "BLOCK", 7)  # however sessions fall into blocks, as many are drawn as there are
+    out = E.bootstrap(same, 3, 20).first()
+    assert (out["low"], out["high"]) == pytest.approx((2.0, 2.0))
+
+
+def test_paired_differences(spark):
+    rows = [(c, "u", "s", arm, "COMPLETED", v) for c, vs in {1: (0.1, 0.5, 0.4, 0.9), 2: (0.2, 0.3, 0.6, 0.1)}.items() for arm, v in zip(E.ARMS, vs)]
+    rows += [(3, "u", "s", arm, "COMPLETED", 1.0) for arm in E.ARMS[:3]] + [(4, "u", "s", arm, "FAILED" if arm == "B0" else "COMPLETED", 1.0) for arm in E.ARMS]
+    scored = spark.createDataFrame(rows, "case_id long, owner_id string, session_id string, arm string, status string, score double")
+    got = {r["case_id"]: (r["baseline"], round(r["difference"], 6)) for r in E.paired_differences(scored).collect()}
+    assert got == {1: ("B2", 0.5), 2: ("B2", -0.5)}
 
 
 def _case(**x):
