@@ -38,6 +38,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(folded(text), r"[^\p{L}\p{N}_]", "")
 
 
+def kept_words(text: Column) -> Column:
+    """Words only, joined, in the case in which they stand."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_]", "")
+
+
+def byte_estimate(text: Column, around: int = 256) -> Column:
+    """A bound on tokens that holds for any tokenizer: a token a byte, and what goes around the text."""
+    return (F.octet_length(text) + around).cast("long")
+
+
 def wide_characters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[\x00-\x7f]", ""))
 
