@@ -54,11 +54,6 @@ def fenced(results: DataFrame, epochs: Column) -> DataFrame:
     return results.withColumn("late", late)
 
 
-def delay(text: Column, low: float, high: float, per: float = 90.0) -> Column:
-    """Seconds before a part is shown, by its length, within bounds."""
-    return F.least(F.lit(high), F.greatest(F.lit(low), low + F.length(text) / per))
-
-
 def recovered(state: Column) -> Column:
     """What a restart makes of work in flight."""
     return F.when(state.isin("QUEUED", "GENERATING", "DELIVERING"), "INTERRUPTED").when(state == "RUNNING", "PAUSED").otherwise(state)

@@ -27,7 +27,7 @@ def conv_message_view(spark, d):
 
 
 def conv_context_window(spark, d):
-    return C.context(messages(spark, d), last=4)
+    return C.context(messages(spark, d))
 
 
 def conv_incremental_feed(spark, d):
@@ -93,7 +93,7 @@ SQL = {
       SELECT conversation_id, sequence, speaker, CASE WHEN deleted AND speaker = 'USER' THEN '{U}' WHEN deleted THEN '{A}' ELSE text END AS text,
         CASE WHEN retry THEN text END AS retry_text, CASE WHEN retry THEN remember_requested END AS retry_remember FROM m""",
     "conv_context_window": f"""WITH {MESSAGES}, m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence DESC) AS back FROM messages)
-      SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY sequence) FILTER (WHERE back <= 4) AS transcript, count(*) FILTER (WHERE back > 4) AS n_earlier FROM m GROUP BY conversation_id""",
+      SELECT conversation_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY sequence) FILTER (WHERE back <= 12) AS transcript, count(*) FILTER (WHERE back > 12) AS n_earlier FROM m GROUP BY conversation_id""",
     "conv_incremental_feed": f"""WITH {MESSAGES}, r AS (SELECT conversation_id, count(*) FILTER (WHERE deleted) AS redactions FROM messages GROUP BY conversation_id)
       SELECT m.conversation_id, sequence, m.conversation_id % 3 < redactions AS reset FROM messages m JOIN r ON r.conversation_id = m.conversation_id WHERE m.conversation_id % 3 < redactions OR sequence > 2""",
     "conv_reply_state": f"""WITH {MESSAGES}

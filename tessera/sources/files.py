@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +19,6 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline("records"))
 
 
-def read_json_folder(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One row per JSON document of a folder, with its file name."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-
-
 def latest(log: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """An upsert log's present rows: the last per key."""
     row = F.struct(*[F.col(c) for c in log.columns])
@@ -30,9 +26,10 @@ def latest(log: DataFrame, key: str = "id", order: tuple[str, ...] = ("created_a
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, bytes and SHA-256 of every file below path."""
+    """name (with the folders below path), bytes and SHA-256 of every file below path."""
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*(?=/)", "", path.rstrip("/"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", f"\\Q{folder}/\\E", 2), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def restore_faults(recorded: DataFrame, found: DataFrame) -> DataFrame:
@@ -42,13 +39,6 @@ def restore_faults(recorded: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("name", fault.alias("fault")).where("fault is not null")
 
 
-def search_request(provider: Column, query: Column, limit: int) -> Column:
-    """The body of a search call, by provider family."""
-    plain = F.to_json(F.struct(F.lit(limit).alias("max_results"), query.alias("query")))
-    counted = F.to_json(F.struct(F.lit(limit).alias("count"), query.alias("q")))
-    return F.when(provider == "max_results", plain).when(provider == "count", counted)
-
-
 def search_results(payloads: DataFrame, provider: str = "provider", payload: str = "payload") -> DataFrame:
     """provider, pos, url, title, excerpt: the first 50 items of each answer that have an address, whatever field the provider keeps them in."""
     item = "array<struct<url: string, link: string, title: string, name: string, content: string, snippet: string, summary: string>>"

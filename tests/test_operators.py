@@ -233,7 +233,8 @@ def test_private_numbers_are_redacted(spark):
 
 
 def test_backup_faults(spark, tmp_path):
-    for name, text in (("a", "1"), ("b", "2")):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a", "1"), ("b", "2"), ("sub/b", "2")):
         (tmp_path / name).write_text(text)
     kept = files.manifest(spark, str(tmp_path))
     recorded = spark.createDataFrame(kept.collect(), kept.schema)
