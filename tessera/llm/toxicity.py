@@ -20,6 +20,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from heapq import nlargest
 from math import exp, log
@@ -43,8 +44,8 @@ LOOKALIKES = {
 }
 _SWAP = log(0.05)  # cost of reading a sign as a letter and of shortening a run; dropping a sign or undoubling a letter costs twice as much
 _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_]{1,3}[^\W_]){3,}|[^\W\d_][ .\-_][^\W_][ .\-_][^\W\d_])(?![\w@$])")
-#: Chance that a gap within spaced letters ends a word: a single blank, another single sign, a wider gap.
-BREAK = {"blank": 0.2, "sign": 0.02, "wide": 0.8}
+#: Chance that a gap within spaced letters ends a word: one like most of the stretch, a blank or another sign; a gap unlike them, or after two letters in a row.
+BREAK = {"blank": 0.2, "sign": 0.02, "unlike": 0.95}
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|[^\W\d_][0-9@$€]{1,2}$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
 #: Holds wherever `_SPACED` matches or `_ODD` a token: each of their branches has one of these within it.
 _HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_]{1,3}[^\W_][ .\-_]{1,3}[^\W_]")
@@ -91,11 +92,13 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 def _lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
     """Per run of a sign, or of gaps: (letters, cost) choices. A blank ends a word; only `spaced` letters have such choices."""
     out = []
+    gaps = Counter(re.findall(r"[ .\-_]+", token)).most_common(1) if spaced else []
     for run in re.finditer(r"([ .\-_])[ .\-_]*|(.)\2*", token, re.DOTALL):
-        sign, n = run[1] or run[2], len(run[0])
+        sign, n, at = run[1] or run[2], len(run[0]), run.start()
         if run[1]:
             if spaced:
-                ends = BREAK["wide" if n > 1 else "blank" if sign == " " else "sign"]
+                like = run[0] == gaps[0][0] and not (at > 1 and token[at - 2] not in " .-_")
+                ends = BREAK["unlike" if not like else "blank" if sign == " " else "sign"]
                 out.append([("", log(1 - ends)), (" ", log(ends))])
         elif sign in LOOKALIKES:
             choices = [(x * k, _SWAP * n) for x in LOOKALIKES[sign] for k in ((1, 2) if n > 1 else (1,))]
