@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import parts
 
 WIDTH, MOST_ROWS, ROW = 144, 16_384, 576
-AHEAD = 1 << 15  # bits that the decoder reads ahead
+AHEAD = 1 << 13  # bits that the decoder reads ahead
 LENGTHS, CACHE_BITS = 24, 10
 SMOOTH = 24  # mean difference to the pixel before, or of red and blue to green, up to which transforms are weighed; letters differ by more
 ALIKE = 12  # channels whose means differ by less share a prefix code
@@ -50,7 +50,8 @@ NEAR = (
 _HASH = np.uint32(0x1E35A7BD)
 BLACK = 0xFF000000
 _SHIFTS = 8, 16, 0, 24, 0  # where the symbols of the codes for green, red, blue, alpha and distance go
-_FIRST_LENGTH = 256 << 14  # entries of the code for green from here on are lengths and cache keys
+_SAMPLES = np.arange(256)
+_FIRST_LENGTH, _FIRST_CACHED = 256 << 6, 256 + LENGTHS << 6  # where lengths and cache keys begin in entries of the code for green
 
 
 # Prefix codes
@@ -62,7 +63,7 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
     Each symbol's information rounded up; what the code then has to spare goes to those that were rounded up the most.
     """
     lengths = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     if len(used) < 2:
         lengths[used] = 1
         return lengths
@@ -96,7 +97,7 @@ def _mirror(n: int) -> np.ndarray:
 
 def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols in the order of their codes, how much of 2 ** most each code takes, most)."""
-    used = np.flatnonzero(lengths)
+    used = lengths.nonzero()[0]
     used = used[np.argsort(lengths[used], kind="stable")]
     most = int(lengths[used[-1]]) if len(used) else 0
     return used, np.int64(1) << (most - lengths[used]), most
@@ -122,11 +123,6 @@ def _table(packed: bytes) -> tuple[np.ndarray, int]:
     return np.repeat(used << 6 | lengths[used], takes)[_mirror(most)], (1 << most) - 1
 
 
-def _shifted(entries: np.ndarray, mask: int, shift: int) -> tuple[np.ndarray, int]:
-    """The symbols `shift` bits up, as their place in a pixel asks: entries of four channels add up to a pixel and the bits that it took."""
-    return ((entries >> 6) << (6 + shift) | (entries & 63) if shift else entries), mask
-
-
 def _prefix_of(value: np.ndarray) -> np.ndarray:
     """Rows of prefix code, number of extra bits and extra bits of values from 1 on."""
     v = value.astype(np.int64) - 1
@@ -336,31 +332,59 @@ class _Reader:
             n_groups = max(map(max, groups_at)) + 1
         sizes = 256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40
         packed = [self.codes(sizes) for _ in range(n_groups)]
-        groups = [[_shifted(*_table(p), shift) for p, shift in zip(g, _SHIFTS, strict=True)] for g in packed]
+        groups = [[_table(p) for p in g] for g in packed]
         pixels = self._pixels(width, height, cache_bits, groups, groups_at, group_bits)
         if self.at > self.end:
             raise ValueError("file ends early")
         return np.array(pixels, np.uint32).reshape(height, width)
 
-    def _ahead(self, start: int, size: int, group: list) -> tuple[np.ndarray, memoryview, memoryview]:
-        """Read a literal from each of `size` places on, start being the first of a byte: (the entry for green, the pixel, the place after it; -1: no literal)."""
+    def _ahead(self, start: int, size: int, group: list) -> tuple[np.ndarray, np.ndarray, memoryview]:
+        """Where a literal or a cached pixel ends that begins at one of `size` places, start being the first of a byte.
+
+        (The bits from each place on, the entry for green, the place after; -1: a back-reference.)
+        """
         words = self.eight[start >> 3 : (start >> 3) + (size >> 3) + 9]
         v = (words[:, None] >> np.arange(8, dtype=np.uint64)).ravel().view(np.int64)
-        green, red, blue, alpha = (entries.take(v & mask) if mask else np.broadcast_to(entries, v.shape) for entries, mask in group[:4])
-        total = green[:size].copy()
-        after = np.arange(size) + (total & 63)
-        for channel in (red, blue, alpha):
-            found = channel.take(after)
-            after += found & 63
-            total += found
-        after[green[:size] >= _FIRST_LENGTH] = -1
-        return green, memoryview(total >> 6), memoryview(after)
+        green = group[0][0].take(v[:size] & group[0][1])
+        after = np.arange(size) + (green & 63)
+        last = steps = None
+        for entries, mask in group[1:4]:
+            if not mask:
+                continue
+            if entries is not last:  # equal codes have one table
+                last, steps = entries, (entries & 63).take(v & mask)
+            after += steps.take(after)
+        after[green >= _FIRST_LENGTH] = -1
+        if len(cached := (green >= _FIRST_CACHED).nonzero()[0]):
+            after[cached] = cached + (green[cached] & 63)
+        return v, green, memoryview(after)
+
+    def _literals(self, places: list[int], v: np.ndarray, green: np.ndarray, group: list, cache: list[int] | None, shift: int) -> list[int]:
+        """The pixels that begin at these places; the cache takes them up."""
+        at = np.array(places)
+        first = found = green.take(at)
+        total = (found >> 6) << _SHIFTS[0]
+        for (entries, mask), up in zip(group[1:4], _SHIFTS[1:4], strict=True):
+            at += found & 63
+            found = entries.take(v.take(at) & mask) if mask else entries[:1]
+            total += (found >> 6) << up
+        out = total.tolist()
+        if cache is not None:
+            hits = first >= _FIRST_CACHED
+            keys = np.where(hits, (first >> 6) - (256 + LENGTHS), ((total * 0x1E35A7BD) & 0xFFFFFFFF) >> shift)
+            for i, (key, hit) in enumerate(zip(keys.tolist(), hits.tolist(), strict=True)):
+                if not hit:
+                    cache[key] = out[i]
+                elif x := cache[key]:
+                    out[i] = x
+                else:  # of a slot not yet written: black without alpha, whose own slot is the first
+                    out[i] = cache[0] = 0
+        return out
 
     def _pixels(self, width: int, height: int, cache_bits: int, groups: list, groups_at: list | None, group_bits: int) -> list[int]:
         p, n = self.at, width * height
         out: list[int] = []
-        add = out.append
-        cache, shift, cached = [0] * (1 << cache_bits), 32 - cache_bits, 0
+        cache, shift, cached = [0] * (1 << cache_bits) if cache_bits else None, 32 - cache_bits, 0
         i = group = 0
         known = start = size = -1  # what was read ahead: the group, the first place, the number of places
         while i < n:
@@ -374,44 +398,42 @@ class _Reader:
                     raise ValueError("file ends early")
                 known, start = group, p & -8
                 size = min(AHEAD, ((self.end - start) | 7) + 1, 64 * (n - i) + 8)
-                green, pixel, after = self._ahead(start, size, groups[group])
-            k = p - start
+                v, green, after = self._ahead(start, size, groups[group])
+            k, places = p - start, []
+            add = places.append
             for i in range(i, stop):
                 if k >= size or (j := after[k]) < 0:
                     break
-                add(pixel[k])
+                add(k)
                 k = j
             else:
                 i = stop
+            if places:
+                if cache is not None:
+                    for x in out[cached:]:
+                        cache[((x * 0x1E35A7BD) & 0xFFFFFFFF) >> shift] = x
+                out += self._literals(places, v, green, groups[group], cache, shift)
+                cached = len(out)
             p = start + k
             if i == stop or k >= size:
                 continue
             e = int(green[k])
-            s = e >> 14
-            p += e & 63
-            if s < 256 + LENGTHS:
-                self.at = p
-                length = self.value(s - 256)
-                distance = self.value(self.symbol(groups[group][4]))
-                p = self.at
-                if distance > 120:
-                    distance -= 120
-                else:
-                    x, y = NEAR[distance - 1]
-                    distance = max(1, x + y * width)
-                if distance > i or i + length > n:
-                    raise ValueError("back-reference out of the image")
-                if distance >= length:
-                    out += out[i - distance : i - distance + length]
-                else:
-                    out += (out[i - distance :] * (length // distance + 1))[:length]
-                i += length
+            self.at = p + (e & 63)
+            length = self.value((e >> 6) - 256)
+            distance = self.value(self.symbol(groups[group][4]))
+            p = self.at
+            if distance > 120:
+                distance -= 120
+            else:
+                x, y = NEAR[distance - 1]
+                distance = max(1, x + y * width)
+            if distance > i or i + length > n:
+                raise ValueError("back-reference out of the image")
+            if distance >= length:
+                out += out[i - distance : i - distance + length]
             else:
-                for x in out[cached:i]:
-                    cache[((x * 0x1E35A7BD) & 0xFFFFFFFF) >> shift] = x
-                cached = i
-                add(cache[s - 256 - LENGTHS])
-                i += 1
+                out += (out[i - distance :] * (length // distance + 1))[:length]
+            i += length
         self.at = p
         return out
 
@@ -451,8 +473,26 @@ def decode(data: bytes) -> np.ndarray:
 # Writing
 
 
+def _length_code(often: list[int]) -> tuple[int, int, list[int], list[int]]:
+    """A prefix code for code lengths: (the fields that announce it, their bits, lengths as used, codes)."""
+    first = code_lengths(np.array(often), 7).tolist()
+    n = max(k for k, s in enumerate(LENGTH_ORDER) if first[s] or k < 4) + 1
+    head, size = (n - 4) << 1, 5
+    for s in LENGTH_ORDER[:n]:
+        head |= first[s] << size
+        size += 3
+    codes = _reversed_codes(np.array(first, np.int64)).tolist()
+    return head, size + 1, first if sum(map(bool, first)) > 1 else [0] * 19, codes
+
+
+@lru_cache(1)
+def _usual() -> tuple[int, int, list[int], list[int]]:
+    """The code for lengths up to `SHORT`, as symbols of text have them: long ones and short runs of zeros come most."""
+    return _length_code([3, 1, 1, 2, 4, 8, 12, 16, 20, 24, 0, 0, 0, 0, 0, 0, 0, 8, 6])
+
+
 class _Writer:
-    """Fields of at most 57 bits, lowest bit first: single ones in a list, until a column of them comes."""
+    """Fields of at most 63 bits, lowest bit first: single ones in a list, until a column of them comes."""
 
     def __init__(self) -> None:
         self.values: list[np.ndarray] = []
@@ -473,15 +513,19 @@ class _Writer:
     def done(self) -> bytes:
         self.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        starts = np.cumsum(sizes) - sizes
-        parts = (values.astype("<u8") << (starts & 7).astype("<u8")).view(np.uint8).reshape(-1, 8)
-        # No two fields share a bit, so that bytes add up without a carry.
-        total = np.bincount(((starts >> 3)[:, None] + np.arange(8)).ravel(), weights=parts.ravel())
-        return total.astype(np.uint8).tobytes()[: (int(sizes.sum()) + 7) >> 3]
+        ends = np.cumsum(sizes)
+        starts, size = ends - sizes, int(ends[-1])
+        values, word, shift = values.view(np.uint64), starts >> 6, (starts & 63).view(np.uint64)
+        total = np.zeros((size >> 6) + 2, "<u8")
+        first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
+        total[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = ((ends - 1) >> 6 > word).nonzero()[0]  # fields that end in the next word
+        total[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        return total.tobytes()[: (size + 7) >> 3]
 
     def code(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Write a prefix code; (codes, lengths as used)."""
-        used = np.flatnonzero(counts).tolist()
+        used = counts.nonzero()[0].tolist()
         if len(used) <= 2 and (not used or used[-1] < 256):
             a = used[0] if used else 0
             wide = int(a > 1)
@@ -504,15 +548,14 @@ class _Writer:
             if k < len(plain):
                 shown.append((plain[k], 0, 0))
             at = k + 1
-        often = [0] * 19
-        for k, _, _ in shown:
-            often[k] += 1
-        first = code_lengths(np.array(often), 7).tolist()
-        n = max(k for k, s in enumerate(LENGTH_ORDER) if first[s] or k < 4) + 1
-        self.bits((0, 1), (n - 4, 4), *[(first[s], 3) for s in LENGTH_ORDER[:n]], (0, 1))
-        codes = _reversed_codes(np.array(first, np.int64)).tolist()
-        if sum(map(bool, first)) < 2:
-            first = [0] * 19
+        if lengths.max() <= SHORT:
+            head, size, first, codes = _usual()
+        else:
+            often = [0] * 19
+            for k, _, _ in shown:
+                often[k] += 1
+            head, size, first, codes = _length_code(often)
+        self.bits((head, size))
         self.bits(*[(codes[k] | extra << first[k], first[k] + wide) for k, extra, wide in shown])
         return _reversed_codes(lengths), lengths if len(used) > 1 else np.zeros(len(lengths), np.int64)
 
@@ -523,20 +566,21 @@ class _Writer:
         covered[matches[:, 0]] += 1
         covered[matches[:, 0] + matches[:, 1]] -= 1  # a match may begin where another ends, so both are sums
         alone = np.cumsum(covered[:-1]) == 0
-        keys = ((pixels * _HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+        keys = ((pixels * _HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.uint16)
         hits = _recur(pixels, keys) & alone
         cache = CACHE_BITS if 5 * np.count_nonzero(hits) > np.count_nonzero(alone) + 400 else 0
         if not cache:
             hits[:] = False
         begins = alone.copy()
         begins[matches[:, 0]] = True
-        at = np.flatnonzero(begins)
+        at = begins.nonzero()[0]
         ref, hit = ~alone[at], hits[at]
         lit = ~(ref | hit)
         blue, green, red, alpha = _bytes(pixels[at]).T.astype(np.int64)
         runs, far = _prefix(matches[:, 1]), _prefix(_distance_codes(matches[:, 2], width))
         symbol = green
-        symbol[hit] = 256 + LENGTHS + keys[at[hit]]
+        if cache:
+            symbol[hit] = 256 + LENGTHS + keys[at[hit]].astype(np.int64)
         symbol[ref] = 256 + runs[0]
         self.bits(*([(1, 1), (cache, 4)] if cache else [(0, 1)]), *([(0, 1)] if top else []))
         codes, lengths = self.code(np.bincount(symbol, minlength=256 + LENGTHS + (1 << cache if cache else 0)))
@@ -548,7 +592,7 @@ class _Writer:
 
         channels = red[lit], blue[lit], alpha[lit]
         counts = [np.bincount(c, minlength=256) for c in channels]
-        means = [float(c.mean()) for c in channels] if lit.any() else [0.0]
+        means = [float(c @ _SAMPLES) / max(1, len(channels[0])) for c in counts]
         if max(means) - min(means) < ALIKE:  # one code for three channels costs little here, and is made once
             before = len(self.single)
             made = [self.code(sum(counts))] * 3
@@ -584,20 +628,20 @@ def _matches(pixels: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     key = (pixels[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pixels[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + pixels[2:]
     order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    same = (key[order[1:]] == key[order[:-1]]).nonzero()[0]
     if not len(same):
         return []
     before = np.full(n, -1, np.int64)
     before[order[same + 1]] = order[same]
     out, free = [], 0
-    for at in np.flatnonzero(before >= 0).tolist():
+    for at in (before >= 0).nonzero()[0].tolist():
         if at < free:
             continue
         start = int(before[at])
         room, size = min(4096, len(pixels) - at), 0
         while size < room:
             part = min(64, room - size)
-            differ = np.flatnonzero(pixels[start + size : start + size + part] != pixels[at + size : at + size + part])
+            differ = (pixels[start + size : start + size + part] != pixels[at + size : at + size + part]).nonzero()[0]
             size += int(differ[0]) if len(differ) else part
             if len(differ):
                 break
