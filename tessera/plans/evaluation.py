@@ -11,9 +11,10 @@ WEIGHTS = {"decisions": 0.30, "values": 0.25, "consistency": 0.20, "style": 0.15
 
 
 def _cases(spark, d):
+    """Every document is a memory; those whose id is divisible by 100 are cases too."""
     docs = table(spark, d, "documents")
-    memories = docs.where("doc_id % 10 < 8").select(F.col("doc_id").alias("id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("occurred_text"), F.col("text").alias("content"))
-    cases = docs.where("doc_id % 100 = 99").select(F.col("doc_id").alias("case_id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.col("text").alias("question"), F.array(F.lit("yes"), F.lit("no")).alias("options"), F.when(F.length("text") % 2 == 0, "yes").otherwise("no").alias("reference"))
+    memories = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("occurred_text"), F.col("text").alias("content"))
+    cases = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("case_id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.col("text").alias("question"), F.array(F.lit("yes"), F.lit("no")).alias("options"), F.when(F.length("text") % 2 == 0, "yes").otherwise("no").alias("reference"))
     choices = docs.select(F.col("doc_id").alias("id"), F.when(F.length("text") % 3 == 0, "yes").when(F.length("text") % 3 == 1, "no").otherwise("maybe").alias("choice"))
     return memories, cases, choices
 
@@ -26,7 +27,7 @@ def eval_four_arm(spark, d):
 def eval_arm_summary(spark, d):
     memories, cases, choices = _cases(spark, d)
     scored = E.predictions(E.requests(memories, cases), cases, choices).join(cases.select("case_id", "reference", "owner_id", F.col("domain").alias("session_id")), "case_id")
-    status = F.when(F.col("arm").isin("B0"), "MISSING").when(F.col("case_id") % 700 == 99, "FAILED").otherwise("COMPLETED")
+    status = F.when(F.col("arm").isin("B0"), "MISSING").when(F.col("case_id") % 700 == 0, "FAILED").otherwise("COMPLETED")
     return E.arm_summary(scored.withColumn("status", status).withColumn("score", E.primary_score(F.col("choice"), F.col("reference"), F.array(), F.array())))
 
 
@@ -94,16 +95,16 @@ def eval_review_sample(spark, d):
 ORDERS = "orders_of AS (SELECT c_nationkey AS owner_id, c_custkey AS session_id, o_totalprice / 1000 AS value, substring(o_orderpriority, 1, 1) AS arm FROM orders JOIN customer ON o_custkey = c_custkey)"
 TERMS = r"list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+'))"
 FOUR = f"""docs AS (SELECT *, {TERMS} AS terms, CASE length(text) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'maybe' END AS choice FROM documents),
-      c AS (SELECT * FROM docs WHERE doc_id % 100 = 99), m AS (SELECT * FROM docs WHERE doc_id % 10 < 8),
+      c AS (SELECT * FROM docs WHERE doc_id % 100 = 0),
       a AS (SELECT c.doc_id AS case_id, m.doc_id AS id, m.choice, m.lang = c.lang AS same, row_number() OVER (PARTITION BY c.doc_id ORDER BY m.doc_id) AS first,
-        row_number() OVER (PARTITION BY c.doc_id ORDER BY len(list_intersect(m.terms, c.terms)) DESC, m.doc_id) AS best FROM c JOIN m ON m.source = c.source AND m.doc_id < c.doc_id),
+        row_number() OVER (PARTITION BY c.doc_id ORDER BY len(list_intersect(m.terms, c.terms)) DESC, m.doc_id) AS best FROM c JOIN docs m ON m.source = c.source AND m.doc_id < c.doc_id),
       e AS (SELECT 'B1' AS arm, case_id, id, choice FROM a WHERE first = 1 UNION ALL SELECT 'B2', case_id, id, choice FROM a WHERE best <= 2 UNION ALL SELECT 'D', case_id, id, choice FROM a WHERE same),
       p AS (SELECT arm, case_id, max_by(choice, id) AS choice, max(id) AS evidence_id FROM e WHERE choice IN ('yes', 'no') GROUP BY arm, case_id),
       four AS (SELECT x.arm, c.doc_id AS case_id, c.source, c.lang, coalesce(p.choice, 'ABSTAIN') AS choice, p.evidence_id, CASE WHEN length(text) % 2 = 0 THEN 'yes' ELSE 'no' END AS reference
         FROM c CROSS JOIN (VALUES ('B0'), ('B1'), ('B2'), ('D')) x(arm) LEFT JOIN p ON p.arm = x.arm AND p.case_id = c.doc_id)"""
 SQL = {
     "eval_four_arm": f"WITH {FOUR} SELECT arm, case_id, choice, evidence_id FROM four",
-    "eval_arm_summary": f"""WITH {FOUR}, s AS (SELECT *, CASE WHEN arm = 'B0' THEN 'MISSING' WHEN case_id % 700 = 99 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM four)
+    "eval_arm_summary": f"""WITH {FOUR}, s AS (SELECT *, CASE WHEN arm = 'B0' THEN 'MISSING' WHEN case_id % 700 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM four)
       SELECT arm, count(*) AS expected, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'MISSING') AS missing, count(*) FILTER (WHERE status = 'FAILED') AS failed,
         max(mean) AS mean FROM s LEFT JOIN (SELECT arm, round(avg(m), 6) AS mean FROM (SELECT arm, source, avg(m) AS m FROM (SELECT arm, source, lang, avg(CAST(choice = reference AS INT)) AS m FROM s WHERE status = 'COMPLETED' GROUP BY arm, source, lang) GROUP BY arm, source) GROUP BY arm) USING (arm) GROUP BY arm""",
     "eval_clustered_mean": f"WITH {ORDERS}, s AS (SELECT owner_id, avg(value) AS m FROM orders_of GROUP BY owner_id, session_id), u AS (SELECT avg(m) AS m FROM s GROUP BY owner_id) SELECT round(avg(m), 5) AS mean, count(*) AS n_users FROM u",
