@@ -33,6 +33,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def entries(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder, none if there is no such folder."""
+    where, files = _hadoop_path(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with what it holds."""
+    where, files = _hadoop_path(spark, path)
+    files.delete(where, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
@@ -41,11 +53,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives a lost executor."""
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and outlives a lost executor. by: the last column, for a folder per value."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -53,10 +65,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that no later plan reads."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        where, files = _hadoop_path(df.sparkSession, path)
-        files.delete(where, True)
+    if path := getattr(df, "_tessera_path", None):
+        remove(df.sparkSession, path)
 
 
 def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
