@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, neardup, quality, secrets, spans, token_counts, toxicity, warc, webp
+from tessera.llm import bpe, line_runs, mixing, neardup, prefix_trie, quality, resample, secrets, spans, token_counts, toxicity, warc, webp
 from tessera.shared import new_path
 
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -78,6 +78,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_runs.dedup_lines(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_webp, op2_near_duplicates, op3_toxicity, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_webp, op2_near_duplicates, op3_toxicity, op4_repeated_spans, op5_byte_bpe, op6_secrets, op7_token_counts, op8_mixing, op9_quality, op10_warc, op11_resampling, op12_line_dedup, op13_prefix_trie, pipeline)}
 
 
 #: The other queries rest on hashes, models or codecs that SQL lacks; tests hold those against brute force.

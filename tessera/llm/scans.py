@@ -1,0 +1,39 @@
+"""Running sums along an order, for groups of any size: no group has to fit in one task."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.llm.batches import fresh
+from tessera.shared import materialise
+
+
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: dict[str, Column], parts: int | None = None) -> DataFrame:
+    """rows with, under each name of `sums`, the sum over the rows of its group up to and including its own. Sums must not be null.
+
+    Rows are dealt by ranges of (by, order), so that a large group spans several parts; each part is summed in order, and what the group's
+    earlier parts hold is added. Of what is carried over there are at most two rows a part. The table of dealt rows is written, so that parts
+    stay as they are when an executor is lost; `rows` is read twice, as Spark samples it for the ranges. Rows that tie are taken in any order.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [*rows.columns, *sums]
+    part, tie, spans = (fresh(names, c) for c in ("_part", "_tie", "_spans"))
+    dealt = rows.withColumns({**sums, tie: F.monotonically_increasing_id()}).repartitionByRange(n, *by, *order, tie)
+    dealt = materialise(dealt.withColumn(part, F.spark_partition_id()), "dealt")
+
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*by, part).agg(*[F.sum(s).alias(s) for s in sums]).withColumn(spans, F.count(F.lit(1)).over(group)).where(F.col(spans) > 1)
+    carried = totals.select(*[F.col(c).alias(f"carried.{c}") for c in (*by, part)], *[F.sum(s).over(earlier).alias(f"carried.{s}") for s in sums])
+    carried = materialise(carried, "carried")
+
+    so_far = Window.partitionBy(part, *by).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumns({s: F.sum(s).over(so_far) for s in sums})
+    same = F.col(part) == F.col(f"`carried.{part}`")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"`carried.{c}`"))
+    found = within.join(carried, same, "left")
+    return found.select(*rows.columns, *[(F.col(s) + F.coalesce(F.col(f"`carried.{s}`"), F.lit(0))).alias(s) for s in sums])
