@@ -195,7 +195,7 @@ def gone_keys(docs: DataFrame, store: LineStore, shortest: int = SHORTEST, batch
 def drop_lines(docs: DataFrame, gone: DataFrame, shortest: int = SHORTEST, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_lines (before), n_dropped and kept, the text without the lines in gone (doc_id, keys)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), _id(id_col).alias("id"))
-    both = rows.join(gone.select(F.col("doc_id").alias("id"), "keys").hint("merge"), "id", "left")  # alike at every size.select("doc_id", "text", "keys")
+    both = rows.join(gone.select(F.col("doc_id").alias("id"), "keys").hint("merge"), "id", "left").select("doc_id", "text", "keys")  # merged at every size
     return both.mapInArrow(_dropped(shortest), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
