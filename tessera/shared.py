@@ -63,12 +63,23 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of materialise() with one schema, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._tessera_path for t in tables])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialise() that no later plan reads."""
     if path := getattr(df, "_tessera_path", None):
         remove(df.sparkSession, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its files give fewer: a table of one row group would keep one core busy. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """df in as many tasks as its known number of rows asks for, not as many as the session has shuffle partitions."""
     return df.coalesce(max(1, -(-rows // each)))
