@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.batches import fresh, parts
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
-from tessera.shared import discard, few, materialise
+from tessera.shared import discard, few, materialise, together
 
 BANDS, ROWS = 40, 6  # a pair at similarity 0.8 shares no band with probability 5e-6
 HASHES = BANDS * ROWS
@@ -159,12 +159,16 @@ def _prefixed(counts, percent: int):
 
 
 def _prefix_buckets(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
-    """Buckets by prefix shingle of the nodes of `left` (node, label)."""
+    """Buckets by prefix shingle of the nodes of `left` (node, label), written."""
     sets = materialise(left.join(sets, "node").select("node", "label", "shingles"), "left")
     found = sets.select("shingles").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
     counts = np.zeros(SKETCH, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
-    return sets.mapInArrow(_prefixed(sets.sparkSession.sparkContext.broadcast(counts), percent), "key long, node long, label long, n long, place long")
+    known = sets.sparkSession.sparkContext.broadcast(counts)
+    out = materialise(sets.mapInArrow(_prefixed(known, percent), "key long, node long, label long, n long, place long"), "active")
+    known.unpersist()
+    discard(sets)
+    return out
 
 
 def _confirmed(percent: int):
@@ -207,7 +211,7 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sets = materialise(sets.mapInArrow(_packed(words), "node long, sig binary, shingles binary"), "sets")
     n_active, n_sets = active.count(), 20 * sets.count()  # a set is some twenty times the size of a bucket's row
 
-    links, tested, labels, n_links, pivots, share, exact = None, None, None, 0, 1, FIRST_SHARE, False
+    links, tested, labels, n_links, pivots, share, exact = [], [], None, 0, 1, FIRST_SHARE, False
     overlap = f"{100 + percent} * least(n - place, pivot_n - pivot_place) >= {percent} * (n + pivot_n)"  # at place 0: sizes alike enough
     while n_active:
         left = few(active.join(_unsettled(active, n_active), "key", "left_semi"), n_active)
@@ -216,18 +220,21 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         front = few(front, n_active).select("key", F.col("p.node").alias("pivot"), *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("label", "n", "place")])
         met = few(now.join(front, "key"), n_active).where("node <> pivot and label <> pivot_label").where(overlap)
         pairs = few(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), n_active)
-        if tested is not None:
-            pairs = few(pairs.join(tested, ["a", "b"], "left_anti"), n_active)
+        if tested:
+            pairs = few(pairs.join(together(tested), ["a", "b"], "left_anti"), n_active)
         pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        tested.append(pairs)
         with_signs, with_sets = (lambda end, c=c: sets.select(F.col("node").alias(end), *[F.col(x).alias(f"{x}_{end}") for x in c]) for c in (("sig",), ("shingles",)))
         near = few(few(pairs.join(with_signs("a"), "a"), n_sets).join(with_signs("b"), "b"), n_sets)
         near = few(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(percent), "a long, b long").distinct(), n_active)
         sure = few(few(near.join(with_sets("b"), "b"), n_sets).join(with_sets("a"), "a"), n_sets)
         sure = materialise(sure.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirmed(percent), "a long, b long"), "links")
         if new := sure.count():
-            links, n_links = sure if links is None else links.union(sure), n_links + new
-            labels = materialise(components(links, n_links), "labels")
+            links.append(sure)
+            n_links += new
+            if labels is not None:
+                discard(labels)
+            labels = materialise(components(together(links), n_links), "labels")
         rest = few(left.join(front.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), n_active)
         if labels is not None:
             rest = few(rest.drop("label").join(labels, "node", "left"), n_active).select("key", "node", F.coalesce("label", "node").alias("label"), "n", "place")
@@ -238,7 +245,8 @@ def grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
             share = 1
         elif not exact and n_active:
             exact = True
-            active = materialise(_prefix_buckets(sets, active.select("node", "label").distinct(), percent), "active")
+            before, active = active, _prefix_buckets(sets, active.select("node", "label").distinct(), percent)
+            discard(before)
             n_active = active.count()
         else:
             pivots *= 16

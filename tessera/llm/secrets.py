@@ -3,7 +3,7 @@
 A text is a blob, named by the SHA-256 of its UTF-8 bytes; every version of every document is a path to one. The ledger is a
 Parquet folder, partitioned by rule version, with a row per (blob, rule version) that was scanned. A run scans only blobs that the ledger
 has no row for under the present rule version, each once however many paths lead to it, appends them, and joins the
-ledger's findings back to all paths.
+ledger's findings back to all paths. Findings are written before they are joined, so that Spark can split a blob of very many paths.
 
 Defined cases: a null text is the empty blob; equal rows get equal results; an empty table gives an empty result; a ledger that does not
 exist is empty; rows that it holds twice, as two runs may have added them, count once;
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import fresh, parts
-from tessera.shared import exists
+from tessera.shared import exists, materialise
 
 RULE_VERSION = "2026-1"
 BASE = ("assign", "access", "hex")
@@ -87,9 +87,9 @@ def scan_unseen(docs: DataFrame, ledger: str, text: str = "text", rule_version:
 
 def scan(docs: DataFrame, ledger: str, paths: Sequence[str] = ("doc_id",), text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """Per row of docs: its path (columns such as doc_id and version) and the findings in its text. The ledger grows by what it lacked."""
-    rows = scan_unseen(docs, ledger, text, rule_version).select(*[F.col(c).alias(f"found.{c}") for c in ("blob", *COLUMNS)])
+    rows = materialise(scan_unseen(docs, ledger, text, rule_version), "findings").select(*[F.col(c).alias(f"found.{c}") for c in ("blob", *COLUMNS)])
     named = docs.select(*[F.col(c) for c in paths], F.sha2(_text(text), 256).alias("found.path"))
-    found = named.join(rows, F.col("`found.path`") == F.col("`found.blob`"))
+    found = named.join(rows.hint("merge"), F.col("`found.path`") == F.col("`found.blob`"))
     return found.select(*paths, *[F.col(f"`found.{c}`").alias(c) for c in COLUMNS])
 
 
@@ -107,7 +107,8 @@ def redact(docs: DataFrame, ledger: str, text: str = "text", rule_version: str =
     """docs with its findings written over, blobs that the ledger lacks scanned first; n_chars, where there is one, follows the new text."""
     names, at = docs.columns, docs.columns.index(text)
     blob, spans = fresh(names, "blob"), fresh(names, "spans")
-    found = scan_unseen(docs, ledger, text, rule_version).where("spans != ''").select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    found = materialise(scan_unseen(docs, ledger, text, rule_version).where("spans != ''").select("blob", "spans"), "findings")
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)).hint("merge")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
