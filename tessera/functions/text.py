@@ -13,10 +13,15 @@ CLAIMS = (
     ("SELF_REPORT", ("我认为自己", "我觉得自己", "我是一个", "我喜欢", "我不喜欢")),
 )
 #: Keys; addresses of mail, mobile telephone numbers and identity numbers.
-SECRET = r"(?i)(?:sk-|tvly-|Bearer\s+)\S{8,}|\b[A-Za-z0-9_-]{32,}\b"
-PRIVATE = r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|(?<!\d)1[3-9]\d{9}(?!\d)|(?<!\d)\d{17}[\dXx](?!\d)"
+SECRET = r"(?U)(?i)(?:sk-|tvly-|Bearer\s+)\S{8,}|\b[A-Za-z0-9_-]{32,}\b"
+PRIVATE = r"(?U)[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|(?<!\d)1[3-9]\d{9}(?!\d)|(?<!\d)\d{17}[\dXx](?!\d)"
 #: Ends of lines as Python's str.splitlines has them, white space at a line's ends, ends of sentences.
-LINES, EDGES, SENTENCES = r"\R|[\x1c-\x1e]", r"^[\s\p{Z}\x1c-\x1f]+|[\s\p{Z}\x1c-\x1f]+$", r"(?<=[。！？.!?])\s*"
+LINES, EDGES, SENTENCES = r"\R|[\x1c-\x1e]", r"\A[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+\z", r"(?<=[。！？.!?])\s*"
+
+
+def trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends, as Python's str.strip() has it."""
+    return F.regexp_replace(text, EDGES, "")
 
 
 def folded(text: Column) -> Column:
@@ -33,6 +38,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(words(text))
 
 
+def names(text: Column) -> Column:
+    """Long words in capitals, as they stand: names, mostly."""
+    return F.regexp_extract_all(text, F.lit(r"(\p{Lu}[\p{L}\p{N}_]{7,})"), 1)
+
+
 def normalised(text: Column) -> Column:
     """Words only, joined: for comparing questions."""
     return F.regexp_replace(folded(text), r"[^\p{L}\p{N}_]", "")
@@ -80,6 +90,36 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+#: Parts of an address: scheme, who logs in, host (IPv6 in brackets), port, path, query, fragment. Names that never leave a house, addresses that are not public, fields that
+#: carry keys. Fixed values.
+URL = r"\A(https?)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#@:\[\]]+)(?::(\d*))?([^?#]*)(\?[^#]*)?(#.*)?\z"
+HOUSE = r"(?i)\A(?:localhost|metadata\.google\.internal)\z|\.(?:localhost|local|internal|lan|home|invalid)\z"
+NOT_PUBLIC = (
+    r"\A(?:0|10|127|2[4-5]\d)\.|\A100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|\A169\.254\.|\A172\.(?:1[6-9]|2\d|3[01])\.|\A192\.(?:168|0\.[02])\.|\A198\.(?:1[89]|51\.100)\.|\A203\.0\.113\.|"
+    r"(?i)\A\[(?![23][0-9a-f]{3}:)|\A\[2001:db8:"
+)
+CARRIES_KEYS = r"(?i)(?:^|[?&;])(?:api[_-]?key|access[_-]?token|token|password|authorization|signature)="
+LONGEST_URL = 2048
+
+
+def public_url(url: Column) -> Column:
+    """An address on the open web without its fragment, null if it is none: another scheme or port, a login, a name or number of a house network, or something private in it.
+
+    Names are not resolved, so one that leads to a private address passes.
+    """
+    part = lambda k: F.regexp_extract(url, URL, k)
+    name = F.lower(F.regexp_replace(part(3), r"\.+\z", ""))
+    plain = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
+    four = name.rlike(r"\A\d{1,3}(?:\.\d{1,3}){3}\z")
+    bad = (
+        (F.length(url) > LONGEST_URL) | url.rlike(r"[\x00-\x20\\]") | ~url.rlike(URL) | url.rlike(r"\Ahttps?://[^/?#]*@") | ~part(4).isin("", "80", "443") | (name == "")
+        | plain.rlike(PRIVATE) | part(6).rlike(CARRIES_KEYS) | name.rlike(HOUSE) | ~name.rlike(r"[.:]") | ((four | name.startswith("[")) & name.rlike(NOT_PUBLIC))
+    )
+    path = F.when(part(5) == "", "/").otherwise(part(5))
+    port = F.regexp_extract(url, r"\Ahttps?://(?:\[[^\]]*\]|[^/?#:]*)(:\d*)", 1)
+    return F.when(~bad, F.concat(part(1), F.lit("://"), part(3), port, path, F.when(part(6) == "?", "").otherwise(part(6))))
+
+
 def official(name: Column) -> Column:
     return name.rlike(r"\.(gov\.cn|edu\.cn|gov|edu)$")
 
@@ -102,7 +142,7 @@ def numbers(text: Column) -> Column:
 
 def query_refusal(query: Column) -> Column:
     """Why a search query may not leave, null if it may."""
-    q = F.trim(query)
+    q = trimmed(query)
     return (
         F.when(q.isNull() | ~F.length(q).between(2, 300), "LENGTH")
         .when(q.rlike(r"[\x00-\x1f]") | q.rlike(SECRET) | q.rlike(PRIVATE) | q.rlike(r"(?i)(?:api[ _-]*key|密钥|密码|authorization)\s*[:=：]\s*\S+"), "PRIVATE")
@@ -134,18 +174,18 @@ def envelope(text: Column, most: int = 4) -> Column:
 
     parts and followup are raw text; a followup of a reply that awaits an answer is still there.
     """
-    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\uFEFF]+|\s+$", ""), r"^(?is)```(?:json)?\s*\n?(\s*[{\[].*?)\n?```$", "$1")
-    body = F.trim(trimmed)
+    bare = trimmed(F.regexp_replace(trimmed(F.coalesce(text, F.lit(""))), r"\A\uFEFF+", ""))
+    body = trimmed(F.regexp_replace(bare, r"(?is)\A```(?:json)?\s*\n?(\s*[{\[].*?)\n?```\z", "$1"))
     value = F.try_parse_json(body)
     field = lambda name, kind: F.try_variant_get(value, f"$.{name}", kind)
     shape = lambda name: F.coalesce(F.schema_of_variant(field(name, "variant")), F.lit("VOID"))
     keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
     ours = F.array(*map(F.lit, ENVELOPE))
     parts, later = field("messages", "array<string>"), field("idle_followup", "string")
-    fine = lambda x: (F.length(F.trim(x)) > 0) & (F.length(x) <= LONGEST_PART)
+    fine = lambda x: (F.length(trimmed(x)) > 0) & (F.length(x) <= LONGEST_PART)
     jsonlike, known = body.rlike(r"^[{\[]"), F.arrays_overlap(keys, ours)
     rules = (
-        F.when((body == "") | (F.length(body) > LONGEST_ENVELOPE), "EMPTY")
+        F.when((body == "") | (F.length(text) > LONGEST_ENVELOPE), "EMPTY")
         .when(~jsonlike, F.when(body.rlike(r'\{\s*"(?:' + "|".join(ENVELOPE) + r')"\s*:'), "UNFINISHED").otherwise("PLAIN"))
         .when(value.isNull(), "UNFINISHED")
         .when(body.startswith("{") & ~known, "PLAIN")
@@ -174,3 +214,46 @@ def dialogue_batch(replies: DataFrame, text: str, most: int = 4) -> DataFrame:
     asks = F.coalesce(F.try_element_at("parts", F.lit(-1)).rlike(r"[？?][\s\"'”’）)]*$"), F.lit(False))
     later = F.when(F.col("_read.followup").isNotNull() & ~F.col("_read.awaits") & ~asks, F.col("_later"))
     return plain.select(*[c for c in replies.columns if c not in ("parts", "followup", "refused")], "parts", later.alias("followup"), F.col("_read.refused").alias("refused"))
+
+
+#: Most queries of one search, and the longest. Fixed values.
+MOST_QUERIES, LONGEST_QUERY = 3, 300
+
+
+def agent_action(text: Column) -> Column:
+    """A reply as (action, queries, reply, refused): SEARCH with its distinct queries, REPLY or CLARIFY with the reply's JSON, or the text as it stands as a REPLY.
+
+    What is JSON without an action is no envelope; one that is cut off is UNFINISHED, a search with wrong queries is QUERIES, any other action or field is NOT_ALLOWED, a null is EMPTY.
+    """
+    bare = trimmed(F.regexp_replace(trimmed(text), r"\A\uFEFF+", ""))
+    body = trimmed(F.regexp_replace(bare, r"(?i)\A```(?:json)?\s*\n?([\s\S]*?)\n?```\z", "$1"))
+    value = F.try_parse_json(body)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
+    keys = F.array_sort(F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")))
+    action, asked = F.try_variant_get(value, "$.action", "string"), F.try_variant_get(value, "$.queries", "array<string>")
+    only = lambda *names: keys == F.array(*map(F.lit, sorted(names)))
+    fine = F.forall(asked, lambda q: (F.length(trimmed(q)) > 0) & (F.length(q) <= LONGEST_QUERY))
+    searches = only("action", "queries") & (kind("$.queries") == "ARRAY<STRING>") & F.size(asked).between(1, MOST_QUERIES) & fine
+    replies = action.isin("REPLY", "CLARIFY") & only("action", "reply") & kind("$.reply").startswith("OBJECT")
+    nothing, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    out = lambda a, q, r, x: F.struct(a.alias("action"), q.alias("queries"), r.alias("reply"), x.alias("refused"))
+    plain = out(F.lit("REPLY"), none, text, nothing)
+    refused = lambda why: out(nothing, none, nothing, F.lit(why))
+    return (
+        F.when(text.isNull(), refused("EMPTY"))
+        .when(value.isNull() & body.rlike(r'\{\s*"action"\s*:'), refused("UNFINISHED"))
+        .when(value.isNull() | ~F.coalesce(F.array_contains(keys, "action"), F.lit(False)), plain)
+        .when((action == "SEARCH") & (kind("$.action") == "STRING"), F.when(F.coalesce(searches, F.lit(False)), out(action, F.array_distinct(F.transform(asked, trimmed)), nothing, nothing)).otherwise(refused("QUERIES")))
+        .when(F.coalesce(replies, F.lit(False)), out(action, none, F.to_json(F.try_variant_get(value, "$.reply", "variant")), nothing))
+        .otherwise(refused("NOT_ALLOWED"))
+    )
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with the keys of all objects in order of their code points and no blanks between; null if it is none. Numbers keep their kind: whole ones stay whole."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 of a JSON text's canonical form: the same for equal values, however they are written."""
+    return F.sha2(canonical_json(text), 256)
