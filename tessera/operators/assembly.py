@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest reasons and shortest ones; states in which an answer is being written; limits of one research run. Fixed values.
-REASON, TYPING = (8, 4000), ("QUEUED", "RUNNING")
+from tessera.functions.text import host, official, public_url, trimmed
+from tessera.scans import fresh
+
+#: Shortest and longest reasons; limits of one research run. Fixed values.
+REASON = (8, 4000)
 ROUNDS, SEARCHES, ACTIONS = 2, 3, 4
 
 
 def numbered(new: DataFrame, prior: DataFrame, room: str, order: str, sequence: str = "sequence") -> DataFrame:
     """New messages with the numbers after the last one of their room, in order. prior: room and sequence; an empty room starts at 1."""
-    last = prior.groupBy(room).agg(F.max(sequence).alias("_last"))
+    at, end = fresh(new.columns, "_place"), fresh(new.columns, "_last")
+    last = prior.groupBy(room).agg(F.max(sequence).alias(end))
     place = F.row_number().over(Window.partitionBy(room).orderBy(order))
-    return new.withColumn("_place", place).join(last, room, "left").select(*new.columns, (F.coalesce("_last", F.lit(0)) + F.col("_place")).cast("long").alias(sequence))
+    return new.withColumn(at, place).join(last, room, "left").select(*[c for c in new.columns if c != sequence], (F.coalesce(end, F.lit(0)) + F.col(at)).cast("long").alias(sequence))
 
 
 def guarded(rows: DataFrame, ids: DataFrame, guard: Column, id_col: str = "id") -> DataFrame:
@@ -47,10 +52,12 @@ def shown_evidence(ranked: DataFrame, evidence: DataFrame, by: str, order: str,
 
 def dependents(links: dict[str, DataFrame], changed: dict[str, DataFrame]) -> DataFrame:
     """Sessions that rest on anything that changed. links: kind -> session, id; changed: kind -> id. One edge table, one semi-join."""
-    tagged = lambda tables: None if not tables else [t.withColumn("kind", F.lit(k)) for k, t in tables.items()]
-    edges, gone = tagged(links), tagged(changed)
-    all_of = lambda parts, columns: parts[0].select(columns) if len(parts) == 1 else parts[0].select(columns).unionByName(all_of(parts[1:], columns))
-    return all_of(edges, ["session", "kind", "id"]).join(all_of(gone, ["kind", "id"]).distinct(), ["kind", "id"], "left_semi").select("session").distinct()
+    return _tagged(links, "session", "id").join(_tagged(changed, "id").distinct(), ["kind", "id"], "left_semi").select("session").distinct()
+
+
+def _tagged(tables: dict[str, DataFrame], *columns: str) -> DataFrame:
+    """One table of several, with the name of each as kind."""
+    return reduce(DataFrame.unionByName, [t.select(F.lit(kind).alias("kind"), *columns) for kind, t in tables.items()])
 
 
 def progress(parts: DataFrame, by: str, done: Column, total: int) -> DataFrame:
@@ -83,11 +90,24 @@ def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
 
 
-def candidates(pages: DataFrame) -> DataFrame:
-    """One row per address, the first that came: with the page's own content where there is some, else the snippet."""
-    found = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("x"))
-    kind = F.when(F.length(F.trim(F.col("x.html"))) > 0, "PAGE_CONTENT").otherwise("SEARCH_SNIPPET")
-    return found.select("url", "x.page_id", kind.alias("kind"))
+#: Sources that one run may read. Fixed value.
+READ = 5
+
+
+def candidates(results: DataFrame, known: DataFrame, run: str, order: str, most: int = READ) -> DataFrame:
+    """(run, position, url, authority, kind) of the results that a run goes on to read: public addresses that it does not know, each once, official ones first, else as they came, as
+    many as it may still read beside those it knows.
+
+    results: run, order, url, body; known: run, url. PAGE_CONTENT where there is a body, else SEARCH_SNIPPET. Only addresses are ranked; an address comes with the first result that has it.
+    """
+    found = results.select(run, order, public_url(F.col("url")).alias("url"), (F.length(trimmed(F.col("body"))) > 0).alias("read")).where("url is not null")
+    first = found.groupBy(run, "url").agg(F.min_by(F.struct(order, "read"), order).alias("x"))
+    new = first.join(known.select(run, public_url(F.col("url")).alias("url")), [run, "url"], "left_anti")
+    taken = known.groupBy(run).agg(F.count_distinct("url").alias("taken"))
+    authority = F.when(official(host(F.col("url"))), "OFFICIAL_DOMAIN").otherwise("PUBLIC_SOURCE")
+    ranked = new.withColumn("authority", authority).withColumn("position", F.row_number().over(Window.partitionBy(run).orderBy(F.col("authority") != "OFFICIAL_DOMAIN", f"x.{order}")))
+    kind = F.when(F.col("x.read"), "PAGE_CONTENT").otherwise("SEARCH_SNIPPET")
+    return ranked.join(taken, run, "left").where(F.col("position") <= F.lit(most) - F.coalesce("taken", F.lit(0))).select(run, "position", "url", "authority", kind.alias("kind"))
 
 
 def run_status(runs: DataFrame, found: DataFrame, run: str) -> DataFrame:
@@ -98,7 +118,7 @@ def run_status(runs: DataFrame, found: DataFrame, run: str) -> DataFrame:
 
 def answer_faults(choice: Column, reason: Column, stored: Column) -> Column:
     """The first rule that an answer breaks, null if none. A stored answer never changes."""
-    return F.when(~F.coalesce(choice.isin("A", "B", "C"), F.lit(False)), "CHOICE").when(~F.coalesce(F.length(F.trim(reason)).between(*REASON), F.lit(False)), "REASON").when(stored.isNotNull() & (stored != choice), "CHANGED")
+    return F.when(~F.coalesce(choice.isin("A", "B", "C"), F.lit(False)), "CHOICE").when(~F.coalesce(F.length(trimmed(reason)).between(*REASON), F.lit(False)), "REASON").when(stored.isNotNull() & (stored != choice), "CHANGED")
 
 
 def over_limit(actions: DataFrame, run: str, kind: Column, round_: Column) -> DataFrame:
@@ -117,5 +137,6 @@ def source_type(namespace: Column, grammar: Sequence[tuple[str, str]]) -> Column
 
 def scrubbed(runs: DataFrame, gone: DataFrame, run: str, fields: Sequence[str]) -> DataFrame:
     """runs with the fields of invalidated ones set to null."""
-    hit = runs.join(gone.select(run).distinct().withColumn("_gone", F.lit(True)), run, "left")
-    return hit.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c in fields else F.col(c) for c in runs.columns])
+    mark = fresh(runs.columns, "_gone")
+    hit = runs.join(gone.select(run).distinct().withColumn(mark, F.lit(True)), run, "left")
+    return hit.select(*[F.when(F.col(mark).isNull(), F.col(c)).alias(c) if c in fields else F.col(c) for c in runs.columns])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import floor
 
 import numpy as np
@@ -11,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as X
+from tessera.operators.retrieval import channels
+from tessera.scans import running
 from tessera.shared import materialise
 from tessera.sources.tables import REAL_ORIGINS
 
@@ -25,29 +25,50 @@ def clustered_mean(rows: DataFrame, user: str, session: str, value: str) -> Data
     return sessions.groupBy(user).agg(F.avg("m").alias("m")).agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("n_users"))
 
 
-def requests(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
-    """(arm, case_id, entry): what each arm may show of a case. An arm without entries has no row here.
+def _last_before(memories: DataFrame, cases: DataFrame, by: Sequence[str], how: str, value: Column, found: str) -> DataFrame:
+    """cases with `found`: the least or greatest value of the memories of the same group from strictly before the case."""
+    names = [*by, "occurred"]
+    none = F.lit(None)
+    events = cases.select(*names, F.lit(0).alias("kind"), "case_id", none.cast("struct<text:string,id:long>").alias("x"))
+    events = events.unionByName(memories.select(*names, F.lit(1).alias("kind"), none.cast(cases.schema["case_id"].dataType).alias("case_id"), value.cast("struct<text:string,id:long>").alias("x")))
+    seen = running(events, by, [F.col("occurred").asc(), F.col("kind").asc()], {found: F.col("x")}, how)
+    return seen.where("kind = 0").select(*by, "case_id", found)
 
-    memories: id, owner_id, domain, occurred, occurred_text, content; cases: case_id, owner_id, domain, occurred, question.
-    Only memories of the same owner from strictly before the case count.
+
+def four_arms(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
+    """(arm, case_id, choice, evidence_id) of four predictors: B0 sees nothing, B1 the first memory, B2 the `top` memories that share most terms with the question, D all
+    memories of the case's domain. Each takes the latest of what it sees whose choice the case allows, or else says ABSTAIN.
+
+    memories: id, owner_id, domain, occurred, occurred_text, content, choice; cases: case_id, owner_id, domain, occurred, question, options. Only memories of the same owner from strictly
+    before the case are seen. No case meets its owner's memories: the first memory and, for each choice, the domain's latest one are running extremes, and B2's come from the
+    table of terms, or, where fewer share a term, from the smallest ids, which are running minima too.
     """
-    m, c = memories.alias("m"), cases.alias("c")
-    allowed = c.join(m, (F.col("m.owner_id") == F.col("c.owner_id")) & (F.col("m.occurred") < F.col("c.occurred")))
-    allowed = allowed.select("case_id", "id", "occurred_text", F.col("m.domain").alias("domain"), F.col("c.domain").alias("case_domain"), F.size(F.array_intersect(X.terms(F.col("content")), X.terms(F.col("question")))).alias("overlap"))
-    first = F.row_number().over(Window.partitionBy("case_id").orderBy("occurred_text", "id"))
-    best = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("overlap"), "id"))
-    placed = allowed.withColumn("first", first).withColumn("best", best)
-    arms = F.array_compact(F.array(F.when(F.col("first") == 1, "B1"), F.when(F.col("best") <= top, "B2"), F.when(F.col("domain") == F.col("case_domain"), "D")))
-    return placed.select(F.explode(arms).alias("arm"), "case_id", "id", "occurred_text")
-
-
-def predictions(entries: DataFrame, cases: DataFrame, choices: DataFrame) -> DataFrame:
-    """(arm, case_id, choice): of the entries shown the latest whose choice the case allows, else ABSTAIN. choices: id, choice."""
-    options = cases.select("case_id", "options")
-    able = entries.join(choices, "id").join(options, "case_id").where(F.array_contains("options", F.col("choice")))
-    chosen = able.groupBy("arm", "case_id").agg(F.max_by("choice", F.struct("occurred_text", "id")).alias("choice"), F.max_by("id", F.struct("occurred_text", "id")).alias("evidence_id"))
+    at = F.struct(F.col("occurred_text").alias("text"), F.col("id").alias("id"))
+    first = _last_before(memories, cases, ["owner_id"], "min", at, "seen").select(F.lit("B1").alias("arm"), "case_id", F.col("seen.id").alias("id"))
+
+    asked = cases.select(F.col("case_id").alias("item_id"), F.col("question").alias("text"), "owner_id", "occurred")
+    known = memories.select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "owner_id", "occurred")
+    shared = channels(asked, known, top, scoped=True).where("channel = 'lexical'").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), "score")
+    seen = shared
+    own = memories.select("owner_id", "occurred", F.struct(F.lit("").alias("text"), F.col("id").alias("id")).alias("x"))
+    for n in range(top):  # the next smallest id so far is the least of: an id, or what was smallest before it, if that is larger
+        smallest = _last_before(own, cases, ["owner_id"], "min", F.col("x"), "seen")
+        seen = seen.unionByName(smallest.where("seen is not null").select("case_id", F.col("seen.id").alias("id"), F.lit(0.0).alias("score")))
+        if n + 1 < top:
+            own = running(own, ["owner_id"], [F.col("occurred").asc()], {"before": F.col("x")}, "min", upto=-1)
+            own = own.where("before is not null").select("owner_id", "occurred", F.greatest("x", "before").alias("x"))
+    seen = seen.groupBy("case_id", "id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "id"))
+    best = seen.withColumn("place", place).where(F.col("place") <= top).select(F.lit("B2").alias("arm"), "case_id", "id")
+
+    options = cases.select("case_id", "owner_id", "domain", "occurred", F.explode(F.array_distinct("options")).alias("choice"))
+    latest = _last_before(memories.where("choice is not null"), options, ["owner_id", "domain", "choice"], "max", at, "seen").where("seen is not null")
+    said = first.unionByName(best).where("id is not null").join(memories.select("id", "occurred_text", "choice"), "id").join(cases.select("case_id", "options"), "case_id").where(F.array_contains("options", F.col("choice")))
+    said = said.select("arm", "case_id", "choice", F.struct(F.col("occurred_text").alias("text"), "id").alias("x")).unionByName(latest.select(F.lit("D").alias("arm"), "case_id", "choice", F.col("seen").alias("x")))
+    chosen = said.groupBy("arm", "case_id").agg(F.max_by("choice", "x").alias("choice"), F.max("x").alias("x"))
     every = cases.select("case_id", F.explode(F.array(*map(F.lit, ARMS))).alias("arm"))
-    return every.join(chosen, ["arm", "case_id"], "left").select("arm", "case_id", F.coalesce("choice", F.lit("ABSTAIN")).alias("choice"), "evidence_id")
+    return every.join(chosen, ["arm", "case_id"], "left").select("arm", "case_id", F.coalesce("choice", F.lit("ABSTAIN")).alias("choice"), F.col("x.id").alias("evidence_id"))
+
 
 
 def primary_score(choice: Column, reference: Column, said: Column, rubric: Column) -> Column:
@@ -72,9 +93,10 @@ def arm_means(scored: DataFrame) -> DataFrame:
 
 
 def complete_cases(scored: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
-    """Rows of the cases that every arm completed."""
-    whole = scored.where("status = 'COMPLETED'").where(F.col("arm").isin(*arms)).groupBy("case_id").agg(F.count_distinct("arm").alias("n")).where(F.col("n") == len(arms))
-    return scored.where(F.col("arm").isin(*arms)).join(whole.select("case_id"), "case_id", "left_semi")
+    """Completed rows of the cases that every arm completed."""
+    done = scored.where("status = 'COMPLETED'").where(F.col("arm").isin(*arms))
+    whole = done.groupBy("case_id").agg(F.count_distinct("arm").alias("n")).where(F.col("n") == len(arms))
+    return done.join(whole.select("case_id"), "case_id", "left_semi")
 
 
 def paired_differences(scored: DataFrame, arm: str = "D") -> DataFrame:
@@ -94,18 +116,6 @@ def strongest(means: DataFrame, arm: str = "arm", mean: str = "mean") -> DataFra
     return means.agg(F.min_by(arm, F.struct(-F.col(mean), F.col(arm))).alias("strongest"), F.max(mean).alias("best_mean"))
 
 
-def bootstrap_in_order(means: dict[str, dict[str, float]], seed: int, iterations: int) -> tuple[float, float | None, float | None]:
-    """(estimate, low, high) of a small fixture, user -> session -> mean, with the draws of one generator in a fixed order."""
-    mean = lambda xs: sum(xs) / len(xs)
-    rng, users, draws = random.Random(seed), sorted(means), []
-    for _ in range(iterations):
-        drawn = rng.choices(users, k=len(users))
-        draws.append(mean([mean([means[u][s] for s in rng.choices(sorted(means[u]), k=len(means[u]))]) for u in drawn]))
-    draws.sort()
-    low, high = (draws[floor((iterations - 1) * q)] if len(users) > 1 else None for q in (0.025, 0.975))
-    return mean([mean(list(x.values())) for x in means.values()]), low, high
-
-
 BLOCK = 20_000  # sessions of a user that are resampled at a time
 
 
@@ -213,18 +223,3 @@ def hash_sample(rows: DataFrame, key: Column, group: str, most: int) -> DataFram
     """Of each group the first rows in the order of a hash: the same sample each time."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.sha2(key.cast("string"), 256)))
     return rows.withColumn("place", place).where(F.col("place") <= most)
-
-
-def near_questions(questions: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Pairs of questions that SequenceMatcher finds alike, later against earlier. A pair's ratio is at most 2 * shorter / both, which prunes first.
-
-    questions: item_id, text; a bounded set of benchmark questions, blocked by length class.
-    """
-    from tessera.functions.udfs import similarity
-
-    q = questions.select("item_id", X.normalised(F.col("text")).alias("t")).where("length(t) > 0")
-    step = F.floor(F.log(F.length("t").cast("double")) / F.log(F.lit((2 - threshold) / threshold))).cast("int")
-    new, old = q.withColumn("block", step), q.withColumn("block", F.explode(F.array(step - 1, step, step + 1)))
-    both = new.select("block", F.col("item_id").alias("a"), F.col("t").alias("x")).join(old.select("block", F.col("item_id").alias("b"), F.col("t").alias("y")), "block").where("a > b")
-    able = both.where(2 * F.least(F.length("x"), F.length("y")) >= threshold * (F.length("x") + F.length("y")))
-    return able.select("a", "b", similarity("x", "y").alias("ratio")).where(F.col("ratio") >= threshold)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,37 @@ def conflicts(requests: DataFrame, key: list[str], fingerprint: Column, order: s
     return found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fp").alias("n_fingerprints"), F.min_by("fp", order).alias("first_fingerprint")).withColumn("conflict", F.col("n_fingerprints") > 1)
 
 
-def fingerprint(evidence: DataFrame, owner: str = "owner_id", chunk: int = 1000) -> DataFrame:
-    """Content address of each owner's evidence: hashes of chunks of ids, hashed again, so that no owner is gathered whole."""
-    leaf = evidence.select(owner, F.floor(F.col("id") / chunk).alias("chunk"), F.struct("id", F.concat_ws(":", F.col("id").cast("string"), F.sha2("text", 256)).alias("line")).alias("x"))
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["line"]), "\n"), 256)
-    chunks = leaf.groupBy(owner, "chunk").agg(joined("x").alias("line"))
-    return chunks.select(owner, F.struct("chunk", "line").alias("x")).groupBy(owner).agg(joined("x").alias("fingerprint"), F.count(F.lit(1)).alias("n_chunks"))
+FAN_BITS, LEVELS = 12, 3  # ids below 2 ** 36 meet in one hash after three levels
+
+
+def fingerprint(evidence: DataFrame, by: Sequence[str] = ("owner_id",), id_col: str = "id", line: Column | None = None) -> DataFrame:
+    """Content address of each group's evidence: a tree of hashes over ranges of ids, so that no group is gathered; equal evidence has one whatever its order.
+
+    A leaf hashes the lines (id:hash of the text, unless `line` says otherwise) of 4096 ids, a node the hashes of 4096 ranges below it, level by level until each group has one. Rows without an
+    id or group are left out, repeats of a line count once; n_leaves says how many ranges of 4096 ids hold something.
+    """
+    line = F.concat_ws(":", F.col(id_col).cast("string"), F.sha2("text", 256)) if line is None else line
+    known = evidence.where(F.col(id_col).isNotNull())
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    hashed = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x["line"]), "\n"), 256)
+    rows = known.select(*by, F.col(id_col).cast("long").alias("at"), line.alias("line"), F.lit(1).cast("long").alias("n"))
+    level = 0
+    while level < LEVELS or rows.where(F.col("at") > 0).limit(1).count():
+        n = F.sum("n") if level else F.max("n")
+        rows = rows.groupBy(*by, F.shiftright("at", FAN_BITS).alias("at")).agg(hashed(F.struct("at", "line")).alias("line"), n.alias("n"))
+        level += 1
+        if level >= LEVELS:
+            rows = materialise(rows, "fingerprint")
+    return rows.select(*by, F.col("line").alias("fingerprint"), F.col("n").alias("n_leaves"))
+
+
+def snapshots(evidence: DataFrame, versions: DataFrame, by: Sequence[str] = ("owner_id", "track")) -> DataFrame:
+    """Per group the version that its evidence has now: the active one with the same fingerprint, or a new one, named by it. versions: by, version_id, snapshot_hash, state."""
+    now = fingerprint(evidence, by)
+    active = versions.where("state = 'ACTIVE'").groupBy(*by, F.col("snapshot_hash").alias("fingerprint")).agg(F.min("version_id").alias("known"))
+    both = now.join(active, [*by, "fingerprint"], "left")
+    return both.select(*by, "fingerprint", F.coalesce("known", F.concat(F.lit("version_"), "fingerprint")).alias("version_id"), F.col("known").isNotNull().alias("reused"))
 
 
 def valid_sets(sets: DataFrame, evidence: DataFrame, key: str, ids: str) -> DataFrame:

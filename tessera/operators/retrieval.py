@@ -6,7 +6,6 @@ task scores each document from its own row and keeps the k best per question, an
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.shared import materialise
+from tessera.shared import materialise, spread
 
 BLOCK = 200_000  # terms, or numbers of vectors, of the questions of one block
 CHANNELS = "channel string, item_id long, doc_id long, score double"
@@ -33,94 +32,130 @@ def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
 
 
 class _Best:
-    """The k best of each question: highest score, then smallest id."""
+    """The k best of each question: highest score, then smallest id. Scores of a batch come as a table of documents by questions, -inf where there is none."""
 
     def __init__(self, n: int, k: int) -> None:
-        self.k, self.rows = k, [[] for _ in range(n)]
-        self.worst = np.full(n, -np.inf)  # a score under it has no place
-
-    def add(self, scores: np.ndarray, doc: int, some: np.ndarray) -> None:
-        for i in some[scores[some] >= self.worst[some]].tolist():
-            row = self.rows[i]
-            insort(row, (-float(scores[i]), doc))
-            if len(row) > self.k:
-                row.pop()
-            if len(row) == self.k:
-                self.worst[i] = -row[-1][0]
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        k = min(self.k, len(ids))
+        least = np.maximum(np.partition(scores, len(ids) - k, axis=0)[len(ids) - k], self.scores[:, -1])  # what is under it has no place
+        item, row = np.nonzero((scores >= least).T & np.isfinite(scores).T)
+        found, ids = scores[row, item], ids[row]
+        order = np.lexsort((ids, -found, item))
+        item, found, ids = item[order], found[order], ids[order]
+        place = np.arange(len(item)) - np.searchsorted(item, item)
+        item, found, ids, place = (x[place < self.k] for x in (item, found, ids, place))
+        more, which = np.full(self.scores.shape, -np.inf), np.full(self.ids.shape, np.iinfo(np.int64).max)
+        more[item, place], which[item, place] = found, ids
+        scores, which = np.hstack([self.scores, more]), np.hstack([self.ids, which])
+        order = np.lexsort((which, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(which, order, 1)
 
     def batch(self, items: np.ndarray, channel: str) -> pa.RecordBatch:
-        each = [len(r) for r in self.rows]
-        flat = [x for r in self.rows for x in r]
-        columns = pa.array([channel] * len(flat), pa.string()), pa.array(np.repeat(items, each)), pa.array([d for _, d in flat], pa.int64()), pa.array([-s for s, _ in flat], pa.float64())
+        item, place = np.nonzero(np.isfinite(self.scores))
+        columns = pa.array([channel] * len(item), pa.string()), pa.array(items[item]), pa.array(self.ids[item, place]), pa.array(self.scores[item, place])
         return pa.RecordBatch.from_arrays(list(columns), ["channel", "item_id", "doc_id", "score"])
 
 
-def _matched(vocabulary) -> Callable:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(1)
+        starts, codes = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
+        found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(starts[:-1], starts[1:])]
+        lists = pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), *lists, *batch.columns[2:]], ["doc_id", "len", "terms", "tf", "owner", "at"])
+
+
+def _scope(rows: DataFrame, scoped: bool) -> list[Column]:
+    """A hash of the owner and the time, of documents and of questions; all alike without a scope."""
+    if not scoped:
+        return [F.lit(0).cast("long").alias("owner"), F.lit(0).cast("long").alias("at")]
+    return [F.xxhash64("owner_id").alias("owner"), F.col("occurred").cast("long").alias("at")]
+
+
+def term_table(docs: DataFrame, words: Callable[[Column], Column] = X.words, scoped: bool = False) -> DataFrame:
+    """doc_id, len, and the distinct terms of each document, as 64-bit hashes, with their counts; written once, however many questions meet it."""
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    rows = spread(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hashed, F.array().cast("array<long>")).alias("w"), *_scope(docs, scoped))
+    return materialise(rows.mapInArrow(_counted, "doc_id long, len long, terms array<long>, tf array<long>, owner long, at long"), "terms")
+
+
+def _hits(batch: pa.RecordBatch, known: np.ndarray, rows: int = 256) -> Iterator[tuple]:
+    """For some documents at a time: their rows, and of their terms that are known, the document's place, the term's and the count."""
+    for at in range(0, len(batch), rows):
+        some = batch.slice(at, rows)
+        terms, tf = some.column(2).flatten().to_numpy(), some.column(3).flatten().to_numpy()
+        doc = np.repeat(np.arange(len(some)), np.diff(some.column(2).offsets.to_numpy()))
+        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        hit = known[place] == terms
+        yield some, doc[hit], place[hit], tf[hit]
+
+
+def _document_counts(index) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
+        known = index.value[0]
+        counts = np.zeros(len(known), np.int64)
         for batch in batches:
-            words = batch.column(1)
-            starts, codes = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-            hit = known[at] == codes
-            found = [np.unique(at[a:b][hit[a:b]], return_counts=True) for a, b in zip(starts[:-1], starts[1:])]
-            lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), *lists], ["doc_id", "len", "terms", "tf"])
+            for _, _, term, _ in _hits(batch, known):
+                counts += np.bincount(term, minlength=len(known))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["t", "n"])
 
     return of
 
 
 def _ranked(index, weights, k: int, k1: float, b: float) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, offsets, asks = index.value  # the questions; per term, which of them have it
+        known, items, owners, before, offsets, asks = index.value  # terms; questions, and in whose name and when they ask; per term, which questions have it
         idf, mean = weights.value
         lexical, bm25 = _Best(len(items), k), _Best(len(items), k)
         for batch in batches:
-            for doc, size, terms, tf in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if terms:
-                    t, f = np.array(terms), np.array(tf, float)
-                    found = np.concatenate([asks[offsets[x] : offsets[x + 1]] for x in terms])
-                    each = offsets[t + 1] - offsets[t]
-                    weight = idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean))
-                    some = np.unique(found)
-                    lexical.add(np.bincount(found, minlength=len(items)).astype(float), doc, some)
-                    bm25.add(np.round(np.bincount(found, np.repeat(weight, each), len(items)), 6), doc, some)
+            for some, doc, term, tf in _hits(batch, known):
+                ids, size = some.column(0).to_numpy(), some.column(1).to_numpy()
+                each = offsets[term + 1] - offsets[term]
+                total = int(each.sum())
+                first = np.repeat(offsets[term] - (np.cumsum(each) - each), each) + np.arange(total)
+                cell = np.repeat(doc, each) * len(items) + asks[first]
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
+                shared = np.bincount(cell, minlength=len(ids) * len(items)).reshape(len(ids), -1)
+                score = np.round(np.bincount(cell, np.repeat(weight, each), len(ids) * len(items)), 6).reshape(len(ids), -1)
+                able = shared > 0
+                if before is not None:
+                    able &= (some.column(4).to_numpy()[:, None] == owners) & (some.column(5).to_numpy()[:, None] < before)
+                lexical.add(np.where(able, shared, -np.inf), ids)
+                bm25.add(np.where(able, score, -np.inf), ids)
         yield lexical.batch(items, "lexical")
         yield bm25.batch(items, "bm25")
 
     return of
 
 
-def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, words: Callable[[Column], Column] = X.words, scoped: bool = False) -> DataFrame:
     """channel, item_id, doc_id, score and place of the k best documents of each question: by shared distinct terms ("lexical") and by BM25.
 
-    queries: item_id, text; docs: doc_id, text. Words are compared by 64-bit hashes. Texts are read once per block of questions; what is written of
-    a document are its counts of the questions' terms. Rows without an id are left out; a question without words finds nothing.
+    queries: item_id, text; docs: doc_id, text; with a scope both have owner_id and occurred, and a question sees documents of its owner from before it only. Words are compared by 64-bit hashes. Texts are read once into a table of terms, which each block of
+    questions reads twice, for the numbers of documents and for the scores. Rows without an id are left out; a question without words finds nothing.
     """
     spark = queries.sparkSession
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    asked = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.explode(hashed(X.terms(F.col("text")))).alias("h"))
-    words = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hashed(X.words(F.col("text"))), F.array().cast("array<long>")).alias("w"))
-    best = None
+    asked = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), *_scope(queries, scoped), F.explode(F.transform(F.array_distinct(words(F.col("text"))), lambda w: F.xxhash64(w))).alias("h"))
+    table = term_table(docs, words, scoped)
+    n_docs, mean = table.agg(F.count(F.lit(1)), F.avg("len")).first()
+    best = spark.createDataFrame([], CHANNELS)
     for block in _blocks(asked, "item_id", asked.count()):
         rows = block.toArrow()  # about BLOCK rows
-        vocabulary, term = np.unique(rows["h"].to_numpy(), return_inverse=True)
-        items, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
+        known, term = np.unique(rows["h"].to_numpy(), return_inverse=True)
+        items, first, item = np.unique(rows["item_id"].to_numpy(), return_index=True, return_inverse=True)
         if not len(items):
             continue
+        owners, before = (rows[c].to_numpy()[first] if scoped else None for c in ("owner", "at"))
         order = np.argsort(term, kind="stable")
-        offsets = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        matched = materialise(words.mapInArrow(_matched(spark.sparkContext.broadcast(vocabulary)), "doc_id long, len long, terms array<long>, tf array<long>"), "matched")
-        shape = matched.agg(F.count(F.lit(1)), F.avg("len")).first()
-        found = matched.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row per term of the block
-        df = np.zeros(len(vocabulary))
-        df[found["t"].to_numpy()] = found["count"].to_numpy()
-        weights = np.log(1 + (shape[0] - df + 0.5) / (df + 0.5)), shape[1] or 1.0
-        index = spark.sparkContext.broadcast((items, offsets, item[order]))
-        part = matched.mapInArrow(_ranked(index, spark.sparkContext.broadcast(weights), k, k1, b), CHANNELS)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        best = spark.createDataFrame([], CHANNELS)
+        index = spark.sparkContext.broadcast((known, items, owners, before, np.searchsorted(term[order], np.arange(len(known) + 1)), item[order]))
+        found = table.mapInArrow(_document_counts(index), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the block
+        df = np.zeros(len(known))
+        df[found["t"].to_numpy()] = found["n"].to_numpy()
+        weights = spark.sparkContext.broadcast((np.log(1 + (n_docs - df + 0.5) / (df + 0.5)), mean or 1.0))
+        best = best.unionByName(table.mapInArrow(_ranked(index, weights, k, k1, b), CHANNELS))
     place = F.row_number().over(Window.partitionBy("channel", "item_id").orderBy(F.desc("score"), "doc_id"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
@@ -138,36 +173,54 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 3, k1: float = 1.2, b: fl
 
 def _nearest(block, k: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, asked = block.value
+        items, own, asked = block.value
         best = _Best(len(items), k)
-        every = np.arange(len(items))
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            wide = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-            norms = np.sqrt((wide * wide).sum(axis=1))
-            norms[norms == 0] = np.nan  # no direction: near to nothing
-            for at in range(0, len(ids), 1000):
-                scores = np.round(wide[at : at + 1000] @ asked.T / norms[at : at + 1000, None], 6)
-                for vec_id, row in zip(ids[at : at + 1000].tolist(), scores):
-                    best.add(row, vec_id, every[(items != vec_id) & (row >= best.worst)])
+            for at in range(0, len(batch), 1000):
+                some = batch.slice(at, 1000)
+                ids = some.column(0).to_numpy(zero_copy_only=False)
+                wide = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                norms = np.sqrt((wide * wide).sum(axis=1))
+                norms[norms == 0] = np.nan  # no direction: near to nothing
+                scores = np.round(wide @ asked.T / norms[:, None], 6)
+                scores[np.isnan(scores) | (ids[:, None] == own[None, :])] = -np.inf
+                best.add(scores, ids)
         yield best.batch(items, "dense")
 
     return of
 
 
-def dense(vectors: DataFrame, queries: Column, k: int = 3) -> DataFrame:
-    """The k nearest others by cosine for the rows that `queries` picks, a stated query set met by all rows, block by block of questions."""
-    wide = vectors.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    asked = wide.where(queries)
-    size = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-    best = vectors.sparkSession.createDataFrame([], CHANNELS)
-    for block in _blocks(asked, "vec_id", size):
+def nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(channel, item_id, doc_id, score, place) of the k vectors nearest to each question by cosine.
+
+    vectors: doc_id, embedding; asked: item_id, own (the vector that is the question's own and is passed over; null if none), embedding. Questions come in blocks.
+    Only vectors of the length that the questions have are comparable; the others, and those that are null, empty or hold a null, are left out. Questions of
+    different lengths are refused.
+    """
+    spark = vectors.sparkSession
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    asked = asked.where(whole).where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("own").cast("long"), F.lit(-(2**63))).alias("own"), "embedding")
+    n, least, size = asked.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != size:
+        raise ValueError(f"questions have vectors of {least} to {size} numbers")
+    wide = vectors.where(whole & (F.size("embedding") == F.lit(size or 0))).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    best = spark.createDataFrame([], CHANNELS)
+    for block in _blocks(asked, "item_id", n * (size or 0)):
         rows = block.toArrow()  # about BLOCK numbers
         if rows.num_rows:
             q = np.array(rows["embedding"].to_pylist(), float)
-            q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
-            best = best.unionByName(wide.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), q)), k), CHANNELS))
-    return _top(best.select("item_id", F.col("doc_id").alias("vec_id"), "score"), "item_id", "vec_id", "score", k)
+            with np.errstate(invalid="ignore"):
+                q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
+            best = best.unionByName(wide.mapInArrow(_nearest(spark.sparkContext.broadcast((rows["item_id"].to_numpy(), rows["own"].to_numpy(), q)), k), CHANNELS))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
+def dense(vectors: DataFrame, queries: Column, k: int = 3) -> DataFrame:
+    """The k nearest others by cosine for the rows that `queries` picks, a stated query set met by all rows. See `nearest` for vectors of other lengths."""
+    asked = vectors.where(queries).select(F.col("vec_id").alias("item_id"), F.col("vec_id").alias("own"), "embedding")
+    found = nearest(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), asked, k)
+    return found.select("item_id", F.col("doc_id").alias("vec_id"), "score", "place")
 
 
 def fused(channels: list[DataFrame], k: int = 3, constant: int = 60) -> DataFrame:
@@ -179,6 +232,51 @@ def fused(channels: list[DataFrame], k: int = 3, constant: int = 60) -> DataFram
     return _top(scored, "item_id", "doc_id", "score", k)
 
 
+#: Weights of the six parts of a memory's final score, and what multiplies it where it is no longer in force.
+PARTS = {"semantic": 0.3, "keyword": 0.25, "recency": 0.15, "importance": 0.1, "temporal": 0.1, "status": 0.1}
+DAMPED = {"ACTIVE": 1.0, "REINFORCED": 1.0, "CANDIDATE": 0.8, "SUPERSEDED": 0.4, "ARCHIVED": 0.3}
+
+
+def recalled(lists: list[DataFrame], memories: DataFrame, at: Column, k: int = 3, half_life: float = 90.0, margin: float = 0.0, constant: int = 60) -> DataFrame:
+    """Fusion of channels by reciprocal ranks, weighed again by six parts, with an explicit answer where nothing is sure enough.
+
+    lists: item_id, doc_id, place, and channel and score, of which "dense" scores are the semantic part and "lexical" ones, as a share of the item's best, the keyword part;
+    a channel that is missing counts 0. memories: doc_id, occurred, valid_from, valid_to (null: open), importance (0 to 1), status; `at` is the time of asking, in the unit of
+    `occurred`. Memories that are deleted or of which nothing is known drop out; superseded and archived ones are damped, not removed. Returned are item_id, place, doc_id,
+    score; an item whose best score is not more than `margin` above the next one's has one row, without doc_id and place. Items that no channel lists have none, as
+    they are not known here: see `abstaining`.
+    """
+    rows = lists[0].select("channel", "item_id", "doc_id", "score", "place")
+    for c in lists[1:]:
+        rows = rows.unionByName(c.select("channel", "item_id", "doc_id", "score", "place"))
+    of = lambda channel: F.coalesce(F.max(F.when(F.col("channel") == channel, F.col("score"))), F.lit(0.0))
+    pairs = rows.groupBy("item_id", "doc_id").agg(F.sum(1 / (constant + F.col("place"))).alias("rrf"), of("dense").alias("semantic"), of("lexical").alias("overlap"))
+    top = pairs.groupBy("item_id").agg(F.max("rrf").alias("most_rrf"), F.max("overlap").alias("most_overlap"))
+    known = pairs.join(memories.where("status <> 'DELETED'"), "doc_id").join(top, "item_id")
+    damp = F.coalesce(*[F.when(F.col("status") == s, w) for s, w in DAMPED.items()], F.lit(0.0))
+    parts = {
+        "semantic": F.greatest(F.col("semantic"), F.lit(0.0)),
+        "keyword": F.when(F.col("most_overlap") > 0, F.col("overlap") / F.col("most_overlap")).otherwise(0.0),
+        "recency": F.pow(F.lit(0.5), F.greatest(at - F.col("occurred"), F.lit(0)) / half_life),
+        "importance": F.coalesce("importance", F.lit(0.0)),
+        "temporal": F.coalesce((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))), F.lit(False)).cast("double"),
+        "status": damp,
+    }
+    weighed = sum((F.lit(w) * parts[name] for name, w in PARTS.items()), F.lit(0.0))
+    scored = known.select("item_id", "doc_id", F.round(F.col("rrf") / F.col("most_rrf") * weighed * damp, 9).alias("score"))
+    by_score = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    placed = scored.withColumn("place", F.row_number().over(by_score)).withColumn("next", F.lead("score").over(by_score)).where(F.col("place") <= k)
+    sure = F.first(F.when(F.col("place") == 1, F.col("score") - F.coalesce("next", F.lit(0.0)) > margin), ignorenulls=True).over(Window.partitionBy("item_id"))
+    judged = placed.withColumn("sure", sure).where("sure or place = 1")
+    return judged.select("item_id", F.when(F.col("sure"), F.col("place")).alias("place"), F.when(F.col("sure"), F.col("doc_id")).alias("doc_id"), F.when(F.col("sure"), F.col("score")).alias("score"))
+
+
+def abstaining(answers: DataFrame, queries: DataFrame) -> DataFrame:
+    """answers with a row, all null but item_id, for each question that has none."""
+    none = queries.select("item_id").distinct().join(answers.select("item_id"), "item_id", "left_anti")
+    return answers.unionByName(none, allowMissingColumns=True)
+
+
 def packed(ranked: DataFrame, by: str, order: str, size: Column, budget: int) -> DataFrame:
     """Greedy packing in order: an entry that does not fit is left out and the next is tried."""
     rows = ranked.select(by, F.struct(F.col(order), F.col("doc_id"), size.cast("long").alias("size")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("xs"))
@@ -194,17 +292,6 @@ def packed(ranked: DataFrame, by: str, order: str, size: Column, budget: int) ->
     return rows.select(by, fold.alias("f")).select(by, F.col("f.used").alias("used"), F.col("f.ids").alias("packed"))
 
 
-def summaries(messages: DataFrame, last: int = 12, sentence: int = 500, total: int = 2400) -> DataFrame:
-    """Per room: first sentences of the messages before the last ones, newest first while they fit, then in order."""
-    back = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("sequence")))
-    first = F.element_at(F.split("text", r"(?<=[。！？.!?])\s*|\n\s*\n", 2), 1)
-    old = messages.withColumn("_back", back).where(F.col("_back") > last).select("conversation_id", "sequence", first.alias("s")).where((F.length("s") > 0) & (F.length("s") <= sentence))
-    rows = old.groupBy("conversation_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("sequence", "s")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
-    fold = F.aggregate("xs", start, lambda a, x: F.when(a["used"] + F.length(x["s"]) <= total, F.struct((a["used"] + F.length(x["s"])).alias("used"), F.array_append(a["kept"], x["s"]).alias("kept"))).otherwise(a))
-    return rows.select("conversation_id", F.array_join(F.reverse(fold["kept"]), "\n").alias("summary"))
-
-
 def official_first(pages: DataFrame) -> DataFrame:
     """Within each site, official hosts first, then by arrival."""
     found = pages.withColumn("host", X.host(F.col("url")))

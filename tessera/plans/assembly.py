@@ -26,7 +26,7 @@ def evid_guarded_lookup(spark, d):
 def evid_merged_drafts(spark, d):
     o = table(spark, d, "orders")
     old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", (F.col("o_orderkey") % 5).alias("version"), "o_orderstatus", "o_orderpriority")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "N").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"))
+    new = o.where("o_orderkey % 2 = 0 or o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "N").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"))
     return A.merged_draft(old, new, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
@@ -67,13 +67,23 @@ def eval_batches(spark, d):
     return A.batches(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 5)
 
 
+def _results(spark, d):
+    """Pages as the results of a run for each site; what came by plain http was not read."""
+    pages = table(spark, d, "pages")
+    return pages.select(X.host(F.col("url")).alias("run"), "page_id", "url", F.when(F.col("url").startswith("https:"), F.col("html")).alias("body"))
+
+
 def retr_candidates(spark, d):
-    return A.candidates(table(spark, d, "pages").withColumn("html", F.when(F.col("page_id") % 4 != 1, F.col("html"))))
+    """Beside those that each site's run already knows: pages whose address has a query."""
+    found = _results(spark, d)
+    return A.candidates(found, found.where("contains(url, '?') and page_id % 2 = 0"), "run", "page_id")
 
 
 def retr_run_status(spark, d):
-    pages = table(spark, d, "pages").select((F.col("page_id") % 97).alias("run"), F.when(F.col("page_id") % 4 != 1, "PAGE_CONTENT").otherwise("SEARCH_SNIPPET").alias("kind"), "page_id")
-    return A.run_status(pages, pages.where("page_id % 97 % 5 <> 2 and (page_id % 97 % 3 <> 1 or kind = 'SEARCH_SNIPPET')"), "run")
+    """Sites whose addresses all have a query have found nothing else."""
+    found = _results(spark, d)
+    kind = F.when(F.col("body").isNotNull(), "PAGE_CONTENT").otherwise("SEARCH_SNIPPET")
+    return A.run_status(found, found.where("not contains(url, '?')").withColumn("kind", kind), "run")
 
 
 def eval_answer_faults(spark, d):
@@ -105,7 +115,7 @@ SQL = {
       SELECT c.conv_id, turn, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) AS BIGINT) AS sequence FROM conversations c LEFT JOIN p ON p.conv_id = c.conv_id WHERE turn >= 2""",
     "evid_guarded_lookup": f"WITH {EVIDENCE} SELECT id, domain, origin FROM evidence WHERE status = 'ACTIVE' AND owner_id = 'src0' AND id IN (SELECT item_id * 3 FROM benchmark)",
     "evid_merged_drafts": """SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CAST(CASE WHEN n.o_orderkey IS NULL THEN version ELSE coalesce(version, 0) + 1 END AS BIGINT) AS version, coalesce(n.s, o.o_orderstatus) AS o_orderstatus, o.o_orderpriority
-      FROM (SELECT *, o_orderkey % 5 AS version FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'N' END AS s FROM orders WHERE o_orderkey % 2 = 0) n ON n.o_orderkey = o.o_orderkey""",
+      FROM (SELECT *, o_orderkey % 5 AS version FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'N' END AS s FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) n ON n.o_orderkey = o.o_orderkey""",
     "evid_references": "SELECT l_orderkey, count(*) AS n_sources, count(*) - count(p_partkey) AS n_invented, count(*) = count(p_partkey) AS stands FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 40 GROUP BY l_orderkey",
     "retr_shown_evidence": f"""WITH {EVIDENCE} SELECT owner_id, id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY sha256(CAST(id AS VARCHAR)), id) AS INT) AS place, substring(text, 1, 1000) AS shown FROM evidence
       WHERE status = 'ACTIVE' AND consent_scope IS NOT NULL QUALIFY place <= 3""",
@@ -115,8 +125,12 @@ SQL = {
     "evid_newest_valid": f"WITH {LEDGER} SELECT user_id, max_by(event_id, (us, event_id)) FILTER (WHERE k % 4 = 1) AS event_id, count(*) FILTER (WHERE k % 4 = 1) AS n_valid FROM ledger GROUP BY user_id",
     "eval_arm_rotation": "SELECT item_id AS case_id, arm, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(item_id || ':' || arm)) AS INT) AS position FROM benchmark, (VALUES ('B0'), ('B1'), ('B2'), ('D')) x(arm)",
     "eval_batches": "SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 5 AS batch FROM orders",
-    "retr_candidates": "SELECT url, min(page_id) AS page_id, CASE WHEN min(page_id) % 4 <> 1 AND length(trim(min_by(html, page_id))) > 0 THEN 'PAGE_CONTENT' ELSE 'SEARCH_SNIPPET' END AS kind FROM pages GROUP BY url",
-    "retr_run_status": """WITH p AS (SELECT page_id % 97 AS run, page_id % 4 <> 1 AS page FROM pages), f AS (SELECT run, bool_or(page) AS pages FROM p WHERE run % 5 <> 2 AND (run % 3 <> 1 OR NOT page) GROUP BY run)
+    "retr_candidates": rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS run, regexp_replace(url, '#.*$', '') AS url, url LIKE 'https:%' AND length(trim(html)) > 0 AS read FROM pages),
+      k AS (SELECT DISTINCT run, url FROM p WHERE url LIKE '%?%' AND page_id % 2 = 0), c AS (SELECT run, url, min(page_id) AS page_id, min_by(read, page_id) AS read FROM p WHERE (run, url) NOT IN (SELECT (run, url) FROM k) GROUP BY run, url),
+      r AS (SELECT *, CASE WHEN regexp_matches(run, '\.(gov\.cn|edu\.cn|gov|edu)$') THEN 'OFFICIAL_DOMAIN' ELSE 'PUBLIC_SOURCE' END AS authority FROM c),
+      o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY authority <> 'OFFICIAL_DOMAIN', page_id) AS position FROM r)
+      SELECT o.run, CAST(position AS INT) AS position, url, authority, CASE WHEN read THEN 'PAGE_CONTENT' ELSE 'SEARCH_SNIPPET' END AS kind FROM o LEFT JOIN (SELECT run, count(*) AS n FROM k GROUP BY run) t ON t.run = o.run WHERE position <= 5 - coalesce(n, 0)""",
+    "retr_run_status": """WITH p AS (SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS run, url LIKE '%?%' AS known, url LIKE 'https:%' AS page FROM pages), f AS (SELECT run, bool_or(page) AS pages FROM p WHERE NOT known GROUP BY run)
       SELECT r.run, CASE WHEN pages THEN 'READY' WHEN NOT pages THEN 'SNIPPETS_ONLY' ELSE 'NO_RESULTS' END AS status FROM (SELECT DISTINCT run FROM p) r LEFT JOIN f ON f.run = r.run""",
     "eval_answer_faults": """WITH a AS (SELECT doc_id, text, CASE WHEN doc_id % 5 < 3 THEN ['A', 'B', 'C'][CAST(doc_id % 3 AS INT) + 1] WHEN doc_id % 5 = 3 THEN 'B' ELSE substring(text, 1, 1) END AS choice FROM documents)
       SELECT doc_id, CASE WHEN NOT coalesce(choice IN ('A', 'B', 'C'), false) THEN 'CHOICE' WHEN NOT coalesce(length(trim(text)) BETWEEN 8 AND 4000, false) THEN 'REASON' WHEN doc_id % 3 = 0 AND choice <> 'A' THEN 'CHANGED' END AS fault FROM a""",

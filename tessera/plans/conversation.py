@@ -8,7 +8,7 @@ from tessera.functions import text as X
 from tessera.functions import udfs
 from tessera.operators import conversation as C
 from tessera.operators import evidence as V
-from tessera.operators import retrieval as R
+from tessera.operators import folds
 from tessera.sources.tables import LEDGER, MESSAGES, ledger, messages, table
 
 U, A = C.GONE_USER, C.GONE_AGENT
@@ -68,7 +68,9 @@ def conv_token_estimate(spark, d):
 
 
 def conv_summary(spark, d):
-    return R.summaries(messages(spark, d))
+    """Rooms of ten conversations each, one after the other."""
+    rooms = messages(spark, d).select(F.floor(F.col("conversation_id") / 10).alias("conversation_id"), (F.col("conversation_id") * 1000 + F.col("sequence")).alias("sequence"), "text")
+    return folds.summaries(rooms)
 
 
 def conv_markdown_plain(spark, d):
@@ -82,7 +84,15 @@ def conv_dialogue_batches(spark, d):
     return batch.select("conversation_id", "sequence", "parts", "followup", "refused")
 
 
+SUMMARY = r"""WITH RECURSIVE m AS (SELECT conv_id // 10 AS conversation_id, conv_id * 1000 + turn AS sequence, text FROM conversations WHERE role <> 'system'),
+      f AS (SELECT conversation_id, sequence, row_number() OVER (PARTITION BY conversation_id ORDER BY sequence DESC) AS back, regexp_replace(regexp_extract(text, '(?s)^.*?(?:[。！？.!?]|\n\s*\n|\z)'), '\n\s*\n$', '') AS first FROM m),
+      s AS (SELECT conversation_id, first, row_number() OVER (PARTITION BY conversation_id ORDER BY back) AS i FROM f WHERE back > 12 AND length(first) BETWEEN 1 AND 500),
+      p(conversation_id, i, used, summary) AS (SELECT DISTINCT conversation_id, 0::BIGINT, 0::BIGINT, '' FROM s UNION ALL
+        SELECT p.conversation_id, s.i, CASE WHEN used + length(first) <= 2400 THEN used + length(first) ELSE used END,
+          CASE WHEN used + length(first) > 2400 THEN summary WHEN summary = '' THEN first ELSE first || chr(10) || summary END FROM p JOIN s ON s.conversation_id = p.conversation_id AND s.i = p.i + 1)
+      SELECT conversation_id, max_by(summary, i) AS summary FROM p GROUP BY conversation_id HAVING max_by(summary, i) <> ''"""
 SQL = {
+    "conv_summary": SUMMARY,
     "conv_latest_message": f"""WITH {MESSAGES}
       SELECT conversation_id, sequence, speaker, CASE WHEN deleted AND speaker = 'USER' THEN '{U}' WHEN deleted THEN '{A}' ELSE substring(replace(text, chr(10), ' '), 1, 100) END AS preview
       FROM messages QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY sequence DESC) = 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
+from tessera.operators import similar as N
 from tessera.sources.tables import table
 
 WEIGHTS = {"decisions": 0.30, "values": 0.25, "consistency": 0.20, "style": 0.15, "boundaries": 0.10}
@@ -13,22 +14,24 @@ WEIGHTS = {"decisions": 0.30, "values": 0.25, "consistency": 0.20, "style": 0.15
 def _cases(spark, d):
     """Every document is a memory; those whose id is divisible by 100 are cases too."""
     docs = table(spark, d, "documents")
-    memories = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("occurred_text"), F.col("text").alias("content"))
+    choice = F.when(F.length("text") % 3 == 0, "yes").when(F.length("text") % 3 == 1, "no").otherwise("maybe")
+    memories = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("occurred_text"), F.col("text").alias("content"), choice.alias("choice"))
     cases = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("case_id"), F.col("source").alias("owner_id"), F.col("lang").alias("domain"), F.col("doc_id").alias("occurred"), F.col("text").alias("question"), F.array(F.lit("yes"), F.lit("no")).alias("options"), F.when(F.length("text") % 2 == 0, "yes").otherwise("no").alias("reference"))
-    choices = docs.select(F.col("doc_id").alias("id"), F.when(F.length("text") % 3 == 0, "yes").when(F.length("text") % 3 == 1, "no").otherwise("maybe").alias("choice"))
-    return memories, cases, choices
+    return memories, cases
 
 
 def eval_four_arm(spark, d):
-    memories, cases, choices = _cases(spark, d)
-    return E.predictions(E.requests(memories, cases), cases, choices)
+    return E.four_arms(*_cases(spark, d))
 
 
 def eval_arm_summary(spark, d):
-    memories, cases, choices = _cases(spark, d)
-    scored = E.predictions(E.requests(memories, cases), cases, choices).join(cases.select("case_id", "reference", "owner_id", F.col("domain").alias("session_id")), "case_id")
+    """Answers scored by choice and by a rubric of two phrases of the question's language; some arms have not answered, some answers failed."""
+    memories, cases = _cases(spark, d)
+    scored = E.four_arms(memories, cases).join(cases.select("case_id", "reference", "owner_id", F.col("domain").alias("session_id")), "case_id")
     status = F.when(F.col("arm").isin("B0"), "MISSING").when(F.col("case_id") % 700 == 0, "FAILED").otherwise("COMPLETED")
-    return E.arm_summary(scored.withColumn("status", status).withColumn("score", E.primary_score(F.col("choice"), F.col("reference"), F.array(), F.array())))
+    said = F.array(F.concat(F.lit("I say "), F.col("choice")), F.concat(F.lit("as they are "), F.col("session_id")))
+    rubric = F.when(F.col("case_id") % 300 != 0, F.array(F.concat(F.lit("SAY "), F.col("reference")), F.lit("are E"))).otherwise(F.array().cast("array<string>"))
+    return E.arm_summary(scored.withColumn("status", status).withColumn("score", E.primary_score(F.col("choice"), F.col("reference"), said, rubric)))
 
 
 def _orders(spark, d):
@@ -48,8 +51,8 @@ def eval_strongest_baseline(spark, d):
 def _scored(spark, d):
     """Lines of an order as the arms' answers to a case; returned ones failed."""
     item, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    arm = F.element_at(F.array(*map(F.lit, E.ARMS)), F.col("l_linenumber").cast("int"))
-    rows = item.where("l_linenumber <= 4").join(orders, item.l_orderkey == orders.o_orderkey)
+    arm = F.element_at(F.array(*map(F.lit, E.ARMS)), ((F.col("l_linenumber") - 1) % 4 + 1).cast("int"))
+    rows = item.join(orders, item.l_orderkey == orders.o_orderkey)
     return rows.select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 40).alias("owner_id"), F.col("o_custkey").alias("session_id"), arm.alias("arm"), F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("COMPLETED").alias("status"), (F.col("l_quantity") / 50).alias("score"))
 
 
@@ -70,7 +73,36 @@ def eval_split_windows(spark, d):
 
 
 def eval_near_duplicates(spark, d):
-    return E.near_questions(table(spark, d, "benchmark"))
+    return N.near_questions(_questions(spark, d))
+
+
+def _questions(spark, d):
+    """The benchmark in three splits of four owners, and in another split each question with every twentieth letter changed, every fifth one much, every seventh one not at all."""
+    b = table(spark, d, "benchmark")
+    changed = F.when(F.col("item_id") % 7 == 0, F.col("text")).when(F.col("item_id") % 5 == 0, F.regexp_replace("text", r"(\w\w\w)(\w)", "$1q")).otherwise(F.regexp_replace("text", r"(?s)(.{39}).", "$1q"))
+    split = F.element_at(F.array(*map(F.lit, ("train", "dev", "holdout"))), (F.col("item_id") % 3 + 1).cast("int"))
+    rows = b.select("item_id", F.col("item_id") % 4, split, "text").toDF("item_id", "owner_id", "split", "text")
+    again = b.select(F.col("item_id") + 1_000_000_000, F.col("item_id") % 4, F.when(F.col("item_id") % 2 == 0, "dev").otherwise("holdout"), changed)
+    return rows.union(again)
+
+
+def eval_crossing_questions(spark, d):
+    return N.crossing_questions(_questions(spark, d))
+
+
+def eval_violations(spark, d):
+    """Orders as records of a paired data set: memories and cases of their customers, with faults by key."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    case = key % 4 == 0
+    split = F.when(key % 31 == 5, "other").when(case, F.when(key % 8 == 0, "dev").otherwise("holdout")).otherwise("train")
+    reference = F.struct(F.when(key % 17 == 1, "D").otherwise("A").alias("choice"), F.when(key % 19 == 2, F.lit(None)).otherwise(F.array(F.lit("x"))).alias("reasons"))
+    records = o.select(
+        F.when(key % 37 != 3, key).otherwise(key - 1).alias("id"), F.when(case, "case").when(key % 41 == 4, "note").otherwise("memory").alias("kind"), F.when(key % 43 != 5, F.col("o_custkey")).alias("owner_id"),
+        key.alias("session_id"), split.alias("split"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(key % 23 == 4, "").otherwise("T00:00:00Z")).alias("occurred_at"),
+        F.element_at(F.array(*map(F.lit, ("REAL_USER_MESSAGE", "USER_SELF_REPORT", "SIMULATED_DIALOGUE"))), (F.when(key % 29 == 6, 2).otherwise(key % 2) + 1).cast("int")).alias("source_origin"),
+        F.when(key % 47 == 7, F.lit(-1)).otherwise(F.col("o_custkey")).alias("subject_id"), F.when(key % 53 != 8, "PFE_TRAINING").alias("consent_purpose"), F.array(F.lit("A"), F.lit("B")).alias("options"), reference.alias("reference"),
+    )
+    return E.violations(records).where("rule <> 'n_windows'").select("rule", F.col("id").cast("long").alias("id"))
 
 
 def eval_weighted_gate(spark, d):
@@ -104,14 +136,20 @@ FOUR = f"""docs AS (SELECT *, {TERMS} AS terms, CASE length(text) % 3 WHEN 0 THE
         FROM c CROSS JOIN (VALUES ('B0'), ('B1'), ('B2'), ('D')) x(arm) LEFT JOIN p ON p.arm = x.arm AND p.case_id = c.doc_id)"""
 SQL = {
     "eval_four_arm": f"WITH {FOUR} SELECT arm, case_id, choice, evidence_id FROM four",
-    "eval_arm_summary": f"""WITH {FOUR}, s AS (SELECT *, CASE WHEN arm = 'B0' THEN 'MISSING' WHEN case_id % 700 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM four)
+    "eval_arm_summary": f"""WITH {FOUR}, r AS (SELECT *, CAST(choice = reference AS INT) AS hit, CASE WHEN lang LIKE 'e%' THEN 1 ELSE 0 END AS told FROM four),
+      s AS (SELECT *, CASE WHEN case_id % 300 = 0 THEN hit ELSE (hit + (hit + told) / 2.0::DOUBLE) / 2 END AS score, CASE WHEN arm = 'B0' THEN 'MISSING' WHEN case_id % 700 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status FROM r)
       SELECT arm, count(*) AS expected, count(*) FILTER (WHERE status = 'COMPLETED') AS completed, count(*) FILTER (WHERE status = 'MISSING') AS missing, count(*) FILTER (WHERE status = 'FAILED') AS failed,
-        max(mean) AS mean FROM s LEFT JOIN (SELECT arm, round(avg(m), 6) AS mean FROM (SELECT arm, source, avg(m) AS m FROM (SELECT arm, source, lang, avg(CAST(choice = reference AS INT)) AS m FROM s WHERE status = 'COMPLETED' GROUP BY arm, source, lang) GROUP BY arm, source) GROUP BY arm) USING (arm) GROUP BY arm""",
+        max(mean) AS mean FROM s LEFT JOIN (SELECT arm, round(avg(m), 6) AS mean FROM (SELECT arm, source, avg(m) AS m FROM (SELECT arm, source, lang, avg(score) AS m FROM s WHERE status = 'COMPLETED' GROUP BY arm, source, lang) GROUP BY arm, source) GROUP BY arm) USING (arm) GROUP BY arm""",
+    "eval_violations": """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 37 <> 3 THEN o_orderkey ELSE o_orderkey - 1 END AS id, o_orderkey % 4 = 0 AS is_case, o_orderkey % 4 <> 0 AND o_orderkey % 41 <> 4 AS memory, o_orderkey % 43 <> 5 AS owned FROM orders)
+      SELECT 'a_fields' AS rule, id FROM r WHERE NOT owned UNION ALL SELECT 'b_kind', id FROM r WHERE NOT is_case AND NOT memory UNION ALL SELECT 'c_split', id FROM r WHERE k % 31 = 5
+      UNION ALL SELECT 'd_instant', id FROM r WHERE k % 23 = 4 UNION ALL SELECT 'e_origin', id FROM r WHERE memory AND k % 29 = 6 UNION ALL SELECT 'f_subject', id FROM r WHERE memory AND (k % 47 = 7 OR NOT owned)
+      UNION ALL SELECT 'g_consent', id FROM r WHERE memory AND k % 53 = 8 UNION ALL SELECT 'h_memory_split', id FROM r WHERE memory AND k % 31 = 5 UNION ALL SELECT 'j_reference', id FROM r WHERE is_case AND k % 17 = 1
+      UNION ALL SELECT 'k_rubric', id FROM r WHERE is_case AND k % 19 = 2 UNION ALL SELECT 'l_duplicate', id FROM r GROUP BY id HAVING count(*) > 1""",
     "eval_clustered_mean": f"WITH {ORDERS}, s AS (SELECT owner_id, avg(value) AS m FROM orders_of GROUP BY owner_id, session_id), u AS (SELECT avg(m) AS m FROM s GROUP BY owner_id) SELECT round(avg(m), 5) AS mean, count(*) AS n_users FROM u",
     "eval_strongest_baseline": f"WITH {ORDERS}, m AS (SELECT arm, round(avg(value), 2) AS mean FROM orders_of GROUP BY arm) SELECT arm AS strongest, mean AS best_mean FROM m ORDER BY mean DESC, arm LIMIT 1",
-    "eval_paired_differences": """WITH s AS (SELECT o_orderkey AS case_id, o_custkey % 40 AS owner_id, o_custkey AS session_id, ['B0', 'B1', 'B2', 'D'][CAST(l_linenumber AS INT)] AS arm, l_returnflag <> 'R' AS fine, l_quantity / 50 AS score
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 4),
-      w AS (SELECT case_id FROM s WHERE fine GROUP BY case_id HAVING count(DISTINCT arm) = 4), c AS (SELECT * FROM s WHERE case_id IN (SELECT case_id FROM w)),
+    "eval_paired_differences": """WITH s AS (SELECT o_orderkey AS case_id, o_custkey % 40 AS owner_id, o_custkey AS session_id, ['B0', 'B1', 'B2', 'D'][CAST((l_linenumber - 1) % 4 + 1 AS INT)] AS arm, l_returnflag <> 'R' AS fine, l_quantity / 50 AS score
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+      w AS (SELECT case_id FROM s WHERE fine GROUP BY case_id HAVING count(DISTINCT arm) = 4), c AS (SELECT * FROM s WHERE fine AND case_id IN (SELECT case_id FROM w)),
       m AS (SELECT arm, avg(m) AS mean FROM (SELECT arm, owner_id, avg(m) AS m FROM (SELECT arm, owner_id, session_id, avg(score) AS m FROM c WHERE arm <> 'D' GROUP BY arm, owner_id, session_id) GROUP BY arm, owner_id) GROUP BY arm),
       b AS (SELECT arm AS baseline FROM m ORDER BY mean DESC, arm LIMIT 1)
       SELECT case_id, owner_id, session_id, baseline, round(avg(score) FILTER (WHERE arm = 'D') - avg(score) FILTER (WHERE arm = baseline), 6) AS difference FROM c CROSS JOIN b GROUP BY case_id, owner_id, session_id, baseline""",

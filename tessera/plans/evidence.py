@@ -41,7 +41,7 @@ def evid_idempotency_conflicts(spark, d):
 
 
 def evid_snapshot_fingerprint(spark, d):
-    return V.fingerprint(evidence(spark, d), chunk=50)
+    return V.fingerprint(evidence(spark, d))
 
 
 def evid_valid_sets(spark, d):
@@ -54,6 +54,15 @@ def lineage_closure(spark, d):
     return V.closure(edges, table(spark, d, "customer").where("c_custkey % 100 = 0").select((F.col("c_custkey") * 4).alias("id")))
 
 
+def tree(rows: str, by: list[str], id_col: str = "id") -> str:
+    """SQL of the tree of hashes over `rows` (by, id, line): `<rows>_tree` has by, line, n."""
+    keys, levels = ", ".join(by), [f"{rows}_0 AS (SELECT DISTINCT {', '.join(by)}, {id_col} AS slot, line, 1 AS n FROM {rows})"]
+    for k in range(3):
+        total = "sum(n)" if k else "max(n)"
+        levels.append(f"{rows}_{k + 1} AS (SELECT {keys}, slot // 4096 AS slot, sha256(string_agg(line, chr(10) ORDER BY slot, line)) AS line, CAST({total} AS BIGINT) AS n FROM {rows}_{k} GROUP BY {keys}, slot // 4096)")
+    return ", ".join([*levels, f"{rows}_tree AS (SELECT * FROM {rows}_3)"])
+
+
 SQL = {
     "evid_active_by_domain": f"WITH {EVIDENCE} SELECT domain, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM evidence WHERE status = 'ACTIVE' GROUP BY domain",
     "evid_claim_classes": """SELECT doc_id, CASE WHEN contains(text, 'scum') OR contains(text, 'keit ') OR contains(text, 'idiot') THEN 'ASPIRATION'
@@ -68,8 +77,7 @@ SQL = {
     "evid_outbox_order": f"""WITH {LEDGER}, o AS (SELECT *, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'INGEST' END AS operation FROM ledger)
       SELECT user_id, event_id, operation, CAST(row_number() OVER (PARTITION BY user_id ORDER BY operation <> 'DELETE', event_id) AS INT) AS position FROM o""",
     "evid_idempotency_conflicts": """SELECT user_id, event_type, count(*) AS n, count(DISTINCT props) AS n_fingerprints, min_by(sha256(props), event_id) AS first_fingerprint, count(DISTINCT props) > 1 AS conflict FROM events GROUP BY user_id, event_type""",
-    "evid_snapshot_fingerprint": f"""WITH {EVIDENCE}, c AS (SELECT owner_id, id // 50 AS chunk, sha256(string_agg(id || ':' || sha256(text), chr(10) ORDER BY id)) AS line FROM evidence GROUP BY owner_id, id // 50)
-      SELECT owner_id, sha256(string_agg(line, chr(10) ORDER BY chunk)) AS fingerprint, count(*) AS n_chunks FROM c GROUP BY owner_id""",
+    "evid_snapshot_fingerprint": f"WITH {EVIDENCE}, e AS (SELECT *, id || ':' || sha256(text) AS line FROM evidence), {tree('e', ['owner_id'])} SELECT owner_id, line AS fingerprint, n AS n_leaves FROM e_tree",
     "evid_valid_sets": f"""WITH {EVIDENCE}, s AS (SELECT item_id, unnest(CASE WHEN item_id % 9 = 0 THEN [NULL] ELSE list_transform(range(item_id % 3 + 1), lambda k: item_id * 10 + 1 + k) END) AS id FROM benchmark)
       SELECT item_id, bool_and(coalesce(status = 'ACTIVE' AND origin IN ({REAL}) AND consent_scope IS NOT NULL, false)) AS valid FROM s LEFT JOIN evidence e ON e.id = s.id GROUP BY item_id""",
     "lineage_closure": """WITH RECURSIVE e AS (SELECT o_custkey * 4 AS u, o_orderkey * 4 + 1 AS v FROM orders UNION SELECT l_orderkey * 4 + 1, l_partkey * 4 + 2 FROM lineitem),

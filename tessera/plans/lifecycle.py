@@ -51,7 +51,7 @@ def evid_privacy_epoch(spark, d):
 def evid_live_runs(spark, d):
     item = table(spark, d, "lineitem")
     scope = F.when(F.col("l_linenumber") % 2 == 0, "room").otherwise("turn")
-    published = item.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("run"), scope.alias("scope"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("id"))
+    published = item.select(F.col("l_orderkey").alias("run"), scope.alias("scope"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("id"))
     return L.live_runs(published, {"room": table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id")), "turn": table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("id"))})
 
 
@@ -94,7 +94,7 @@ SQL = {
     "evid_stale_versions": "SELECT l_orderkey AS version, count(p_partkey) AS n_lost, count(p_partkey) > 0 AS invalid FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size = 1 GROUP BY l_orderkey",
     "evid_manifest_valid": f"WITH {EVIDENCE} SELECT owner_id || '/' || (id % 7) AS name, bool_and(id % 97 <> 5) AS valid, count(*) AS n_entries FROM evidence GROUP BY owner_id || '/' || (id % 7)",
     "evid_privacy_epoch": "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS epoch FROM events GROUP BY user_id",
-    "evid_live_runs": """SELECT DISTINCT l_orderkey AS run FROM lineitem WHERE l_linenumber = 2 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) OR l_linenumber = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""",
+    "evid_live_runs": """SELECT DISTINCT l_orderkey AS run FROM lineitem WHERE l_linenumber % 2 = 0 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) OR l_linenumber % 2 = 1 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""",
     "evid_missing": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IN (0, 1))",
     "evid_validity": """SELECT o_orderkey, CASE WHEN coalesce(c_acctbal < 0, true) THEN 'ROOM' WHEN o_orderstatus = 'P' THEN 'RESEARCH' WHEN coalesce(c_mktsegment = 'BUILDING', true) THEN 'MODEL' WHEN o_orderkey % 5 = 0 THEN 'EPOCH'
       WHEN o_orderpriority = '1-URGENT' THEN 'SKILL' WHEN o_totalprice >= 300000 THEN 'SOURCES' END AS deny_reason FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import assembly, conversation, evaluation, evidence, lifecycle, retrieval, scheduling
+from tessera.plans import assembly, changes, conversation, evaluation, evidence, figures, lifecycle, retrieval, scheduling, validity
 
-_FAMILIES = conversation, evidence, lifecycle, assembly, retrieval, evaluation, scheduling
+_FAMILIES = conversation, evidence, figures, changes, validity, lifecycle, assembly, retrieval, evaluation, scheduling
 
 
 def queries() -> dict:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import udfs
+from tessera.operators import folds as F_
 from tessera.operators import retrieval as R
-from tessera.sources.tables import LEDGER, ledger, table
+from tessera.sources.tables import EVIDENCE, LEDGER, evidence, ledger, table
 
 BUDGET = 4000
 
@@ -24,9 +25,28 @@ def retr_dense_topk(spark, d):
     return R.dense(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, 3)
 
 
+HALF_LIFE, MARGIN, NOW = 400.0, 0.05, 1200
+
+
 def retr_rrf_fusion(spark, d):
+    """Words, BM25, names and vectors, fused and weighed by the documents' age, term and status; NOW and the term count in ids."""
     b, docs = table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text")
-    return R.fused([R.channels(b, docs, 10)], 3)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.join(b.select(F.col("item_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("item_id"), F.lit(None).cast("long").alias("own"), "embedding")
+    names = R.channels(b, docs, 10, words=X.names).where("channel = 'lexical'").withColumn("channel", F.lit("entity"))
+    return R.abstaining(R.recalled([R.channels(b, docs, 10), names, R.nearest(vectors, asked, 10)], _memories(spark, d), F.lit(NOW), 3, HALF_LIFE, MARGIN), b)
+
+
+def _memories(spark, d):
+    i = F.col("id")
+    status = F.when(F.col("status") == "PENDING", "CANDIDATE").when((F.col("status") == "ACTIVE") & (i % 11 == 0), "SUPERSEDED").when((F.col("status") == "ACTIVE") & (i % 13 == 0), "ARCHIVED").otherwise(F.col("status"))
+    return evidence(spark, d).select(i.alias("doc_id"), i.alias("occurred"), F.when(i % 5 == 0, i + 100).alias("valid_from"), F.when(i % 9 == 0, i + 200).alias("valid_to"), (i % 4 / 4).alias("importance"), status.alias("status"))
+
+
+def retr_bounded_sources(spark, d):
+    """What of a site's pages, in order of their ids, a question may be given."""
+    pages = table(spark, d, "pages").withColumn("site", X.host(F.col("url")))
+    return F_.bounded_sources(pages, "site", "page_id", "url", "html").select("site", "place", "content_hash")
 
 
 def retr_context_pack(spark, d):
@@ -84,6 +104,7 @@ def text_query_refusals(spark, d):
 
 
 WORDS = r"regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')"
+NAMES = r"regexp_extract_all(text, '\p{Lu}[\p{L}\p{N}_]{7,}')"
 LEXICAL = f"""q AS (SELECT item_id, unnest(list_distinct({WORDS})) AS term FROM benchmark), dt AS (SELECT doc_id, unnest(list_distinct({WORDS})) AS term FROM documents),
       lex AS (SELECT item_id, doc_id, overlap, CAST(row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS INT) AS place FROM (SELECT item_id, doc_id, count(*) AS overlap FROM q JOIN dt ON dt.term = q.term GROUP BY item_id, doc_id))"""
 BM25 = f"""w AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean FROM w),
@@ -101,8 +122,22 @@ SQL = {
       s AS (SELECT q.vec_id AS item_id, e.vec_id, round(list_sum(list_transform(range(1, len(e.e) + 1), lambda i: e.e[i] * q.e[i])) / (sqrt(list_sum(list_transform(e.e, lambda x: x * x))) * sqrt(list_sum(list_transform(q.e, lambda x: x * x)))), 6) AS score
         FROM e JOIN q ON e.vec_id <> q.vec_id)
       SELECT item_id, vec_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS INT) AS place FROM s QUALIFY place <= 3""",
-    "retr_rrf_fusion": f"""WITH {LEXICAL}, {BM25}, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + place)), 9) AS score FROM (SELECT item_id, doc_id, place FROM lex WHERE place <= 10 UNION ALL SELECT item_id, doc_id, place FROM bm WHERE place <= 10) GROUP BY item_id, doc_id)
-      SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS place FROM f QUALIFY place <= 3""",
+    "retr_rrf_fusion": f"""WITH {LEXICAL}, {BM25}, {EVIDENCE},
+      nq AS (SELECT item_id, unnest(list_distinct({NAMES})) AS term FROM benchmark), nd AS (SELECT doc_id, unnest(list_distinct({NAMES})) AS term FROM documents),
+      en AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS place FROM (SELECT item_id, doc_id, count(*) AS n FROM nq JOIN nd ON nd.term = nq.term GROUP BY item_id, doc_id)),
+      v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), vq AS (SELECT vec_id AS item_id, e FROM v WHERE vec_id IN (SELECT item_id FROM benchmark)),
+      de AS (SELECT item_id, vec_id AS doc_id, cosine, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, vec_id) AS place FROM (SELECT item_id, vec_id,
+        round(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: v.e[i] * vq.e[i])) / (sqrt(list_sum(list_transform(v.e, lambda x: x * x))) * sqrt(list_sum(list_transform(vq.e, lambda x: x * x)))), 6) AS cosine FROM v CROSS JOIN vq)),
+      l AS (SELECT item_id, doc_id, place, 0.0::DOUBLE AS cosine, overlap FROM lex WHERE place <= 10 UNION ALL SELECT item_id, doc_id, place, 0, 0 FROM bm WHERE place <= 10
+        UNION ALL SELECT item_id, doc_id, place, 0, 0 FROM en WHERE place <= 10 UNION ALL SELECT item_id, doc_id, place, cosine, 0 FROM de WHERE place <= 10),
+      p AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + place)) AS rrf, max(cosine) AS semantic, max(overlap)::DOUBLE AS overlap FROM l GROUP BY item_id, doc_id),
+      t AS (SELECT *, max(rrf) OVER w AS most_rrf, max(overlap) OVER w AS most_overlap FROM p WINDOW w AS (PARTITION BY item_id)),
+      m AS (SELECT *, CASE WHEN status = 'PENDING' THEN 0.8::DOUBLE WHEN id % 11 = 0 THEN 0.4::DOUBLE WHEN id % 13 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS damp FROM evidence WHERE status <> 'DELETED'),
+      fs AS (SELECT item_id, doc_id, round(rrf / most_rrf * (0.3::DOUBLE * greatest(semantic, 0) + 0.25::DOUBLE * CASE WHEN most_overlap > 0 THEN overlap / most_overlap ELSE 0 END + 0.15::DOUBLE * pow(0.5::DOUBLE, greatest({NOW} - id, 0) / {HALF_LIFE}::DOUBLE)
+        + 0.1::DOUBLE * (id % 4 / 4::DOUBLE) + 0.1::DOUBLE * CAST((id % 5 <> 0 OR id + 100 <= {NOW}) AND (id % 9 <> 0 OR {NOW} < id + 200) AS INT) + 0.1::DOUBLE * damp) * damp, 9) AS score FROM t JOIN m ON m.id = t.doc_id),
+      o AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM fs WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id)),
+      y AS (SELECT item_id, score - coalesce(next, 0) > {MARGIN}::DOUBLE AS sure FROM o WHERE place = 1)
+      SELECT b.item_id, CAST(o.place AS INT) AS place, o.doc_id, o.score FROM benchmark b LEFT JOIN y ON y.item_id = b.item_id AND sure LEFT JOIN o ON o.item_id = y.item_id AND o.place <= 3""",
     "retr_context_pack": f"""WITH RECURSIVE {LEXICAL}, b AS (SELECT item_id, place, lex.doc_id, length(text) AS size FROM lex JOIN documents d ON d.doc_id = lex.doc_id WHERE place <= 8),
       p(item_id, place, used, packed) AS (SELECT DISTINCT item_id, 0, 0::BIGINT, '' FROM b UNION ALL
         SELECT p.item_id, b.place, CASE WHEN used + size <= {BUDGET} THEN used + size ELSE used END,

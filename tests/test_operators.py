@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import random
 import re
+from difflib import SequenceMatcher
+from math import floor
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import evidence as V
 from tessera.operators import retrieval as R
 from tessera.operators import scheduling as S
+from tessera.operators import similar as N
 from tessera.sources import files
 
 
@@ -34,9 +37,21 @@ def _means(rows):
     return {u: {s: sum(vs) / len(vs) for s, vs in x.items()} for u, x in out.items()}
 
 
+def bootstrap_in_order(means: dict[str, dict[str, float]], seed: int, iterations: int) -> tuple[float, float | None, float | None]:
+    """(estimate, low, high) of a small fixture, user -> session -> mean, with the draws of one generator in a fixed order."""
+    mean = lambda xs: sum(xs) / len(xs)
+    rng, users, draws = random.Random(seed), sorted(means), []
+    for _ in range(iterations):
+        drawn = rng.choices(users, k=len(users))
+        draws.append(mean([mean([means[u][s] for s in rng.choices(sorted(means[u]), k=len(means[u]))]) for u in drawn]))
+    draws.sort()
+    low, high = (draws[floor((iterations - 1) * q)] if len(users) > 1 else None for q in (0.025, 0.975))
+    return mean([mean(list(x.values())) for x in means.values()]), low, high
+
+
 @pytest.mark.parametrize(("seed", "n", "low", "high"), [(1729, 1000, -1 / 12, 0.75), (1729, 10, 2 / 9, 2 / 3), (17, 200, -1 / 12, 2 / 3)])
 def test_bootstrap_golden(seed, n, low, high):
-    assert E.bootstrap_in_order(_means(ROWS), seed, n) == pytest.approx((7 / 18, low, high))
+    assert bootstrap_in_order(_means(ROWS), seed, n) == pytest.approx((7 / 18, low, high))
 
 
 def test_bootstrap_agrees_with_the_draws_in_order(spark):
@@ -44,7 +59,7 @@ def test_bootstrap_agrees_with_the_draws_in_order(spark):
     rng = random.Random(4)
     rows = [(f"u{u}", f"u{u}s{s}", rng.gauss(u % 5, 1)) for u in range(30) for s in range(rng.randint(1, 40))]
     out = E.bootstrap(spark.createDataFrame(rows, "owner_id string, session_id string, difference double"), 5).first()
-    want = E.bootstrap_in_order(_means(rows), 5, 1000)
+    want = bootstrap_in_order(_means(rows), 5, 1000)
     assert out["estimate"] == pytest.approx(want[0]) and (out["low"], out["high"]) == pytest.approx(want[1:], abs=0.12)
     assert (out["users"], out["sessions"]) == (30, len(rows))
 
@@ -102,8 +117,37 @@ def test_validator_names_the_breach(spark, tmp_path, records, rule):
 
 
 def test_near_questions(spark):
-    rows = spark.createDataFrame([(1, "Where shall I study next year?"), (2, "Where shall I study next year"), (3, "Quite another one"), (4, None)], "item_id long, text string")
-    assert [(r["a"], r["b"]) for r in E.near_questions(rows).collect()] == [(2, 1)]
+    """Against SequenceMatcher over all pairs, on texts with changed, moved, doubled and dropped letters."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("etaoin shrdlu cmfwyp") for _ in range(rng.randint(3, 90))) for _ in range(12)] + ["a" * 40, "ab" * 30, "问题是什么时候去哪里读书呢" * 3]
+    texts = [*base]
+    for t in base:
+        for k in (1, 2, 4, 7):
+            x = list(t)
+            for _ in range(k):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "zz"])
+            texts.append("".join(x) or "x")
+    rows = [(i, i % 3, ("train", "dev", "holdout")[i % 7 % 3], t) for i, t in enumerate(texts)] + [(500, 0, "dev", texts[0]), (501, 0, "train", None), (502, None, "dev", "abc"), (None, 0, "dev", "abc"), (503, 1, "dev", "?!")]
+    d = spark.createDataFrame(rows, "item_id long, owner_id long, split string, text string")
+    known = {}
+    for i, o, _, t in sorted((r for r in rows if None not in r), key=lambda r: r[0]):
+        known.setdefault((o, re.sub(r"[^\w]", "", t.lower())), i)
+    known = [(o, i, t) for (o, t), i in known.items() if t]
+    want = {(o, a, b): SequenceMatcher(None, x, y).ratio() for o, a, x in known for p, b, y in known if o == p and a > b}
+    want = {k: v for k, v in want.items() if v >= 0.9}
+    got = {(r["owner_id"], r["a"], r["b"]): r["ratio"] for r in N.near_questions(d).collect()}
+    assert len(want) > 20 and got == want
+
+    near = {frozenset(k[1:]) for k in want}
+    name = {(o, t): i for o, i, t in known}
+    placed = [(i, o, s, name[o, re.sub(r"[^\w]", "", t.lower())]) for i, o, s, t in rows if None not in (i, o, s, t) and re.sub(r"[^\w]", "", t.lower())]
+    splits = {}
+    for _, _, s, c in placed:
+        splits.setdefault(c, set()).add(s)
+    counts = {i: sum(bool(splits[x] - {s}) for x in splits if x == c or frozenset((x, c)) in near) for i, _, s, c in placed}
+    assert {r["item_id"]: r["n_alike"] for r in N.crossing_questions(d).collect()} == {i: n for i, n in counts.items() if n}
+    assert N.near_questions(d.limit(0)).collect() == []
 
 
 def test_packing_goes_on_after_what_does_not_fit(spark):
@@ -132,7 +176,7 @@ def test_summaries_keep_long_sentences(spark, tmp_path):
     said = [f"{k:02d}" + "x" * 248 + "." for k in range(20)]
     rows = [(1, k, "user" if k % 2 else "assistant", said[k] + " More.") for k in range(20)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    assert conversation.conv_summary(spark, str(tmp_path)).collect() == [(1, "\n".join(said[:8]))]
+    assert conversation.conv_summary(spark, str(tmp_path)).collect() == [(0, "\n".join(said[:8]))]
 
 
 def test_numbers(spark):
@@ -150,6 +194,18 @@ def test_numbers(spark):
         ("~~~\n- kept *as* is\n~~~\n***loud***", "- kept *as* is\nloud"),
         ("a*b*c = abc", "a*b*c = abc"),
         ("> quoted\n---", "quoted"),
+        ("| h | `a|b` |\n|---|:--|\n| x | `c|d` \\| e | more |", "h：x；a|b：c|d | e；more"),
+        ("| only | heads |\n|---|---|", "only；heads"),
+        ("a | b\nno table", "a | b\nno table"),
+        ("$x_1$ and \\(a|b\\), $5 and $6", "$x_1$ and \\(a|b\\), $5 and $6"),
+        ("$$\na|b *c*\n$$\nend", "$$\na|b *c*\n$$\nend"),
+        ("``a`b`` and `open *x*", "a`b and open *x*"),
+        ("__init__, __strong__, snake_case and _thin_", "__init__, strong, snake_case and thin"),
+        ("这是**重点**。**未闭，_强调_", "这是重点。未闭，强调"),
+        ("1) one\n2. **two**", "1. one\n2. two"),
+        ("![i](u) [u](u) <https://a.b/*c*> \\*not\\*", "i（u） u https://a.b/*c* *not*"),
+        ("x = f(1) * g(*a)\nTitle\n===\ntext", "x = f(1) * g(*a)\nTitle\ntext"),
+        ("*a **b** c* ~~gone~~ ~one~", "a b c gone ~one~"),
         (None, ""),
     ],
 )
@@ -175,6 +231,12 @@ ENVELOPES = [
     ('{"weather": 1}', (['{"weather": 1}'], None, None)),
     ("plain *words*", (["plain words"], None, None)),
     ("  ", ([], None, "EMPTY")),
+    ('{"messages": ["\\n"]}', ([], None, "CONTENT")),
+    ('{"messages": ["\u3000"]}', ([], None, "CONTENT")),
+    ("\u3000", ([], None, "EMPTY")),
+    ("\xa0\n\u2003", ([], None, "EMPTY")),
+    ('\u3000{"messages": ["one"]}\xa0', (["one"], None, None)),
+    ('{"messages": ["one"]}' + " " * 64_000, ([], None, "EMPTY")),
     (None, ([], None, "EMPTY")),
 ]
 
