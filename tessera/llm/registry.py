@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_runs, mixing, neardup, prefix_trie, quality, resample, secrets, spans, token_counts, toxicity, warc, webp
-from tessera.shared import new_path
+from tessera.llm import bpe, line_runs, mixing, neardup, oracles, prefix_trie, quality, resample, secrets, spans, token_counts, toxicity, warc, webp
+from tessera.shared import new_path, spread
 
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,7 +27,7 @@ def mixing_levels() -> list:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def secrets_ledger(spark: SparkSession) -> str:
@@ -114,4 +114,4 @@ FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": WARC_SQL}
+    return {"op10_warc": WARC_SQL, "op11_resampling": oracles.RESAMPLING, "op12_line_dedup": oracles.LINES, "op13_prefix_trie": oracles.TRIE}

@@ -46,9 +46,11 @@ _SWAP = log(0.05)  # cost of reading a sign as a letter and of shortening a run;
 _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_][^\W_]){3,}|[^\W\d_][ .\-_][^\W_][ .\-_][^\W\d_])(?![\w@$])")
 #: Chance that a gap within spaced letters ends a word: one like most of the stretch, a blank or another sign; a gap unlike them, or after two letters in a row.
 BREAK = {"blank": 0.2, "sign": 0.02, "unlike": 0.95}
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|[^\W\d_][0-9@$€]{1,2}$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
+_ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|^[!+][^\W\d_]{3}|[^\W\d_][0-9@$€]{1,2}$|[^\W\d_]{3}\+$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
 #: Holds wherever `_SPACED` matches or `_ODD` a token: each of their branches has one of these within it.
-_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
+_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€!+][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
+_GAPS = re.compile(r"[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
+_TOKEN, _TOKEN_END = re.compile(r"\S+"), re.compile(r"\s|\Z")
 _EDGE = ".,;:?!()[]{}\"'#%&<>=~`^\\/-_"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -146,6 +148,9 @@ class Restorer:
         if len(self.known) >= MEMO:
             self.known.clear()
         bare = token.strip(_EDGE)
+        before = token[: len(token) - len(token.lstrip(_EDGE))]
+        if before.endswith("!") and not before.endswith("!!"):  # a single one may be the first letter
+            bare = f"!{bare}"
         bare = re.sub(r"^[$*@|+]{3,}|[$*@|+]{3,}$", "", bare)
         self.known[token] = out = decode_token(bare, self.model) if _ODD.search(bare) else token
         return out
@@ -153,10 +158,17 @@ class Restorer:
     def text(self, text: str) -> str:
         """Lower-cased, with suspicious tokens decoded."""
         low = text.lower()
-        if not _HINT.search(low):
-            return low
-        low = _SPACED.sub(lambda m: decode_token(m[0], self.model, True), low)
-        return re.sub(r"\S+", lambda m: self.token(m[0]), low)
+        if _GAPS.search(low):
+            low = _SPACED.sub(lambda m: decode_token(m[0], self.model, True), low)
+        out, at = [], 0
+        while hint := _HINT.search(low, at):  # only tokens with a hint in them, or that a hint touches, are looked at
+            start = hint.start()
+            while start > at and not low[start - 1].isspace():
+                start -= 1
+            end = _TOKEN_END.search(low, hint.end()).start()
+            out += [low[at:start], _TOKEN.sub(lambda m: self.token(m[0]), low[start:end])]
+            at = end
+        return "".join([*out, low[at:]]) if out else low
 
 
 def _buckets(word: str) -> tuple[int, ...]:

@@ -220,19 +220,8 @@ def test_long_end_lists_pass_in_pieces(spark, monkeypatch):
     assert trie_of(spark, rows) == plain_trie(rows)
 
 
-def test_running_sums_over_parts(spark):
-    from tessera.llm.scans import running
-
-    rows = [("hot", k % 50, k) for k in range(400)] + [(None, 1, 5), (None, None, 7), ("b", 3, 1)]
-    d = spark.createDataFrame(rows, "g string, at long, v long")
-    got = running(d, ["g"], [F.col("at").asc_nulls_first()], {"so_far": F.col("v"), "n": F.lit(1).cast("long")}, parts=7).collect()
-    assert len(got) == len(rows)
-    for g in {r[0] for r in rows}:
-        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["n"])
-        assert [r["n"] for r in mine] == list(range(1, len(mine) + 1))
-        assert [r["at"] is not None for r in mine] == sorted(r["at"] is not None for r in mine)
-        assert [r["at"] or 0 for r in mine] == sorted(r["at"] or 0 for r in mine)
-        total = 0
-        for r in mine:
-            total += r["v"]
-            assert r["so_far"] == total
+@pytest.mark.parametrize("name", ["op10_warc", "op11_resampling", "op12_line_dedup", "op13_prefix_trie"])
+def test_same_rows_as_sql(name, spark, sf_dir):
+    from tests.oracle import compare, duck
+
+    assert compare(registry.queries()[name](spark, sf_dir), duck(sf_dir), registry.oracle_sql()[name]) is None

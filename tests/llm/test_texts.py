@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -384,7 +385,7 @@ def characters(spark, sf_dir):
     return toxicity.character_model(spark.createDataFrame([(text,)], "text string"))
 
 
-@pytest.mark.parametrize(("raw", "plain"), [("You 1d10t!", "idiot"), ("i d i o t here", "idiot"), ("l.o.s.e.r", "loser"), ("idiooooot", "idiot"), ("p@thet1c", "pathetic"), ("$cum", "scum"), ("w0rthl3ss", "worthless"), ("m0r0n,", "moron"), ("plain words", "plain")])
+@pytest.mark.parametrize(("raw", "plain"), [("You 1d10t!", "idiot"), ("i d i o t here", "idiot"), ("l.o.s.e.r", "loser"), ("idiooooot", "idiot"), ("p@thet1c", "pathetic"), ("$cum", "scum"), ("w0rthl3ss", "worthless"), ("m0r0n,", "moron"), ("plain words", "plain"), ("you !diot", "idiot"), ("an (idio+)", "idiot"), ("!!!m0r0n!", "moron"), ("the!house x.y !diot", "idiot")])
 def test_deobfuscation(characters, raw, plain):
     assert plain in toxicity.Restorer(characters).text(raw)
 
@@ -395,12 +396,51 @@ def test_deobfuscation_needs_no_other_sign(characters, raw, plain):
     assert plain in re.findall(r"[a-z]+", restore.text(raw)) and plain in re.findall(r"[a-z]+", restore.text(f"{raw} w0rthl3ss"))
 
 
-def test_hint_holds_wherever_something_is_decoded():
-    rng = random.Random(5)
+def test_hints_lead_to_all_that_is_decoded(characters):
+    """Texts are restored as if every token were looked at."""
+    rng, restore = random.Random(5), toxicity.Restorer(characters)
     for _ in range(20_000):
-        text = "".join(rng.choices("ab c.-_1@$!,é", k=rng.randrange(1, 12)))
-        bare = [re.sub(r"^[$*@|+]{3,}|[$*@|+]{3,}$", "", x.strip(toxicity._EDGE)) for x in text.split()]
-        assert toxicity._HINT.search(text) or not (toxicity._SPACED.search(text) or any(map(toxicity._ODD.search, bare)))
+        text = "".join(rng.choices("ab c.-_1@$!+,é\n", k=rng.randrange(1, 16)))
+        spaced = toxicity._SPACED.sub(lambda m: toxicity.decode_token(m[0], restore.model, True), text)
+        assert restore.text(text) == re.sub(r"\S+", lambda m: restore.token(m[0]), spaced)
+
+
+def test_toxicity_values(spark):
+    """Weights, evidence and scores of a small table against plain counts; the curve against its neighbours."""
+    rng = random.Random(11)
+    calm, rude = [f"calm{k}" for k in range(40)], ["blork", "snargh", "vexing", "snarling"]
+    rows = []
+    for i in range(900):
+        toxic = int(i % 3 == 0)
+        rows.append((i, " ".join(rng.choices(calm, k=8) + rng.choices(rude, k=rng.randrange(3)) * toxic + (["blork"] if i % 50 == 1 else [])), toxic))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic")).collect()}
+    restore = toxicity.Restorer(toxicity.character_model(d))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    words = {i: set(re.findall(r"[^\W\d_]+", restore.text(t))) for i, t, _ in rows}
+    features = lambda w: {zlib.crc32(f.encode()) % toxicity.BUCKETS for f in (w + "$", *(w[:k] for k in (4, 5, 6) if len(w) >= k))}
+    n, counts = Counter(), Counter()
+    for i, _, toxic in rows:
+        if fold(i) < 2:
+            n[toxic] += 1
+            counts.update((b, toxic) for b in {b for w in words[i] for b in features(w)})
+
+    def weight(b):
+        c, t = counts[b, 0], counts[b, 1]
+        odds = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+        return max(0.0, odds - 1.64 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) if t >= 3 else 0.0
+
+    evidence = {i: sum(sorted((max(weight(b) for b in features(w)) for w in words[i]), reverse=True)[:3]) for i in words}
+    bins = Counter((round(evidence[i] + 1e-9, 1), toxic) for i, _, toxic in rows if fold(i) == 3)
+    a, b = toxicity.fit_curve([(x, bins[x, 0], bins[x, 1]) for x in sorted({x for x, _ in bins})])
+    for i in words:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(a + b * evidence[i]))), rel=1e-4)
+
+    def loss(a, b):
+        p = {x: 1 / (1 + math.exp(-(a + b * x))) for x, _ in bins}
+        return 0.05 * (b - 1) ** 2 + 5e-7 * a * a - sum(k * math.log(p[x] if t else 1 - p[x]) for (x, t), k in bins.items())
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-1e-3, 0, 1e-3) for db in (-1e-3, 0, 1e-3))
 
 
 def test_toxicity(spark, docs, edge, sf_dir):
