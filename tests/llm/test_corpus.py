@@ -240,6 +240,31 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in run.collect()} == set(seen["tokens"])
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, long, repeated rows, ties, missing ids, clashing columns, an empty table; clean rows come through."""
+    import corpus_pipeline
+
+    prose = "The quiet river ran past the old mill while people of the town walked home along its banks in the evening light, talking of work and weather. "
+    other = "A second text about gardens tells how seeds are sown in spring, watered through the summer, and how their fruit is gathered before the first frost. "
+    rows = [(1, None, "en", "src0"), (2, "", "en", "src1"), (3, "word", None, None), (4, prose + other, "en", "src0"), (5, prose + other, "en", "src0"), (5, prose + other, "en", "src0"), (6, other, "de", "src1"), (None, other + "It stays.", "en", "src2")]
+    rows += [(7, "\n".join(f"{other} {k} {prose}" for k in range(600)), "fr", "src1"), (8, "Notes for whoever opens the harbour office on Monday: the key hangs behind the map, the password = hunter2hunter2 is for the old clerk, and tea is kept in the tin by the window.", "en", "src3")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.withColumns({c: F.lit("mine") for c in ("blob", "spans", "node", "label", "leaf", "times", "key", "ids", "n_tokens")})
+    folder = str(tmp_path)
+    at = clash
+    for name, stage in corpus_pipeline.STAGES:
+        at = spark.createDataFrame((out := stage(spark, at, folder)).collect(), out.schema)
+        if name != "tokens":
+            assert at.columns == clash.columns and all(r["blob"] == "mine" for r in at.collect())
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in at.collect()} & {4, 5} == {4}
+        if name == "secrets":
+            assert "hunter2" not in "".join(r["text"] or "" for r in at.collect()) and any("[assign]" in (r["text"] or "") for r in at.collect())
+    assert at.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and all(r["n_tokens"] > 0 for r in at.collect())
+    docs.limit(0).write.parquet(f"{folder}/documents.parquet")
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
 def test_same_rows_as_sql(spark, sf_dir):
     from tessera.llm import registry
     from tests.oracle import compare, duck

@@ -9,7 +9,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import line_runs, prefix_trie, registry, resample
@@ -218,10 +217,3 @@ def test_long_end_lists_pass_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "PIECE_BITS", 2)
     rows = [(c, k, "user", "same") for c in range(-9, 60) for k in range(9)]
     assert trie_of(spark, rows) == plain_trie(rows)
-
-
-@pytest.mark.parametrize("name", ["op10_warc", "op11_resampling", "op12_line_dedup", "op13_prefix_trie"])
-def test_same_rows_as_sql(name, spark, sf_dir):
-    from tests.oracle import compare, duck
-
-    assert compare(registry.queries()[name](spark, sf_dir), duck(sf_dir), registry.oracle_sql()[name]) is None
