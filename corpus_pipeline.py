@@ -2,6 +2,10 @@
 
 Quality rules drop bad documents; near-duplicates leave one document of each group; findings of the secret scan are
 written over; mixing takes sources by target weights; byte-level BPE gives token ids and proves that they decode.
+
+Defined cases: null and empty texts, and whatever the quality rules reject, go in the first stage; repeats of a row, and rows near to one another, leave the one with the smallest doc_id; rows
+without a doc_id are near to nothing and stay; a null language or source belongs to the leaf for others; texts of any length are taken whole; columns beside those of documents pass through
+all stages but the last, whatever they are called, and are not in its result; an empty table gives an empty result. Each stage is written before the next reads it, so a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
