@@ -25,14 +25,17 @@ def clustered_mean(rows: DataFrame, user: str, session: str, value: str) -> Data
     return sessions.groupBy(user).agg(F.avg("m").alias("m")).agg(F.avg("m").alias("mean"), F.count(F.lit(1)).alias("n_users"))
 
 
-def _last_before(memories: DataFrame, cases: DataFrame, by: Sequence[str], how: str, value: Column, found: str) -> DataFrame:
-    """cases with `found`: the least or greatest value of the memories of the same group from strictly before the case."""
-    names = [*by, "occurred"]
+_ENTRY = "struct<text:string,id:long>"
+
+
+def _events(memories: DataFrame, cases: DataFrame, by: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Memories (kind 1, with `values`) and cases (kind 0, without) in one table; at equal times cases come first, so what runs up to a case is strictly before it."""
     none = F.lit(None)
-    events = cases.select(*names, F.lit(0).alias("kind"), "case_id", none.cast("struct<text:string,id:long>").alias("x"))
-    events = events.unionByName(memories.select(*names, F.lit(1).alias("kind"), none.cast(cases.schema["case_id"].dataType).alias("case_id"), value.cast("struct<text:string,id:long>").alias("x")))
-    seen = running(events, by, [F.col("occurred").asc(), F.col("kind").asc()], {found: F.col("x")}, how)
-    return seen.where("kind = 0").select(*by, "case_id", found)
+    asked = cases.select(*by, "occurred", F.lit(0).alias("kind"), "case_id", *[none.cast(_ENTRY).alias(n) for n in values])
+    return asked.unionByName(memories.select(*by, "occurred", F.lit(1).alias("kind"), none.cast(cases.schema["case_id"].dataType).alias("case_id"), *[v.cast(_ENTRY).alias(n) for n, v in values.items()]))
+
+
+_IN_TIME = ("occurred", "kind")
 
 
 def four_arms(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
@@ -44,25 +47,28 @@ def four_arms(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
     table of terms, or, where fewer share a term, from the smallest ids, which are running minima too.
     """
     at = F.struct(F.col("occurred_text").alias("text"), F.col("id").alias("id"))
-    first = _last_before(memories, cases, ["owner_id"], "min", at, "seen").select(F.lit("B1").alias("arm"), "case_id", F.col("seen.id").alias("id"))
+    own = F.struct(F.lit("").alias("text"), F.col("id").alias("id"))
+    order = [F.col(c).asc() for c in _IN_TIME]
+    running_least = running(_events(memories, cases, ["owner_id"], {"entry": at, "own": own}), ["owner_id"], order, {"first": F.col("entry"), "least": F.col("own")}, "min", upto=-1)
+    first = running_least.where("kind = 0").select(F.lit("B1").alias("arm"), "case_id", F.col("first.id").alias("id"))
 
     asked = cases.select(F.col("case_id").alias("item_id"), F.col("question").alias("text"), "owner_id", "occurred")
     known = memories.select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "owner_id", "occurred")
     shared = channels(asked, known, top, scoped=True).where("channel = 'lexical'").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), "score")
     seen = shared
-    own = memories.select("owner_id", "occurred", F.struct(F.lit("").alias("text"), F.col("id").alias("id")).alias("x"))
     for n in range(top):  # the next smallest id so far is the least of: an id, or what was smallest before it, if that is larger
-        smallest = _last_before(own, cases, ["owner_id"], "min", F.col("x"), "seen")
-        seen = seen.unionByName(smallest.where("seen is not null").select("case_id", F.col("seen.id").alias("id"), F.lit(0.0).alias("score")))
+        seen = seen.unionByName(running_least.where("kind = 0 and least is not null").select("case_id", F.col("least.id").alias("id"), F.lit(0.0).alias("score")))
         if n + 1 < top:
-            own = running(own, ["owner_id"], [F.col("occurred").asc()], {"before": F.col("x")}, "min", upto=-1)
-            own = own.where("before is not null").select("owner_id", "occurred", F.greatest("x", "before").alias("x"))
+            left = running_least.select("owner_id", "occurred", "kind", "case_id", F.when(F.col("least").isNotNull(), F.greatest("own", "least")).alias("own"))
+            left = left.withColumn("own", F.when(F.col("kind") == 1, F.col("own")))
+            running_least = running(left, ["owner_id"], order, {"least": F.col("own")}, "min", upto=-1)
     seen = seen.groupBy("case_id", "id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "id"))
     best = seen.withColumn("place", place).where(F.col("place") <= top).select(F.lit("B2").alias("arm"), "case_id", "id")
 
     options = cases.select("case_id", "owner_id", "domain", "occurred", F.explode(F.array_distinct("options")).alias("choice"))
-    latest = _last_before(memories.where("choice is not null"), options, ["owner_id", "domain", "choice"], "max", at, "seen").where("seen is not null")
+    by = ["owner_id", "domain", "choice"]
+    latest = running(_events(memories.where("choice is not null"), options, by, {"entry": at}), by, order, {"seen": F.col("entry")}, "max", upto=-1).where("kind = 0 and seen is not null")
     said = first.unionByName(best).where("id is not null").join(memories.select("id", "occurred_text", "choice"), "id").join(cases.select("case_id", "options"), "case_id").where(F.array_contains("options", F.col("choice")))
     said = said.select("arm", "case_id", "choice", F.struct(F.col("occurred_text").alias("text"), "id").alias("x")).unionByName(latest.select(F.lit("D").alias("arm"), "case_id", "choice", F.col("seen").alias("x")))
     chosen = said.groupBy("arm", "case_id").agg(F.max_by("choice", "x").alias("choice"), F.max("x").alias("x"))
