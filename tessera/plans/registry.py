@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import assembly, assessment, changes, conversation, evaluation, evidence, figures, lifecycle, retrieval, scheduling, validity
+from tessera.plans import assembly, assessment, changes, conversation, evaluation, evidence, figures, lifecycle, replies, retrieval, scheduling, validity
 
-_FAMILIES = conversation, evidence, figures, changes, validity, assessment, lifecycle, assembly, retrieval, evaluation, scheduling
+_FAMILIES = conversation, evidence, figures, changes, validity, assessment, replies, lifecycle, assembly, retrieval, evaluation, scheduling
 
 
 def queries() -> dict:
