@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from heapq import nlargest
 from math import exp, log
 from zlib import crc32
@@ -47,10 +48,39 @@ _SPACED = re.compile(r"(?<![\w@$])(?:[^\W_@$]?[^\W_](?:[ .\-_][^\W_]){3,}|[^\W\d
 #: Chance that a gap within spaced letters ends a word: one like most of the stretch, a blank or another sign; a gap unlike them, or after two letters in a row.
 BREAK = {"blank": 0.2, "sign": 0.02, "unlike": 0.95}
 _ODD = re.compile(r"[^\W\d_][0-9@$!|+€*]+[^\W\d_]|^[0-9@$|€]{1,2}[^\W\d_]|^[!+][^\W\d_]{3}|[^\W\d_][0-9@$€]{1,2}$|[^\W\d_]{3}\+$|([^\W\d_])\1\1|[^\W\d_][.\-_][^\W\d_][.\-_][^\W\d_]")
-#: Holds wherever `_SPACED` matches or `_ODD` a token: each of their branches has one of these within it.
-_HINT = re.compile(r"[^\W\d_][0-9@$!|+€*]|[0-9@$|€!+][^\W\d_]|([^\W\d_])\1\1|[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
-_GAPS = re.compile(r"[^\W_][ .\-_][^\W_][ .\-_][^\W_]")
-_TOKEN, _TOKEN_END = re.compile(r"\S+"), re.compile(r"\s|\Z")
+#: Stands at the end of whatever `_SPACED` matches.
+_GAPS = re.compile(r"[ .\-_][^\W_][ .\-_][^\W_](?!\w)")
+_TOKEN_END = re.compile(r"\s|\Z")
+STEP = 1_000_000  # characters of a text that are looked at for hints at a time
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What may be next to what in a token that `_ODD` matches, by character: 1 letters, 2 signs after one, 4 signs before one, 8 signs between. Rare characters count as letters."""
+    out = np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(0x10000))], np.uint8)
+    for sign in "0123456789@$!|+€*":
+        out[ord(sign)] |= 2
+    for sign in "0123456789@$|€!+":
+        out[ord(sign)] |= 4
+    for sign in ".-_":
+        out[ord(sign)] |= 8
+    out[-1] = 1
+    return out
+
+
+def _hints(text: str) -> np.ndarray:
+    """Places in tokens that `_ODD` may match: of a letter by a sign, of a letter three times, of a letter between two signs. Others need no look."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < 2:
+        return np.zeros(0, np.int64)
+    kind = _kinds()[np.minimum(points, 0xFFFF)]
+    letter, same, found = kind & 1, points[1:] == points[:-1], np.zeros(len(points), bool)
+    found[:-1] = (letter[:-1] & (kind[1:] >> 1)) | ((kind[:-1] >> 2) & letter[1:])
+    found[:-2] |= same[1:] & same[:-1] & (letter[:-2] == 1)
+    found[:-2] |= (kind[:-2] >> 3) & letter[1:-1] & (kind[2:] >> 3) == 1
+    return np.flatnonzero(found)
+
+
 _EDGE = ".,;:?!()[]{}\"'#%&<>=~`^\\/-_"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -160,13 +190,24 @@ class Restorer:
         low = text.lower()
         if _GAPS.search(low):
             low = _SPACED.sub(lambda m: decode_token(m[0], self.model, True), low)
+        if len(low) <= STEP:
+            return self._piece(low)
+        cuts = [0]
+        while cuts[-1] < len(low):
+            cuts.append(_TOKEN_END.search(low, min(cuts[-1] + STEP, len(low))).end())
+        return "".join(self._piece(low[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def _piece(self, low: str) -> str:
+        """Only tokens with a hint are looked at."""
         out, at = [], 0
-        while hint := _HINT.search(low, at):  # only tokens with a hint in them, or that a hint touches, are looked at
-            start = hint.start()
+        for hint in _hints(low).tolist():
+            if hint < at:
+                continue
+            start = hint
             while start > at and not low[start - 1].isspace():
                 start -= 1
-            end = _TOKEN_END.search(low, hint.end()).start()
-            out += [low[at:start], _TOKEN.sub(lambda m: self.token(m[0]), low[start:end])]
+            end = _TOKEN_END.search(low, hint).start()
+            out += [low[at:start], self.token(low[start:end])]
             at = end
         return "".join([*out, low[at:]]) if out else low
 
