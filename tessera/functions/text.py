@@ -116,7 +116,7 @@ def public_url(url: Column) -> Column:
         | plain.rlike(PRIVATE) | part(6).rlike(CARRIES_KEYS) | name.rlike(HOUSE) | ~name.rlike(r"[.:]") | ((four | name.startswith("[")) & name.rlike(NOT_PUBLIC))
     )
     path = F.when(part(5) == "", "/").otherwise(part(5))
-    port = F.regexp_extract(url, r"\Ahttps?://(?:\[[^\]]*\]|[^/?#:]*)(:\d*)", 1)
+    port = F.regexp_extract(url, r"\Ahttps?://(?:\[[^\]]*\]|[^/?#:\[]*)(:\d*)", 1)
     return F.when(~bad, F.concat(part(1), F.lit("://"), part(3), port, path, F.when(part(6) == "?", "").otherwise(part(6))))
 
 
