@@ -26,19 +26,26 @@ def table_headers(lines: DataFrame, by: Sequence[str], at: str = "at", line: str
     return block.select(*by, at, above.alias("header")).where(F.col("header").isNotNull())
 
 
-def number_roles(texts: DataFrame, by: Sequence[str], text: str) -> DataFrame:
-    """Per fragment of a text (a line, cut at full stops and semicolons) and number: by, at, place, fragment, value and roles.
-
-    A role comes from a label just before the number, the unit after it, or the heading of its column. Null texts have no fragments.
-    """
+def fragments(texts: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+    """(by, at, line, header, place, fragment): the lines of a text, cut at full stops and semicolons, with the header of the table that a line stands in. Null texts have none."""
     lines = texts.select(*by, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     headed = lines.join(table_headers(lines, by), [*by, "at"], "left")
-    parts = headed.select(*by, "at", "line", "header", F.posexplode(F.split("line", "[；;。]")).alias("place", "fragment"))
+    return headed.select(*by, "at", "line", "header", F.posexplode(F.split("line", "[；;。]")).alias("place", "fragment"))
+
+
+def with_numbers(parts: DataFrame) -> DataFrame:
+    """A row per number of each fragment, with its value and roles: from a label just before it, the unit after it, or the heading of its column."""
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "。+$", "")
     whole = F.contains("fragment", F.lit("|")) & (bare(F.col("line")) == bare(F.col("fragment")))
     roles = F.concat(X.labelled(F.col("fragment")), F.when(whole, X.celled(F.col("fragment"), F.col("header"))).otherwise(F.array().cast("array<struct<value:decimal(28,8),role:string>>")))
-    each = parts.select(*by, "at", "place", "fragment", roles.alias("found"), F.explode(X.values(F.col("fragment"))).alias("value"))
-    return each.select(*by, "at", "place", "fragment", "value", F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda x: x["value"] == F.col("value")), lambda x: x["role"]))).alias("roles"))
+    each = parts.where(F.col("fragment").rlike(r"\d")).withColumn("found", roles).select("*", F.explode(X.values(F.col("fragment"))).alias("value"))
+    of_value = F.transform(F.filter("found", lambda x: x["value"] == F.col("value")), lambda x: x["role"])
+    return each.withColumn("roles", F.array_sort(F.array_distinct(of_value))).drop("found", "line", "header")
+
+
+def number_roles(texts: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+    """Per fragment of a text and number in it: by, at, place, fragment, value and roles."""
+    return with_numbers(fragments(texts, by, text)).select(*by, "at", "place", "fragment", "value", "roles")
 
 
 def known_schools(evidence: DataFrame, run: str, excerpt: str) -> DataFrame:
@@ -91,14 +98,13 @@ def stated_figures(claims: DataFrame, known: DataFrame) -> DataFrame:
 def read_figures(evidence: DataFrame, known: DataFrame) -> DataFrame:
     """The numbers of sources (run, source_id, excerpt, years) by fragment, with roles and with what fragment and excerpt say of place, branch and year."""
     by = ["run", "source_id"]
-    numbers = number_roles(evidence, by, "excerpt")
-    parts = evidence.select(*by, F.posexplode(F.split("excerpt", "\n")).alias("at", "line")).select(*by, "at", F.posexplode(F.split("line", "[；;。]")).alias("place", "fragment"))
+    parts = fragments(evidence, by, "excerpt")
     schools = bound_schools(parts, [*by, "at", "place"], "run", "fragment", known).select(*by, "at", "place", "names")
     named = F.coalesce("names", F.array().cast("array<string>"))
-    places = parts.join(schools, [*by, "at", "place"], "left").withColumn("provinces", X.provinces(F.aggregate(named, F.col("fragment"), lambda text, name: F.replace(text, name))))
+    places = parts.join(schools, [*by, "at", "place"], "left").withColumn("provinces", X.provinces(F.aggregate(named, F.col("fragment"), lambda text, name: F.replace(text, name)))).drop("names")
     around = places.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_set("provinces"))).alias("all_provinces"))  # provinces are few
     of_text = evidence.select(*by, _faces(F.col("excerpt")).alias("all_faces"), F.array_union(X.asserted_years(F.col("excerpt")), F.coalesce("years", F.array().cast("array<string>"))).alias("all_years"))
-    rows = numbers.join(places.select(*by, "at", "place", "provinces"), [*by, "at", "place"]).join(around, by).join(of_text, by)
+    rows = with_numbers(places).join(around, by).join(of_text, by)
     own = lambda mine, of_all: F.when(F.size(mine) > 0, F.col(mine)).otherwise(F.col(of_all))
     return rows.withColumn("faces", _faces(F.col("fragment"))).select(
         "run", "value", "roles", "fragment", own("provinces", "all_provinces").alias("provinces"),
