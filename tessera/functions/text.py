@@ -257,3 +257,56 @@ def canonical_json(text: Column) -> Column:
 def digest(text: Column) -> Column:
     """SHA-256 of a JSON text's canonical form: the same for equal values, however they are written."""
     return F.sha2(canonical_json(text), 256)
+
+
+#: What a profile's text must not carry: fields and commands of a runtime, installs, demands on rules or keys. Fixed value.
+RUNTIME_MARKERS = (
+    r"(?im)(?:^\s*(?:allowed-tools|run|scripts|tools)\s*:|\b(?:WebSearch|WebFetch|curl|wget|subprocess|os\.system)\b|"
+    r"\b(?:npx\s+skills|pip\s+install|npm\s+install|git\s+clone)\b|自动(?:联网|执行|安装)|忽略.{0,15}(?:系统|前述|隐私|权限|规则)|(?:读取|导出|打印|发送).{0,15}(?:全部记忆|所有记忆|API.?key|密钥|密码))"
+)
+#: Fields of a profile's front matter, the longest value. Fixed values.
+FRONT, LONGEST_FRONT = ("name", "description", "version", "license", "author"), 500
+#: The largest profile, in bytes. Fixed value.
+LARGEST_PROFILE = 64 * 1024
+
+
+def runtime_markers(text: Column) -> Column:
+    """Whether a text carries what only a runtime may have. It helps to turn texts down; it grants nothing."""
+    return text.rlike(RUNTIME_MARKERS)
+
+
+def front_matter(text: Column) -> Column:
+    """(fields, refused) of a profile's text: the known fields of its front matter, none where it has none; SIZE, TEXT (a null character) or OPEN (front matter that does not end)."""
+    head = F.regexp_extract(text, r"(?s)\A---(.*?)---", 1)
+    lines = F.filter(F.split(head, LINES), lambda x: x.rlike(rf"\A(?:{'|'.join(FRONT)}):\s*\S.{{0,{LONGEST_FRONT - 1}}}\z"))
+    name = lambda x: F.regexp_extract(x, r"\A(\w+):", 1)
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"\A\w+:\s*", ""), r"\A[\"']+|[\"']+\z", "")
+    last = F.aggregate(lines, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != name(x)), F.create_map(name(x), value(x))))
+    opened = text.startswith("---")
+    refused = F.when(F.octet_length(text) > LARGEST_PROFILE, "SIZE").when(F.contains(text, F.lit("\0")), "TEXT").when(opened & ~text.rlike(r"(?s)\A---.*?---"), "OPEN")
+    return F.struct(F.when(refused.isNull() & opened, last).otherwise(F.create_map().cast("map<string,string>")).alias("fields"), refused.alias("refused"))
+
+
+def fenced_object(text: Column) -> Column:
+    """The JSON object of a reply, fenced or not, in canonical form; null if it holds none."""
+    bare = trimmed(text)
+    body = F.when(bare.startswith("```"), F.regexp_replace(bare, r"\A```(?:json)?\s*|\s*```\z", "")).otherwise(bare)
+    value = F.try_parse_json(body)
+    return F.when(F.coalesce(F.schema_of_variant(value), F.lit("VOID")).startswith("OBJECT"), F.to_json(value))
+
+
+def score(value: Column, path: str = "$") -> Column:
+    """A number of 0 to 100 at a path of a variant; null for anything else, true and false and numbers in quotes among it."""
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("VOID"))
+    number = F.try_variant_get(value, path, "double")
+    return F.when(kind.rlike(r"^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)") & number.between(0, 100) & ~F.isnan(number), number)
+
+
+def part_delay(text: Column, low: float, high: float, per_second: float = 90.0) -> Column:
+    """Seconds before the next part of a reply is shown: longer for a longer text, within bounds."""
+    return F.least(F.lit(high), F.greatest(F.lit(low), low + F.length(text) / per_second))
+
+
+def recent_label(at: Column, now: Column) -> Column:
+    """The hour of an instant of today, else month and day; empty without one."""
+    return F.when(at.isNull(), "").when(F.to_date(at) == F.to_date(now), F.date_format(at, "HH:mm")).otherwise(F.date_format(at, "M/d"))

@@ -305,3 +305,17 @@ def fresh_hits(calls: DataFrame, seconds: int = 900) -> DataFrame:
     before = F.max("us").over(Window.partitionBy("user_id", "event_type").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1))
     age = F.col("us") - before
     return calls.select("event_id", F.coalesce((age >= 0) & (age <= seconds * 1_000_000), F.lit(False)).alias("hit"))
+
+
+def inherited(runs: DataFrame, wanted: DataFrame, published: DataFrame, sources: DataFrame, now: Column, seconds: int = 900, most: int = 12) -> DataFrame:
+    """(run_id, from_run, url) of the sources that runs may take over from earlier ones: of the first `most` different runs they name, those of their own scope that were published and are in force, and of these
+    the sources that are young enough.
+
+    runs: run_id, scope_id, phase; wanted: run_id, from_run, place; published: run_id; sources: run_id, url, retrieved_at (seconds, like now). A run takes nothing from itself.
+    """
+    first = wanted.groupBy("run_id", "from_run").agg(F.min("place").alias("place"))
+    named = first.withColumn("nth", F.row_number().over(Window.partitionBy("run_id").orderBy("place"))).where(F.col("nth") <= most)
+    own = named.join(runs.select("run_id", "scope_id"), "run_id")
+    able = runs.where(~F.col("phase").eqNullSafe("INVALIDATED")).join(published.select("run_id").distinct(), "run_id", "left_semi").select(F.col("run_id").alias("from_run"), "scope_id")
+    young = sources.where((now - F.col("retrieved_at")).between(0, seconds)).select(F.col("run_id").alias("from_run"), "url")
+    return own.where("run_id <> from_run").join(able, ["from_run", "scope_id"], "left_semi").join(young, "from_run").select("run_id", "from_run", "url")

@@ -55,6 +55,15 @@ def retr_context_pack(spark, d):
     return R.packed(best, "item_id", "place", F.col("size"), BUDGET)
 
 
+def retr_inherited(spark, d):
+    """Events as runs of their users, naming runs by number; those with an even k were published; pages as their sources."""
+    e = ledger(spark, d)
+    runs = e.select(F.col("event_id").alias("run_id"), (F.col("user_id") % 10).alias("scope_id"), F.when(F.col("k") % 9 == 0, "INVALIDATED").otherwise("READY").alias("phase"))
+    wanted = e.select(F.col("event_id").alias("run_id"), F.explode(F.transform(F.sequence(F.lit(1), F.col("k") % 16 + 1), lambda i: F.struct(((F.col("event_id") * 7 + F.floor(i / 2) * 10) % 900).alias("from_run"), i.alias("place")))).alias("x")).select("run_id", "x.from_run", "x.place")
+    sources = table(spark, d, "pages").select((F.col("page_id") % 900).alias("run_id"), "url", (F.col("page_id") % 1700).alias("retrieved_at"))
+    return R.inherited(runs, wanted, e.where("k % 2 = 0").select(F.col("event_id").alias("run_id")), sources, F.lit(1000))
+
+
 def retr_official_first(spark, d):
     return R.official_first(table(spark, d, "pages").select("page_id", "url"))
 
@@ -143,6 +152,10 @@ SQL = {
         SELECT p.item_id, b.place, CASE WHEN used + size <= {BUDGET} THEN used + size ELSE used END,
           CASE WHEN used + size <= {BUDGET} THEN packed || CASE WHEN packed = '' THEN '' ELSE ',' END || b.doc_id ELSE packed END FROM p JOIN b ON b.item_id = p.item_id AND b.place = p.place + 1)
       SELECT item_id, max_by(used, place) AS used, max_by(packed, place) AS packed FROM p GROUP BY item_id""",
+    "retr_inherited": f"""WITH {LEDGER}, w AS (SELECT event_id AS run_id, (event_id * 7 + i // 2 * 10) % 900 AS from_run, i FROM (SELECT event_id, unnest(range(1, k % 16 + 2)) AS i FROM ledger)),
+      n AS (SELECT run_id, from_run, row_number() OVER (PARTITION BY run_id ORDER BY min(i)) AS nth FROM w GROUP BY run_id, from_run), p AS (SELECT page_id % 900 AS run, url FROM pages WHERE 1000 - page_id % 1700 BETWEEN 0 AND 900)
+      SELECT n.run_id, n.from_run, url FROM n JOIN ledger a ON a.event_id = n.run_id JOIN ledger b ON b.event_id = n.from_run JOIN p ON p.run = n.from_run
+      WHERE nth <= 12 AND n.run_id <> n.from_run AND a.user_id % 10 = b.user_id % 10 AND b.k % 2 = 0 AND b.k % 9 <> 0""",
     "retr_official_first": rf"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages), a AS (SELECT *, CASE WHEN regexp_matches(host, '\.(gov\.cn|edu\.cn|gov|edu)$') THEN 'OFFICIAL_DOMAIN' ELSE 'OTHER' END AS authority FROM h)
       SELECT page_id, host, authority, CAST(row_number() OVER (PARTITION BY host ORDER BY authority <> 'OFFICIAL_DOMAIN', page_id) AS INT) AS position FROM a""",
     "retr_host_parse": f"SELECT page_id, {HOST} AS host FROM pages",
