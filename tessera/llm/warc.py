@@ -243,8 +243,16 @@ class WarcFiles(DataSource):
         return _Files(self.options["path"])
 
 
+def shared_folder(folder: str, master: str) -> str:
+    """folder, if all executors see it: on a cluster a path without a scheme would be each executor's own disk, and is refused."""
+    if ":/" not in folder and not master.startswith("local["):
+        raise ValueError(f"{folder} names no store that all executors share")
+    return folder
+
+
 def save_archives(archives: DataFrame, folder: str) -> None:
     """Add the archives to a folder as .warc.gz files."""
+    folder = shared_folder(folder, archives.sparkSession.sparkContext.master)
     archives.sparkSession.dataSource.register(WarcFiles)
     archives.select("name", "content").write.format("warc").mode("append").save(folder)
 

@@ -583,3 +583,9 @@ def test_verdicts_follow_labels(spark):
     good, bad = ([r["kept"] for r in got if r["label"] == label] for label in (1, 0))
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.05 * len(bad) and bad
     assert all(r["kept"] or r["base_failed"] for r in got if r["label"] == 1)
+
+
+def test_archives_need_a_shared_folder():
+    assert warc.shared_folder("/tmp/x", "local[4]") == "/tmp/x" and warc.shared_folder("hdfs://x/y", "yarn") == "hdfs://x/y"
+    with pytest.raises(ValueError, match="share"):
+        warc.shared_folder("/tmp/x", "spark://host:7077")
