@@ -76,7 +76,6 @@ def four_arms(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
     return every.join(chosen, ["arm", "case_id"], "left").select("arm", "case_id", F.coalesce("choice", F.lit("ABSTAIN")).alias("choice"), F.col("x.id").alias("evidence_id"))
 
 
-
 def primary_score(choice: Column, reference: Column, said: Column, rubric: Column) -> Column:
     """Choice match, averaged with the share of rubric phrases that the reasons hold, if there is a rubric."""
     match = (choice == reference).cast("double")
