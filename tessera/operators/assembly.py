@@ -30,11 +30,13 @@ def guarded(rows: DataFrame, ids: DataFrame, guard: Column, id_col: str = "id")
 
 
 def merged_draft(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Field by field the new value where there is one, else the old; a draft that was there goes up a version. old: key, version, fields."""
+    """Field by field the new value where there is one, else the old; a draft that was there goes up a version, and content_hash is that of its fields as they are then (nulls are empty).
+    old: key, version, fields."""
     both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
     values = [F.coalesce(f"n.{f}", f"o.{f}").alias(f) for f in fields]
     version = F.when(F.col(f"n.{key}").isNull(), F.col("o.version")).otherwise(F.coalesce("o.version", F.lit(0)) + 1)
-    return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), version.cast("long").alias("version"), *values)
+    out = both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), version.cast("long").alias("version"), *values)
+    return out.withColumn("content_hash", F.sha2(F.concat_ws("\n", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256))
 
 
 def references(used: DataFrame, allowed: DataFrame, by: str, ref: str) -> DataFrame:

@@ -114,7 +114,7 @@ SQL = {
     "conv_sequence_numbers": """WITH p AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE turn < 2 AND conv_id % 3 <> 0 GROUP BY conv_id)
       SELECT c.conv_id, turn, CAST(coalesce(last, 0) + row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) AS BIGINT) AS sequence FROM conversations c LEFT JOIN p ON p.conv_id = c.conv_id WHERE turn >= 2""",
     "evid_guarded_lookup": f"WITH {EVIDENCE} SELECT id, domain, origin FROM evidence WHERE status = 'ACTIVE' AND owner_id = 'src0' AND id IN (SELECT item_id * 3 FROM benchmark)",
-    "evid_merged_drafts": """SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CAST(CASE WHEN n.o_orderkey IS NULL THEN version ELSE coalesce(version, 0) + 1 END AS BIGINT) AS version, coalesce(n.s, o.o_orderstatus) AS o_orderstatus, o.o_orderpriority
+    "evid_merged_drafts": """SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CAST(CASE WHEN n.o_orderkey IS NULL THEN version ELSE coalesce(version, 0) + 1 END AS BIGINT) AS version, coalesce(n.s, o.o_orderstatus) AS o_orderstatus, o.o_orderpriority, sha256(coalesce(n.s, o.o_orderstatus, '') || chr(10) || coalesce(o.o_orderpriority, '')) AS content_hash
       FROM (SELECT *, o_orderkey % 5 AS version FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'N' END AS s FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) n ON n.o_orderkey = o.o_orderkey""",
     "evid_references": "SELECT l_orderkey, count(*) AS n_sources, count(*) - count(p_partkey) AS n_invented, count(*) = count(p_partkey) AS stands FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey AND p_size <= 40 GROUP BY l_orderkey",
     "retr_shown_evidence": f"""WITH {EVIDENCE} SELECT owner_id, id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY sha256(CAST(id AS VARCHAR)), id) AS INT) AS place, substring(text, 1, 1000) AS shown FROM evidence
