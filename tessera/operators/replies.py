@@ -42,10 +42,11 @@ def public_batches(batches: DataFrame, sources: DataFrame, progress: DataFrame,
     """What a room may see of its replies: the allowed fields, whether one is being written, and the progress of research, if that is for one of the reply's own messages.
 
     batches: fields; sources: batch_id, message_id; progress: run_id, conversation_id, phase, run_status; progress_sources: run_id, message_id. A phase shows only while the reply is being generated.
+    Only the last run of each message meets the replies, so a message of many replies and many runs makes no pairs of them.
     """
-    own = sources.join(progress_sources, "message_id").select("batch_id", "run_id").distinct()
-    shown = progress.join(own, "run_id").select("batch_id", "conversation_id", "run_id", "phase", "run_status")
-    last = shown.groupBy("batch_id", "conversation_id").agg(F.max_by(F.struct("phase", "run_status"), "run_id").alias("run"))
+    of_message = progress.join(progress_sources.select("run_id", "message_id"), "run_id").groupBy("message_id", "conversation_id").agg(F.max_by(F.struct("run_id", "phase", "run_status"), "run_id").alias("run"))
+    own = sources.select("batch_id", "message_id").join(batches.select("batch_id", "conversation_id"), "batch_id")
+    last = own.join(of_message, ["message_id", "conversation_id"]).groupBy("batch_id", "conversation_id").agg(F.max_by("run", "run.run_id").alias("run"))
     both = batches.select(*fields).join(last, ["batch_id", "conversation_id"], "left")
     phase = F.when(F.col("status") == "GENERATING", F.col("run.phase"))
     return both.select(*fields, F.coalesce(F.col("status").isin(*TYPING), F.lit(False)).alias("typing"), phase.alias("research_phase"), F.col("run.run_status").alias("research_status"))
