@@ -12,6 +12,7 @@ LABELS = {
     "GROUP": "专业组(?:代码|编号)?",
     "COUNT": "招生计划(?:数)?|计划招生(?:数)?|录取人数|计划数|计划招收|计划招",
 }
+ANY_LABEL = "|".join(LABELS.values())
 VALUE = r"\d[\d,，]*(?:\.\d+)?\s*[万千]?"
 PROVINCES = "北京|天津|河北|山西|内蒙古|辽宁|吉林|黑龙江|上海|江苏|浙江|安徽|福建|江西|山东|河南|湖北|湖南|广东|广西|海南|重庆|四川|贵州|云南|西藏|陕西|甘肃|青海|宁夏|新疆|香港|澳门|台湾"
 NEGATED = "不是|不在|不选|不报|不属于|非"
@@ -67,8 +68,9 @@ _ROLE = "array<struct<value:decimal(28,8),role:string>>"
 
 def decimal_of(raw: Column) -> Column:
     """The value of one number as written, with thousands separators and multipliers; null if it is none."""
+    plain = raw.rlike(r"^\d{1,18}$")
     times = F.when(raw.rlike(r"万\s*$"), 10000).when(raw.rlike(r"千\s*$"), 1000).otherwise(1)
-    return (F.regexp_replace(raw, r"[,，\s万千]", "").try_cast("decimal(28,8)") * times).cast("decimal(28,8)")
+    return F.when(plain, raw.try_cast("decimal(28,8)")).otherwise((F.regexp_replace(raw, r"[,，\s万千]", "").try_cast("decimal(28,8)") * times).cast("decimal(28,8)"))
 
 
 def values(text: Column) -> Column:

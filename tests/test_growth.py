@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import replies
+from tessera.operators import figures, replies
 
 
 def _nodes(plan):
@@ -30,3 +30,16 @@ def test_public_batches_of_a_crowded_message(spark):
     got = replies.public_batches(batches, batches.select("batch_id", F.lit(7).alias("message_id")), runs, runs.select("run_id", F.lit(7).alias("message_id")))
     assert {r["research_phase"] for r in got.collect()} == {str(n - 1)} and got.count() == n
     assert most_rows(got) <= 4 * n
+
+
+def test_claims_are_dealt_by_run_only(spark):
+    """Sources, claims and conditions meet by run; no other key deals the texts again."""
+    run = spark.range(40).select((F.col("id") % 20).alias("run"), "id")
+    evidence = run.select("run", F.col("id").alias("source_id"), F.lit("2021年北京 物理类 本科\n院校|最低分|最低位次\n甲乙大学|600|1200\n文字\n丙丁大学|610|1300").alias("excerpt"), F.array().cast("array<string>").alias("years"))
+    claims = run.select("run", F.col("id").cast("string").alias("claim_id"), F.when(F.col("id") % 2 == 0, "甲乙大学2021年投档最低分600").otherwise("甲乙大学2021年投档最低分601，丙丁大学最低位次1300").alias("text"), F.lit(None).cast("string").alias("supplied"))
+    asked = spark.range(20).select(F.col("id").alias("run"), F.lit("北京").alias("province"), F.lit("物理").alias("subjects"), F.lit("2021").alias("year"))
+    got = figures.check_figures(claims, evidence, asked)
+    verdicts = {(int(r["claim_id"]) % 2, int(r["value"])): r["verdict"] for r in got.collect()}
+    assert verdicts == {(0, 2021): "SUPPORTED", (0, 600): "SUPPORTED", (1, 2021): "SUPPORTED", (1, 601): "UNSUPPORTED", (1, 1300): "UNSUPPORTED"}  # its table has ended
+    dealt = [x.split("hashpartitioning(")[1] for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    assert dealt and all(x.startswith("run#") and x.count("#") <= 2 and "name#" not in x and "at#" not in x for x in dealt), dealt
