@@ -12,7 +12,8 @@ LABELS = {
     "GROUP": "专业组(?:代码|编号)?",
     "COUNT": "招生计划(?:数)?|计划招生(?:数)?|录取人数|计划数|计划招收|计划招",
 }
-ANY_LABEL = "|".join(LABELS.values())
+_BEGINS = "".join(sorted({label[0] for labels in LABELS.values() for label in labels.split("|")}))  # most characters begin no label
+ANY_LABEL = f"(?=[{_BEGINS}])(?:{'|'.join(LABELS.values())})"
 VALUE = r"\d[\d,，]*(?:\.\d+)?\s*[万千]?"
 PROVINCES = "北京|天津|河北|山西|内蒙古|辽宁|吉林|黑龙江|上海|江苏|浙江|安徽|福建|江西|山东|河南|湖北|湖南|广东|广西|海南|重庆|四川|贵州|云南|西藏|陕西|甘肃|青海|宁夏|新疆|香港|澳门|台湾"
 NEGATED = "不是|不在|不选|不报|不属于|非"
@@ -75,7 +76,7 @@ def decimal_of(raw: Column) -> Column:
 
 def values(text: Column) -> Column:
     """Distinct numbers of a text."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?<![\d.])({VALUE})"), 1)
+    found = F.regexp_extract_all(text, F.lit(rf"(?=\d)(?<![\d.])({VALUE})"), 1)
     return F.array_distinct(F.filter(F.transform(found, decimal_of), lambda x: x.isNotNull()))
 
 
@@ -110,7 +111,8 @@ def celled(line: Column, header: Column) -> Column:
     """(value, role) of the cells below a heading that names one role, if the line has as many cells as the header (an array of roles per cell)."""
     both = F.arrays_zip(cells(line).alias("cell"), header.alias("names"))
     one = F.filter(both, lambda x: F.size(x["names"]) == 1)
-    each = F.flatten(F.transform(one, lambda x: F.transform(values(x["cell"]), lambda v: F.struct(v.alias("value"), x["names"][0].alias("role")))))
+    numbers = lambda cell: F.when(cell.rlike(r"^\d{1,18}$"), F.array(cell.try_cast("decimal(28,8)"))).otherwise(values(cell))
+    each = F.flatten(F.transform(one, lambda x: F.transform(numbers(x["cell"]), lambda v: F.struct(v.alias("value"), x["names"][0].alias("role")))))
     return F.coalesce(F.when(F.size(cells(line)) == F.size(header), each), F.array()).cast(_ROLE)
 
 

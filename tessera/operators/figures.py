@@ -38,7 +38,7 @@ def with_numbers(parts: DataFrame) -> DataFrame:
     roles = F.concat(F.when(F.col("fragment").rlike(f"{X.ANY_LABEL}|分"), X.labelled(F.col("fragment"))).otherwise(none), F.when(whole, X.celled(F.col("fragment"), F.col("header"))).otherwise(none))
     each = parts.where(F.col("fragment").rlike(r"\d")).withColumn("found", roles).select("*", F.explode(X.values(F.col("fragment"))).alias("value"))
     of_value = F.transform(F.filter("found", lambda x: x["value"] == F.col("value")), lambda x: x["role"])
-    return each.withColumn("roles", F.array_sort(F.array_distinct(of_value))).drop("found", "line", "header")
+    return each.withColumn("roles", F.sort_array(F.array_distinct(of_value))).drop("found", "line", "header")
 
 
 def number_roles(texts: DataFrame, by: Sequence[str], text: str) -> DataFrame:

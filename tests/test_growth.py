@@ -43,3 +43,11 @@ def test_claims_are_dealt_by_run_only(spark):
     assert verdicts == {(0, 2021): "SUPPORTED", (0, 600): "SUPPORTED", (1, 2021): "SUPPORTED", (1, 601): "UNSUPPORTED", (1, 1300): "UNSUPPORTED"}  # its table has ended
     dealt = [x.split("hashpartitioning(")[1] for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
     assert dealt and all(x.startswith("run#") and x.count("#") <= 2 and "name#" not in x and "at#" not in x for x in dealt), dealt
+
+
+def test_headings_come_without_a_join(spark):
+    """Lines are told their headings by one window; a table of two blocks, with a line between that ends the first."""
+    text = "学校|最低分|位次\n甲|600|12\n没有 700\n乙|601|13\n|招生计划|\n|14|"
+    got = figures.number_roles(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t")
+    assert {(r["at"], int(r["value"])): r["roles"] for r in got.collect()} == {(1, 600): ["SCORE"], (1, 12): ["RANK"], (2, 700): [], (3, 601): [], (3, 13): [], (5, 14): ["COUNT"]}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
