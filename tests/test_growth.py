@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import figures, replies
+from tessera.operators import assessment, figures, replies
+from tessera.plans import assessment as plans
 
 
 def _nodes(plan):
@@ -51,3 +52,11 @@ def test_headings_come_without_a_join(spark):
     got = figures.number_roles(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t")
     assert {(r["at"], int(r["value"])): r["roles"] for r in got.collect()} == {(1, 600): ["SCORE"], (1, 12): ["RANK"], (2, 700): [], (3, 601): [], (3, 13): [], (5, 14): ["COUNT"]}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reports_broadcast_no_questions(spark, sf_dir):
+    """Tables of questions grow; only the few references that are wrong may go to the driver."""
+    graded = plans._graded(spark, sf_dir)
+    graded.collect()
+    on_questions = [x for x in graded._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "question_id#" in x]
+    assert not on_questions, on_questions
