@@ -84,9 +84,10 @@ def grades(labels: DataFrame, answers: DataFrame, judged: DataFrame) -> DataFram
     given = judged.groupBy(*QUESTION).agg(F.collect_list(F.struct("label", "scores", "critical_safe")).alias("given"))  # a label per arm
     mine = F.filter("given", lambda g: g["label"] == F.col("label"))
     both = labels.join(given.hint("merge"), list(QUESTION)).join(own.hint("merge"), list(QUESTION)).select("*", F.explode(mine).alias("of_label")).select("*", "of_label.scores", "of_label.critical_safe")
-    decision = F.create_map(F.lit("decisions"), F.when(F.col("choice") == F.col("own"), 100.0).otherwise(0.0))
+    decision = F.array(F.struct(F.lit("decisions").alias("key"), F.when(F.col("choice") == F.col("own"), 100.0).otherwise(0.0).alias("value")))
     safe = F.coalesce(F.col("critical_safe") & F.col("references_valid"), F.lit(False))
-    return both.select(*QUESTION, "arm", safe.alias("safe"), F.explode(F.map_concat(F.map_filter("scores", lambda k, _: k != "decisions"), decision)).alias("dim", "score"))
+    each = F.concat(F.filter(F.map_entries("scores"), lambda x: x["key"] != "decisions"), decision)
+    return both.select(*QUESTION, "arm", safe.alias("safe"), F.inline(each).alias("dim", "score"))
 
 
 def required_reviews(questions: DataFrame, disputed: Column, sample: int = SAMPLED) -> DataFrame:

@@ -60,3 +60,10 @@ def test_reports_broadcast_no_questions(spark, sf_dir):
     graded.collect()
     on_questions = [x for x in graded._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "question_id#" in x]
     assert not on_questions, on_questions
+
+
+def test_grades_are_dealt_by_question_only(spark, sf_dir):
+    graded = plans._graded(spark, sf_dir)
+    graded.collect()
+    dealt = [x for x in graded._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and "question_id#" in x]
+    assert dealt and not [x for x in dealt if "label#" in x or "arm#" in x], dealt
