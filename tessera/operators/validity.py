@@ -13,13 +13,22 @@ from tessera.operators.lifecycle import deny_reason
 STOPPED, IN_FORCE = ("INVALIDATED", "INTERRUPTED", "CANCELLED"), "ACTIVE"
 #: What a report must reach: overall, in each dimension; the dimensions; checks that must all hold. Fixed values.
 LEAST_OVERALL, LEAST_EACH = 80, 70
+#: Parts that rows with the same message, room, run or owner are dealt over.
+DEALS = 32
 CRITICAL = ("no_permission_escalation", "honest_identity", "source_declared", "permission_declared")
 
 
+def dealt_join(rows: DataFrame, known: DataFrame, on: str, key: str) -> DataFrame:
+    """rows left-joined with known on a column that many rows may share: each value's rows are dealt over DEALS parts by a hash of their key, and known is repeated for each part."""
+    parts = known.withColumn("_deal", F.explode(F.array(*[F.lit(n).cast("long") for n in range(DEALS)])))
+    return rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(DEALS))).join(parts, [on, "_deal"], "left").drop("_deal")
+
+
 def lost_sources(rows: DataFrame, key: str, ids: str, messages: DataFrame, missing_counts: bool = True) -> DataFrame:
     """(key, lost): rows one of whose source messages is deleted, or is not there. messages: id, deleted. No row's list is gathered: lists are exploded and summed."""
     each = rows.select(F.col(key).alias("row"), F.explode(ids).alias("id"))
-    found = each.join(messages.select("id", "deleted"), "id", "left")
+    asked = messages.select("id", "deleted").join(each.select("id").distinct(), "id", "left_semi")
+    found = dealt_join(each, asked, "id", "row")
     gone = F.coalesce("deleted", F.lit(missing_counts))
     return found.groupBy(F.col("row").alias(key)).agg(F.bool_or(gone).alias("lost")).where("lost")
 
@@ -52,9 +61,13 @@ def batch_validity(batches: DataFrame, rooms: DataFrame, stale: DataFrame, model
     batches: batch_id, owner_id, conversation_id, research_id, connection_id, model_hash, privacy_revision, skill_id, skill_version, source_message_ids; rooms: id, deleted; stale: id, stale; models: connection_id, hash;
     epochs: owner_id, epoch; skills: id, status, text, version; messages: id, deleted. A batch without research or without a model hash is not held to them.
     """
-    b = batches.join(rooms.select(F.col("id").alias("conversation_id"), F.col("deleted").alias("room_gone")), "conversation_id", "left")
-    b = b.join(stale.select(F.col("id").alias("research_id"), "stale"), "research_id", "left").join(models.select("connection_id", "hash"), "connection_id", "left")
-    b = b.join(epochs.select("owner_id", "epoch"), "owner_id", "left")
+    asked = lambda known, on: known.join(batches.select(on).distinct(), on, "left_semi")  # what no batch asks for is not repeated
+    b = batches.select([c for c in batches.columns if c != "source_message_ids"])
+    for on, known in (
+        ("conversation_id", rooms.select(F.col("id").alias("conversation_id"), F.col("deleted").alias("room_gone"))), ("research_id", stale.select(F.col("id").alias("research_id"), "stale")),
+        ("connection_id", models.select("connection_id", "hash")), ("owner_id", epochs.select("owner_id", "epoch")),
+    ):
+        b = dealt_join(b, asked(known, on), on, "batch_id")
     b = b.join(skills.select(F.col("id").alias("skill_id"), "status", skill_version(F.col("text"), F.col("version")).alias("now_version")), "skill_id", "left")
     b = b.join(lost_sources(batches, "batch_id", "source_message_ids", messages), "batch_id", "left")
     reason = deny_reason(

@@ -36,7 +36,7 @@ def evid_batch_validity(spark, d):
     key = F.col("o_orderkey")
     o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     epochs = ledger(spark, d).groupBy(F.col("user_id").alias("owner_id")).agg(F.count_if(F.col("event_type") == "error").alias("epoch"))
-    batches = o.join(epochs.select(F.col("owner_id").alias("u"), F.col("epoch").alias("was")), F.col("o_custkey") % 100 == F.col("u"), "left").select(
+    batches = V.dealt_join(o.withColumn("u", F.col("o_custkey") % 100), epochs.select(F.col("owner_id").alias("u"), F.col("epoch").alias("was")), "u", "o_orderkey").select(
         key.alias("batch_id"), (F.col("o_custkey") % 100).alias("owner_id"), (key % 150).alias("conversation_id"), F.when(key % 3 == 0, key % 9000).alias("research_id"), (key % 26).alias("connection_id"),
         F.when(key % 23 != 0, F.concat(F.lit("m"), (key % 26 + (key % 19 == 0).cast("int")).cast("string"))).alias("model_hash"), (F.coalesce("was", F.lit(0)) - (key % 29 == 0).cast("int")).alias("privacy_revision"),
         F.col("o_custkey").alias("skill_id"), V.skill_version(F.col("c_name"), F.col("c_nationkey") - (key % 31 == 0).cast("int")).alias("skill_version"), _sources(key % 140).alias("source_message_ids"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import assessment, figures, replies
+from tessera.operators import figures, replies, validity
 from tessera.plans import assessment as plans
 
 
@@ -67,3 +67,19 @@ def test_grades_are_dealt_by_question_only(spark, sf_dir):
     graded.collect()
     dealt = [x for x in graded._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and "question_id#" in x]
     assert dealt and not [x for x in dealt if "label#" in x or "arm#" in x], dealt
+
+
+def test_a_message_of_many_rows_is_no_single_task(spark):
+    """All rows rest on the same two messages; the join deals them over several tasks."""
+    rows = spark.range(4000).select("id", F.array(F.lit(1), F.lit(2)).alias("ids"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for deleted, n in ((False, 0), (True, 4000)):
+            messages = spark.createDataFrame([(1, False), (2, deleted), (3, True)], "id int, deleted boolean")
+            got = validity.lost_sources(rows, "id", "ids", messages)
+            assert len(got.collect()) == n
+        assert len(validity.lost_sources(rows, "id", "ids", messages.where("id <> 1")).collect()) == 4000
+        joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in x and "LeftOuter" in x]
+        assert joins and all("_deal#" in x for x in joins), joins
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
