@@ -98,10 +98,18 @@ def arm_means(scored: DataFrame) -> DataFrame:
 
 
 def complete_cases(scored: DataFrame, arms: tuple[str, ...] = ARMS) -> DataFrame:
-    """Completed rows of the cases that every arm completed."""
+    """Per case_id, owner_id and session_id of the cases that every arm completed: of each arm the sum of its scores and how many there are, as `sum_<arm>` and `n_<arm>`.
+
+    Completed rows are summed once; whether a case is whole is seen from the sums of its own rows, so rows dealt by case are not dealt again.
+    """
     done = scored.where("status = 'COMPLETED'").where(F.col("arm").isin(*arms))
-    whole = done.groupBy("case_id").agg(F.count_distinct("arm").alias("n")).where(F.col("n") == len(arms))
-    return done.join(whole.select("case_id"), "case_id", "left_semi")
+    mine = lambda a, value: F.when(F.col("arm") == a, value)
+    cells = done.groupBy("case_id", "owner_id", "session_id").agg(*[f(mine(a, v)).alias(f"{n}_{a}") for a in arms for n, f, v in (("sum", F.sum, F.col("score")), ("n", F.count, F.col("score")), ("rows", F.count, F.lit(1)))])
+    of_case = Window.partitionBy("case_id")
+    whole = F.lit(True)
+    for a in arms:
+        whole &= F.max(f"rows_{a}").over(of_case) > 0
+    return cells.withColumn("whole", whole).where(F.col("whole") & F.col("case_id").isNotNull()).drop("whole", *[f"rows_{a}" for a in arms])
 
 
 def paired_differences(scored: DataFrame, arm: str = "D") -> DataFrame:
@@ -109,11 +117,17 @@ def paired_differences(scored: DataFrame, arm: str = "D") -> DataFrame:
 
     Several answers of an arm to a case count as their mean.
     """
-    rows = complete_cases(scored)
-    best = strongest(arm_means(rows.where(F.col("arm") != arm))).select(F.col("strongest").alias("baseline"))  # one row
-    pairs = rows.groupBy("case_id", "owner_id", "session_id").agg(*[F.avg(F.when(F.col("arm") == a, F.col("score"))).alias(a) for a in ARMS])
-    other = F.coalesce(*[F.when(F.col("baseline") == a, F.col(a)) for a in ARMS])
-    return pairs.join(F.broadcast(best)).select("case_id", "owner_id", "session_id", "baseline", (F.col(arm) - other).alias("difference"))
+    cells = complete_cases(scored)
+    sessions = cells.groupBy("owner_id", "session_id").agg(*[F.sum(f"{n}_{a}").alias(f"{n}_{a}") for a in ARMS if a != arm for n in ("sum", "n")])
+    each = F.array(*[F.struct(F.lit(a).alias("arm"), _mean(a).alias("score")) for a in ARMS if a != arm])
+    means = arm_means(sessions.select("owner_id", "session_id", F.inline(each)).where("score is not null"))
+    best = strongest(means).select(F.col("strongest").alias("baseline"))  # one row
+    other = F.coalesce(*[F.when(F.col("baseline") == a, _mean(a)) for a in ARMS])
+    return cells.join(F.broadcast(best)).select("case_id", "owner_id", "session_id", "baseline", (_mean(arm) - other).alias("difference"))
+
+
+def _mean(arm: str) -> Column:
+    return F.when(F.col(f"n_{arm}") > 0, F.col(f"sum_{arm}") / F.col(f"n_{arm}"))
 
 
 def strongest(means: DataFrame, arm: str = "arm", mean: str = "mean") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import figures, replies, validity
+from tessera.operators import evaluation, figures, replies, validity
 from tessera.plans import assessment as plans
 
 
@@ -83,3 +83,14 @@ def test_a_message_of_many_rows_is_no_single_task(spark):
         assert joins and all("_deal#" in x for x in joins), joins
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_paired_differences_sum_completed_rows_once(spark):
+    """Whether a case is whole is no join and no count of distinct arms; a case of two sessions is whole by both."""
+    rows = [(c, 1, c % 3, arm, "COMPLETED", c + k / 4) for c in range(30) for k, arm in enumerate(evaluation.ARMS) if (c, arm) != (4, "B1")] + [(4, 1, 9, "B1", "COMPLETED", 1.0), (5, 1, 2, "B2", "FAILED", 9.0)]
+    scored = spark.createDataFrame(rows, "case_id int, owner_id int, session_id int, arm string, status string, score double")
+    got = evaluation.paired_differences(scored)
+    found = {(r["case_id"], r["session_id"]): (r["baseline"], r["difference"]) for r in got.collect()}
+    assert found == {**{(c, c % 3): ("B2", 0.25) for c in range(30)}, (4, 9): ("B2", None)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "distinct" not in plan and "Expand" not in plan
