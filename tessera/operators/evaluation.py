@@ -148,8 +148,9 @@ def _resampled(seed: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, float] = {}
         for batch in batches:
-            for user, block, sizes, means, draws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes, means = np.array(sizes), np.array(means)
+            for k in range(len(batch)):  # one block at a time is unpacked
+                user, block, draws = (batch.column(c)[k].as_py() for c in (0, 1, 4))
+                sizes, means = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
                 total = int(sizes.sum())
                 for draw in draws:
                     # Every block of the user deals the same draws over the blocks, and then takes its own share.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluation, figures, replies, validity
@@ -94,3 +95,35 @@ def test_paired_differences_sum_completed_rows_once(spark):
     assert found == {**{(c, c % 3): ("B2", 0.25) for c in range(30)}, (4, 9): ("B2", None)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan and "distinct" not in plan and "Expand" not in plan
+
+
+def test_resampling_unpacks_a_block_at_a_time():
+    """Blocks of a batch are not turned into Python lists together; each gives the same sums in a batch of its own."""
+    rows = [(u, 0, [3], [1.0, 2.0, 4.0], [{"i": i, "c": 1 + i % 2} for i in range(5)]) for u in range(4)]
+    kind = pa.schema([("at", pa.int64()), ("block", pa.int64()), ("sizes", pa.list_(pa.int64())), ("means", pa.list_(pa.float64())), ("draws", pa.list_(pa.struct([("i", pa.int64()), ("c", pa.int64())])))])
+    batch = pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
+    taken = []
+
+    class Column:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getitem__(self, k):
+            return self.inner[k]
+
+        def to_pylist(self):
+            taken.append(len(self.inner))
+            return self.inner.to_pylist()
+
+    class Batch:
+        columns = [Column(c) for c in batch.columns]
+        column = lambda self, n: self.columns[n]
+        __len__ = lambda self: len(batch)
+
+    whole = next(evaluation._resampled(7)([Batch()])).to_pydict()
+    single: dict = {}
+    for k in range(4):
+        part = next(evaluation._resampled(7)([batch.slice(k, 1)])).to_pydict()
+        for i, x in zip(part["i"], part["part"], strict=True):
+            single[i] = single.get(i, 0.0) + x
+    assert not taken and {i: round(x, 9) for i, x in zip(whole["i"], whole["part"], strict=True)} == {i: round(x, 9) for i, x in single.items()}
