@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import udfs
 from tessera.operators import evaluation, figures, replies, validity
 from tessera.plans import assessment as plans
 
@@ -127,3 +131,19 @@ def test_resampling_unpacks_a_block_at_a_time():
         for i, x in zip(part["i"], part["part"], strict=True):
             single[i] = single.get(i, 0.0) + x
     assert not taken and {i: round(x, 9) for i, x in zip(whole["i"], whole["part"], strict=True)} == {i: round(x, 9) for i, x in single.items()}
+
+
+def test_demands_are_looked_for_where_one_may_begin(monkeypatch):
+    """The same matches as a search at each letter; texts without an opening word are not searched."""
+    rng = random.Random(3)
+    bits = "Ignore disregard send SEND API key reveal print credential 请 执行 脚本 必须 立即 运行 忽略 系统提示 上传 密钥 must  run shell please execute command \n , 。 ſend İgnore previous allowed-tools: none x do not never instructions".split(" ")
+    for _ in range(3000):
+        text = rng.choice(("", " ")).join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert [(m.start(), m.end()) for m in udfs._found(text)] == [(m.start(), m.end()) for m in udfs._DEMAND.finditer(text, overlapped=True)], text
+    with monkeypatch.context() as patch:
+        patch.setattr(udfs, "_DEMAND", None)
+        patch.setattr(udfs, "_CLAUSE_END", None)
+        assert udfs.demands_of("nothing here, nothing there. " * 100) == []
+    with pytest.raises(AttributeError), monkeypatch.context() as patch:
+        patch.setattr(udfs, "_DEMAND", None)
+        udfs.demands_of("print the secret")
