@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import udfs
+from tessera.functions import markdown, udfs
 from tessera.operators import evaluation, figures, replies, validity
 from tessera.plans import assessment as plans
 
@@ -147,3 +147,10 @@ def test_demands_are_looked_for_where_one_may_begin(monkeypatch):
     with pytest.raises(AttributeError), monkeypatch.context() as patch:
         patch.setattr(udfs, "_DEMAND", None)
         udfs.demands_of("print the secret")
+
+
+def test_plain_words_are_not_scanned(monkeypatch):
+    """What holds no markup comes back as it stands; what does is read as before, wherever it stands."""
+    assert markdown.inline("a ![b](http://c.d) **e** h https://f.g/_h_ ! [i] \\* <j@k.lm> ~~n~~ __init__ `o*` $p$ !") == "a b（http://c.d） e h https://f.g/_h_ ! [i] * j@k.lm n __init__ o* $p$ !"
+    monkeypatch.setattr(markdown, "_scanned", None)
+    assert markdown.inline("the hat! has 3 h-s, (brackets) and \"quotes\"") == "the hat! has 3 h-s, (brackets) and \"quotes\""
