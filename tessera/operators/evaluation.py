@@ -85,10 +85,16 @@ def primary_score(choice: Column, reference: Column, said: Column, rubric: Colum
 
 
 def arm_summary(scored: DataFrame) -> DataFrame:
-    """Per arm: how many cases were expected, completed, missing and failed, and the clustered mean of the completed. scored: arm, owner_id, session_id, status, score."""
+    """Per arm: how many cases were expected, completed, missing and failed, and the clustered mean of the completed. scored: arm, owner_id, session_id, status, score.
+
+    Counts and means are taken in one pass, as what is scored may be dear.
+    """
     state = lambda s: F.count_if(F.col("status") == s)
-    counts = scored.groupBy("arm").agg(F.count(F.lit(1)).alias("expected"), state("COMPLETED").alias("completed"), state("MISSING").alias("missing"), state("FAILED").alias("failed"))
-    return counts.join(arm_means(scored.where("status = 'COMPLETED'")), "arm", "left").select("arm", "expected", "completed", "missing", "failed", F.round("mean", 6).alias("mean"))
+    counts = {"expected": F.count(F.lit(1)), "completed": state("COMPLETED"), "missing": state("MISSING"), "failed": state("FAILED")}
+    rows = scored.groupBy("arm", "owner_id", "session_id").agg(*[c.alias(n) for n, c in counts.items()], F.avg(F.when(F.col("status") == "COMPLETED", F.col("score"))).alias("m"))
+    for by in (["arm", "owner_id"], ["arm"]):
+        rows = rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in counts], F.avg("m").alias("m"))
+    return rows.select("arm", *counts, F.round("m", 6).alias("mean"))
 
 
 def arm_means(scored: DataFrame) -> DataFrame:

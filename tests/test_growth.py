@@ -154,3 +154,11 @@ def test_plain_words_are_not_scanned(monkeypatch):
     assert markdown.inline("a ![b](http://c.d) **e** h https://f.g/_h_ ! [i] \\* <j@k.lm> ~~n~~ __init__ `o*` $p$ !") == "a b（http://c.d） e h https://f.g/_h_ ! [i] * j@k.lm n __init__ o* $p$ !"
     monkeypatch.setattr(markdown, "_scanned", None)
     assert markdown.inline("the hat! has 3 h-s, (brackets) and \"quotes\"") == "the hat! has 3 h-s, (brackets) and \"quotes\""
+
+
+def test_arms_are_scored_once(spark):
+    """Counts and means come from one pass over the answers; sessions and owners without a completed answer count in no mean."""
+    rows = [("D", "a", "s", "COMPLETED", 1.0), ("D", "a", "s", "FAILED", 9.0), ("D", "a", "t", "COMPLETED", 0.0), ("D", "b", "u", "FAILED", 9.0), ("D", "c", "v", "COMPLETED", 1.0), ("B0", "a", "s", "MISSING", None)]
+    got = evaluation.arm_summary(spark.createDataFrame(rows, "arm string, owner_id string, session_id string, status string, score double"))
+    assert {tuple(r) for r in got.collect()} == {("D", 5, 3, 0, 2, 0.75), ("B0", 1, 0, 1, 0, None)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
