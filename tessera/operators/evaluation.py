@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import channels
+from tessera.operators.retrieval import most_shared, term_hashes
 from tessera.scans import running
-from tessera.shared import materialise
+from tessera.shared import materialise, spread
 from tessera.sources.tables import REAL_ORIGINS
 
 ARMS = ("B0", "B1", "B2", "D")
@@ -44,17 +44,23 @@ def four_arms(memories: DataFrame, cases: DataFrame, top: int = 2) -> DataFrame:
 
     memories: id, owner_id, domain, occurred, occurred_text, content, choice; cases: case_id, owner_id, domain, occurred, question, options. Only memories of the same owner from strictly
     before the case are seen. No case meets its owner's memories: the first memory and, for each choice, the domain's latest one are running extremes, and B2's come from the
-    table of terms, or, where fewer share a term, from the smallest ids, which are running minima too.
+    table of terms, or, where fewer share a term, from the smallest ids, which are running minima too. Texts are read once, into terms, and of those only what a case may see: memories
+    of owners who have a case, from before their last one. Without an owner nothing is seen.
     """
+    cases = materialise(cases.select("case_id", "owner_id", "domain", "occurred", "options", term_hashes(F.col("question")).alias("terms")), "cases")
+    last = materialise(cases.groupBy("owner_id").agg(F.max("occurred").alias("last")), "owners")
+    memories = spread(memories)
+    memories = memories.join(last, (memories["owner_id"] == last["owner_id"]) & (memories["occurred"] < last["last"]), "left_semi")
+    memories = memories.select("id", "owner_id", "domain", "occurred", "occurred_text", "choice", term_hashes(F.col("content")).alias("terms"))
+    memories = materialise(memories.sortWithinPartitions("owner_id", "occurred"), "memories")
+
     at = F.struct(F.col("occurred_text").alias("text"), F.col("id").alias("id"))
     own = F.struct(F.lit("").alias("text"), F.col("id").alias("id"))
     order = [F.col(c).asc() for c in _IN_TIME]
     running_least = running(_events(memories, cases, ["owner_id"], {"entry": at, "own": own}), ["owner_id"], order, {"first": F.col("entry"), "least": F.col("own")}, "min", upto=-1)
     first = running_least.where("kind = 0").select(F.lit("B1").alias("arm"), "case_id", F.col("first.id").alias("id"))
 
-    asked = cases.select(F.col("case_id").alias("item_id"), F.col("question").alias("text"), "owner_id", "occurred")
-    known = memories.select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "owner_id", "occurred")
-    shared = channels(asked, known, top, scoped=True).where("channel = 'lexical'").select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), "score")
+    shared = most_shared(cases.withColumnRenamed("case_id", "item_id"), memories.withColumnRenamed("id", "doc_id"), top).select(F.col("item_id").alias("case_id"), F.col("doc_id").alias("id"), "score")
     seen = shared
     for n in range(top):  # the next smallest id so far is the least of: an id, or what was smallest before it, if that is larger
         seen = seen.unionByName(running_least.where("kind = 0 and least is not null").select("case_id", F.col("least.id").alias("id"), F.lit(0.0).alias("score")))

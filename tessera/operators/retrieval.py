@@ -17,6 +17,9 @@ from tessera.functions import text as X
 from tessera.shared import materialise, spread
 
 BLOCK = 200_000  # terms, or numbers of vectors, of the questions of one block
+SCOPED = 1_000_000  # the same where each question sees its owner's documents only
+WORDS = 8  # of 64 bits, a bit for each of the terms that most of an owner's questions have
+CELLS, TERMS = 200_000, 100_000  # pairs of a document and a question, and terms of documents, that are scored at a time
 CHANNELS = "channel string, item_id long, doc_id long, score double"
 
 
@@ -41,16 +44,20 @@ class _Best:
         k = min(self.k, len(ids))
         least = np.maximum(np.partition(scores, len(ids) - k, axis=0)[len(ids) - k], self.scores[:, -1])  # what is under it has no place
         item, row = np.nonzero((scores >= least).T & np.isfinite(scores).T)
-        found, ids = scores[row, item], ids[row]
+        self.put(item, scores[row, item], ids[row])
+
+    def put(self, item: np.ndarray, found: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some pairs: the question's place, the score, the document's id."""
         order = np.lexsort((ids, -found, item))
         item, found, ids = item[order], found[order], ids[order]
         place = np.arange(len(item)) - np.searchsorted(item, item)
         item, found, ids, place = (x[place < self.k] for x in (item, found, ids, place))
-        more, which = np.full(self.scores.shape, -np.inf), np.full(self.ids.shape, np.iinfo(np.int64).max)
-        more[item, place], which[item, place] = found, ids
-        scores, which = np.hstack([self.scores, more]), np.hstack([self.ids, which])
+        some, row = np.unique(item, return_inverse=True)
+        more, which = np.full((len(some), self.k), -np.inf), np.full((len(some), self.k), np.iinfo(np.int64).max)
+        more[row, place], which[row, place] = found, ids
+        scores, which = np.hstack([self.scores[some], more]), np.hstack([self.ids[some], which])
         order = np.lexsort((which, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(which, order, 1)
+        self.scores[some], self.ids[some] = np.take_along_axis(scores, order, 1), np.take_along_axis(which, order, 1)
 
     def batch(self, items: np.ndarray, channel: str) -> pa.RecordBatch:
         item, place = np.nonzero(np.isfinite(self.scores))
@@ -64,32 +71,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, codes = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
         found = [np.unique(codes[a:b], return_counts=True) for a, b in zip(starts[:-1], starts[1:])]
         lists = pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), *lists, *batch.columns[2:]], ["doc_id", "len", "terms", "tf", "owner", "at"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts).astype(np.int64)), *lists], ["doc_id", "len", "terms", "tf"])
 
 
-def _scope(rows: DataFrame, scoped: bool) -> list[Column]:
-    """A hash of the owner and the time, of documents and of questions; all alike without a scope."""
-    if not scoped:
-        return [F.lit(0).cast("long").alias("owner"), F.lit(0).cast("long").alias("at")]
-    return [F.xxhash64("owner_id").alias("owner"), F.col("occurred").cast("long").alias("at")]
+def term_hashes(text: Column, words: Callable[[Column], Column] = X.words) -> Column:
+    """The distinct terms of a text as sorted 64-bit hashes, none of a null."""
+    return F.coalesce(F.sort_array(F.transform(F.array_distinct(words(text)), lambda w: F.xxhash64(w))), F.array().cast("array<long>"))
 
 
-def term_table(docs: DataFrame, words: Callable[[Column], Column] = X.words, scoped: bool = False) -> DataFrame:
+def term_table(docs: DataFrame, words: Callable[[Column], Column] = X.words) -> DataFrame:
     """doc_id, len, and the distinct terms of each document, as 64-bit hashes, with their counts; written once, however many questions meet it."""
     hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    rows = spread(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hashed, F.array().cast("array<long>")).alias("w"), *_scope(docs, scoped))
-    return materialise(rows.mapInArrow(_counted, "doc_id long, len long, terms array<long>, tf array<long>, owner long, at long"), "terms")
+    rows = spread(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(hashed, F.array().cast("array<long>")).alias("w"))
+    return materialise(rows.mapInArrow(_counted, "doc_id long, len long, terms array<long>, tf array<long>"), "terms")
+
+
+def _places(terms: pa.ListArray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the documents' terms the document's place, the place among the known terms, and whether it is one of them."""
+    flat = terms.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+    return np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy())), place, known[place] == flat
 
 
 def _hits(batch: pa.RecordBatch, known: np.ndarray, rows: int = 256) -> Iterator[tuple]:
     """For some documents at a time: their rows, and of their terms that are known, the document's place, the term's and the count."""
     for at in range(0, len(batch), rows):
         some = batch.slice(at, rows)
-        terms, tf = some.column(2).flatten().to_numpy(), some.column(3).flatten().to_numpy()
-        doc = np.repeat(np.arange(len(some)), np.diff(some.column(2).offsets.to_numpy()))
-        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-        hit = known[place] == terms
-        yield some, doc[hit], place[hit], tf[hit]
+        doc, place, hit = _places(some.column(2), known)
+        yield some, doc[hit], place[hit], some.column(3).flatten().to_numpy()[hit]
 
 
 def _document_counts(index) -> Callable:
@@ -107,7 +116,7 @@ def _document_counts(index) -> Callable:
 
 def _ranked(index, weights, k: int, k1: float, b: float) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, items, owners, before, offsets, asks = index.value  # terms; questions, and in whose name and when they ask; per term, which questions have it
+        known, items, offsets, asks = index.value  # terms; questions; per term, which questions have it
         idf, mean = weights.value
         lexical, bm25 = _Best(len(items), k), _Best(len(items), k)
         for batch in batches:
@@ -121,8 +130,6 @@ def _ranked(index, weights, k: int, k1: float, b: float) -> Callable:
                 shared = np.bincount(cell, minlength=len(ids) * len(items)).reshape(len(ids), -1)
                 score = np.round(np.bincount(cell, np.repeat(weight, each), len(ids) * len(items)), 6).reshape(len(ids), -1)
                 able = shared > 0
-                if before is not None:
-                    able &= (some.column(4).to_numpy()[:, None] == owners) & (some.column(5).to_numpy()[:, None] < before)
                 lexical.add(np.where(able, shared, -np.inf), ids)
                 bm25.add(np.where(able, score, -np.inf), ids)
         yield lexical.batch(items, "lexical")
@@ -131,26 +138,25 @@ def _ranked(index, weights, k: int, k1: float, b: float) -> Callable:
     return of
 
 
-def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, words: Callable[[Column], Column] = X.words, scoped: bool = False) -> DataFrame:
+def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, words: Callable[[Column], Column] = X.words) -> DataFrame:
     """channel, item_id, doc_id, score and place of the k best documents of each question: by shared distinct terms ("lexical") and by BM25.
 
-    queries: item_id, text; docs: doc_id, text; with a scope both have owner_id and occurred, and a question sees documents of its owner from before it only. Words are compared by 64-bit hashes. Texts are read once into a table of terms, which each block of
-    questions reads twice, for the numbers of documents and for the scores. Rows without an id are left out; a question without words finds nothing.
+    queries: item_id, text; docs: doc_id, text. Words are compared by 64-bit hashes. Texts are read once into tables of terms; that of the documents is read twice by each block
+    of questions, for the numbers of documents and for the scores. Rows without an id are left out; a question without words finds nothing.
     """
     spark = queries.sparkSession
-    asked = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), *_scope(queries, scoped), F.explode(F.transform(F.array_distinct(words(F.col("text"))), lambda w: F.xxhash64(w))).alias("h"))
-    table = term_table(docs, words, scoped)
+    asked = materialise(queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.explode(term_hashes(F.col("text"), words)).alias("h")), "asked")
+    table = term_table(docs, words)
     n_docs, mean = table.agg(F.count(F.lit(1)), F.avg("len")).first()
     best = spark.createDataFrame([], CHANNELS)
     for block in _blocks(asked, "item_id", asked.count()):
         rows = block.toArrow()  # about BLOCK rows
         known, term = np.unique(rows["h"].to_numpy(), return_inverse=True)
-        items, first, item = np.unique(rows["item_id"].to_numpy(), return_index=True, return_inverse=True)
+        items, item = np.unique(rows["item_id"].to_numpy(), return_inverse=True)
         if not len(items):
             continue
-        owners, before = (rows[c].to_numpy()[first] if scoped else None for c in ("owner", "at"))
         order = np.argsort(term, kind="stable")
-        index = spark.sparkContext.broadcast((known, items, owners, before, np.searchsorted(term[order], np.arange(len(known) + 1)), item[order]))
+        index = spark.sparkContext.broadcast((known, items, np.searchsorted(term[order], np.arange(len(known) + 1)), item[order]))
         found = table.mapInArrow(_document_counts(index), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the block
         df = np.zeros(len(known))
         df[found["t"].to_numpy()] = found["n"].to_numpy()
@@ -160,6 +166,101 @@ def channels(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: fl
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _scoped_index(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Questions sorted by owner and time, and their terms by owner: an owner's frequent terms as bits of its questions, of the others which questions have them."""
+    _, first, item = np.unique(rows["item_id"].to_numpy(), return_index=True, return_inverse=True)
+    items, owner, before = (rows[c].to_numpy()[first] for c in ("item_id", "owner", "at"))
+    order = np.lexsort((before, owner))
+    items, before, item = items[order], before[order], np.argsort(order)[item]
+    owners, low, nth = np.unique(owner[order], return_index=True, return_inverse=True)
+    order = np.lexsort((item, rows["h"].to_numpy(), nth[item]))
+    item, h = item[order], rows["h"].to_numpy()[order]
+    new = np.append(True, (np.diff(h) != 0) | (np.diff(nth[item]) != 0))
+    term, whose, known = np.cumsum(new) - 1, nth[item[new]], h[new]
+    vocabulary = np.searchsorted(whose, np.arange(len(owners) + 1))  # where each owner's known terms begin
+    words = max(1, min(WORDS, 4 * SCOPED // len(items)))
+    by_count = np.lexsort((-np.bincount(term), whose))
+    rank = np.empty(len(known), np.int64)
+    rank[by_count] = np.arange(len(known)) - vocabulary[whose[by_count]]
+    bit = np.where(rank < 64 * words, rank, -1)
+    often = bit[term] >= 0
+    bits = np.zeros((words, len(items)), np.uint64)
+    np.bitwise_or.at(bits, (bit[term[often]] // 64, item[often]), np.uint64(1) << (bit[term[often]] % 64).astype(np.uint64))
+    offsets = np.searchsorted(term[~often], np.arange(len(known) + 1))
+    return items, before, owners, np.append(low, len(items)), vocabulary, known, bit, bits, offsets, item[~often]
+
+
+def _earlier(index, k: int) -> Callable:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, before, owners, bounds, vocabulary, known, bit, bits, offsets, asks = index.value
+        best = _Best(len(items), k)
+        for batch in batches:
+            ids, owner, at = (batch.column(c).to_numpy() for c in range(3))
+            sizes = batch.column(3).offsets.to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(batch))
+            x = 0
+            while x < len(batch):  # rows of one owner, as many as CELLS and TERMS allow
+                end, o = ends[np.searchsorted(ends, x, "right")], np.searchsorted(owners, owner[x])
+                start = high = 0
+                if o < len(owners) and owners[o] == owner[x]:
+                    low, high = bounds[o], bounds[o + 1]
+                    start = low + np.searchsorted(before[low:high], at[x:end].min(), "right")
+                if start == high:  # no one asks later
+                    x = end
+                    continue
+                width = high - start
+                y = min(end, max(x + 1, min(x + CELLS // width, np.searchsorted(sizes, sizes[x] + TERMS, "right") - 1)))
+                doc, term, hit = _places(batch.column(3).slice(x, y - x), known[vocabulary[o] : vocabulary[o + 1]])
+                doc, term = doc[hit], term[hit] + vocabulary[o]
+                often = bit[term] >= 0
+                has = np.zeros((y - x, 64 * len(bits)), bool)
+                has[doc[often], bit[term[often]]] = True
+                mine = np.packbits(has, axis=1, bitorder="little").view("<u8")
+                doc, term = doc[~often], term[~often]
+                each = offsets[term + 1] - offsets[term]
+                found = asks[np.repeat(offsets[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+                cell = np.repeat(doc * width, each) + (found - start)
+                shared = np.bincount(cell[found >= start] if start > low else cell, minlength=(y - x) * width).reshape(y - x, width)
+                for w in range(len(bits)):
+                    shared += np.bitwise_count(mine[:, w, None] & bits[w, start:high])
+                row, item = np.nonzero(shared >= np.maximum(best.scores[start:high, -1], 1))  # what is under it has no place
+                sees = at[x + row] < before[start + item]
+                row, item = row[sees], item[sees]
+                best.put(start + item, shared[row, item].astype(float), ids[x + row])
+                x = y
+        yield best.batch(items, "lexical")
+
+    return of
+
+
+def most_shared(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """channel, item_id, doc_id, score and place of the k documents that share most distinct terms with each question, at least one, of those of its owner from strictly before it.
+
+    queries: item_id, owner_id, occurred, terms; docs: doc_id, owner_id, occurred, terms, both written already, with the terms of `term_hashes`. Blocks are ranges of owners and times: a block reads its owners'
+    documents from before its last question, and a document meets its owner's later questions only, which lie side by side. Documents that are sorted so within their
+    files are scored together. Rows without an id, an owner or a time see nothing and are not seen.
+    """
+    spark = queries.sparkSession
+    scope = [F.xxhash64("owner_id").alias("owner"), F.col("occurred").cast("long").alias("at")]
+    whole = lambda rows, key: rows.where(F.col(key).isNotNull() & F.col("owner_id").isNotNull() & F.col("occurred").isNotNull()).select(F.col(key).cast("long").alias(key), *scope, "terms")
+    table = whole(docs, "doc_id")
+    asked = whole(queries, "item_id").select("item_id", "owner", "at", F.explode("terms").alias("h"))
+    n = max(1, -(-asked.count() // SCOPED))
+    if n > 1:
+        asked = materialise(asked.repartitionByRange(n, "owner", "at", "item_id").withColumn("block", F.spark_partition_id()), "asked", by="block")
+    best = spark.createDataFrame([], CHANNELS)
+    for i in range(n):
+        rows = (asked.where(F.col("block") == i) if n > 1 else asked).toArrow()  # about SCOPED rows
+        if not rows.num_rows:
+            continue
+        index = _scoped_index(rows)
+        last, owners = int(index[1].max()), index[2]
+        near = table.where(F.col("owner").between(int(owners[0]), int(owners[-1])) & (F.col("at") < last))
+        best = best.unionByName(near.mapInArrow(_earlier(spark.sparkContext.broadcast(index), k), CHANNELS))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return best.withColumn("place", place).where(F.col("place") <= k)
+
+
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 2) -> DataFrame:
     """The k documents that share most distinct terms with each query. queries: item_id, text; docs: doc_id, text."""
     found = channels(queries, docs, k).where("channel = 'lexical'")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markdown, udfs
-from tessera.operators import evaluation, figures, replies, validity
+from tessera.operators import evaluation, figures, replies, retrieval, validity
 from tessera.plans import assessment as plans
 
 
@@ -162,3 +162,36 @@ def test_arms_are_scored_once(spark):
     got = evaluation.arm_summary(spark.createDataFrame(rows, "arm string, owner_id string, session_id string, status string, score double"))
     assert {tuple(r) for r in got.collect()} == {("D", 5, 3, 0, 2, 0.75), ("B0", 1, 0, 1, 0, None)}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_meet_their_owners_earlier_memories(spark, monkeypatch):
+    """Only what a case may see is turned into terms; the best of blocks, of frequent terms and of others are those of plain sets."""
+    for name, value in {"SCOPED": 40, "WORDS": 1, "CELLS": 50, "TERMS": 60}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    memories = [(i, rng.choice([None, "a", "a", "b", "c"]), rng.choice([None, *range(40)]), sorted({rng.choice(words[: rng.choice([8, 200])]) for _ in range(rng.randint(0, 90))})) for i in range(300)]
+    cases = [(i, rng.choice([None, "a", "b", "d"]), rng.choice([None, *range(30)]), sorted({rng.choice(words) for _ in range(rng.randint(0, 90))})) for i in range(40)]
+    written = {}
+    real = evaluation.materialise
+
+    def noted(df, name, by=None):
+        written[name] = real(df, name, by)
+        return written[name]
+
+    monkeypatch.setattr(evaluation, "materialise", noted)
+    m = spark.createDataFrame([(i, o, "x", t, f"{t or 0:05d}", " ".join(w), "yes") for i, o, t, w in memories], "id long, owner_id string, domain string, occurred long, occurred_text string, content string, choice string")
+    c = spark.createDataFrame([(i, o, "x", t, " ".join(w), ["yes"]) for i, o, t, w in cases], "case_id long, owner_id string, domain string, occurred long, question string, options array<string>")
+    evaluation.four_arms(m, c).collect()
+    last = {o: max(t for _, p, t, _ in cases if p == o and t is not None) for o in ("a", "b", "d")}
+    assert {r["id"] for r in written["memories"].collect()} == {i for i, o, t, _ in memories if o in last and t is not None and t < last[o]}
+
+    terms = retrieval.term_hashes(F.col("text"))
+    docs = written["memories"].withColumnRenamed("id", "doc_id")
+    asked = c.select(F.col("case_id").alias("item_id"), "owner_id", "occurred", F.col("question").alias("text")).withColumn("terms", terms)
+    got = {(r["item_id"], r["place"]): (r["doc_id"], r["score"]) for r in retrieval.most_shared(asked, docs, 3).collect()}
+    want = {}
+    for i, o, t, w in cases:
+        seen = [(-n, d) for d, p, at, v in memories if o is not None and p == o and None not in (t, at) and at < t and (n := len({*v} & {*w}))]
+        want |= {(i, k + 1): (d, float(-n)) for k, (n, d) in enumerate(sorted(seen)[:3])}
+    assert got == want and len(want) > 40
