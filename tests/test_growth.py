@@ -149,6 +149,15 @@ def test_demands_are_looked_for_where_one_may_begin(monkeypatch):
         udfs.demands_of("print the secret")
 
 
+def test_all_demands_of_a_text_are_told(spark):
+    """None is left out, however many a text holds; equal excerpts are one."""
+    text = "".join(f"{i:04d} words that ask for nothing; print secret number {i:04d} of a list of them, and so on.\n" for i in range(300))
+    got = spark.createDataFrame([(1, text), (2, text * 2)], "id int, t string").select("id", udfs.permission_demands("t").alias("demands"))
+    found = {r["id"]: r["demands"] for r in got.collect()}
+    assert len(found[1]) == 300 and all(f"print secret number {i:04d} of" in x for i, x in enumerate(found[1]))
+    assert found[2] == found[1]
+
+
 def test_plain_words_are_not_scanned(monkeypatch):
     """What holds no markup comes back as it stands; what does is read as before, wherever it stands."""
     assert markdown.inline("a ![b](http://c.d) **e** h https://f.g/_h_ ! [i] \\* <j@k.lm> ~~n~~ __init__ `o*` $p$ !") == "a b（http://c.d） e h https://f.g/_h_ ! [i] * j@k.lm n __init__ o* $p$ !"
