@@ -51,6 +51,21 @@ def test_claims_are_dealt_by_run_only(spark):
     assert dealt and all(x.startswith("run#") and x.count("#") <= 2 and "name#" not in x and "at#" not in x for x in dealt), dealt
 
 
+def test_sources_of_a_run_are_read_once(spark):
+    """Claims meet conditions and what their run has read before they are cut; sources are neither sorted by line nor read for each use. Rows that are no plain cells, and units before other words, count as before."""
+    source = "2021年北京 物理类 本科\n院校|最低分|最低位次\n甲乙大学|600|1,200\n丙丁大学|0610|1300\n戊己学院|620|1.4千\n学院|7|08"
+    evidence = spark.createDataFrame([(1, 1, source, None), (1, 2, "甲乙大学 630分数线", []), (1, 3, None, [])], "run long, source_id long, excerpt string, years array<string>")
+    said = ["甲乙大学最低分600。\n最低位次1200。", "丙丁大学最低分610！戊己学院最低位次1400？", "甲乙大学最低分630", "戊己学院最低位次620", "丙丁大学最低分1300。", None]
+    claims = spark.createDataFrame([(1, i, t, None) for i, t in enumerate(said)], "run long, claim_id long, text string, supplied string")
+    asked = spark.createDataFrame([(1, "北京", "物理", "2021")], "run long, province string, subjects string, year string")
+    got = figures.check_figures(claims, evidence, asked)
+    verdicts = sorted((r["claim_id"], r["sentence"], int(r["value"]), r["verdict"]) for r in got.collect())
+    yes, no = "SUPPORTED", "UNSUPPORTED"
+    assert verdicts == [(0, 0, 600, yes), (0, 1, 1200, yes), (1, 0, 610, yes), (1, 1, 1400, yes), (2, 0, 630, yes), (3, 0, 620, no), (4, 0, 1300, no)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan and plan.count("Aggregate") == 1
+
+
 def test_headings_come_without_a_join(spark):
     """Lines are told their headings by one window; a table of two blocks, with a line between that ends the first."""
     text = "学校|最低分|位次\n甲|600|12\n没有 700\n乙|601|13\n|招生计划|\n|14|"
